@@ -39,6 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sampled_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """``most`` distinct ids of ``rows`` at most, the first by their hashes; few more than that are ever sorted."""
+    ids = rows.select(F.col(id_col).alias("id")).filter("id is not null").distinct()
+    wide = 1 << 40
+    share = min(1.0, 1.25 * most / max(1, rows.count()))
+    near = ids.filter(F.pmod(F.xxhash64("id"), F.lit(wide)) < int(share * wide)) if share < 1 else ids
+    return near.orderBy(F.pmod(F.xxhash64("id"), F.lit(wide)), "id").limit(most)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)``, with ``value`` computed once for each row however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]

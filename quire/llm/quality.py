@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, sampled_ids
 
 # Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -97,8 +97,7 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     ``trusted(doc_id)`` in hash order. That bounded id list is the only thing broadcast. The driver gets
     BUCKETS rows at most.
     """
-    ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
-    ids = F.broadcast(ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(TRUSTED_ROWS))
+    ids = F.broadcast(sampled_ids(trusted, TRUSTED_ROWS).withColumnRenamed("id", "_trusted"))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(
         ids, F.col("_id") == F.col("_trusted"), "left"
     )
