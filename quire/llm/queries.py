@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, quality, secret_scan, simhash, token_files
+from . import byte_bpe, decontaminate, language, licenses, quality, secret_scan, simhash, token_files, tool_calls, toxicity
 from .common import table
 
 
@@ -26,11 +26,23 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.round_trip(table(spark, sf_dir, "documents"), path, end_id=2))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(table(spark, sf_dir, "conversations"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
@@ -50,7 +62,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_decontamination": op2_decontamination,
         "op3_token_files": op3_token_files,
+        "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
+        "op6_tool_calls": op6_tool_calls,
+        "op7_license_scan": op7_license_scan,
         "op8_language_id": op8_language_id,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
@@ -58,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_license_scan": licenses.scan_sql()}
