@@ -1,2 +1,54 @@
-"""The training-data pipeline."""
-STAGES = []
+"""The training-data pipeline: five stages over ``documents``, each written as Parquet and read again."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import byte_bpe, decontaminate, language, secret_scan, simhash
+from quire.llm.common import stage, table
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; null texts and texts without a letter go."""
+    return language.keep_known(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret that isn't a widely copied example masked."""
+    return secret_scan.redact(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminated),
+    ("secret_scan", secrets_masked),
+    ("byte_bpe", tokens),
+]
+
+#: SQL can't express hyperdimensional vectors and banded alignment; the tests hold a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), name)
+    return docs
