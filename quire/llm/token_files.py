@@ -18,17 +18,19 @@ from pyspark.sql import functions as F
 from .byte_bpe import spread, summed
 from .common import gathered, shared_dir, small_batches, stage
 
-#: Bytes of text whose distinct words are encoded together.
-ROUND_BYTES = 12 << 20
+#: Bytes of text whose distinct words are encoded together, and characters of words that a worker remembers.
+ROUND_BYTES, REMEMBERED_CHARS = 6 << 20, 4 << 20
 #: Ids to a partition of the sorted output, and to a file.
 PART_IDS, FILE_IDS = 8 << 20, 4 << 20
-#: Words put into one text for the library.
-CHUNK_WORDS = 2000
+#: Words put into one text for the library, and ids that are decoded at a time.
+CHUNK_WORDS, BLOCK_IDS = 2000, 1 << 18
 
 MAGIC = b"QTF1"
 HEAD = "<4sIQ"  # magic, documents, ids
-#: Words of these letters alone are one match of the splitting pattern, whatever stands around them.
-PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Words of these letters alone are one match of the splitting pattern in either case, whatever stands around them;
+#: so is a run of these signs after them. None of them composes with another, so each may be lower-cased by itself.
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,;:!?)"
+PLAIN, ENDED = f"^{LETTERS}$", f"^{LETTERS}[{SIGNS}]+$"
 
 
 class Words:
@@ -41,15 +43,21 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after the other, and how many each has."""
-        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
-        texts = np.array(words.to_pylist(), object)
-        parts, of = [], []
+    def _encode_new(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        held = pa.array(units, pa.large_string())
+        plain = pc.match_substring_regex(held, f"{PLAIN}|^[{SIGNS}]+$").to_numpy(zero_copy_only=False)
+        texts = np.array(units, object)
+        parts, of = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         some = np.flatnonzero(plain)
         for k in range(0, len(some), CHUNK_WORDS):
             chunk = some[k : k + CHUNK_WORDS]
@@ -65,9 +73,39 @@ class Words:
             found = self._ids(texts[chunk].tolist())
             parts += found
             of.append(np.repeat(chunk, [len(x) for x in found]))
-        ids = np.concatenate([np.empty(0, np.int32), *parts])
-        of = np.concatenate([np.empty(0, np.int64), *of])
-        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
+        ids, of = np.concatenate(parts), np.concatenate(of)
+        return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(units))
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        """The places of distinct units among those remembered; new ones are encoded."""
+        if self.chars > REMEMBERED_CHARS:
+            self._forget()
+        new = [u for u in units if u not in self.places]
+        if new:
+            ids, counts = self._encode_new(new)
+            self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
+            for u in new:
+                self.places[u] = len(self.places)
+                self.chars += len(u)
+        return np.array([self.places[u] for u in units], np.int64)
+
+    def encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has. A word of letters and signs is two units."""
+        ended = pc.match_substring_regex(words, ENDED)
+        lower = pc.utf8_lower(words)
+        alike = pc.or_(ended, pc.match_substring_regex(words, PLAIN))
+        heads = pc.if_else(alike, pc.if_else(ended, pc.utf8_rtrim(lower, SIGNS), lower), words)
+        tails = pc.replace_substring_regex(words.filter(ended), f"^{LETTERS}", "")
+        units = pa.concat_arrays([heads, tails]).dictionary_encode()
+        places = self._places(units.dictionary.to_pylist())[units.indices.to_numpy()]
+        two = ended.to_numpy(zero_copy_only=False)
+        sizes = 1 + two.astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        chosen = np.empty(len(places), np.int64)
+        chosen[starts] = places[: len(words)]
+        chosen[starts[two] + 1] = places[len(words) :]
+        ids, counts = spread(self.ids, self.counts, chosen)
+        return ids, summed(counts, sizes)
 
 
 @functools.lru_cache(maxsize=1)
@@ -279,17 +317,26 @@ def _documents(raw: memoryview, ids_of: np.ndarray, start: int):
     counts = np.frombuffer(raw, "<u4", docs, at + 9 * docs).astype(np.int64)
     at += 13 * docs
     controls = -(-counts // 4)
-    # A document's control bytes may end in unused places.
-    firsts = 4 * (np.cumsum(controls) - controls)
-    slots = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(size)
     control = np.frombuffer(raw, np.uint8, controls.sum(), at)
-    ids = ids_of[unpack(control, np.frombuffer(raw, np.uint8, offset=at + len(control)), slots)].astype("<u4")
-    ends = np.cumsum(counts)
-    for k in range(0, docs, 256):
-        some = slice(k, k + 256)
-        made = [ids[b - n : b].tobytes() for b, n in zip(ends[some].tolist(), counts[some].tolist(), strict=True)]
-        arrays = [pa.array(doc_ids[some], mask=null[some]), pa.array(start + ends[some] - counts[some]), pa.array(made, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "ids"])
+    data = np.frombuffer(raw, np.uint8, offset=at + len(control))
+    block = (np.cumsum(counts) - counts) // BLOCK_IDS
+    first = 0
+    while first < docs:
+        after = int(np.searchsorted(block, block[first], "right"))
+        for k in range(first, after, 256):
+            some = slice(k, min(k + 256, after))
+            n, c = counts[some], controls[some]
+            # A document's control bytes may end in unused places.
+            slots = np.repeat(4 * (np.cumsum(c) - c) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            used, control = control[: c.sum()], control[c.sum() :]
+            ids = ids_of[unpack(used, data, slots)].astype("<u4")
+            data = data[LENGTHS[used].ravel()[slots].sum() :]
+            ends = np.cumsum(n)
+            made = [ids[b - m : b].tobytes() for b, m in zip(ends.tolist(), n.tolist(), strict=True)]
+            arrays = [pa.array(doc_ids[some], mask=null[some]), pa.array(start + ends - n), pa.array(made, pa.binary())]
+            start += int(n.sum())
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "ids"])
+        first = after
 
 
 def digests(files: DataFrame) -> DataFrame:
