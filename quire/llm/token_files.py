@@ -151,10 +151,10 @@ def ranked(rows: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                more = np.bincount(np.frombuffer(ids, _kind(ids, n)), minlength=len(total))
-                more[: len(total)] += total
-                total = more
+            held = b"".join(batch.column("ids").to_pylist())
+            more = np.bincount(np.frombuffer(held, _kind(held, sum(batch.column("n").to_pylist()))), minlength=len(total))
+            more[: len(total)] += total
+            total = more
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "count"])
 
@@ -174,7 +174,9 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     starts = ends - extra - 1
     data[starts] = values & 0xFF
     for byte in (1, 2, 3):
-        some = extra >= byte
+        some = np.flatnonzero(extra >= byte)
+        if not len(some):
+            break
         data[starts[some] + byte] = (values[some] >> (8 * byte)) & 0xFF
     return control.tobytes(), data.tobytes()
 
@@ -192,6 +194,8 @@ def unpack(control: np.ndarray, data: np.ndarray, slots: np.ndarray | None = Non
     values = data[starts].astype(np.uint32)
     for byte in (1, 2, 3):
         some = np.flatnonzero(lengths > byte)
+        if not len(some):
+            break
         values[some] |= data[starts[some] + byte].astype(np.uint32) << np.uint32(8 * byte)
     return values
 
