@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -57,3 +58,12 @@ def test_pack(size):
     assert len(control) == -(-size // 4)
     back = tf.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), np.arange(size))
     assert back.tolist() == values.tolist()
+
+
+def test_words_with_signs_and_capitals_get_the_ids_of_the_library():
+    words = ["Straße,", "ÀÉÎ!?", "H̱.", "İ", "don't.", "'s,", "a,̈", "a.b,", "(x)", "...", "日本,", "A" * 300 + ".", "<|endoftext|>", "x", "X,"]
+    own = tf.Words(PATH)
+    for _ in range(2):  # the second time all are remembered
+        ids, counts = own.encode(pa.array(words))
+        found = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert found == [x.ids for x in own.tokenizer.encode_batch(words, add_special_tokens=False)]
