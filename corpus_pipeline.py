@@ -11,7 +11,7 @@ from quire.llm.common import stage, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts and texts without a letter go."""
+    """Documents of a learned language; other languages, gibberish, null texts and texts without a letter go."""
     return language.keep_known(docs)
 
 

@@ -19,6 +19,10 @@ ROUND_CHARS = 1 << 20
 MOST_LANGUAGES = 500
 #: Language of a text without a letter.
 UNKNOWN = "und"
+#: Of what its language's own texts reach, a known text reaches this share, less so many standard errors at its length.
+LEAST_SHARE, ERRORS = 0.5, 1.5
+#: N-grams that a known text has for each sign that isn't blank: one letter among numbers is no language.
+LEAST_LETTERS = 0.1
 
 #: Random vectors of 1 and -1; letter 0 is the space between words.
 LETTER = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (LETTERS, DIMENSIONS))
@@ -100,8 +104,10 @@ def remainder(id_col: str, by: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(by))
 
 
-def prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages of at most TRAIN_ROWS documents that aren't held out, and a unit vector for each: all its n-grams' vectors bundled."""
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The languages of at most TRAIN_ROWS documents that aren't held out, a unit vector for each (all its n-grams'
+    vectors bundled), the projection of one n-gram on it to be expected in a new text, and its standard deviation.
+    """
     small_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     named = named.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
@@ -123,11 +129,24 @@ def prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; {MOST_LANGUAGES} can be learned")
     made = np.zeros((len(langs), DIMENSIONS), np.float32)
+    expected, spread = np.zeros(len(langs)), np.zeros(len(langs))
     for k, lang in enumerate(langs):
         own = rows[rows["lang"] == lang]
-        vector = own["n"].to_numpy(np.float64) @ bound(own["code"].to_numpy()).astype(np.float64)
-        made[k] = vector / max(1e-9, float(np.linalg.norm(vector)))
-    return langs, made
+        times, vectors = own["n"].to_numpy(np.float64), bound(own["code"].to_numpy()).astype(np.float64)
+        vector, n = times @ vectors, float(times.sum())
+        norm = max(1e-9, float(np.linalg.norm(vector)))
+        made[k] = vector / norm
+        if n > 1:
+            each = vectors @ made[k]
+            # Without each learned n-gram's projection on itself: a new text has no part in the prototype.
+            expected[k] = max(0.0, (norm * norm - n * DIMENSIONS) / (n - 1) / norm)
+            spread[k] = np.sqrt(max(0.0, times @ (each * each) / n - (times @ each / n) ** 2))
+    return langs, made, expected, spread
+
+
+def prototypes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """The learned languages and a unit vector for each."""
+    return profiles(docs, id_col, text_col, lang_col)[:2]
 
 
 def predict(docs: DataFrame, learned: tuple[list[str], np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -172,16 +191,35 @@ def judged(texts: list[str], langs: list[str], made: np.ndarray) -> list[tuple[s
     ]
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or scored below ``least_score``; nothing is shuffled."""
+def known(texts: list[str], langs: list[str], made: np.ndarray, expected: np.ndarray, spread: np.ndarray, least_share: float = LEAST_SHARE) -> list[bool]:
+    """Whether each text is of a learned language.
+
+    The mean projection of its n-grams on the nearest prototype doesn't depend on its length, as a cosine does. It
+    has to reach ``least_share`` of what that language's own n-grams give, less ERRORS standard errors of a
+    mean of so many. Both come from the learned rows. A text without a letter, or with next to none among
+    its signs (LEAST_LETTERS), is of no language.
+    """
+    if not langs:
+        return [False] * len(texts)
+    codes, counts = counted(texts)
+    n = np.maximum(1, counts.sum(1))
+    reached = (counts.astype(np.float32) @ bound(codes).astype(np.float32)) @ made.T / n[:, None]
+    best = np.argmax(reached, axis=1)
+    enough = reached[np.arange(len(texts)), best] >= least_share * expected[best] - ERRORS * spread[best] / np.sqrt(n)
+    enough &= n >= LEAST_LETTERS * np.array([len("".join(t.split())) for t in texts])
+    return [bool(e) and any(c.isalpha() for c in t) for e, t in zip(enough, texts, strict=True)]
+
+
+def keep_known(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """``docs`` without the rows whose text is of no learned language (``known``); nothing is shuffled."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(prototypes(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(profiles(docs))
 
     def run(batches):
         for batch in batches:
             keep = []
             for some in rounds([t or "" for t in batch.column("text").to_pylist()]):
-                keep += [name != UNKNOWN and score >= least_score for name, score in judged(some, *shared.value)]
+                keep += known(some, *shared.value, least_share)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

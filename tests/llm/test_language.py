@@ -63,3 +63,27 @@ def test_held_out_accuracy(spark):
 def test_nothing_to_learn(spark, docs):
     assert {r.lang_pred for r in lg.predict(docs([(1, "a b")], lang=None)).collect()} == {"und"}
     assert lg.predict(docs([])).count() == 0
+
+
+OTHERS = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+]
+
+
+def test_texts_of_no_learned_language_go(spark):
+    data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang <> 'fr'")
+    left_out = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").filter("lang = 'fr' and n_chars > 200")
+    rng = np.random.default_rng(1)
+    signs = list("abcdefghijklmnopqrstuvwxyz")
+    planted = OTHERS + [" ".join("".join(rng.choice(signs, 6)) for _ in range(n)) for n in (30, 100, 1000)]
+    planted += ["".join(rng.choice(signs + [c.upper() for c in signs] + list("0123456789+/"), 800)), "17 x 4 250 " + "1093 88 " * 50]
+    first = len(planted)
+    planted += [r.text for r in left_out.collect()]
+    # Unlabelled, so that nothing is learned from the planted rows.
+    new = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(planted)], data.schema)
+    kept = [r.doc_id for r in lg.keep_known(data.unionByName(new)).select("doc_id").collect()]
+    assert sum(i >= 0 for i in kept) >= 0.995 * data.count()
+    assert not [i for i in kept if -first <= i < 0]
+    assert sum(i < 0 for i in kept) <= 0.02 * (len(planted) - first)
