@@ -38,17 +38,23 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """SHA-256 of a row's id and text: rows with one key are repeated rows."""
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
+    return F.sha2(F.concat(named, F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the 64 bits as a signed long."""
+    """(doc_id, fp, key) for each row; fp holds the 64 bits as a signed long, key is ``row_key``."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), batch.column(2)], ["doc_id", "fp", "key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")).mapInArrow(
+        run, "doc_id long, fp long, key string"
     )
 
 
@@ -110,7 +116,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``.
+    """(doc_id, fp, component_id, root, key) for each row of ``docs``; root names the component, key the row (``row_key``).
 
     Letters A-Z are lower-cased, words are runs without ASCII white space, shingles are three words
     (the whole sequence where there are fewer). A null or empty text has fingerprint zero, which is
@@ -127,13 +133,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_linked = linked.join(least, "root").select("fp", "component_id", "root")
     alone = classes.join(roots, "fp", "left_anti").select("fp", F.col("least_id").alias("component_id"), F.col("fp").alias("root"))
     known = stage(of_linked.unionByName(alone), "known")
-    return rows.join(known, "fp", "left").select("doc_id", "fp", "component_id", "root")
+    return rows.join(known, "fp", "left").select("doc_id", "fp", "component_id", "root", "key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component; all columns of ``docs`` stay. Repeated rows of it count once."""
-    found = near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    keep = stage(keep.select("doc_id").distinct(), "keep")
-    hit = docs["doc_id"].eqNullSafe(keep["doc_id"])
-    return docs.join(keep, hit, "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, all columns of ``docs``: the smallest doc_id that is not null, then the least key.
+
+    Rows are told apart by ``row_key``, not by doc_id, so null ids and an id with several texts stand for
+    their own components only. Rows with one key are repeated rows and count once.
+    """
+    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = stage(found.groupBy("root").agg(F.min("key").alias("row_key")), "keep").select("row_key")
+    name = next(n for n in (f"row_key_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    # Repeated rows go first, combined before they are shuffled; the join then finds the rows dealt by key.
+    rows = docs.withColumn(name, row_key()).dropDuplicates([name])
+    return rows.join(keep, F.col(name) == F.col("row_key"), "left_semi").drop(name)

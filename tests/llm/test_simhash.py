@@ -89,3 +89,14 @@ def test_nulls_repeats_and_empty(spark, docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 8, None]
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.keep_one(docs([])).count() == 0
+
+
+def test_one_row_for_each_component_whatever_its_id(spark, docs):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(12)]
+    rows = [(None, base[0]), (None, base[1]), (None, base[1]), (None, base[2]), (4, base[2])]  # null ids in three components
+    rows += [(7, base[3]), (7, base[4]), (7, base[4]), (7, base[5]), (3, base[5])]  # an id with three texts
+    rows += [(k, base[6]) for k in (9, 8)] + [(8, base[7])]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs(rows)).collect()]
+    want = [(None, base[0]), (None, base[1]), (4, base[2]), (7, base[3]), (7, base[4]), (3, base[5]), (8, base[6]), (8, base[7])]
+    assert sorted(kept, key=str) == sorted(want, key=str)
