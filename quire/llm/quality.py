@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, sampled_ids
+from .common import let
 
 # Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,8 +18,6 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
 #: Buckets of the two multinomials: their tables and the weights' table have so many rows, whatever the input.
 BUCKETS = 1 << 14
-#: Trusted rows that the target is fitted on at most, taken by the order of their ids' hashes.
-TRUSTED_ROWS = 20_000
 #: Added to each raw bucket's count; the target is smoothed by so many n-grams of the raw corpus.
 RAW_PRIOR, TARGET_PRIOR = 1, BUCKETS
 #: Millionths of a nat for each n-gram: a document below this is dropped.
@@ -93,14 +91,14 @@ def buckets(text: Column) -> Column:
 def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """Millionths of ln(target / raw) for each bucket.
 
-    The raw multinomial counts every document; the target counts those of the first TRUSTED_ROWS ids of
-    ``trusted(doc_id)`` in hash order. That bounded id list is the only thing broadcast. The driver gets
-    BUCKETS rows at most.
+    The raw multinomial counts every document, the target every one that ``trusted(doc_id)`` names. The two
+    meet in a shuffled join, so nothing that grows with the input is broadcast; rows with a null id are never
+    trusted and stay out of it. The driver gets BUCKETS rows at most.
     """
-    ids = F.broadcast(sampled_ids(trusted, TRUSTED_ROWS).withColumnRenamed("id", "_trusted"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(
-        ids, F.col("_id") == F.col("_trusted"), "left"
-    )
+    ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct().hint("shuffle_hash")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    named = rows.filter("_id is not null").join(ids, F.col("_id") == F.col("_trusted"), "left")
+    rows = named.select("_text", "_trusted").unionByName(rows.filter("_id is null").select("_text"), allowMissingColumns=True)
     counts = (
         rows.select(F.col("_trusted").isNotNull().alias("t"), F.explode(buckets(F.col("_text"))).alias("b"))
         .groupBy("b")

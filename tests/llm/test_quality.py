@@ -76,3 +76,15 @@ def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "doc_id long")
     assert quality.judge(docs([]), none).count() == 0
     assert quality.judge(docs([(1, "a b c " * 9)]), none).count() == 1
+
+
+def test_every_trusted_row_counts(spark):
+    n = 20_500  # more trusted ids than the 20,000 that once counted
+    data = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    data = data.unionByName(spark.range(40).select(F.lit(None).cast("long").alias("doc_id"), F.lit("||").alias("text")))
+    got = quality.weights(data, data.select("doc_id"))
+    raw, target = [1] * quality.BUCKETS, [0] * quality.BUCKETS
+    for r in data.select("doc_id", F.explode(quality.buckets(F.col("text"))).alias("b")).collect():
+        raw[r.b] += 1
+        target[r.b] += r.doc_id is not None
+    assert sum(target) == n and got == quality.ratios(raw, target)
