@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,10 +96,12 @@ def canonical(text: Column) -> Column:
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(license, text) of the notices that NOTICES and NAMES make, and of TEXTS with and without their titles."""
+    """(license, text) of the notices that NOTICES and NAMES make, and of TEXTS with and without their titles, and of the published texts in license_texts."""
     made = [(spdx, n.format(name, spdx)) for spdx, names in NAMES.items() for name in names for n in NOTICES]
     for spdx, text in TEXTS.items():
         made += [(spdx, text), (spdx, text.split("\n", 1)[1])]
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        made.append((path.name.removesuffix(".txt").removesuffix(".header"), path.read_text(encoding="utf-8")))
     return made
 
 

@@ -64,3 +64,26 @@ def test_own_table_of_licenses(spark, docs, monkeypatch, most):
 def test_empty_tables(spark, docs):
     assert found(licenses.scan(docs([]))) == []
     assert found(licenses.scan(docs(CASES), spark.createDataFrame([], "license string, text string"))) == []
+
+
+def test_published_texts(docs):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    texts = {x: t for x, t in licenses.known_texts() if len(t) > 1000}
+    assert set(texts) >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    assert " ".join(texts["BSD-2-Clause"].split()).startswith(bsd)
+    names = sorted(texts)
+    header = """Copyright 2020 Someone
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    rows = [(k, texts[x].upper()) for k, x in enumerate(names)] + [(99, header)]
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs(rows)).filter("unit = 'text'").collect()}
+    assert got == {(k, x) for k, x in enumerate(names)} | {(99, "Apache-2.0")}
