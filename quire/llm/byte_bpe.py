@@ -15,41 +15,42 @@ from pyspark.sql import functions as F
 from .common import gathered, small_batches
 
 #: Bytes of text whose distinct words are encoded together; a worker's memory follows this, not the partition.
-ROUND_BYTES = 8 << 20
+ROUND_BYTES = 2 << 20
 #: Memory of one worker's DuckDB.
-DUCKDB_MEMORY = "400MB"
+DUCKDB_MEMORY = "300MB"
 
 # The code points with the property White_Space.
 SPACES = "\t-\r \x85\xa0  -     　"
 #: White space with the word after it. No match of a tokenizer's pattern reaches over the end of such a piece.
 PIECE = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
-#: Words that a query takes at once, so that its tables stay in the processor's cache, and distinct pieces that a worker remembers.
-QUERY_WORDS, REMEMBERED = 20_000, 300_000
-#: Words with fewer bytes than this hold word and position in one number.
-SHORT = 64
+#: Bytes that a query takes at once (it holds the rows of every step), and distinct pieces that a worker remembers.
+QUERY_BYTES, REMEMBERED = 1 << 17, 150_000
+#: Bytes of the windows that a longer word is cut into, and from one window's start to the next. The step is a multiple
+#: of many small numbers, so that windows of a periodic word start alike.
+WINDOW, STEP = 120, 60
 
 #: Each step pairs neighbours, ranks the pairs by the merge table, and contracts each word's leftmost pair of least rank.
 ENCODE = """
 WITH RECURSIVE t AS (
-    SELECT (w::BIGINT << 6) | pos AS k, id, false AS done FROM symbols
+    SELECT (w::BIGINT << 7) | pos AS k, id, false AS done FROM symbols
   UNION ALL (
     WITH paired AS (
         SELECT k, id, lead(id) OVER (ORDER BY k) AS next_id, lead(k) OVER (ORDER BY k) AS next_k FROM t WHERE NOT done
     ), ranked AS (
-        SELECT p.k, p.k >> 6 AS w, p.id, ((m.made::BIGINT << 12) | ((p.k & 63) << 6)) | (p.next_k & 63) AS turn
-        FROM paired p LEFT JOIN merges m ON p.id = m.l AND p.next_id = m.r AND (p.k >> 6) = (p.next_k >> 6)
+        SELECT p.k, p.k >> 7 AS w, p.id, ((m.made::BIGINT << 14) | ((p.k & 127) << 7)) | (p.next_k & 127) AS turn
+        FROM paired p LEFT JOIN merges m ON p.id = m.l AND p.next_id = m.r AND (p.k >> 7) = (p.next_k >> 7)
     ), least AS (
         SELECT w, min(turn) AS turn FROM ranked GROUP BY w
     )
-    SELECT r.k, (CASE WHEN r.turn = l.turn THEN (l.turn >> 12) ELSE r.id END)::INT AS id, l.turn IS NULL AS done
-    FROM ranked r JOIN least l ON r.w = l.w WHERE l.turn IS NULL OR (r.k & 63) <> (l.turn & 63)
+    SELECT r.k, (CASE WHEN r.turn = l.turn THEN (l.turn >> 14) ELSE r.id END)::INT AS id, l.turn IS NULL AS done
+    FROM ranked r JOIN least l ON r.w = l.w WHERE l.turn IS NULL OR (r.k & 127) <> (l.turn & 127)
   )
 )
-SELECT (k >> 6)::INT AS w, id FROM t WHERE done ORDER BY k
+SELECT (k >> 7)::INT AS w, id FROM t WHERE done ORDER BY k
 """
 
-#: The same for long words: where no other pair can come between, a step contracts all equal pairs of a word from left to right.
+#: The same for whole long words: where no other pair can come between, a step contracts all equal pairs of a word from left to right.
 ENCODE_LONG = """
 WITH RECURSIVE t AS (
     SELECT w, pos, id, false AS done FROM symbols
@@ -123,6 +124,8 @@ class Coder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         self._table("merges", merge_table(self.ranks))
         tokens = sorted(self.ranks.items(), key=lambda x: x[1])
+        self.lengths = np.zeros(tokens[-1][1] + 1, np.int64)
+        self.lengths[[i for _, i in tokens]] = [len(t) for t, _ in tokens]
         self._forget()
         self._table("vocabulary", pa.table({"id": pa.array([i for _, i in tokens], pa.int32()), "hex": [t.hex() for t, _ in tokens]}))
 
@@ -139,18 +142,52 @@ class Coder:
         """The ids of all words one after the other, and how many each has."""
         known = [self.ranks.get(w) for w in words]
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        short = [n for n, (k, w) in enumerate(zip(known, words, strict=True)) if k is None and len(w) < SHORT]
-        long = [n for n, (k, w) in enumerate(zip(known, words, strict=True)) if k is None and len(w) >= SHORT]
-        for query, chosen in ((ENCODE, short), (ENCODE_LONG, long)):
-            for k in range(0, len(chosen), QUERY_WORDS):
-                some = chosen[k : k + QUERY_WORDS]
-                ids, of = self._contracted(query, [words[n] for n in some])
-                parts.append((np.array(some, np.int64)[of], ids))
+        rest = [n for n, k in enumerate(known) if k is None]
+        short = [n for n in rest if len(words[n]) <= WINDOW]
+        for some in chunks(short, [len(words[n]) for n in short], QUERY_BYTES):
+            ids, of = self._contracted(ENCODE, [words[n] for n in some])
+            parts.append((np.array(some, np.int64)[of], ids))
+        for n in rest:
+            if len(words[n]) > WINDOW:
+                ids = self._long(words[n])
+                parts.append((np.full(len(ids), n, np.int64), ids))
         whole = [n for n, k in enumerate(known) if k is not None]
         parts.append((np.array(whole, np.int64), np.array([known[n] for n in whole], np.int32)))
         of, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """The ids of a word longer than WINDOW, from those of its overlapping windows.
+
+        A sequence of tokens is what contraction gives exactly if each two neighbours are so by themselves. Two
+        windows that hold the same token at the same place are joined there: then each two neighbours stand
+        side by side in a window. Where two windows have no token in common the whole word is contracted.
+        """
+        starts = range(0, len(word) - WINDOW + STEP, STEP)
+        cut = [word[s : s + WINDOW] for s in starts]
+        distinct = {w: n for n, w in enumerate(dict.fromkeys(cut))}
+        found: list[np.ndarray] = []
+        for some in chunks(list(distinct), [len(w) for w in distinct], QUERY_BYTES // 4):
+            ids, of = self._contracted(ENCODE, some)
+            found += np.split(ids, np.cumsum(np.bincount(of, minlength=len(some)))[:-1])
+        parts, at = [], 0
+        for n, start in enumerate(starts):
+            ids = found[distinct[cut[n]]]
+            ends = start + np.cumsum(self.lengths[ids])
+            first = int(np.searchsorted(ends, at, "right"))
+            if n + 1 == len(starts):
+                parts.append(ids[first:])
+                break
+            after = found[distinct[cut[n + 1]]]
+            next_ends = start + STEP + np.cumsum(self.lengths[after])
+            # A token is known by its end and length; the middle one of those in common is as good as any.
+            same = np.intersect1d(ends << 10 | self.lengths[ids], next_ends << 10 | self.lengths[after], assume_unique=True)
+            if not len(same):
+                return self._contracted(ENCODE_LONG, [word])[0]
+            at = int(same[len(same) // 2]) >> 10
+            parts.append(ids[first : int(np.searchsorted(ends, at, "right"))])
+        return np.concatenate(parts)
+
     def _contracted(self, query: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
@@ -209,6 +246,19 @@ class Coder:
         return [bytes.fromhex(x) for x in found]
 
 
+def chunks(items: list, sizes: list[int], most: int):
+    """Consecutive items whose sizes add up to ``most`` or less, or a larger one alone."""
+    held, size = [], 0
+    for item, n in zip(items, sizes, strict=True):
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append(item)
+        size += n
+    if held:
+        yield held
+
+
 def spread(values: np.ndarray, counts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``values`` (run k has counts[k] of them) for each chosen k in turn, and their lengths."""
     starts = np.cumsum(counts) - counts
@@ -236,9 +286,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ``ranks_path`` names the rank file on the executors, ``pattern`` the expression that splits a text.
     Each match is encoded by itself: one that is a token is that token; else its bytes are rows of
     (word, position, id) which meet the merge table, and the leftmost pair of least rank is contracted,
-    again and again in one recursive query, until no pair is left. A worker encodes the distinct words of
-    ROUND_BYTES of text at a time and remembers up to REMEMBERED pieces. Special tokens are ordinary text. A null or empty text has no ids. Repeated rows
-    and null ids keep a row each; only the named columns are read.
+    again and again in one recursive query, until no pair is left. Words of more than WINDOW bytes are
+    contracted in overlapping windows that are joined at tokens they share, which gives the same ids. A worker
+    encodes the distinct words of ROUND_BYTES of text at a time and remembers up to REMEMBERED pieces. Special
+    tokens are ordinary text. A null or empty text has no ids. Repeated rows and null ids keep a row each; only
+    the named columns are read.
     """
     small_batches(docs.sparkSession)
 

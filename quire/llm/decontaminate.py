@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,10 @@ from .common import small_batches
 Q, EDITS = 8, 10
 #: Characters of benchmark text that are searched for in one pass over the documents.
 BLOCK_CHARS = 2_000_000
-#: Alignments that are worked out side by side.
-ALIGNED = 128
+#: Alignments that are worked out side by side, and the most cells of text that they hold; hits that are counted at a time.
+ALIGNED, ALIGNED_CELLS, HITS = 128, 1 << 22, 1 << 20
+#: Characters of documents that are searched together, or a longer one alone.
+ROUND_CHARS = 1 << 20
 
 _ORIGIN = 1 << 20
 _FAR = 1 << 50
@@ -81,13 +84,27 @@ class Block:
         found[found == len(self.hashes)] = 0
         same = self.hashes[found] == grams[at] if len(self.hashes) else np.zeros(0, bool)
         at, found = at[same], found[same]
+        # Hits (a place of the text and one of an item) are counted HITS at a time: text and item may repeat one q-gram throughout.
         count = self.count[found]
-        index = np.repeat(self.first[found] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        at = np.repeat(at, count)
-        item = self.item[index]
-        doc = np.searchsorted(starts, at, "right") - 1
-        diagonal = at - starts[doc] - self.place[index] + self.lengths[item]  # never negative
-        keys, shared = np.unique(((doc * len(self.ids) + item) << 32) | (diagonal >> self.shift[item]), return_counts=True)
+        ends = np.cumsum(count)
+        parts = []
+        first = 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - count[first] + HITS, "right")))
+            some, n = found[first:last], count[first:last]
+            index = np.repeat(self.first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            where = np.repeat(at[first:last], n)
+            item = self.item[index]
+            doc = np.searchsorted(starts, where, "right") - 1
+            diagonal = where - starts[doc] - self.place[index] + self.lengths[item]  # never negative
+            parts.append(np.unique(((doc * len(self.ids) + item) << 32) | (diagonal >> self.shift[item]), return_counts=True))
+            first = last
+        if not parts:
+            return np.empty((0, 4), np.int64)
+        keys, shared = parts[0]
+        if len(parts) > 1:
+            keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            shared = np.bincount(of, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
         after = np.zeros_like(shared)
         after[:-1] = np.where(keys[1:] == keys[:-1] + 1, shared[1:], 0)
         before = np.zeros_like(shared)
@@ -146,8 +163,13 @@ class Block:
         chars = np.concatenate([x for d in docs for x in (d, gap)]) if docs else np.empty(0, np.uint32)
         found = self.candidates(chars, starts)
         rows = []
-        for k in range(0, len(found), ALIGNED):
-            some = found[k : k + ALIGNED]
+        order = np.argsort(self.lengths[found[:, 1]], kind="stable")  # items of like lengths side by side
+        found = found[order]
+        k = 0
+        while k < len(found):
+            longest = self.lengths[found[min(k + ALIGNED, len(found)) - 1, 1]]
+            some = found[k : k + max(1, min(ALIGNED, ALIGNED_CELLS // (2 * int(longest))))]
+            k += len(some)
             for (d, i, _, shared), (edits, a, b) in zip(some.tolist(), self.align(docs, some).tolist(), strict=True):
                 if edits <= self.budget[i]:
                     rows.append((d, i, edits, a, b, shared))
@@ -160,13 +182,28 @@ class Block:
         kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
         out = []
         for d, i, edits, a, b, shared in sorted(rows):
-            spans = kept.setdefault((d, i), [])
-            if all(b <= x or y <= a for x, y in spans):
-                spans.append((a, b))
+            spans = kept.setdefault((d, i), [])  # in order, without overlap
+            n = bisect.bisect(spans, (a, b))
+            if (n == 0 or spans[n - 1][1] <= a) and (n == len(spans) or b <= spans[n][0]):
+                spans.insert(n, (a, b))
                 out.append((d, self.ids[i], a, b, edits, shared))
         return out
 
 
+def grouped(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts, made normal, of ROUND_CHARS characters or a longer one alone, each group with its first one's number."""
+    held, first, size = [], 0, 0
+    for n, t in enumerate(texts):
+        made = normal(t)
+        if held and size + len(made) > ROUND_CHARS:
+            yield first, held
+            held, first, size = [], n, 0
+        held.append(made)
+        size += len(made)
+    if held:
+        yield first, held
+
+
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
     """The benchmark in blocks of BLOCK_CHARS characters, whatever its size; null and blank items are left out."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator()
@@ -197,7 +234,8 @@ def regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     they are counted in overlapping bands of diagonals, and the bands that meet the bound are verified by
     alignment inside the band. Items shorter than Q characters are found only unchanged. Of overlapping
     regions of one item the one with fewest edits stays. The benchmark is searched for in blocks of bounded
-    size, one pass each. Null and empty texts have no regions; repeated documents and items give repeated
+    size, one pass each. Memory follows ROUND_CHARS, HITS and the longest text and item, also where a text repeats a
+    q-gram of an item throughout; the time of an alignment grows with the square of an item's length. Null and empty texts have no regions; repeated documents and items give repeated
     rows. Only the named columns are read.
     """
     spark = docs.sparkSession
@@ -209,7 +247,7 @@ def regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         def run(batches, shared=shared):
             for batch in batches:
-                found = shared.value.regions([normal(t) for t in batch.column("text").to_pylist()])
+                found = [(first + d, *rest) for first, some in grouped(batch.column("text").to_pylist()) for d, *rest in shared.value.regions(some)]
                 ids = batch.column("doc_id").take(pa.array([r[0] for r in found], pa.int64()))
                 rest = [pa.array([r[c] for r in found], pa.int64() if c == 1 else pa.int32()) for c in range(1, 6)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_id", "item_id", "start", "end", "edits", "shared_qgrams"])
@@ -227,9 +265,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
         def run(batches, shared=shared):
             for batch in batches:
-                found = shared.value.regions([normal(t) for t in batch.column(text_col).to_pylist()])
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in found]] = False
+                for first, some in grouped(batch.column(text_col).to_pylist()):
+                    keep[[first + r[0] for r in shared.value.regions(some)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

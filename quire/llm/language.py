@@ -7,14 +7,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled_ids, small_batches
+from .common import sampled_ids, small_batches, stage
 
 #: Places of a vector, letters told apart (z and the ones before it, the rest by a hash), and the seed of their vectors.
 DIMENSIONS, LETTERS, SEED = 1024, 128, 20260
 #: Rows that prototypes are learned from at most.
 TRAIN_ROWS = 20_000
-#: Characters worked on at a time.
-ROUND_CHARS = 1 << 20
+#: Characters worked on at a time, codes whose vectors are held at once, and how many times more cells than entries a
+#: matrix of texts and codes may have.
+ROUND_CHARS, CODES, SPARSE = 1 << 19, 4096, 32
 #: Languages that can be learned; more is an error, as each has a prototype on the driver.
 MOST_LANGUAGES = 500
 #: Language of a text without a letter.
@@ -45,34 +46,45 @@ def letters(text: str) -> np.ndarray:
     """A text's letters with one space before each word and one at the end."""
     if not _TABLE:
         _TABLE.append(_letter_table())
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    made = np.zeros(len(codes) + 2, np.uint8)
-    made[1:-1] = _TABLE[0][np.minimum(codes, 0xFFFF)]
-    far = np.flatnonzero(codes > 0xFFFF)
-    for at in far.tolist():  # letters beyond the basic plane are rare
-        if chr(codes[at]).isalpha():
-            made[at + 1] = 27 + int(codes[at]) % (LETTERS - 27)
+    low = text.lower()
+    made = np.zeros(len(low) + 2, np.uint8)
+    for k in range(0, len(low), ROUND_CHARS):
+        codes = np.frombuffer(low[k : k + ROUND_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        made[k + 1 : k + 1 + len(codes)] = _TABLE[0][np.minimum(codes, 0xFFFF)]
+        for at in np.flatnonzero(codes > 0xFFFF).tolist():  # letters beyond the basic plane are rare
+            if chr(codes[at]).isalpha():
+                made[k + at + 1] = 27 + int(codes[at]) % (LETTERS - 27)
     keep = np.ones(len(made), bool)
     keep[1:] = (made[1:] > 0) | (made[:-1] > 0)
     return made[keep]
 
 
-def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct three-letter codes of some texts, and how often each stands in each text."""
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, times) of each text's distinct three-letter codes, in the order of text and code.
+
+    The letters are gone through in blocks, so memory follows ROUND_CHARS and the distinct codes, however long a text is.
+    """
     parts = [letters(t) for t in texts]
-    sizes = np.array([len(p) for p in parts])
-    flat = np.concatenate(parts).astype(np.int32)
-    code = (flat[:-2] << 14) | (flat[1:-1] << 7) | flat[2:]
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    inside = doc[:-2] == doc[2:]
-    code, doc = code[inside], doc[:-2][inside]
-    seen = np.zeros(LETTERS**3, bool)
-    seen[code] = True
-    codes = np.flatnonzero(seen)
-    place = np.zeros(LETTERS**3, np.int32)
-    place[codes] = np.arange(len(codes))
-    flat = np.bincount(doc.astype(np.int64) * len(codes) + place[code], minlength=len(texts) * len(codes))
-    return codes, flat.reshape(len(texts), len(codes))
+    ends = np.cumsum([len(p) for p in parts])
+    flat = np.concatenate(parts)
+    del parts
+    keys, times = [], []
+    for k in range(0, len(flat) - 2, ROUND_CHARS):
+        some = flat[k : k + ROUND_CHARS + 2].astype(np.int64)
+        at = np.arange(k, k + len(some) - 2)
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + 2 < ends[doc]
+        key = (doc << 21) | (some[:-2] << 14) | (some[1:-1] << 7) | some[2:]
+        found, n = np.unique(key[inside], return_counts=True)
+        keys.append(found)
+        times.append(n)
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    key, n = keys[0], times[0]
+    if len(keys) > 1:
+        key, of = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(of, weights=np.concatenate(times)).astype(np.int64)
+    return key >> 21, key & (LETTERS**3 - 1), n
 
 
 def bound(codes: np.ndarray) -> np.ndarray:
@@ -82,9 +94,27 @@ def bound(codes: np.ndarray) -> np.ndarray:
 
 
 def bundled(texts: list[str]) -> np.ndarray:
-    """The sum of the vectors of each text's n-grams."""
-    codes, counts = counted(texts)
-    return counts.astype(np.float32) @ bound(codes).astype(np.float32)
+    return bundle(*counted(texts), len(texts))
+
+
+def bundle(doc: np.ndarray, code: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
+    """The sum of the vectors of each text's n-grams, from ``counted``, CODES codes at a time."""
+    total = np.zeros((docs, DIMENSIONS), np.float32)
+    distinct, place = np.unique(code, return_inverse=True)
+    if docs * len(distinct) > SPARSE * len(code):  # few texts share a code: add up each text's own rows
+        for k in range(0, len(code), CODES):
+            rows = bound(code[k : k + CODES]) * n[k : k + CODES, None].astype(np.float32)
+            first = np.flatnonzero(np.diff(doc[k : k + CODES], prepend=-1))
+            total[doc[k : k + CODES][first]] += np.add.reduceat(rows, first, axis=0)
+        return total
+    order = np.argsort(place, kind="stable")
+    doc, place, n = doc[order], place[order], n[order]
+    for k in range(0, len(distinct), CODES):
+        a, b = np.searchsorted(place, (k, k + CODES))
+        block = np.zeros((docs, min(CODES, len(distinct) - k)), np.float32)
+        block[doc[a:b], place[a:b] - k] = n[a:b]
+        total += block @ bound(distinct[k : k + CODES]).astype(np.float32)
+    return total
 
 
 def rounds(texts: list[str]):
@@ -107,40 +137,68 @@ def remainder(id_col: str, by: int) -> Column:
 def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The languages of at most TRAIN_ROWS documents that aren't held out, a unit vector for each (all its n-grams'
     vectors bundled), the projection of one n-gram on it to be expected in a new text, and its standard deviation.
+
+    The sample isn't stratified: a language of less than about one in TRAIN_ROWS documents may not be learned. Vectors
+    are summed up by Spark; the driver gets DIMENSIONS numbers for each of MOST_LANGUAGES languages at most.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     named = named.filter((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
     ids = F.broadcast(sampled_ids(named, TRAIN_ROWS))
-    sample = named.join(ids, named["doc_id"] == ids["id"], "left_semi").select("text", "lang")
+    sample = stage(named.join(ids, named["doc_id"] == ids["id"], "left_semi").select("text", "lang"), "profile")
+    langs = [r["lang"] for r in sample.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    langs.sort()
 
-    def count(batches):
+    def each(batches):
+        """(language, its distinct codes, their times) of some texts."""
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
+            of = np.array(batch.column("lang").to_pylist(), object)
             texts = np.array([t or "" for t in batch.column("text").to_pylist()], object)
-            for lang in sorted(set(langs)):
-                for some in rounds(texts[langs == lang].tolist()):
-                    codes, counts = counted(some)
-                    arrays = [pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(counts.sum(0), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["lang", "code", "n"])
-
-    rows = sample.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(set(rows["lang"]))
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; {MOST_LANGUAGES} can be learned")
-    made = np.zeros((len(langs), DIMENSIONS), np.float32)
-    expected, spread = np.zeros(len(langs)), np.zeros(len(langs))
-    for k, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang]
-        times, vectors = own["n"].to_numpy(np.float64), bound(own["code"].to_numpy()).astype(np.float64)
-        vector, n = times @ vectors, float(times.sum())
-        norm = max(1e-9, float(np.linalg.norm(vector)))
-        made[k] = vector / norm
-        if n > 1:
-            each = vectors @ made[k]
-            # Without each learned n-gram's projection on itself: a new text has no part in the prototype.
-            expected[k] = max(0.0, (norm * norm - n * DIMENSIONS) / (n - 1) / norm)
-            spread[k] = np.sqrt(max(0.0, times @ (each * each) / n - (times @ each / n) ** 2))
+            for lang in sorted(set(of)):
+                for some in rounds(texts[of == lang].tolist()):
+                    _, code, n = counted(some)
+                    code, at = np.unique(code, return_inverse=True)
+                    yield lang, code, np.bincount(at, weights=n, minlength=len(code))
+
+    def total(batches):
+        sums: dict[str, np.ndarray] = {}
+        for lang, code, n in each(batches):
+            vector = bundle(np.zeros(len(code), np.int64), code, n, 1)[0]
+            sums[lang] = sums.get(lang, np.zeros(DIMENSIONS + 1)) + np.append(vector, n.sum())
+        for lang, values in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([values.astype(np.int64).tolist()], pa.list_(pa.int64()))], ["lang", "sums"])
+
+    summed = sample.mapInArrow(total, "lang string, sums array<bigint>").select("lang", F.posexplode("sums").alias("at", "v"))
+    found = summed.groupBy("lang", "at").agg(F.sum("v").alias("v")).toPandas()
+    vectors = np.zeros((len(langs), DIMENSIONS + 1))
+    vectors[[langs.index(x) for x in found["lang"]], found["at"]] = found["v"]
+    vectors, n = vectors[:, :-1], vectors[:, -1]
+    norms = np.maximum(1e-9, np.linalg.norm(vectors, axis=1))
+    made = (vectors / norms[:, None]).astype(np.float32)
+    # Without each learned n-gram's projection on itself: a new text has no part in the prototype.
+    expected = np.where(n > 1, np.maximum(0.0, (norms * norms - n * DIMENSIONS) / np.maximum(1, n - 1) / norms), 0.0)
+    shared = spark.sparkContext.broadcast((langs, made))
+
+    def squared(batches):
+        langs, made = shared.value
+        for lang, code, n in each(batches):
+            own = made[langs.index(lang)]
+            once = twice = 0.0
+            for k in range(0, len(code), CODES):
+                reached = (bound(code[k : k + CODES]) @ own).astype(np.float64)
+                once += float(n[k : k + CODES] @ reached)
+                twice += float(n[k : k + CODES] @ (reached * reached))
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([once]), pa.array([twice])], ["lang", "once", "twice"])
+
+    spread = np.zeros(len(langs))
+    moments = sample.mapInArrow(squared, "lang string, once double, twice double").groupBy("lang").agg(F.sum("once").alias("once"), F.sum("twice").alias("twice"))
+    for r in moments.collect():
+        k = langs.index(r["lang"])
+        if n[k] > 1:
+            spread[k] = np.sqrt(max(0.0, r["twice"] / n[k] - (r["once"] / n[k]) ** 2))
     return langs, made, expected, spread
 
 
@@ -201,9 +259,9 @@ def known(texts: list[str], langs: list[str], made: np.ndarray, expected: np.nda
     """
     if not langs:
         return [False] * len(texts)
-    codes, counts = counted(texts)
-    n = np.maximum(1, counts.sum(1))
-    reached = (counts.astype(np.float32) @ bound(codes).astype(np.float32)) @ made.T / n[:, None]
+    doc, code, times = counted(texts)
+    n = np.maximum(1, np.bincount(doc, weights=times, minlength=len(texts)))
+    reached = bundle(doc, code, times, len(texts)) @ made.T / n[:, None]
     best = np.argmax(reached, axis=1)
     enough = reached[np.arange(len(texts)), best] >= least_share * expected[best] - ERRORS * spread[best] / np.sqrt(n)
     enough &= n >= LEAST_LETTERS * np.array([len("".join(t.split())) for t in texts])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -42,7 +43,7 @@ def test_digests(spark, docs, plain):
 
 def test_forgetting_and_small_rounds(monkeypatch, plain):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    monkeypatch.setattr(bpe, "QUERY_WORDS", 3)
+    monkeypatch.setattr(bpe, "QUERY_BYTES", 30)
     coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
     for t in texts()[1:60]:
         assert [x.tolist() for x in coder.encode([t, t])] == [plain.encode_ordinary(t)] * 2
@@ -55,5 +56,29 @@ def test_merges_that_a_lower_rank_can_cut_short():
     del coder
 
 
+def long_words():
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = ["".join(rng.choice(letters[: rng.randrange(1, 27)]) for _ in range(rng.randrange(100, 700))) for _ in range(60)]
+    made += ["x" * 120, "x" * 121, "xy" * 90 + "z", "-" * 777 + "_" * 333, "abcdefg" * 3000, "the" * 5000, "ab" * 60_000]
+    return [*made, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)), "".join(rng.choice(letters) for _ in range(200_000))]
+
+
+def test_long_words(plain):
+    coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    for word in long_words():
+        began = time.perf_counter()
+        assert coder.encode([word])[0].tolist() == plain.encode_ordinary(word)
+        assert time.perf_counter() - began < 60
+
+
+def test_windows_without_a_common_token(monkeypatch, plain):
+    monkeypatch.setattr(bpe, "WINDOW", 4)
+    monkeypatch.setattr(bpe, "STEP", 3)
+    coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    for word in long_words()[:40]:
+        assert coder.encode([word])[0].tolist() == plain.encode_ordinary(word)
+
+
 def test_empty_table(spark, docs):
     assert bpe.encode(docs([]), RANKS, public_tokenizers.PATTERN).count() == 0

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -98,3 +99,24 @@ def test_bound_never_loses_a_region():
         text = "".join(rng.choice("abcd ") for _ in range(300)) + edited(rng, item, dc.edit_budget(len(item))) + "abcd" * 20
         assert block.regions([text])
     assert np.array_equal(dc.qgrams(dc.codes("short")), np.empty(0, np.uint32))
+
+
+def test_memory_where_a_text_repeats_an_items_qgram():
+    block = dc.Block([1], ["=" * 80])
+    tracemalloc.start()
+    found = block.regions(["=" * 300_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    spans = [r[2:4] for r in found]
+    spans.sort()
+    assert len(spans) > 3000 and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    assert peak < 300 << 20
+
+
+def test_hits_counted_in_parts(monkeypatch):
+    block = dc.Block([1, 2], ["the cat sat on the cat and the dog sat too", "another line of some words in a row"])
+    texts = ["x the cat sat on the cat and the dog sat too y another line of some wrds in a row " * 3, "nothing here"]
+    whole = block.regions(texts)
+    monkeypatch.setattr(dc, "HITS", 3)
+    monkeypatch.setattr(dc, "ALIGNED_CELLS", 1)
+    assert len(whole) == 6 and block.regions(texts) == whole

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -87,3 +88,30 @@ def test_texts_of_no_learned_language_go(spark):
     assert sum(i >= 0 for i in kept) >= 0.995 * data.count()
     assert not [i for i in kept if -first <= i < 0]
     assert sum(i < 0 for i in kept) <= 0.02 * (len(planted) - first)
+
+
+def test_memory_of_many_letters():
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FFF, 2000))) for _ in range(512)]
+    made = rng.normal(size=(4, lg.DIMENSIONS)).astype(np.float32)
+    tracemalloc.start()
+    names = [lg.judged(some, list("abcd"), made) for some in lg.rounds(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, names)) == len(texts) and peak < 400 << 20
+
+
+def test_long_texts_are_counted_in_blocks(monkeypatch):
+    texts = ["the cat, the hat! " * 50, "x", "Straße 你好 𐐀𐐨 " * 9]
+    whole = lg.counted(texts)
+    monkeypatch.setattr(lg, "ROUND_CHARS", 37)
+    for a, b in zip(whole, lg.counted(texts), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_sparse_and_dense_sums_are_equal(monkeypatch):
+    counted = lg.counted([f"word{chr(97 + k % 26)} other{chr(97 + k % 7)} thing" for k in range(90)])
+    dense = lg.bundle(*counted, 90)
+    monkeypatch.setattr(lg, "SPARSE", 0)
+    monkeypatch.setattr(lg, "CODES", 50)
+    assert (lg.bundle(*counted, 90) == dense).all()
