@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import byte_bpe, decontaminate, language, secret_scan, simhash
 from quire.llm.common import stage, table
+from quire.llm.queries import repository
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret that isn't a widely copied example masked."""
-    return secret_scan.redact(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return secret_scan.redact(docs, F.col("source"), repository())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

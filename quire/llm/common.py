@@ -15,9 +15,15 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """A new path in the folder that all executors share, which ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, whose executors would each write to
+    their own disk, it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -48,6 +54,18 @@ def sampled_ids(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame
     return near.orderBy(F.pmod(F.xxhash64("id"), F.lit(wide)), "id").limit(most)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """SHA-256 of a row's id and text: rows with one key are repeated rows."""
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
+    return F.sha2(F.concat(named, F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if n not in taken)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)``, with ``value`` computed once for each row however often ``use`` names it."""
     return F.transform(F.array(value), use)[0]

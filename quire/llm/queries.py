@@ -5,16 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, language, licenses, quality, secret_scan, simhash, token_files, tool_calls, toxicity
 from .common import table
 
 
+#: Consecutive doc_ids that make up a repository of ``documents``.
+REPOSITORY = 1024
+
+
+def repository() -> Column:
+    """The documents of one language among REPOSITORY consecutive doc_ids, whoever owns them."""
+    return F.concat_ws("/", "lang", F.floor(F.col("doc_id") / REPOSITORY).cast("string"))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's owner is its source; a repository is one owner's documents in one language."""
-    return secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    """A document's owner is its source; ``repository`` says what its repository is."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), F.col("source"), repository())
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

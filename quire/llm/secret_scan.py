@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free_name, row_key, stage
 
 # The base rules' patterns and lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -16,8 +16,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 #: The method's own kind: long runs outside the base spans.
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: A value that so many owners hold is a copied example.
-COPIED_OWNERS = 3
+#: A value that so many owners or repositories hold is a copied example; one of a single owner looks live in so many repositories at most.
+COPIED_OWNERS, COPIED_REPOS, LIVE_REPOS = 3, 8, 2
 
 
 def _found(text: Column, kind: int, pattern: str, group: int, good) -> Column:
@@ -54,13 +54,14 @@ def candidates(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_
     empty = F.from_json(F.lit("[]"), "array<struct<kind:int,idx:int,gap:int,len:int,ok:boolean,digest:string,mixed:boolean>>")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
+        row_key(id_col, text_col).alias("key"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
         F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
         F.concat(*(F.coalesce(k, empty) for k in kinds)).alias("all"),
     )
-    return rows.select("row_id", "doc_id", "owner", "repo", F.explode_outer("all").alias("m")).select(
-        "row_id", "doc_id", "owner", "repo", "m.*"
+    return rows.select("row_id", "key", "doc_id", "owner", "repo", F.explode_outer("all").alias("m")).select(
+        "row_id", "key", "doc_id", "owner", "repo", "m.*"
     )
 
 
@@ -74,11 +75,13 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, doc_id, kind, start, end, verdict) for each span; a row with a null kind for each document without one."""
+    """(row_id, key, doc_id, kind, start, end, verdict) for each span; a row with a null kind for each document without one."""
     found = stage(candidates(docs, owner, repo, id_col, text_col), "candidates")
     known = stage(ownership(found), "ownership")
     verdict = (
-        F.when(F.col("owners") >= COPIED_OWNERS, "copied").when(F.col("owners") == 1, "live").when(F.col("owners") > 1, "shared")
+        F.when((F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS), "copied")
+        .when((F.col("owners") == 1) & (F.col("repos") <= LIVE_REPOS), "live")
+        .when(F.col("owners") >= 1, "shared")
     )
     met = found.filter("ok").join(known, "digest", "left").withColumn("verdict", verdict)
     rest = found.filter("ok is null or not ok").withColumns(
@@ -97,15 +100,16 @@ def judged(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id",
     clear = (F.coalesce("base_end", F.lit(0)) <= F.col("start")) & (F.coalesce("base_start", F.col("end")) >= F.col("end"))
     own = (F.col("kind") == 3) & clear & (F.col("verdict") != "copied") & (F.col("base") | F.col("mixed") & (F.col("verdict") == "live"))
     span = F.coalesce(F.col("ok") & ((F.col("kind") < 3) | own), F.lit(False))
-    return rows.select("row_id", "doc_id", *(F.when(span, F.col(c)).alias(c) for c in ("kind", "start", "end", "verdict")))
+    return rows.select("row_id", "key", "doc_id", *(F.when(span, F.col(c)).alias(c) for c in ("kind", "start", "end", "verdict")))
 
 
 def scan(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: counts of base spans, their digest, all spans, and the verdicts' counts.
 
     Base spans come from the three fixed rules. Candidate values are hashed and their distinct owners
-    and repositories counted over the corpus: a value that COPIED_OWNERS owners hold is a copied example,
-    one that a single owner holds looks live, the rest is shared. The method adds spans of kind ``opaque``:
+    and repositories counted over the corpus: a value that COPIED_OWNERS owners or COPIED_REPOS repositories
+    hold is a copied example, one that a single owner holds in LIVE_REPOS repositories at most looks live, the
+    rest is shared. Repositories need not lie within owners. The method adds spans of kind ``opaque``:
     long runs that the base rules did not cover, if the same value is a base candidate elsewhere, or if it
     mixes letters and digits and belongs to one owner. A null text is empty; documents without spans
     have zero counts, an empty ``spans`` and the digest of the empty string. Repeated rows and null ids
@@ -142,20 +146,21 @@ def scan(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", t
 
 
 def redact(docs: DataFrame, owner: Column, repo: Column, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span that isn't a copied example masked in ``text``, and ``n_chars`` to match.
+    """``docs`` with every span that isn't a copied example masked in ``text``; ``n_chars``, where there is one, to match.
 
-    Documents without a match pass unchanged and are not shuffled; the others meet their spans by doc_id.
-    Rows that share a doc_id get the spans found in all of them only where their texts are equal.
+    Documents without a match pass unchanged and are not shuffled; the others meet their spans by ``row_key``, so rows
+    that share a doc_id, or have none, each lose their own spans only. Null and empty texts stay as they are.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     hit = F.coalesce(text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(OPAQUE), F.lit(False))
     rows = judged(docs, owner, repo).filter("kind is not null and verdict <> 'copied'")
-    spans = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("secret_spans"))
-    spans = stage(spans, "spans").withColumnRenamed("doc_id", "secret_doc")
-    some = docs.filter(hit).join(spans, F.col("doc_id").eqNullSafe(F.col("secret_doc")), "left")
+    key, places = free_name(docs, "own_key"), free_name(docs, "own_spans")
+    spans = stage(rows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    some = docs.filter(hit).withColumn(key, row_key())
+    some = some.join(spans.select(F.col("key").alias(key), F.col("spans").alias(places)), key, "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     folded = F.aggregate(
-        "secret_spans",
+        places,
         start,
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
@@ -163,6 +168,7 @@ def redact(docs: DataFrame, owner: Column, repo: Column, mask: str = "[secret]")
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
     )
-    masked = some.withColumn("text", F.when(F.col("secret_spans").isNotNull() & F.col("text").isNotNull(), folded).otherwise(F.col("text")))
-    masked = masked.withColumn("n_chars", F.when(F.col("secret_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    masked = some.withColumn("text", F.when(F.col(places).isNotNull(), folded).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col(places).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.filter(~hit).unionByName(masked.select(*docs.columns))

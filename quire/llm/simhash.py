@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import free_name, row_key, small_batches, stage
 from .components import components
 
 #: Words to a shingle and the most bits in which linked fingerprints differ.
@@ -38,12 +38,6 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """SHA-256 of a row's id and text: rows with one key are repeated rows."""
-    named = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    return F.sha2(F.concat(named, F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))), 256)
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, key) for each row; fp holds the 64 bits as a signed long, key is ``row_key``."""
     small_batches(docs.sparkSession)
@@ -144,7 +138,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = stage(found.groupBy("root").agg(F.min("key").alias("row_key")), "keep").select("row_key")
-    name = next(n for n in (f"row_key_{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    name = free_name(docs, "own_key")
     # Repeated rows go first, combined before they are shuffled; the join then finds the rows dealt by key.
     rows = docs.withColumn(name, row_key()).dropDuplicates([name])
     return rows.join(keep, F.col(name) == F.col("row_key"), "left_semi").drop(name)

@@ -33,7 +33,7 @@ def made(spark, tmp_path_factory):
         9: prose(7, 30_000),
     }
     rows = [(i, t, "en" if i != 8 else None, f"s{i % 3}", len(t or "")) for i, t in texts.items()]
-    rows += [rows[7], (None, prose(8), "en", None, 1)]
+    rows += [rows[7], (None, prose(8), "en", None, 1), (None, prose(9), "en", "s1", 1), (4, prose(10), "en", "s2", 1), (4, prose(11) + " token = abcdefabcdef", "en", "s2", 1)]
     sf_dir = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{sf_dir}/documents.parquet")
     spark.createDataFrame([(1, BENCH), (2, None)], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
@@ -60,7 +60,7 @@ def brute(rows):
     for i, text, *_ in firsts:
         if BENCH in text:
             continue
-        text = text.replace(KEY, "[secret]")
+        text = text.replace(KEY, "[secret]").replace("token = abcdefabcdef", "[secret]")
         ids = np.array(coder.encode_ordinary(text), "<u4").tobytes()
         out.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     return sorted(out, key=str)
