@@ -20,13 +20,14 @@ from .common import gathered, shared_dir, small_batches, stage
 
 #: Bytes of text whose distinct words are encoded together, and characters of words that a worker remembers.
 ROUND_BYTES, REMEMBERED_CHARS = 6 << 20, 4 << 20
-#: Ids to a partition of the sorted output, and to a file.
-PART_IDS, FILE_IDS = 8 << 20, 4 << 20
+#: Ids to a partition of the sorted output, the most such partitions (beyond, each gets more and its sort spills), and ids to a file.
+PART_IDS, MOST_PARTS, FILE_IDS = 8 << 20, 10_000, 4 << 20
 #: Words put into one text for the library, and ids that are decoded at a time.
 CHUNK_WORDS, BLOCK_IDS = 2000, 1 << 18
 
-MAGIC = b"QTF1"
-HEAD = "<4sIQ"  # magic, documents, ids
+MAGIC = b"QTF2"
+HEAD = "<4sIQQ"  # magic, documents, ids, ids of all files before
+RANKS = "_ranks"  # the folder's file of ids by falling frequency, little-endian 32-bit
 #: Words of these letters alone are one match of the splitting pattern in either case, whatever stands around them;
 #: so is a run of these signs after them. None of them composes with another, so each may be lower-cased by itself.
 LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,;:!?)"
@@ -40,7 +41,6 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self._forget()
@@ -114,7 +114,10 @@ def words_of(path: str) -> Words:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n): little-endian unsigned 16-bit ids (32-bit ones for larger vocabularies), the end id last."""
+    """(doc_id, ids, n): little-endian unsigned 16-bit ids (32-bit ones for larger vocabularies), the end id last.
+
+    What the tokenizer lists as an added token is one wherever it stands in a text, as the library has it.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -181,6 +184,7 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), data.tobytes()
 
 
+MANIFEST = ["part", "nth", "name", "n_docs", "n_ids", "start"]
 #: For each control byte the lengths of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
 
@@ -211,46 +215,78 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:///", full)
 
 
-def write(rows: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
-    """Write ``encoded`` rows as files in ascending doc_id order (null ids first); returns the manifest and the ranked ids.
+def bounds(rows: DataFrame, total: int) -> np.ndarray:
+    """The doc_ids between the sorted output's parts, MOST_PARTS less one at most; a doc_id of many rows may stand several times."""
+    parts = min(MOST_PARTS, max(1, -(-total // PART_IDS)))
+    if parts == 1:
+        return np.empty(0, np.int64)
+    return np.array(sorted(int(x) for x in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)), np.int64)
+
+
+def placed(doc_ids: pa.Array, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The part of each row. A doc_id that is a bound several times is dealt over all the parts that it may stand in, by its row number."""
+    at = pc.fill_null(doc_ids, np.iinfo(np.int64).min).to_numpy()
+    first, last = np.searchsorted(bounds, at, "left"), np.searchsorted(bounds, at, "right")
+    return (first + rows * 0x9E3779B1 % (1 << 31) % (last - first + 1)).astype(np.int32)
 
-    Manifest: (part, nth, name, n_docs, n_ids), a row for each file; parts hold consecutive ranges of doc_id,
-    and a part's files follow one another. A file is head, doc_ids (64-bit), whether each is null (byte),
-    id counts (32-bit), each document's control bytes, then all data bytes. The ids are replaced by their
-    ranks. A file gets its name only when it is whole, so a task that runs again does no harm.
+
+def write(rows: DataFrame, folder: str) -> DataFrame:
+    """Write ``encoded`` rows, staged with a ``row`` number, as files in ascending doc_id order (null ids first).
+
+    The folder can be read by itself: it holds the files, the table of ids by rank (RANKS) and the manifest (part,
+    nth, name, n_docs, n_ids, start), which is returned too. Parts hold consecutive ranges of doc_id, and a part's
+    files follow one another. A file is head, doc_ids (64-bit), whether each is null (byte), id counts (32-bit), each
+    document's control bytes, then all data bytes. The ids are replaced by their ranks. A file gets its name only
+    when it is whole, and a part's rows are in one order (doc_id, row), so a task that runs again writes the same files.
+    What is broadcast is the ranks, as long as the vocabulary, and MOST_PARTS bounds and starts at most.
     """
     spark = rows.sparkSession
     by_rank = ranked(rows)
     total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // PART_IDS))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.lit(0)
-    for bound in bounds:
-        part = part + F.when(F.col("doc_id") >= int(bound), 1).otherwise(0)
+    edges = bounds(rows, total)
     target = qualified(spark, folder)
     ranks = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = spark.sparkContext.broadcast((ranks, edges))
+
+    def part_of(batch):
+        return placed(batch.column("doc_id"), batch.column("row").to_numpy(), shared.value[1])
+
+    def sizes(batches):
+        for batch in batches:
+            n = np.bincount(part_of(batch), weights=batch.column("n").to_numpy()).astype(np.int64)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], ["part", "n"])
+
+    per_part = rows.select("doc_id", "row", "n").mapInArrow(sizes, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
+    starts = np.zeros(len(edges) + 2, np.int64)
+    for r in per_part:
+        starts[r["part"] + 1] = r["n"]
+    starts = spark.sparkContext.broadcast(np.cumsum(starts))
+    fs, path = open_folder(target)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/{RANKS}") as out:
+        out.write(by_rank.astype("<u4").tobytes())
 
     def code(batches):
         for batch in batches:
             made = []
             for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                made.append(b"".join(pack(shared.value[np.frombuffer(ids, _kind(ids, n))])))
-            arrays = [batch.column("part"), batch.column("doc_id"), pa.array(made, pa.binary()), batch.column("n")]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "packed", "n"])
+                made.append(b"".join(pack(shared.value[0][np.frombuffer(ids, _kind(ids, n))])))
+            arrays = [pa.array(part_of(batch)), batch.column("doc_id"), batch.column("row"), pa.array(made, pa.binary()), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "row", "packed", "n"])
 
     def save(batches):
         fs, path = open_folder(target)
         fs.create_dir(path, recursive=True)
         held: list[tuple] = []
-        size, number, at = 0, 0, None
+        size, number, at, start = 0, 0, None, 0
 
         def flush():
             name = f"{at:06d}-{number:06d}.qtf"
             controls = [-(-n // 4) for *_, n in held]
             body = [
-                struct.pack(HEAD, MAGIC, len(held), size),
+                struct.pack(HEAD, MAGIC, len(held), size, start),
                 np.array([i or 0 for i, *_ in held], "<i8").tobytes(),
                 np.array([i is None for i, *_ in held], np.uint8).tobytes(),
                 np.array([n for *_, n in held], "<u4").tobytes(),
@@ -263,56 +299,55 @@ def write(rows: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
                     out.write(x)
             fs.move(draft, f"{path}/{name}")
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in ((at, pa.int32()), (number, pa.int32()), (name, pa.string()), (len(held), pa.int64()), (size, pa.int64()))],
-                ["part", "nth", "name", "n_docs", "n_ids"],
+                [pa.array([x], t) for x, t in ((at, pa.int32()), (number, pa.int32()), (name, pa.string()), (len(held), pa.int64()), (size, pa.int64()), (start, pa.int64()))],
+                MANIFEST,
             )
 
         for batch in batches:
             for p, i, packed, n in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "packed", "n")), strict=True):
                 if held and (p != at or size + n > FILE_IDS):
                     yield flush()
-                    number, held, size = (number + 1 if p == at else 0), [], 0
-                at = p
+                    number, start, held, size = number + 1, start + size, [], 0
+                if p != at:
+                    at, number, start = p, 0, int(starts.value[p])
                 held.append((i, packed, n))
                 size += n
         if held:
             yield flush()
 
     dealt = (
-        rows.withColumn("part", part.cast("int"))
-        .select("part", "doc_id", "ids", "n")
-        .mapInArrow(code, "part int, doc_id long, packed binary, n long")
-        .repartitionById(len(bounds) + 1, F.col("part"))
-        .sortWithinPartitions("part", "doc_id")
+        rows.select("doc_id", "row", "ids", "n")
+        .mapInArrow(code, "part int, doc_id long, row long, packed binary, n long")
+        .repartitionById(len(edges) + 1, F.col("part"))
+        .sortWithinPartitions("part", "doc_id", "row")
     )
-    manifest = stage(dealt.mapInArrow(save, "part int, nth int, name string, n_docs long, n_ids long"), "manifest")
-    return manifest, by_rank
+    made = dealt.mapInArrow(save, "part int, nth int, name string, n_docs long, n_ids long, start long")
+    made.write.parquet(f"{folder}/_manifest")
+    return spark.read.schema(made.schema).parquet(f"{folder}/_manifest")
+
 
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, ids) of the files in a folder, decoded; start counts the ids before a document. ids are little-endian 32-bit.
 
-def read(spark: SparkSession, folder: str, manifest: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, ids) of the files, decoded; start counts the ids before a document. ids are little-endian 32-bit."""
-    names, starts, before = {}, 0, manifest.select("part", "nth", "name", "n_ids").orderBy("part", "nth").collect()
-    for r in before:
-        names[r["name"]] = starts
-        starts += r["n_ids"]
-    shared = spark.sparkContext.broadcast((names, by_rank))
+    A folder that ``write`` has not finished has no manifest and is an error.
+    """
+    fs, path = open_folder(qualified(spark, folder))
+    with fs.open_input_stream(f"{path}/{RANKS}") as held:
+        shared = spark.sparkContext.broadcast(np.frombuffer(held.read(), "<u4"))
+    if spark.read.parquet(f"{folder}/_manifest").isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, ids binary")
 
     def run(batches):
-        starts, ids_of = shared.value
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                start = starts[path.rsplit("/", 1)[1]]
-                for k in _documents(memoryview(content.as_buffer()), ids_of, start):
-                    yield k
+            for content in batch.column("content"):
+                yield from _documents(memoryview(content.as_buffer()), shared.value)
 
-    if not names:
-        return spark.createDataFrame([], "doc_id long, start long, ids binary")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qtf").load(folder)
-    return files.select("path", "content").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.select("content").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def _documents(raw: memoryview, ids_of: np.ndarray, start: int):
-    magic, docs, size = struct.unpack_from(HEAD, raw)
+def _documents(raw: memoryview, ids_of: np.ndarray):
+    magic, docs, _, start = struct.unpack_from(HEAD, raw)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = struct.calcsize(HEAD)
@@ -362,7 +397,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     An empty table writes no file. Only the named columns are read.
     """
     spark = docs.sparkSession
-    rows = stage(encoded(docs, tokenizer_path, end_id, id_col, text_col), "ids")
+    rows = stage(encoded(docs, tokenizer_path, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "ids")
     folder = shared_dir(spark, "tokens")
-    manifest, by_rank = write(rows, folder)
-    return read(spark, folder, manifest, by_rank)
+    write(rows, folder)
+    return read(spark, folder)
