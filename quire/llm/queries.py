@@ -45,7 +45,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tool_calls.link(table(spark, sf_dir, "conversations"))
+    """The conversations hold no calls as such: ``tool_calls.transcript`` says what counts as one."""
+    rows = tool_calls.link(tool_calls.transcript(table(spark, sf_dir, "conversations")))
+    return rows.withColumn("problems", F.array_join("problems", "; "))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.scan_sql()}
+    return {"op6_tool_calls": tool_calls.transcript_sql(), "op7_license_scan": licenses.scan_sql()}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>,content:string>"
+CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>,function:struct<name:string,arguments:string>>>,content:string>"
 RESULT = "struct<tool_call_id:string,content:string>"
-TOOLS = "struct<tools:array<struct<name:string,parameters:struct<required:array<string>,additionalProperties:boolean,properties:map<string,struct<type:string,enum:array<string>>>>>>>"
+TOOLS = "struct<tools:array<struct<name:string,parameters:struct<required:array<string>,additionalProperties:boolean,properties:map<string,struct<type:string,enum:array<string>>>>>>,content:string>"
+#: Turns of one identifier that a task orders at most; blocks of turns are put in order by their last calls.
+BLOCK = 1024
 
 #: What stands before and after the identifier where an argument names another call's result.
 REFERENCE = r"\$\{call:([^}]*)\}"
@@ -22,14 +24,13 @@ def _parsed(role: str, schema: str) -> Column:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """(msg_id, conv_id, turn, role, text, calls, result, tools): each row with what it says about tools."""
+    """(conv_id, turn, role, text, calls, result, tools, content): each row with what it says about tools."""
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
     )
-    rows = rows.withColumn("msg_id", F.xxhash64("conv_id", "turn", "role", "text"))
-    return rows.withColumns(
-        {"calls": _parsed("assistant", CALLS), "result": _parsed("tool", RESULT), "tools": _parsed("system", TOOLS)["tools"]}
-    )
+    rows = rows.withColumns({"calls": _parsed("assistant", CALLS), "result": _parsed("tool", RESULT), "system": _parsed("system", TOOLS)})
+    content = F.when(F.col("system.tools").isNotNull(), F.coalesce("system.content", "text")).otherwise(F.col("text"))
+    return rows.withColumn("content", content).withColumn("tools", F.col("system.tools")).drop("system")
 
 
 def declared(rows: DataFrame) -> DataFrame:
@@ -75,81 +76,86 @@ def _problems() -> Column:
     ).otherwise(found)
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """A row for each distinct call: its place, arguments, problems, result, and the calls it needs.
+def called(rows: DataFrame) -> DataFrame:
+    """A row for each call: (conv_id, turn, nth, msg_id, call_id, name, arguments, needs); msg_id and nth name it."""
+    calls = rows.filter("calls.tool_calls is not null").select("conv_id", "turn", "msg_id", F.posexplode("calls.tool_calls").alias("nth", "c"))
+    given = F.coalesce("c.arguments", "c.function.arguments")
+    named = F.regexp_extract_all(F.coalesce(given, F.lit("")), F.lit(REFERENCE), F.lit(1))
+    return calls.select(
+        "conv_id", "turn", "nth", "msg_id",
+        F.col("c.id").alias("call_id"),
+        F.coalesce("c.name", "c.function.name").alias("name"),
+        F.coalesce(given, F.lit("{}")).alias("arguments"),
+        F.array_distinct(F.array_compact(F.concat(F.coalesce(F.col("c.depends_on"), F.array().cast("array<string>")), named))).alias("needs"),
+    )
+
+
+def latest(calls: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(conv_id, id, turn, after, nth, msg_id)`` with ``call``: the place of the last call of that id so far.
 
-    Of several calls with one id in a conversation the earliest counts, as does the earliest result at or after it.
+    A row asks for calls before its own place; with ``after`` = 1 calls of its own turn count, too. The calls
+    and the askers of an id are ordered in blocks of BLOCK turns, and the blocks by their last calls.
     """
-    calls = rows.filter("calls.tool_calls is not null").select(
-        "conv_id", "turn", "msg_id", F.posexplode("calls.tool_calls").alias("nth", "call")
+    place = F.struct("turn", "nth", "msg_id")
+    one = calls.filter("conv_id is not null and call_id is not null").select(
+        "conv_id", F.col("call_id").alias("id"), "turn", F.lit(0).alias("after"), "nth", "msg_id", F.lit(1).alias("is_call"), place.alias("place")
     )
-    calls = calls.select("conv_id", F.col("call.id").alias("call_id"), F.struct("turn", "nth", "msg_id").alias("place"), "call")
-    calls = calls.filter("call_id is not null").groupBy("conv_id", "call_id").agg(
-        F.min_by("call", "place").alias("call"), F.min("place").alias("place"), F.count("*").alias("n_calls")
-    )
-    results = rows.filter("result.tool_call_id is not null").select(
-        "conv_id", F.col("result.tool_call_id").alias("call_id"), F.struct("turn", "msg_id").alias("at"), F.col("result.content").alias("content")
-    )
-    met = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-    later = F.col("at.turn") >= F.col("place.turn")
-    met = met.groupBy("conv_id", "call_id").agg(
-        F.first("call").alias("call"),
-        F.first("place").alias("place"),
-        F.first("n_calls").alias("n_calls"),
-        F.min(F.when(later, F.col("at"))).alias("at"),
-        F.min_by(F.when(later, F.col("content")), F.when(later, F.col("at"))).alias("content"),
-    )
-    met = met.select(
-        "conv_id", "call_id", "place", "n_calls", "at", "content",
-        F.col("call.name").alias("name"),
-        F.coalesce(F.col("call.arguments"), F.lit("{}")).alias("arguments"),
-        F.array_distinct(
-            F.concat(
-                F.coalesce(F.col("call.depends_on"), F.array().cast("array<string>")),
-                F.regexp_extract_all(F.coalesce(F.col("call.arguments"), F.lit("")), F.lit(REFERENCE), F.lit(1)),
-            )
-        ).alias("needs"),
-    )
-    met = met.join(declared(rows), ["conv_id", "name"], "left")
-    met = met.withColumn("given", F.from_json("arguments", "map<string,variant>"))
-    return met.withColumn("problems", _problems()).drop("given", "parameters")
+    both = one.unionByName(asked.filter("conv_id is not null and id is not null").withColumn("is_call", F.lit(0)), allowMissingColumns=True)
+    both = both.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK))
+    inside = Window.partitionBy("conv_id", "id", "block").orderBy("turn", "after", "nth", "msg_id", "is_call").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = both.groupBy("conv_id", "id", "block").agg(F.max("place").alias("last"))
+    earlier = Window.partitionBy("conv_id", "id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("conv_id", "id", "block", F.max("last").over(earlier).alias("before"))
+    rows = both.withColumn("near", F.last("place", ignorenulls=True).over(inside)).filter("is_call = 0")
+    rows = rows.join(blocks, ["conv_id", "id", "block"]).withColumn("call", F.coalesce("near", "before"))
+    return rows.drop("is_call", "place", "block", "near", "before")
+
+
+def edges_of(calls: DataFrame) -> DataFrame:
+    """(msg_id, nth, need_msg, need_nth, need_turn, against): a call and one that it needs.
+
+    A need is the last call of that id before, or else the first one after: then the edge runs against the written order.
+    """
+    asked = calls.select("conv_id", F.explode("needs").alias("id"), "turn", F.lit(0).alias("after"), "nth", "msg_id")
+    first = calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", F.col("call_id").alias("id")).agg(F.min(F.struct("turn", "nth", "msg_id")).alias("first"))
+    rows = latest(calls, asked).join(first, ["conv_id", "id"]).withColumn("need", F.coalesce("call", "first"))
+    return rows.select(
+        "msg_id", "nth", F.col("need.msg_id").alias("need_msg"), F.col("need.nth").alias("need_nth"), F.col("need.turn").alias("need_turn"), F.col("call").isNull().alias("against")
+    ).distinct()
 
 
 def ordered(calls: DataFrame) -> DataFrame:
-    """``calls`` with (slot, depth): a call comes after all calls it needs, and no earlier than its own turn.
+    """``calls`` with (slot, depth): by (slot, depth, turn, nth) a call comes after all calls that it needs.
 
-    Each round settles the calls whose needs are settled, in one join of call and need, so a conversation
-    is never gathered. Needs that name no call are no edges. Calls on a cycle, or behind one, never settle:
-    their depth is -1 and they stay in their own turn.
+    Where every need was written before the call, the written order is a topological one: slot is the call's turn and
+    depth 0. Only calls behind an edge that runs against the written order are put in order by rounds, of which there
+    are as many as the longest chain of such calls is long; each settles the calls whose needs are settled. Joins go by
+    call, so a conversation is never gathered. Calls on a cycle, or behind one, never settle: their depth is -1
+    and they stay in their own turn.
     """
-    calls = stage(calls, "calls")
-    ids = calls.select("conv_id", F.col("call_id").alias("need"))
-    edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).join(ids, ["conv_id", "need"], "left_semi")
-    edges = stage(edges, "edges")
-    counts = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_needs"))
-    state = calls.select("conv_id", "call_id", F.col("place.turn").alias("turn")).join(counts, ["conv_id", "call_id"], "left")
-    state = state.select(
-        "conv_id", "call_id", "turn", F.col("turn").alias("slot"), F.when(F.col("n_needs").isNull(), 0).otherwise(-1).alias("depth"), F.coalesce("n_needs", F.lit(0)).alias("n_needs")
-    )
-    before = -1
-    while True:
-        state = stage(state, "state")
-        now = state.filter("depth >= 0").count()
-        if now in (before, state.count()):
+    key, need = ["msg_id", "nth"], [F.col("need_msg").alias("msg_id"), F.col("need_nth").alias("nth")]
+    edges = stage(edges_of(calls), "edges")
+    late = front = stage(edges.filter("against").select(key).distinct(), "late")
+    if late.isEmpty():
+        return calls.withColumns({"slot": F.col("turn"), "depth": F.lit(0)})
+    while not front.isEmpty():
+        behind = edges.join(front.select(F.col("msg_id").alias("need_msg"), F.col("nth").alias("need_nth")), ["need_msg", "need_nth"], "left_semi").select(key).distinct()
+        front = stage(behind.join(late, key, "left_anti"), "front")
+        late = stage(late.unionByName(front), "late")
+    inner = stage(edges.join(late, key, "left_semi"), "inner")
+    done = stage(inner.select(*need, F.col("need_turn").alias("slot")).distinct().join(late, key, "left_anti").withColumn("depth", F.lit(0)), "settled")
+    left = stage(late.join(calls.select(*key, "turn"), key), "left")
+    while not left.isEmpty():
+        near = inner.join(done.select(F.col("msg_id").alias("need_msg"), F.col("nth").alias("need_nth"), "slot", "depth"), ["need_msg", "need_nth"], "left")
+        ready = near.groupBy(key).agg(F.max("slot").alias("s"), F.max("depth").alias("d"), F.count_if(F.col("slot").isNull()).alias("open")).filter("open = 0")
+        now = stage(left.join(ready, key).select(*key, F.greatest("turn", "s").alias("slot"), (F.col("d") + 1).alias("depth")), "ready")
+        if now.isEmpty():
             break
-        before = now
-        settled = state.filter("depth >= 0").select("conv_id", F.col("call_id").alias("need"), F.col("slot").alias("s"), F.col("depth").alias("d"))
-        ready = edges.join(settled, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(
-            F.count("*").alias("met"), F.max("s").alias("s"), F.max("d").alias("d")
-        )
-        due = (F.col("depth") < 0) & (F.col("met") == F.col("n_needs"))
-        state = state.join(ready, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", "turn",
-            F.when(due, F.greatest("turn", "s")).otherwise(F.col("slot")).alias("slot"),
-            F.when(due, F.col("d") + 1).otherwise(F.col("depth")).alias("depth"),
-            "n_needs",
-        )
-    return calls.join(state.select("conv_id", "call_id", "slot", "depth"), ["conv_id", "call_id"])
+        done, left = stage(done.unionByName(now), "settled"), stage(left.join(now, key, "left_anti"), "left")
+    # Of those settled, the ones that were never late keep their turn and depth 0.
+    settled = done.join(late, key, "left_semi").unionByName(left.select(*key, F.col("turn").alias("slot"), F.lit(-1).alias("depth")))
+    rows = calls.join(settled, key, "left")
+    return rows.withColumns({"slot": F.coalesce("slot", "turn"), "depth": F.coalesce("depth", F.lit(0))})
 
 
 def link(conversations: DataFrame) -> DataFrame:
@@ -160,18 +166,21 @@ def link(conversations: DataFrame) -> DataFrame:
     keep their turn and have depth 0. kind is ``message``, ``call`` or ``orphan`` (a result of no call).
     json is canonical: keys sorted, no blanks, arguments and results inside it normalised the same way.
     problems lists what breaks the schema that the conversation's system messages declare, a repeated
-    identifier, a missing result and a cycle; it is empty for messages.
+    identifier, a missing one, a missing result and a cycle; it is empty for messages. A call gives name and arguments
+    itself or under ``function``.
 
-    Tool messages appear as their call's result, not as messages. A text that isn't a JSON object is a message as it
-    stands; a null text or role is JSON null. Null conversation ids form no links: their calls have no result. Repeated
-    rows are repeated messages, but one call or result. Other columns aren't read. Hot conversations: every join and
+    Every call has a row. Where an id is used again, a result belongs to the last call of that id so far, and a
+    need is the last one before; of several results of a call the earliest counts, the others are orphans. Calls
+    without an id or conversation have no result and are needed by none.
+
+    Tool messages appear as their call's result, not as messages; a system message that declares tools is a message of its content, or its whole
+    text. A text that isn't a JSON object is a message as it stands; a null text or role is JSON null. Repeated
+    rows are repeated messages and calls. Other columns aren't read. Hot conversations: every join and
     grouping goes by conversation and call, so no task gathers a conversation.
     """
     rows = messages(conversations)
     plain = F.to_json(F.struct(F.col("content"), F.col("role")), {"ignoreNullFields": "false"})
-    spoken = rows.filter("calls.tool_calls is null and result.tool_call_id is null").select(
-        "conv_id", "turn", "role", F.col("text").alias("content")
-    )
+    spoken = rows.filter("calls.tool_calls is null and result.tool_call_id is null").select("conv_id", "turn", "role", "content")
     said = rows.filter("calls.tool_calls is not null and calls.content is not null").select(
         "conv_id", "turn", "role", F.col("calls.content").alias("content")
     )
@@ -180,15 +189,26 @@ def link(conversations: DataFrame) -> DataFrame:
         "conv_id", F.col("turn").alias("slot"), F.lit(0).alias("depth"), "turn", F.lit(-1).alias("nth"), F.lit("message").alias("kind"),
         F.lit(None).cast("string").alias("call_id"), plain.alias("json"), nothing.alias("problems"),
     )
-    uses = rows.filter("calls.tool_calls is not null or result is not null or tools is not null")
-    uses = stage(uses.drop("text", "role"), "uses")
-    if uses.filter("calls is not null or result is not null").isEmpty():
-        return out
-    calls = ordered(linked(uses))
+    uses = rows.filter("calls.tool_calls is not null or result.tool_call_id is not null or tools is not null")
+    uses = stage(uses.drop("text", "role", "content").withColumn("msg_id", F.monotonically_increasing_id()), "uses")
+    calls = stage(called(uses), "calls")
+    results = uses.filter("result.tool_call_id is not null").select(
+        "conv_id", F.col("result.tool_call_id").alias("id"), "turn", F.lit(1).alias("after"), F.lit(0).alias("nth"), "msg_id", F.col("result.content").alias("content")
+    )
+    met = latest(calls, results.drop("content")).filter("call is not null")
+    met = met.groupBy("call.msg_id", "call.nth").agg(F.min(F.struct("turn", F.col("msg_id"))).alias("at"))
+    met = stage(met.select(F.col("msg_id"), F.col("nth"), F.col("at.msg_id").alias("result_id")), "met")
+    held = results.select(F.col("msg_id").alias("result_id"), "content")
+    often = calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_calls")).filter("n_calls > 1 and conv_id is not null and call_id is not null")
+
+    rows = ordered(calls).join(met.join(held, "result_id"), ["msg_id", "nth"], "left")
+    rows = rows.join(often, ["conv_id", "call_id"], "left").join(declared(uses), ["conv_id", "name"], "left")
+    rows = rows.withColumn("given", F.from_json("arguments", "map<string,variant>")).withColumn("broken", _problems())
     more = F.array_compact(
         F.array(
+            F.when(F.col("call_id").isNull(), "no id"),
             F.when(F.col("n_calls") > 1, "repeated id"),
-            F.when(F.col("at").isNull(), "no result"),
+            F.when(F.col("result_id").isNull(), "no result"),
             F.when(F.col("depth") < 0, "cycle"),
         )
     )
@@ -198,21 +218,79 @@ def link(conversations: DataFrame) -> DataFrame:
             F.coalesce(F.try_parse_json("arguments"), F.col("arguments").cast("variant")).alias("arguments"),
             F.col("call_id").alias("call"),
             "name",
-            F.when(F.col("at").isNotNull(), content).alias("result"),
+            F.when(F.col("result_id").isNotNull(), content).alias("result"),
         ),
         {"ignoreNullFields": "false"},
     )
-    made = calls.select(
-        "conv_id", "slot", "depth", F.col("place.turn").alias("turn"), F.col("place.nth").alias("nth"), F.lit("call").alias("kind"),
-        "call_id", json.alias("json"), F.concat("problems", more).alias("problems"),
-    )
-    results = uses.filter("result.tool_call_id is not null").select(
-        "conv_id", "turn", "msg_id", F.col("result.tool_call_id").alias("call_id"), F.col("result.content").alias("content")
+    made = rows.select(
+        "conv_id", "slot", "depth", "turn", "nth", F.lit("call").alias("kind"), "call_id", json.alias("json"), F.concat("broken", more).alias("problems")
     )
-    taken = calls.filter("at is not null").select("conv_id", "call_id", F.col("at.msg_id").alias("msg_id"))
-    orphans = results.dropDuplicates(["conv_id", "msg_id"]).join(taken, ["conv_id", "call_id", "msg_id"], "left_anti").select(
+    orphans = results.join(met.select(F.col("result_id").alias("msg_id")), "msg_id", "left_anti").select(
         "conv_id", F.col("turn").alias("slot"), F.lit(0).alias("depth"), "turn", F.lit(-1).alias("nth"), F.lit("orphan").alias("kind"),
-        "call_id", F.to_json(F.struct("content", F.lit("tool").alias("role")), {"ignoreNullFields": "false"}).alias("json"),
+        F.col("id").alias("call_id"), F.to_json(F.struct("content", F.lit("tool").alias("role")), {"ignoreNullFields": "false"}).alias("json"),
         F.array(F.lit("no call")).alias("problems"),
     )
     return out.unionByName(made).unionByName(orphans)
+
+
+#: The tool that ``transcript`` takes a conversation's replies for.
+TOOL = "reply"
+PARAMETERS = '{"additionalProperties":false,"properties":{"text":{"type":"string"},"turn":{"type":"integer"}},"required":["text"]}'
+
+
+def transcript(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text): a plain conversation written out as tool calls.
+
+    A user's turn is a call of the tool ``reply`` with the turn as its id, the text and turn as arguments, and the user's turn two
+    before as its need; an assistant's turn is the result of the call of the turn before; a system message
+    declares the tool. Other roles stay as they are.
+    """
+    whole = {"ignoreNullFields": "false"}
+    turn = F.col("turn").cast("string")
+    arguments = F.to_json(F.struct("text", "turn"), whole)
+    before = F.array((F.col("turn") - 2).cast("string"))
+    call = F.struct(turn.alias("id"), F.lit("function").alias("type"), F.struct(F.lit(TOOL).alias("name"), arguments.alias("arguments")).alias("function"), before.alias("depends_on"))
+    tool = F.struct(F.lit(TOOL).alias("name"), F.from_json(F.lit(PARAMETERS), "variant").alias("parameters"))
+    role = F.col("role")
+    text = (
+        F.when(role == "user", F.to_json(F.struct(F.array(call).alias("tool_calls")), whole))
+        .when(role == "assistant", F.to_json(F.struct((F.col("turn") - 1).cast("string").alias("tool_call_id"), F.col("text").alias("content")), whole))
+        .when(role == "system", F.to_json(F.struct(F.array(tool).alias("tools"), F.col("text").alias("content")), whole))
+        .otherwise(F.col("text"))
+    )
+    said = F.when(role == "user", "assistant").when(role == "assistant", "tool").otherwise(role)
+    return conversations.select("conv_id", "turn", said.alias("role"), text.alias("text"))
+
+
+def transcript_sql() -> str:
+    """DuckDB SQL for ``link`` of ``transcript``'s rows, with problems joined, where (conv_id, turn) is unique."""
+    return f"""
+    WITH RECURSIVE calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+    replies AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+    declared AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'),
+    placed AS (
+        SELECT conv_id, turn, 0 AS depth FROM calls c
+        WHERE NOT EXISTS (SELECT 1 FROM calls n WHERE n.conv_id = c.conv_id AND n.turn = c.turn - 2)
+        UNION ALL
+        SELECT c.conv_id, c.turn, 0 FROM placed p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + 2
+    ),
+    linked AS (
+        SELECT c.conv_id, c.turn, p.depth, c.text, r.turn IS NOT NULL AS answered, d.conv_id IS NOT NULL AS known,
+            CASE WHEN json_valid(r.text) THEN json(r.text) ELSE to_json(r.text) END AS result
+        FROM calls c LEFT JOIN placed p USING (conv_id, turn) LEFT JOIN declared d USING (conv_id)
+        LEFT JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+    )
+    SELECT conv_id, turn AS slot, 0 AS depth, turn, -1 AS nth, 'message' AS kind, NULL::VARCHAR AS call_id,
+        json_object('content', text, 'role', role)::VARCHAR AS json, '' AS problems
+    FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+    UNION ALL
+    SELECT conv_id, turn, coalesce(depth, -1), turn, 0, 'call', turn::VARCHAR,
+        json_object('arguments', json_object('text', text, 'turn', turn), 'call', turn::VARCHAR, 'name', '{TOOL}', 'result', result)::VARCHAR,
+        array_to_string(list_filter([
+            CASE WHEN NOT known THEN 'no schema' WHEN text IS NULL THEN 'not a string: text' END, CASE WHEN NOT answered THEN 'no result' END
+        ], lambda x: x IS NOT NULL), '; ')
+    FROM linked
+    UNION ALL
+    SELECT r.conv_id, r.turn, 0, r.turn, -1, 'orphan', (r.turn - 1)::VARCHAR, json_object('content', r.text, 'role', 'tool')::VARCHAR, 'no call'
+    FROM replies r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1 WHERE c.turn IS NULL
+    """
