@@ -18,9 +18,17 @@ CASES = [
     (9, "\n\n...\n"),
     (10, "© 2021 Them\nAll rights reserved.\nMIT License"),
     (11, "wörter " * 200_000),
+    (12, "Intro.\n\n" + MIT.split("\n", 1)[1] + "\n\nThe end."),
+    (13, "Intro.\n\n" + MIT.replace("\n\n", "\n\nCopyright (c) 1999 Us\n\n", 1) + "\n ---\n" + licenses.TEXTS["ISC"].upper()),
+    (14, "Intro.\n\n" + MIT.rsplit("\n\n", 1)[0]),
+    (15, "\n\n" + MIT),
 ]
 
 
+def line_of(text):
+    return next(k for k, x in enumerate(dict(CASES)[13].lower().split("\n")) if x == text)
+
+
 def found(frame):
     return sorted([tuple(r) for r in frame.collect()], key=str)
 
@@ -39,6 +47,18 @@ def test_whole_texts_paragraphs_and_lines(docs):
             (10, "line", 2, "MIT"),
             (10, "text", 0, "MIT"),
             (None, "text", 0, "CC-BY-NC-4.0"),
+            (12, "block", 1, "MIT"),
+            (13, "line", 2, "MIT"),
+            (13, "block", 1, "MIT"),
+            (13, "block", 2, "MIT"),
+            (13, "line", line_of("isc license"), "ISC"),
+            (13, "block", 5, "ISC"),
+            (13, "block", 6, "ISC"),
+            (14, "line", 2, "MIT"),
+            (15, "line", 2, "MIT"),
+            (15, "block", 1, "MIT"),  # the text without its title
+            (3, "block", 1, "MIT"),
+            (15, "text", 0, "MIT"),
         ],
         key=str,
     )
