@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import gathered, small_batches
 
 #: Bytes of text whose distinct words are encoded together; a worker's memory follows this, not the partition.
-ROUND_BYTES = 2 << 20
+ROUND_BYTES = 3 << 20
 #: Memory of one worker's DuckDB.
 DUCKDB_MEMORY = "300MB"
 
@@ -24,8 +25,8 @@ SPACES = "\t-\r \x85\xa0  -     　"
 #: White space with the word after it. No match of a tokenizer's pattern reaches over the end of such a piece.
 PIECE = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
-#: Bytes that a query takes at once (it holds the rows of every step), and distinct pieces that a worker remembers.
-QUERY_BYTES, REMEMBERED = 1 << 17, 150_000
+#: Bytes that a query takes at once (it holds the rows of every step), and distinct words that a worker remembers.
+QUERY_BYTES, REMEMBERED = 1 << 19, 300_000
 #: Bytes of the windows that a longer word is cut into, and from one window's start to the next. The step is a multiple
 #: of many small numbers, so that windows of a periodic word start alike.
 WINDOW, STEP = 120, 60
@@ -136,6 +137,7 @@ class Coder:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
+        self.single: dict[str, int] = {}  # of the pieces that are one word
         self.ids, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +169,7 @@ class Coder:
         cut = [word[s : s + WINDOW] for s in starts]
         distinct = {w: n for n, w in enumerate(dict.fromkeys(cut))}
         found: list[np.ndarray] = []
-        for some in chunks(list(distinct), [len(w) for w in distinct], QUERY_BYTES // 4):
+        for some in chunks(list(distinct), [len(w) for w in distinct], QUERY_BYTES // 8):
             ids, of = self._contracted(ENCODE, some)
             found += np.split(ids, np.cumsum(np.bincount(of, minlength=len(some)))[:-1])
         parts, at = [], 0
@@ -200,22 +202,29 @@ class Coder:
         found = self.db.sql(query).to_arrow_table()
         return found["id"].to_numpy(), found["w"].to_numpy()
 
-    def _remember(self, pieces: list[str]) -> np.ndarray:
-        """The places of distinct pieces among those remembered; new ones are split and encoded."""
+    def _remember(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of each piece's words, one piece after the other, and how many words each has; new words are encoded."""
         if len(self.places) > REMEMBERED:
             self._forget()
-        new = [p for p in pieces if p not in self.places]
-        if new:
-            found = [self.pattern.findall(p) for p in new]
-            words: dict[str, int] = {}
-            of_piece = np.array([words.setdefault(w, len(words)) for ws in found for w in ws], np.int64)
-            ids, counts = self.words([w.encode() for w in words])
-            ids, counts = spread(ids, counts, of_piece)
-            self.ids = np.concatenate((self.ids, ids))
-            self.counts = np.concatenate((self.counts, summed(counts, np.array([len(ws) for ws in found], np.int64))))
-            for p in new:
-                self.places[p] = len(self.places)
-        return np.array([self.places[p] for p in pieces], np.int64)
+        first = len(self.places)
+        places, single = self.places, self.single
+        of, sizes = [], np.ones(len(pieces), np.int64)
+        for n, piece in enumerate(pieces):
+            at = single.get(piece)
+            if at is not None:
+                of.append(at)
+                continue
+            found = self.pattern.findall(piece)
+            for w in found:
+                of.append(places.setdefault(w, len(places)))
+            if found == [piece]:
+                single[piece] = of[-1]
+            sizes[n] = len(found)
+        if len(places) > first:
+            new = itertools.islice(places, first, None)
+            ids, counts = self.words([w.encode() for w in new])
+            self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
+        return np.array(of, np.int64), sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -227,8 +236,9 @@ class Coder:
             pieces += found
         coded = pa.array(pieces, pa.large_string()).dictionary_encode()
         del pieces
-        places = self._remember(coded.dictionary.to_pylist())
-        ids, counts = spread(self.ids, self.counts, places[coded.indices.to_numpy()])
+        of, counts = self._remember(coded.dictionary.to_pylist())
+        ids, lengths = spread(self.ids, self.counts, of)
+        ids, counts = spread(ids, summed(lengths, counts), coded.indices.to_numpy())
         ends = np.cumsum(summed(counts, np.array(sizes, np.int64)))
         return np.split(ids.astype("<u4"), ends[:-1]) if texts else []
 
@@ -288,7 +298,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     (word, position, id) which meet the merge table, and the leftmost pair of least rank is contracted,
     again and again in one recursive query, until no pair is left. Words of more than WINDOW bytes are
     contracted in overlapping windows that are joined at tokens they share, which gives the same ids. A worker
-    encodes the distinct words of ROUND_BYTES of text at a time and remembers up to REMEMBERED pieces. Special
+    encodes the distinct words of ROUND_BYTES of text at a time and remembers about REMEMBERED words. Special
     tokens are ordinary text. A null or empty text has no ids. Repeated rows and null ids keep a row each; only
     the named columns are read.
     """
