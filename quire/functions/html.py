@@ -101,6 +101,88 @@ def is_matter(html: Column, heading: Column, n_words: Column) -> Column:
     return ~chapter & (named | (n_words < SHORT_MATTER) & rights)
 
 
+# Elements whose loss is told, and those that are never rewritten; classes of callouts.
+CONTENT = ("img", "table", "pre", "math", "svg", "figure")
+PROTECTED = ("img", "math", "svg", "figure")
+CALLOUT = r"(?i)^(?:note|tip|warning|caution|important|sidebar|box)$"
+#: Elements that are no prose, each with its content.
+UNPROSE = tuple(rf"(?is)<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in ("pre", "code", "script", "style"))
+#: Blocks with a callout's class, each up to its first end tag.
+CALLOUTS = tuple(
+    rf"""(?is)<{t}\s(?:[^>]*?\s)?class\s*=\s*["'](?:[^"']*\s)?(?:note|tip|warning|caution|important|sidebar|box)(?:\s[^"']*)?["'][^>]*>.*?</{t}\s*>"""
+    for t in ("aside", "div", "section")
+)
+SIDEBAR = r"""(?is)<aside\s(?:[^>]*?\s)?epub:type\s*=\s*["'][^"']*sidebar[^"']*["'][^>]*>.*?</aside\s*>"""
+CLASSES = r"""(?is)<[a-z][^>]*?\sclass\s*=\s*["']([^"']*)["']"""
+BODY_TAG = r"(?is)<body((?:\s[^>]*)?)>"
+ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*(?:"[^"]*"|'[^']*'))"""
+LINK_TAG = r"(?is)(<link\s[^>]*>)"
+STYLESHEET = r"""(?is)\srel\s*=\s*["'][^"']*stylesheet"""
+HREF = r"""(?is)\shref\s*=\s*["']([^"']*)["']"""
+CSS_CLASS = r"\.([A-Za-z_][A-Za-z0-9_-]*)"
+STYLE = r"(?is)<style(?:\s[^>]*)?>(.*?)</style\s*>"
+NAV = r"(?is)(<nav(?:\s[^>]*)?>.*?</nav\s*>)"
+NAV_LINK = r"(?is)(<a\s[^>]*>.*?</a\s*>)"
+CONTENTS = r"""(?is)<nav\s(?:[^>]*?\s)?epub:type\s*=\s*["'][^"']*toc"""
+
+
+def prose(html: Column) -> Column:
+    """The body's text without code, scripts and styles; one line end where tags stand between texts."""
+    text = F.regexp_replace(body(html), COMMENT, "")
+    for pattern in UNPROSE:
+        text = F.regexp_replace(text, pattern, "\n")
+    return unescape(F.regexp_replace(text, rf"(?:{TAG}|\n)+", "\n"))
+
+
+def is_callout(tag: Column, classes: Column, types: Column) -> Column:
+    """Whether an element of this name, with these classes and epub:type, is a callout."""
+    sidebar = (tag == "aside") & F.contains(F.coalesce(types, F.lit("")), F.lit("sidebar"))
+    return sidebar | tag.isin("div", "section", "aside") & F.exists(F.coalesce(classes, F.array().cast("array<string>")), lambda c: c.rlike(CALLOUT))
+
+
+def is_contents(html: Column) -> Column:
+    """Whether a page is the book's navigation document."""
+    return html.rlike(CONTENTS)
+
+
+def without_callouts(html: Column) -> Column:
+    for pattern in (*CALLOUTS, SIDEBAR):
+        html = F.regexp_replace(html, pattern, "")
+    return html
+
+
+def classes(html: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.flatten(F.transform(found(html, CLASSES), lambda c: F.split(c, r"\s+")))), "")
+
+
+def body_attributes(html: Column) -> Column:
+    """The body's attributes, each as name=\"value\", in order."""
+    return F.array_sort(F.regexp_extract_all(F.regexp_extract(html, BODY_TAG, 1), F.lit(ATTRIBUTE), F.lit(1)))
+
+
+def stylesheets(html: Column) -> Column:
+    """What the page's stylesheet links refer to."""
+    tags = F.filter(found(html, LINK_TAG), lambda t: t.rlike(STYLESHEET) & t.rlike(HREF))
+    return F.transform(tags, lambda t: unescape(F.regexp_extract(t, HREF, 1)))
+
+
+def style_classes(html: Column) -> Column:
+    """The classes that the page's own styles name."""
+    return F.array_distinct(F.regexp_extract_all(F.array_join(found(html, STYLE), "\n"), F.lit(CSS_CLASS), F.lit(1)))
+
+
+def repeated_ids(html: Column) -> Column:
+    """The identifiers that stand twice or more, in order."""
+    def of(ids: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.zip_with(ids, F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1))), lambda a, b: F.when(a == b, a))))
+
+    return T.named(F.array_sort(found(html, IDS)), of)
+
+
+def tag_count(html: Column, tag: str) -> Column:
+    return F.regexp_count(visible(html), F.lit(rf"(?i)<{tag}[\s/>]"))
+
+
 def heading_jumps(html: Column) -> Column:
     """How often a heading is more than one level below the one before it."""
     levels = F.transform(found(html, r"(?i)<h([1-6])(?:\s[^>]*)?>"), lambda x: x.cast("int"))

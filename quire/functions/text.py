@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,19 @@ BANNED = {"gate": "gat(?:e|es|ed|ing)", "provenance": "provenances?", "delve": "
 # What Markdown leaves in a text.
 RESIDUE = r"^#{1,6}\s|\*\*\S[^*]*\*\*|```|\]\([^)\s]+\)|^\|\s*-{3}"
 
+# The shares of a chapter's words that a rewrite may have.
 LEAST_SHARE, MOST_SHARE = 0.55, 0.70
+# Labels of captions, what a terminal program adds to a reply, and what an identifier may not hold.
+CAPTION = rf"(?i)^[{BLANK}]*(?:figure|table|listing|example)[{BLANK}]+[0-9A-Z]+[-.–][0-9]+"
+CLOSED_TOKEN = "⟦[^⟦⟧]*⟧"
+ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
+FOOTER = rf"(?m)^[{BLANK}▸>]*Credits:.*?Time:.*$"
+SLUG, SLUG_LENGTH = "[^a-z0-9]+", 40
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once for each row."""
+    return F.transform(F.array(value), use)[0]
 
 
 def word_count(text: Column) -> Column:
@@ -120,3 +134,84 @@ def residue(text: Column) -> Column:
 def length_contract(n_words: Column) -> dict[str, Column]:
     """The least and most words that a rewrite may have."""
     return {"least_words": F.floor(n_words * F.lit(LEAST_SHARE)), "most_words": F.floor(n_words * F.lit(MOST_SHARE))}
+
+
+def unescaped_tokens(text: Column) -> Column:
+    """Backslashes inside tokens go."""
+    gaps, found = F.split(text, CLOSED_TOKEN, -1), F.regexp_extract_all(text, F.lit(CLOSED_TOKEN), F.lit(0))
+    made = F.zip_with(gaps, found, lambda g, t: F.concat(g, F.coalesce(F.replace(t, F.lit("\\"), F.lit("")), F.lit(""))))
+    return F.array_join(made, "")
+
+
+def has_token(text: Column, kind: Column, number: Column) -> Column:
+    """Whether a token of this kind and number stands in the text, whatever its gist has become; PRE-1 isn't PRE-10."""
+    return F.rlike(text, F.concat(F.lit("⟦"), kind, F.lit("-"), number.cast("string"), F.lit("(?:[^0-9⟦⟧][^⟦⟧]*)?⟧")))
+
+
+def caption_label(text: Column) -> Column:
+    """The label that a caption opens with, without blanks, in lower case; null without one."""
+    return F.nullif(F.lower(F.regexp_replace(F.regexp_extract(F.regexp_replace(text, CLOSED_TOKEN, ""), CAPTION, 0), f"[{BLANK}]+", "")), F.lit(""))
+
+
+def caption_key(text: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(text, CLOSED_TOKEN, ""), f"[{BLANK}]+", ""))
+
+
+def caption_like(paragraph: Column, original: Column) -> Column:
+    """Whether a paragraph is a caption rewritten: its label and the sign after it, and no more than twice its length and 20 letters.
+
+    That it stands beside a listing or table is for the caller to see.
+    """
+    old, new = F.regexp_replace(original, CLOSED_TOKEN, ""), strip(F.regexp_replace(paragraph, CLOSED_TOKEN, ""))
+    after = lambda t: F.substring(t, F.length(F.regexp_extract(t, CAPTION, 0)) + 1, F.lit(1))
+    return old.rlike(CAPTION) & new.rlike(CAPTION) & (after(old) == after(new)) & (F.length(new) <= 2 * F.length(old) + 20)
+
+
+def normal(text: Column) -> Column:
+    """Without tokens, one space for each run of white space, in lower case."""
+    return F.lower(flat(F.regexp_replace(text, CLOSED_TOKEN, "")))
+
+
+def slug(text: Column) -> Column:
+    """The identifier that a heading's text gives, before it is told apart from others."""
+    made = F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), SLUG, "-"), "^-+|-+$", ""), 1, SLUG_LENGTH)
+    return F.concat(F.lit("sec-"), F.when(made == "", "x").otherwise(made))
+
+
+def contents_id(href: Column) -> Column:
+    return F.concat(F.lit("toc-"), F.regexp_replace(href, r"[^\p{L}\p{N}_-]", "-"))
+
+
+def context(primer: Column, index: Column, name: Column) -> Column:
+    """What a rewriter is told of the book and the chapter at hand."""
+    head, at = F.lit("\n\n# Book context\n\n"), F.lit("\n\n# Current chapter\n\nYou are rewriting chapter ")
+    return F.concat(head, primer, at, index.cast("string"), F.lit(": "), name, F.lit("."))
+
+
+def request(original: Column, rewrite: Column) -> Column:
+    return F.concat(F.lit("ORIGINAL:\n\n"), original, F.lit("\n\n---\n\nREWRITE:\n\n"), rewrite)
+
+
+def check_request(original: Column, top: Column, headings: Column) -> Column:
+    """The request to check an opening; the headings come last, if there are any."""
+    listed = F.when(F.size(headings) > 0, F.concat(F.lit("\n\n---\n\nHEADINGS:\n\n"), F.array_join(headings, "\n"))).otherwise("")
+    return F.concat(F.lit("ORIGINAL:\n\n"), original, F.lit("\n\n---\n\nTOP:\n\n"), top, listed)
+
+
+def reply(text: Column) -> Column:
+    """A program's reply without colours, without the line on its costs, and without the mark before it."""
+    kept = strip(F.regexp_replace(F.regexp_replace(text, ANSI, ""), FOOTER, ""))
+    return strip(F.regexp_replace(kept, "^> ", ""))
+
+
+def words_shared(a: Column, b: Column) -> Column:
+    """The words that two texts share, as a share of the larger set; 0 where one has none."""
+    one, other = F.array_distinct(words(a)), F.array_distinct(words(b))
+    larger = F.greatest(F.size(one), F.size(other))
+    return F.when((F.size(one) > 0) & (F.size(other) > 0), F.size(F.array_intersect(one, other)) / larger).otherwise(0.0)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    one, other = F.array_distinct(words(a)), F.array_distinct(words(b))
+    both = F.size(F.array_union(one, other))
+    return F.when((F.size(one) > 0) & (F.size(other) > 0), F.size(F.array_intersect(one, other)) / both).otherwise(0.0)

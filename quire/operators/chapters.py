@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
+from .links import book
 
 #: Rows of one group that a task ranks at most; the blocks of a group are put in order by their counts.
 BLOCK = 4096
@@ -14,11 +15,11 @@ MIN_WORDS, EXCERPT_WORDS = 200, 120
 
 
 def ranked(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """``rows`` with each row's place in its group, from 0, by the whole number ``order`` (unique in the group).
+    """``rows`` with each row's place in its group, from 0, by the whole number ``order`` (unique in the group; groups aren't null).
 
     A large group is ranked in blocks of BLOCK consecutive numbers, whose row counts are summed up, so no task gets a whole group.
     """
-    rows = rows.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col(order) / BLOCK), F.lit(-(1 << 60))))
     counts = rows.groupBy(group, "_block").count()
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(group, "_block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -28,10 +29,13 @@ def ranked(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
 
 
 def scan(pages: DataFrame) -> DataFrame:
-    """(page_id, book, index, title, words): pages as the chapters of their host, in the order of page_id."""
+    """(page_id, book, index, title, words): pages as the chapters of their host, in the order of page_id; a null one comes first.
+
+    Pages without a readable address are the chapters of a book without a name.
+    """
     rows = pages.select(
         "page_id",
-        F.try_parse_url("url", F.lit("HOST")).alias("book"),
+        book().alias("book"),
         H.title(F.col("html")).alias("title"),
         T.word_count(H.page_text(F.col("html"))).alias("words"),
     )
@@ -39,12 +43,13 @@ def scan(pages: DataFrame) -> DataFrame:
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """(page_id, title, words, html, is_reference, is_matter, passthrough); nothing is shuffled."""
+    """(page_id, url, html, title, words, is_contents, is_reference, is_matter, passthrough); nothing is shuffled."""
     html = F.col("html")
     rows = pages.select("page_id", "url", "html", H.title(html).alias("title"), T.word_count(H.page_text(html)).alias("words"))
+    rows = rows.withColumn("is_contents", H.is_contents(html))
     rows = rows.withColumn("is_reference", H.is_reference(html, F.col("title")))
     rows = rows.withColumn("is_matter", H.is_matter(html, F.col("title"), F.col("words")))
-    return rows.withColumn("passthrough", F.col("is_reference") | F.col("is_matter"))
+    return rows.withColumn("passthrough", F.col("is_contents") | F.col("is_reference") | F.col("is_matter"))
 
 
 def selected(min_words: int = MIN_WORDS, skip: tuple[int, ...] = (), only: tuple[int, ...] | None = None, index: str = "page_id") -> Column:

@@ -50,24 +50,58 @@ def extracted(pages: DataFrame) -> DataFrame:
     return rows.filter(~F.col("ref").rlike(H.EXTERNAL))
 
 
+def book() -> Column:
+    """The host of ``url``; empty for a page without a readable address, so that such pages are a book of their own."""
+    return F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
+
+
+def path() -> Column:
+    return F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit(""))
+
+
 def addressed(pages: DataFrame) -> DataFrame:
     """(book, path) of the pages that there are."""
-    part = lambda name: F.try_parse_url("url", F.lit(name))
-    return pages.select(part("HOST").alias("book"), normal(F.coalesce(part("PATH"), F.lit(""))).alias("path")).distinct()
+    return pages.select(book().alias("book"), normal(path()).alias("path")).distinct()
+
+
+def identified(pages: DataFrame) -> DataFrame:
+    """(book, path, id) of the identifiers that there are."""
+    rows = pages.select(book().alias("book"), normal(path()).alias("path"), F.explode(H.found(F.col("html"), H.IDS)).alias("id"))
+    return rows.distinct()
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows(url, ref, ...)`` with the book, path and fragment that the reference leads to, and without the address."""
+    made = rows.withColumn("book", book()).withColumn("target", resolved(F.when(path() == "", "/").otherwise(path()), F.col("ref")))
+    return made.withColumn("fragment", fragment(F.col("ref"))).drop("url")
 
 
 def targets(pages: DataFrame) -> DataFrame:
-    """(page_id, book, kind, pos, ref, target): the links with the paths that they lead to."""
-    part = lambda name: F.try_parse_url("url", F.lit(name))
-    rows = extracted(pages).select("page_id", part("HOST").alias("book"), F.coalesce(part("PATH"), F.lit("/")).alias("from"), "kind", "pos", "ref")
-    return rows.withColumn("target", resolved(F.col("from"), F.col("ref"))).drop("from")
+    """(page_id, book, kind, pos, ref, target, fragment): the links with the paths and identifiers that they lead to."""
+    return placed(extracted(pages)).select("page_id", "book", "kind", "pos", "ref", "target", "fragment")
 
 
-def checked(pages: DataFrame) -> DataFrame:
-    """(page_id, book, kind, pos, ref, target, resolves). Links of one book meet its pages by book and path, so a large book is spread."""
+def resolving(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """``rows`` of ``placed`` with ``resolves``: there is such a page and, where a fragment is given, it has such an identifier.
+
+    References of one book meet its pages and identifiers by book, path and identifier, so a large book is spread.
+    """
     there = addressed(pages).select("book", F.col("path").alias("target"), F.lit(True).alias("there"))
-    rows = targets(pages).join(there, ["book", "target"], "left")
-    return rows.select("page_id", "book", "kind", "pos", "ref", "target", F.coalesce("there", F.lit(False)).alias("resolves"))
+    named = identified(pages).select("book", F.col("path").alias("target"), F.col("id").alias("fragment"), F.lit(True).alias("named"))
+    rows = rows.join(there, ["book", "target"], "left").join(named, ["book", "target", "fragment"], "left")
+    found = F.col("there").isNotNull() & ((F.col("fragment") == "") | F.col("named").isNotNull())
+    return rows.withColumn("resolves", found).drop("there", "named")
+
+
+def checked(pages: DataFrame) -> DataFrame:
+    """(page_id, book, kind, pos, ref, target, fragment, resolves) of all internal links."""
+    return resolving(targets(pages), pages).select("page_id", "book", "kind", "pos", "ref", "target", "fragment", "resolves")
+
+
+def referenced(pages: DataFrame) -> DataFrame:
+    """(book, path, id) of the identifiers that some link leads to: the anchors that a rewrite must keep."""
+    wanted = targets(pages).filter("fragment <> ''").select("book", F.col("target").alias("path"), F.col("fragment").alias("id")).distinct()
+    return identified(pages).join(wanted, ["book", "path", "id"], "left_semi")
 
 
 def lost(source: DataFrame, output: DataFrame) -> DataFrame:
@@ -96,4 +130,4 @@ def duplicate_ids(pages: DataFrame) -> DataFrame:
 
 def css_classes(sheets: DataFrame, text_col: str = "text") -> DataFrame:
     """(class) that stylesheets name."""
-    return sheets.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\.([A-Za-z_][\w-]*)"), F.lit(1))).alias("class")).distinct()
+    return sheets.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(H.CSS_CLASS), F.lit(1))).alias("class")).distinct()

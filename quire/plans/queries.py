@@ -12,7 +12,11 @@ from ..functions import text as T
 from ..operators import chapters as C
 from ..operators import guards as G
 from ..operators import links as L
-from . import sql
+from . import edition_queries, edition_sql, sql
+
+
+REPLIES = ("user", "assistant")
+CLASSES = ("page_id", "title", "words", "is_contents", "is_reference", "is_matter", "passthrough")
 
 
 def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,11 +32,11 @@ def _documents(**columns: Callable[[Column], Column]) -> Callable[[SparkSession,
     return _over("documents", lambda docs: docs.select("doc_id", *(make(F.col("text")).alias(n) for n, make in columns.items())))
 
 
-def _pairs(**columns: Callable[[Column, Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    """One row for each pair of turns, with columns made of its source and output."""
+def _pairs(roles: tuple[str, str] = ("assistant", "user"), **columns: Callable[[Column, Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    """One row for each pair of turns of these roles, with columns made of its source and output."""
     return _over(
         "conversations",
-        lambda rows: G.turns(rows).select("conv_id", "turn", *(make(F.col("source"), F.col("output")).alias(n) for n, make in columns.items())),
+        lambda rows: G.turns(rows, *roles).select("conv_id", "turn", *(make(F.col("source"), F.col("output")).alias(n) for n, make in columns.items())),
     )
 
 
@@ -51,7 +55,7 @@ def _nav_lost(pages: DataFrame) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "chapter_scan": _over("pages", C.scan),
-        "chapter_classify": _over("pages", lambda p: C.classified(p).select("page_id", "title", "words", "is_reference", "is_matter", "passthrough")),
+        "chapter_classify": _over("pages", lambda p: C.classified(p).select(*CLASSES)),
         "rewrite_select": _over("pages", lambda p: C.classified(p).filter(C.selected()).select("page_id", "title", "words")),
         "results_summary": _over("pages", lambda p: C.summary(C.results(C.classified(p)))),
         "primer_excerpts": _over("pages", lambda p: C.excerpts(C.classified(p))),
@@ -68,6 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "markdown_residue": _documents(marks=T.residue),
         "sane_pairs": _pairs(sane=G.sane),
         "ratio_pairs": _pairs(words_in=lambda a, b: T.word_count(a), words_out=lambda a, b: T.word_count(b), ratio=lambda a, b: T.percent(G.share(a, b))),
+        "sane_replies": _pairs(REPLIES, sane=G.sane),
+        "ratio_replies": _pairs(
+            REPLIES, words_in=lambda a, b: T.word_count(a), words_out=lambda a, b: T.word_count(b), ratio=lambda a, b: T.percent(G.share(a, b))
+        ),
         "body_problem_pairs": _pairs(problem=G.body_problem),
         "evidence_containment": _pairs(held=lambda a, b: G.evidence_held(a, T.opening_line(b))),
         "link_extract": _over("pages", lambda p: L.extracted(p).select("page_id", "kind", "pos", "ref")),
@@ -78,8 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "heading_jumps": _over("pages", lambda p: p.select("page_id", H.heading_jumps(F.col("html")).alias("jumps"))),
         "revision_guard": _pairs(problem=lambda a, b: G.revision_problem(a, a, b)),
         "cache_upgrade": _pairs(upgraded=G.upgraded),
-    }
+    } | edition_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.QUERIES)
+    return sql.QUERIES | edition_sql.QUERIES

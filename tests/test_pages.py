@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quire.functions import html as H
+from quire.operators import blocks as B
 from quire.operators import chapters as C
 from quire.operators import links as L
-from quire.plans import queries, sql
+from quire.plans import queries
 
 LONG = "word " * 300
 SHAPES = [
@@ -54,16 +55,33 @@ def test_places_in_large_groups(spark, monkeypatch, block):
 
 
 def test_links_resolve(spark):
-    html = ['<a href="p1">', "<a class='x' href='../d/./p2#s'><img src=\"/d/p%31\"><a href='https://b.example/'><a href=\"mailto:x@y\">", '<link href="gone.css">']
-    made = {(r.page_id, r.ref): (r.target, r.resolves) for r in L.checked(pages(spark, html)).collect()}
+    html = [
+        '<a href="p1">',
+        "<a class='x' href='../d/./p2#s'><img src=\"/d/p%31\"><a href='https://b.example/'><a href=\"mailto:x@y\">",
+        '<link href="gone.css"><p id="t u"><a href="#t%20u"><a href="#gone"><a href="p1#"><a href="nowhere#t u">',
+    ]
+    made = {(r.page_id, r.ref): (r.target, r.fragment, r.resolves) for r in L.checked(pages(spark, html)).collect()}
     assert made == {
-        (0, "p1"): ("/d/p1", True),
-        (1, "../d/./p2#s"): ("/d/p2", True),
-        (1, "/d/p%31"): ("/d/p1", True),
-        (2, "gone.css"): ("/d/gone.css", False),
+        (0, "p1"): ("/d/p1", "", True),
+        (1, "../d/./p2#s"): ("/d/p2", "s", False),
+        (1, "/d/p%31"): ("/d/p1", "", True),
+        (2, "gone.css"): ("/d/gone.css", "", False),
+        (2, "#t%20u"): ("/d/p2", "t u", True),
+        (2, "#gone"): ("/d/p2", "gone", False),
+        (2, "p1#"): ("/d/p1", "", True),
+        (2, "nowhere#t u"): ("/d/nowhere", "t u", False),
     }
+    assert [tuple(r) for r in L.referenced(pages(spark, html)).collect()] == [("a.example", "/d/p2", "t u")]
     lost = L.lost(pages(spark, html), pages(spark, html[:2]))
-    assert [tuple(r) for r in lost.collect()] == [("a.example", "/d/gone.css")]
+    assert sorted(tuple(r) for r in lost.collect()) == [("a.example", "/d/gone.css"), ("a.example", "/d/nowhere")]
+
+
+def test_pages_without_an_address(spark):
+    rows = [(1, None, "<h1>A</h1><a href='x'>"), (None, "not a url", "<h1>B</h1>"), (3, "https://a.example/c", "<h1>C</h1><a href='d'>"), (4, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted([(r.page_id, r.book, r["index"]) for r in C.scan(frame).collect()], key=str) == sorted([(None, "", 0), (1, "", 1), (4, "", 2), (3, "a.example", 0)], key=str)
+    assert L.lost(frame, frame).count() == 0
+    assert L.checked(frame).count() == 2
 
 
 def test_ids_tags_and_jumps(spark):
@@ -82,13 +100,20 @@ def test_empty_and_null_pages(spark):
         assert L.tag_counts(frame).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(sql.QUERIES))
+def test_contents_classes_and_callouts(spark):
+    frame = pages(spark, ['<nav class="x" epub:type="toc landmarks"><style>.a-b{} p.c{}</style><aside epub:type="sidebar"><div class="y Note"><section class="noted">', "<nav><p>"])
+    assert [r.is_contents for r in C.classified(frame).orderBy("page_id").collect()] == [True, False]
+    assert frame.select(H.style_classes(F.col("html")).alias("c")).first().c == ["a-b", "c"]
+    assert [(r.tag, r["class"]) for r in B.callouts(frame).orderBy("pos").collect()] == [("aside", ""), ("div", "y Note")]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_agree_with_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for table in ("pages", "documents", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
-    want = con.sql(sql.QUERIES[name])
+    want = con.sql(queries.oracle_sql()[name])
     made = queries.queries()[name](spark, sf_dir)
     assert sorted(made.columns) == sorted(want.columns)
     rows = [tuple(r) for r in made.select(*want.columns).collect()]
