@@ -19,7 +19,7 @@ from .byte_bpe import spread, summed
 from .common import gathered, shared_dir, small_batches, stage
 
 #: Bytes of text whose distinct words are encoded together, and characters of words that a worker remembers.
-ROUND_BYTES, REMEMBERED_CHARS = 6 << 20, 4 << 20
+ROUND_BYTES, REMEMBERED_CHARS = 4 << 20, 3 << 20
 #: Ids to a partition of the sorted output, the most such partitions (beyond, each gets more and its sort spills), and ids to a file.
 PART_IDS, MOST_PARTS, FILE_IDS = 8 << 20, 10_000, 4 << 20
 #: Words put into one text for the library, and ids that are decoded at a time.
