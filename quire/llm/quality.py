@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stage
 
 # Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,10 +13,13 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
-#: Buckets of the two multinomials: their tables and the weights' table have so many rows, whatever the input.
-BUCKETS = 1 << 14
-#: Added to each raw bucket's count; the target is smoothed by so many n-grams of the raw corpus.
-RAW_PRIOR, TARGET_PRIOR = 1, BUCKETS
+#: Buckets of the two multinomials: at least as many as documents and a power of two, from the first to the last of these.
+#: The last bounds what is broadcast (four bytes each); beyond as many documents, more n-grams share a bucket.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 22
+#: Weights are held in rows of so many buckets.
+ROW = 1 << 10
+#: Added to each raw bucket's count; the target is smoothed by as many n-grams of the raw corpus as there are buckets.
+RAW_PRIOR = 1
 #: Millionths of a nat for each n-gram: a document below this is dropped.
 LEAST_SCORE = -150_000
 
@@ -75,47 +75,44 @@ def base(text: Column) -> Column:
     )
 
 
-def buckets(text: Column) -> Column:
+def buckets_for(documents: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, documents - 1).bit_length()))
+
+
+def buckets(text: Column, size: int) -> Column:
     """The buckets of a text's single tokens and pairs of neighbours; tokens are runs of letters and digits, or of other signs."""
     hashed = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
     def made(h: Column) -> Column:
         follow = F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0)))
-        single = F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
-        paired = F.zip_with(F.slice(h, 1, F.size(follow)), follow, lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(BUCKETS)).cast("int"))
+        single = F.transform(h, lambda x: F.pmod(x, F.lit(size)).cast("int"))
+        paired = F.zip_with(F.slice(h, 1, F.size(follow)), follow, lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(size)).cast("int"))
         return F.concat(single, paired)
 
     return let(hashed, made)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
-    """Millionths of ln(target / raw) for each bucket.
+def weights(docs: DataFrame, trusted: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row with ``table``: millionths of ln(target / raw) for each of ``size`` buckets, in rows of ROW.
 
     The raw multinomial counts every document, the target every one that ``trusted(doc_id)`` names. The two
     meet in a shuffled join, so nothing that grows with the input is broadcast; rows with a null id are never
-    trusted and stay out of it. The driver gets BUCKETS rows at most.
+    trusted and stay out of it. The driver gets the sums of the two.
     """
     ids = trusted.select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct().hint("shuffle_hash")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     named = rows.filter("_id is not null").join(ids, F.col("_id") == F.col("_trusted"), "left")
     rows = named.select("_text", "_trusted").unionByName(rows.filter("_id is null").select("_text"), allowMissingColumns=True)
-    counts = (
-        rows.select(F.col("_trusted").isNotNull().alias("t"), F.explode(buckets(F.col("_text"))).alias("b"))
-        .groupBy("b")
-        .agg(F.count("*").alias("raw"), F.count_if("t").alias("target"))
-        .collect()
-    )
-    raw, target = [RAW_PRIOR] * BUCKETS, [0] * BUCKETS
-    for r in counts:
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
-    return ratios(raw, target)
-
-
-def ratios(raw: list[int], target: list[int]) -> list[int]:
-    all_raw, all_target = sum(raw), sum(target) + TARGET_PRIOR
-    shares = [r / all_raw for r in raw]
-    return [round(1e6 * math.log((t + TARGET_PRIOR * p) / all_target / p)) for t, p in zip(target, shares, strict=True)]
+    counts = rows.select(F.col("_trusted").isNotNull().alias("t"), F.explode(buckets(F.col("_text"), size)).alias("b"))
+    counts = stage(counts.groupBy("b").agg(F.count("*").alias("raw"), F.count_if("t").alias("target")), "buckets")
+    sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
+    every = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    share = (F.coalesce("raw", F.lit(0)) + RAW_PRIOR) / F.lit(float(sums["raw"] + RAW_PRIOR * size))
+    ratio = (F.coalesce("target", F.lit(0)) + size * F.col("share")) / F.lit(float(sums["target"] + size)) / F.col("share")
+    every = every.withColumn("share", share).withColumn("w", F.round(1e6 * F.ln(ratio)).cast("int"))
+    lines = every.groupBy(F.floor(F.col("b") / ROW).alias("line")).agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("ws"))
+    table = lines.select("line", F.col("ws.w").alias("ws")).agg(F.array_sort(F.collect_list(F.struct("line", "ws"))).alias("lines"))
+    return table.select(F.col("lines.ws").alias("table"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: int = LEAST_SCORE) -> DataFrame:
@@ -123,17 +120,21 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     score is the mean log-likelihood ratio of the text's hashed one- and two-token n-grams, trusted target
     against raw corpus, in millionths of a nat (whole numbers, so every run gives the same verdict); null
-    without an n-gram. kept is false if the base rules fail, else whether score >= least_score. A null text
+    without an n-gram. kept is false if the base rules fail, else whether score >= least_score. The buckets that n-grams are
+    hashed to grow with the number of documents (``buckets_for``). A null text
     has no words and fails the base rules, as does an empty one. Repeated rows and null ids keep one row
     each. With no trusted row at all every score is zero. Only the named columns are read.
     """
-    table = F.from_json(F.lit(json.dumps(weights(docs, trusted, id_col, text_col))), "array<long>")
+    size = buckets_for(docs.count())
+    table = stage(weights(docs, trusted, size, id_col, text_col), "weights").scalar()
     text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("table", table)
 
     def total(b: Column) -> Column:
-        return F.struct(F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + table[x]).alias("sum"), F.size(b).alias("n"))
+        weight = lambda x: F.col("table")[F.shiftright(x, ROW.bit_length() - 1)][x.bitwiseAND(F.lit(ROW - 1))]
+        return F.struct(F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + weight(x)).alias("sum"), F.size(b).alias("n"))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), base(text).alias("m"), let(buckets(text), total).alias("s"))
+    rows = rows.select("doc_id", base(F.col("text")).alias("m"), let(buckets(F.col("text"), size), total).alias("s"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     score = F.when(F.col("s.n") > 0, F.floor(F.col("s.sum") / F.col("s.n")).cast("long"))
     out = rows.select("doc_id", "m.*", "s").withColumn("base_failed", failed).withColumn("score", score).drop("s")

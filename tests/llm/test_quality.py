@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import quality
@@ -19,6 +20,14 @@ def measures(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), failed
 
 
+def hashed(text, size):
+    """The buckets of a text, by an XXH64 of its own: of each token, and of each token's hash seeded with the one's before."""
+    tokens = [xxhash.xxh64_intdigest(t.encode(), 42) for t in re.findall(r"[^\W_]*[\w]+|[^\w\s]+", text or "")]
+    pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(tokens, tokens[1:], strict=False)]
+    signed = [h - (h >> 63 << 64) for h in tokens + pairs]
+    return [h % size for h in signed]
+
+
 def texts():
     rng = random.Random(2)
     made = [None, "", " \n\t", "a", "x " * 200, "one two three four five six seven eight " * 2, "line\nline\n \nline\n", "#*$ é|<> 😀& %"]
@@ -47,18 +56,16 @@ def test_verdicts_against_brute_force(spark, docs):
     data = docs(rows)
     trusted = spark.createDataFrame([(i,) for i in [0, 1, 2, 3, 4, 5, 5, None]], "doc_id long")
     got = sorted(((r.doc_id, r.score, r.kept, r.base_failed) for r in quality.judge(data, trusted).collect()), key=str)
-    # The same sums from the same buckets, added up in plain Python.
-    grams = {}
-    for r in data.select("text", quality.buckets(F.coalesce("text", F.lit(""))).alias("b")).distinct().collect():
-        grams[r.text] = r.b
-        tokens = re.findall(r"[^\W_]+|_+|[^\w\s]+", r.text or "")
-        assert len(r.b) == 2 * len(tokens) - 1 if tokens else not r.b
-    raw, target = [1] * quality.BUCKETS, [0] * quality.BUCKETS
+    size = quality.buckets_for(len(rows))
+    grams = {t: hashed(t, size) for _, t in rows}
+    for r in data.select("text", quality.buckets(F.coalesce("text", F.lit("")), size).alias("b")).distinct().collect():
+        assert sorted(r.b) == sorted(grams[r.text])
+    raw, target = [1] * size, [0] * size
     for i, t in rows:
         for b in grams[t]:
             raw[b] += 1
             target[b] += i in range(6)
-    mixed = [t + quality.BUCKETS * r / sum(raw) for r, t in zip(raw, target, strict=True)]
+    mixed = [t + size * r / sum(raw) for r, t in zip(raw, target, strict=True)]
     weight = [round(1e6 * (math.log(t / sum(mixed)) - math.log(r / sum(raw)))) for r, t in zip(raw, mixed, strict=True)]
     want = []
     for i, t in rows:
@@ -82,9 +89,28 @@ def test_every_trusted_row_counts(spark):
     n = 20_500  # more trusted ids than the 20,000 that once counted
     data = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     data = data.unionByName(spark.range(40).select(F.lit(None).cast("long").alias("doc_id"), F.lit("||").alias("text")))
-    got = quality.weights(data, data.select("doc_id"))
-    raw, target = [1] * quality.BUCKETS, [0] * quality.BUCKETS
-    for r in data.select("doc_id", F.explode(quality.buckets(F.col("text"))).alias("b")).collect():
-        raw[r.b] += 1
-        target[r.b] += r.doc_id is not None
-    assert sum(target) == n and got == quality.ratios(raw, target)
+    size = quality.buckets_for(n + 40)
+    got = [w for line in quality.weights(data, data.select("doc_id"), size).first().table for w in line]
+    raw, target = [1] * size, [0] * size
+    for i in range(n):
+        for b in hashed(f"w{i}", size):
+            raw[b] += 1
+            target[b] += 1
+    for b in hashed("||", size):
+        raw[b] += 40
+    want = [round(1e6 * math.log((t + size * r / sum(raw)) / (sum(target) + size) / (r / sum(raw)))) for r, t in zip(raw, target, strict=True)]
+    assert sum(target) == n and len(got) == size == 1 << 15 and max(abs(a - b) for a, b in zip(got, want, strict=True)) <= 1
+
+
+def test_buckets_grow_with_the_corpus(spark, docs, monkeypatch):
+    assert [quality.buckets_for(n) for n in (0, 1, 1 << 14, (1 << 14) + 1, 10**6, 10**9)] == [1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 20, 1 << 22]
+    monkeypatch.setattr(quality, "LEAST_BUCKETS", 1 << 10)
+    assert len(quality.weights(docs([(1, "a b")]), spark.createDataFrame([(1,)], "doc_id long"), 1 << 12).first().table) == 4
+
+
+def test_verdicts_on_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judge(docs, labels.filter("quality = 1").select("doc_id")).filter("not base_failed").join(labels, "doc_id")
+    found = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert found.get((1, False), 0) <= 0.001 * found[1, True]
+    assert found[0, False] > 4 * found.get((0, True), 0)
