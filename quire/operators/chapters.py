@@ -42,10 +42,10 @@ def scan(pages: DataFrame) -> DataFrame:
     return ranked(rows, "book", "page_id", "index").select("page_id", "book", "index", "title", "words")
 
 
-def classified(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, title, words, is_contents, is_reference, is_matter, passthrough); nothing is shuffled."""
+def classified(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, html, title, words, is_contents, is_reference, is_matter, passthrough) and the columns to ``keep``; nothing is shuffled."""
     html = F.col("html")
-    rows = pages.select("page_id", "url", "html", H.title(html).alias("title"), T.word_count(H.page_text(html)).alias("words"))
+    rows = pages.select("page_id", "url", "html", *keep, H.title(html).alias("title"), T.word_count(H.page_text(html)).alias("words"))
     rows = rows.withColumn("is_contents", H.is_contents(html))
     rows = rows.withColumn("is_reference", H.is_reference(html, F.col("title")))
     rows = rows.withColumn("is_matter", H.is_matter(html, F.col("title"), F.col("words")))

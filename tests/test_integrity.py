@@ -65,7 +65,6 @@ def test_spine(spark):
 def test_links_and_entries(spark):
     source = edition(spark, {0: PAGE + "<a href='#bad'><a href='p1'>", 1: PAGE, 2: PAGE})
     output = edition(spark, {0: PAGE.replace('id="t"', 'id="u"') + "<a href='#bad'><a href='p1'><a href='p9'>", 2: PAGE.replace("One", "Two")})
-    assert [(r.page_id, r.detail) for r in I.links_broken(source, output).orderBy("page_id").collect()] == [(0, "3: /d/p1#t, p1, p9"), (2, "1: /d/p1#t")] or True
     broken = {r.page_id: r.detail for r in I.links_broken(source, output).collect()}
     assert broken[0] == "3: /d/p1#t, p1, p9" and broken[2] == "1: /d/p1#t"
     assert [(r.place, r.detail) for r in I.entries_unresolved(output).collect()] == [("One", "/d/p1#t"), ("Two", "/d/p1#t")]
@@ -83,7 +82,7 @@ def test_summary_and_report(spark):
     lines = [r.line for r in I.report(found).orderBy("nth").collect()]
     assert len(lines) == 6 and lines[-1] == "… 4 more" and lines[0].startswith("problem: resource lost in /d/p7")
     assert I.verify(source, source).count() == 0
-    empty = edition(spark, {}) if False else spark.createDataFrame([], SCHEMA)
+    empty = spark.createDataFrame([], SCHEMA)
     assert I.verify(empty, empty).count() == 0
 
 
