@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 import re
 import struct
 import uuid
@@ -38,6 +40,7 @@ class Words:
     """Ids of words by the tokenizers library; a word stands between ASCII white space, over which no token reaches."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,14 +83,16 @@ class Words:
         """The places of distinct units among those remembered; new ones are encoded."""
         if self.chars > REMEMBERED_CHARS:
             self._forget()
-        new = [u for u in units if u not in self.places]
-        if new:
+        found = np.fromiter(map(self.places.get, units, itertools.repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [units[k] for k in missing.tolist()]
             ids, counts = self._encode_new(new)
             self.ids, self.counts = np.concatenate((self.ids, ids)), np.concatenate((self.counts, counts))
-            for u in new:
-                self.places[u] = len(self.places)
-                self.chars += len(u)
-        return np.array([self.places[u] for u in units], np.int64)
+            found[missing] = np.arange(len(self.places), len(self.places) + len(new))
+            self.places.update(zip(new, found[missing].tolist(), strict=True))
+            self.chars += sum(map(len, new))
+        return found
 
     def encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has. A word of letters and signs is two units."""
