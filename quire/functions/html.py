@@ -179,6 +179,12 @@ def repeated_ids(html: Column) -> Column:
     return T.named(F.array_sort(found(html, IDS)), of)
 
 
+def ill_formed(html: Column) -> Column:
+    """Whether a page can't be read as XML."""
+    made = F.from_xml(html, "broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    return F.coalesce(made["broken"].isNotNull(), html.isNotNull())
+
+
 def tag_count(html: Column, tag: str) -> Column:
     return F.regexp_count(visible(html), F.lit(rf"(?i)<{tag}[\s/>]"))
 

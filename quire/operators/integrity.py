@@ -75,8 +75,8 @@ def resources_lost(source: DataFrame, output: DataFrame) -> DataFrame:
     return gone.select("book", F.lit("problem").alias("level"), F.lit("resource lost").alias("kind"), F.col("path").alias("place"), detail.alias("detail"))
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """What the comparison needs of a page: some short arrays, counts and digests."""
+def features(pages: DataFrame, xhtml: bool = False) -> DataFrame:
+    """What the comparison needs of a page: some short arrays, counts and digests; with ``xhtml`` whether it can't be read as XML, too."""
     html = F.col("html")
     rows = pages.select("page_id", L.book().alias("book"), L.normal(L.path()).alias("path"), "html", H.prose(html).alias("prose"))
     sheets = F.transform(H.stylesheets(html), lambda h: L.resolved(F.col("path"), h))
@@ -92,6 +92,7 @@ def features(pages: DataFrame) -> DataFrame:
         H.classes(html).alias("classes"),
         levels.alias("jumps"),
         H.repeated_ids(html).alias("repeated"),
+        (H.ill_formed(html) if xhtml else F.lit(False)).alias("broken"),
         *(H.tag_count(html, t).alias(f"n_{t}") for t in H.CONTENT),
     )
 
@@ -102,14 +103,14 @@ def rewritten_pages(source: DataFrame, output: DataFrame) -> DataFrame:
     return made[0].join(made[1], "page_id").filter("was <> now").select("page_id")
 
 
-def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
+def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | None = None, xhtml: bool = False) -> DataFrame:
     """Findings of each page that both editions have.
 
     ``rewritten(page_id)`` names the pages that were rewritten, others are expected unchanged; without it those whose
-    prose differs count as rewritten. Whether a page is well-formed is not looked at, and of lost wrappers only
-    their classes are seen.
+    prose differs count as rewritten. ``xhtml`` also tells pages that can't be read as XML though the source's could. Of lost
+    wrappers only their classes are seen.
     """
-    was, now = (features(p).alias(n) for p, n in ((source, "s"), (output, "o")))
+    was, now = (features(p, xhtml).alias(n) for p, n in ((source, "s"), (output, "o")))
     both = was.join(now, F.col("s.page_id") == F.col("o.page_id"))
     if rewritten is None:
         both = both.withColumn("rewritten", F.col("s.prose") != F.col("o.prose"))
@@ -129,6 +130,7 @@ def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | N
     more = F.when(F.size(gone) > CLASSES_SHOWN, " …").otherwise("")
     stray = F.col("o.marks") - F.col("s.marks")
     every = [
+        F.when(F.col("o.broken") & ~F.col("s.broken"), finding("problem", "not well-formed XHTML", F.lit("can't be read as XML"))),
         F.when(F.size(sheets) > 0, finding("problem", "stylesheet link lost", F.array_join(sheets, ", "))),
         F.when(
             F.col("s.attributes") != F.col("o.attributes"),

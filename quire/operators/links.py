@@ -104,6 +104,12 @@ def referenced(pages: DataFrame) -> DataFrame:
     return identified(pages).join(wanted, ["book", "path", "id"], "left_semi")
 
 
+def stylesheets(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, sheet): the paths of the stylesheets that a page links to, in order and each once."""
+    sheets = F.transform(H.stylesheets(F.col("html")), lambda ref: resolved(F.when(path() == "", "/").otherwise(path()), ref))
+    return pages.select("page_id", F.posexplode(F.array_sort(F.array_distinct(sheets))).alias("pos", "sheet"))
+
+
 def lost(source: DataFrame, output: DataFrame) -> DataFrame:
     """(book, target) that links of ``source`` lead to and no link of ``output`` does."""
     return targets(source).select("book", "target").distinct().join(targets(output).select("book", "target").distinct(), ["book", "target"], "left_anti")

@@ -153,6 +153,7 @@ def queries() -> dict[str, Query]:
         "link_resolve_marked": _output(L.checked),
         "anchors_referenced": _source(L.referenced),
         "page_ids": _source(lambda p: p.select("page_id", F.explode(H.found(F.col("html"), H.IDS)).alias("id"))),
+        "stylesheet_refs": _output(L.stylesheets),
         "style_classes": _source(lambda p: p.select(L.book().alias("book"), F.explode(H.style_classes(F.col("html"))).alias("class")).distinct()),
         "tags_lost": _both(lambda s, o: L.fewer_tags(s.join(o.select("page_id"), "page_id", "left_semi"), o)),
         "duplicate_ids_marked": _output(L.duplicate_ids),

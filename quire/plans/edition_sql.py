@@ -355,6 +355,8 @@ QUERIES = {
     "anchors_referenced": f"""{_P} SELECT DISTINCT i.book, i.path, i.id FROM (SELECT {S.HOST} AS book, {_place()} AS path, unnest({_IDS}) AS id FROM source) i
         JOIN {checked("source")} l ON l.book = i.book AND l.target = i.path AND l.fragment = i.id""",
     "page_ids": f"{_P} SELECT page_id, unnest({_IDS}) AS id FROM source",
+    "stylesheet_refs": f"""{_P} SELECT page_id, (i - 1)::INT AS pos, l[i] AS sheet FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
+        SELECT page_id, list_sort(list_distinct(list_transform({_SHEETS}, lambda ref: {S.TARGET}))) AS l FROM output))""",
     "style_classes": f"{_P} SELECT DISTINCT {S.HOST} AS book, {_STYLED} AS class FROM source",
     "tags_lost": f"""{_P}, was AS (SELECT page_id, lower(tag) AS tag, count(*) AS before FROM (SELECT page_id, unnest({every(S.visible("html"), H.START_TAG, 1)}) AS tag FROM source) GROUP BY ALL),
         now AS (SELECT page_id, lower(tag) AS tag, count(*) AS after FROM (SELECT page_id, unnest({every(S.visible("html"), H.START_TAG, 1)}) AS tag FROM output) GROUP BY ALL)

@@ -3,6 +3,7 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import html as H
 from quire.operators import blocks as B
 from quire.operators import integrity as I
 from quire.operators import results as R
@@ -45,6 +46,14 @@ def test_page_findings(spark, change, want):
     assert told(spark, lambda h: h.replace(*change, 1) if change[0] else h) == want
 
 
+def test_well_formed(spark):
+    good = "<html><head/><body><p>a &amp; b<br/></p></body></html>"
+    assert edition(spark, {0: good, 1: "<p>a<p>b", 2: None, 3: ""}).select(H.ill_formed(F.col("html")).alias("x")).collect() == [(False,), (True,), (False,), (True,)]
+    source, output = edition(spark, {0: good, 1: "<p>a<p>b"}), edition(spark, {0: good.replace("</p>", ""), 1: "<p>a<p>b"})
+    assert [(r.page_id, r.kind) for r in I.pages_changed(source, output, xhtml=True).collect()] == [(0, "not well-formed XHTML")]
+    assert I.pages_changed(source, output).count() == 0
+
+
 def test_untouched_and_rewritten(spark):
     none = spark.createDataFrame([], "page_id long")
     assert told(spark, lambda h: h.replace("text", "other"), rewritten=none) == [("untouched document changed", "warning", "text differs from the source")]
