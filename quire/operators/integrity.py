@@ -90,6 +90,7 @@ def features(pages: DataFrame, xhtml: bool = False) -> DataFrame:
         T.residue(F.col("prose")).alias("marks"),
         F.regexp_extract("prose", f"(?md){T.RESIDUE}", 0).alias("mark"),
         H.classes(html).alias("classes"),
+        H.wrappers(html).alias("wrappers"),
         levels.alias("jumps"),
         H.repeated_ids(html).alias("repeated"),
         (H.ill_formed(html) if xhtml else F.lit(False)).alias("broken"),
@@ -107,8 +108,7 @@ def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | N
     """Findings of each page that both editions have.
 
     ``rewritten(page_id)`` names the pages that were rewritten, others are expected unchanged; without it those whose
-    prose differs count as rewritten. ``xhtml`` also tells pages that can't be read as XML though the source's could. Of lost
-    wrappers only their classes are seen.
+    prose differs count as rewritten. ``xhtml`` also tells pages that can't be read as XML though the source's could.
     """
     was, now = (features(p, xhtml).alias(n) for p, n in ((source, "s"), (output, "o")))
     both = was.join(now, F.col("s.page_id") == F.col("o.page_id"))
@@ -126,7 +126,9 @@ def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | N
 
     sheets = F.array_except("s.sheets", "o.sheets")
     kept = F.coalesce("styled", F.array().cast("array<string>"))
-    gone = F.array_sort(F.array_intersect(F.array_except("s.classes", "o.classes"), kept))
+    class_of = lambda w: F.slice(F.split(w, r"\."), 2, F.size(F.split(w, r"\.")))
+    unwrapped = F.filter(F.array_except("s.wrappers", "o.wrappers"), lambda w: F.arrays_overlap(class_of(w), kept))
+    gone = F.array_sort(F.array_except(F.array_intersect(F.array_except("s.classes", "o.classes"), kept), F.flatten(F.transform(unwrapped, class_of))))
     more = F.when(F.size(gone) > CLASSES_SHOWN, " …").otherwise("")
     stray = F.col("o.marks") - F.col("s.marks")
     every = [
@@ -139,6 +141,7 @@ def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | N
         F.when(~F.col("rewritten") & (F.col("s.prose") != F.col("o.prose")), finding("warning", "untouched document changed", F.lit("text differs from the source"))),
     ]
     inside = [
+        F.when(F.size(unwrapped) > 0, finding("problem", "styled wrapper lost", F.array_join(unwrapped, ", "))),
         F.when(F.size(gone) > 0, finding("warning", "styled classes lost", F.concat(F.array_join(F.slice(gone, 1, CLASSES_SHOWN), ", "), more))),
         *(
             F.when(

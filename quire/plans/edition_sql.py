@@ -188,21 +188,46 @@ _STYLE = every("html", H.STYLE, 1)
 _STYLED = f"unnest({every(f'array_to_string({_STYLE}, chr(10))', H.CSS_CLASS, 1)})"
 
 
+def _sole(inner: str) -> str:
+    name = f"lower(regexp_extract({inner}, {q(H.FIRST_TAG)}, 1))"
+    own = f"list_filter(list_transform({every(inner, H.TAGS)}, lambda t: CASE lower(t) WHEN '<' || {name} THEN 1 WHEN '</' || {name} THEN -1 ELSE 0 END), lambda v: v <> 0)"
+    first = f"list_filter(range(1, len({own}) + 1), lambda i: list_sum({own}[:i]) = 0)"
+    return f"({name} <> '' AND lower(regexp_extract({inner}, {q(H.LAST_TAG)}, 1)) = {name} AND {first} = [len({own})])"
+
+
+def _named(inner: str) -> str:
+    first = f"regexp_extract({inner}, {q(H.FIRST_WHOLE)}, 1)"
+    classes = f"list_filter(regexp_split_to_array(regexp_extract({first}, {q(H.CLASS)}, 1), {q(chr(92) + 's+')}), lambda c: c <> '')"
+    return f"array_to_string(list_concat([lower(regexp_extract({first}, {q(H.FIRST_TAG)}, 1))], {classes}), '.')"
+
+
+def wrapped(pages: str) -> str:
+    """``pages`` with their chains of wrappers, level by level."""
+    inner = f"regexp_extract(html, {q(H.BODY)}, 0)"
+    inner = sub(sub(f"CASE WHEN {inner} <> '' THEN {inner} ELSE html END", H.COMMENT), H.INNER_BODY)
+    rows = f"(SELECT *, {inner} AS inner_html, []::VARCHAR[] AS wrappers FROM {pages})"
+    for _ in range(H.WRAPPERS):
+        rows = f"""(SELECT * REPLACE (CASE WHEN sole THEN {sub("inner_html", H.OUTER)} ELSE '' END AS inner_html, CASE WHEN sole THEN list_append(wrappers, {_named("inner_html")}) ELSE wrappers END AS wrappers)
+            FROM (SELECT * EXCLUDE (sole), {_sole("inner_html")} AS sole FROM (SELECT *, false AS sole FROM {rows})))"""
+        rows = f"(SELECT * EXCLUDE (sole) FROM {rows})"
+    return rows
+
+
 def features(pages: str) -> str:
     counts = ", ".join(f"len({every(S.visible('html'), f'(?i)<{t}[' + chr(92) + 's/>]')}) AS n_{t}" for t in H.CONTENT)
     return f"""(SELECT page_id, {S.HOST} AS book, {_place()} AS place,
         list_sort(list_distinct(list_transform({_SHEETS}, lambda ref: {S.TARGET}))) AS sheets,
         list_sort({every(f"regexp_extract(html, {q(H.BODY_TAG)}, 1)", H.ATTRIBUTE, 1)}) AS attributes, prose, regexp_extract(prose, '⟦[^⟧\\n]{{0,40}}', 0) AS token,
-        len({every("prose", "(?m)" + T.RESIDUE)}) AS marks, regexp_extract(prose, {q("(?m)" + T.RESIDUE)}, 0) AS mark, {_CLASSES} AS classes, {jumps(without_callouts("html"))} AS jumps,
+        len({every("prose", "(?m)" + T.RESIDUE)}) AS marks, regexp_extract(prose, {q("(?m)" + T.RESIDUE)}, 0) AS mark, {_CLASSES} AS classes, wrappers, {jumps(without_callouts("html"))} AS jumps,
         list_sort(list_distinct(list_filter({_IDS}, lambda i: len(list_filter({_IDS}, lambda j: j = i)) > 1))) AS repeated, {counts}
-        FROM (SELECT *, {prose("html")} AS prose FROM {pages}))"""
+        FROM (SELECT *, {prose("html")} AS prose FROM {wrapped(pages)}))"""
 
 
 _STYLES = f"styles AS (SELECT book, list(DISTINCT class) AS styled FROM (SELECT {S.HOST} AS book, {_STYLED} AS class FROM output) GROUP BY book)"
 _FEWER = " UNION ALL ".join(
     f"SELECT page_id, book, '{'problem' if t in H.PROTECTED else 'warning'}', 'fewer <{t}>', place, s_{t} || ' -> ' || o_{t} FROM told WHERE rewritten AND o_{t} < s_{t}" for t in H.CONTENT
 )
-_SIDES = ", ".join(f"s.{c} AS s_{c}, o.{c} AS o_{c}" for c in ("sheets", "attributes", "prose", "token", "marks", "mark", "classes", "jumps", "repeated"))
+_SIDES = ", ".join(f"s.{c} AS s_{c}, o.{c} AS o_{c}" for c in ("sheets", "attributes", "prose", "token", "marks", "mark", "classes", "wrappers", "jumps", "repeated"))
 _TAGS = ", ".join(f"s.n_{t} AS s_{t}, o.n_{t} AS o_{t}" for t in H.CONTENT)
 
 
@@ -210,13 +235,16 @@ def page_findings(rewritten: str) -> str:
     return f"""told AS (
     SELECT o.page_id, o.book, o.place, {_SIDES}, {_TAGS}, {rewritten} AS rewritten,
         list_filter(s.sheets, lambda x: NOT list_contains(o.sheets, x)) AS lost_sheets,
-        list_sort(list_filter(s.classes, lambda x: NOT list_contains(o.classes, x) AND list_contains(coalesce(styled, []), x))) AS gone
+        list_filter(s.wrappers, lambda w: NOT list_contains(o.wrappers, w) AND list_has_any(string_split(w, '.')[2:], coalesce(styled, []))) AS unwrapped,
+        list_sort(list_filter(s.classes, lambda x: NOT list_contains(o.classes, x) AND list_contains(coalesce(styled, []), x)
+            AND NOT list_contains(flatten(list_transform(unwrapped, lambda w: string_split(w, '.')[2:])), x))) AS gone
     FROM {features("source")} s JOIN {features("output")} o USING (page_id) LEFT JOIN styles ON o.book = styles.book
 ),
 told_all AS (
     SELECT page_id, book, 'problem' AS level, 'stylesheet link lost' AS kind, place, array_to_string(lost_sheets, ', ') AS detail FROM told WHERE len(lost_sheets) > 0
     UNION ALL SELECT page_id, book, 'warning', 'body attributes changed', place, array_to_string(s_attributes, ' ') || ' -> ' || array_to_string(o_attributes, ' ') FROM told WHERE s_attributes <> o_attributes
     UNION ALL SELECT page_id, book, 'warning', 'untouched document changed', place, 'text differs from the source' FROM told WHERE NOT rewritten AND s_prose <> o_prose
+    UNION ALL SELECT page_id, book, 'problem', 'styled wrapper lost', place, array_to_string(unwrapped, ', ') FROM told WHERE rewritten AND len(unwrapped) > 0
     UNION ALL SELECT page_id, book, 'warning', 'styled classes lost', place, array_to_string(gone[:{I.CLASSES_SHOWN}], ', ') || CASE WHEN len(gone) > {I.CLASSES_SHOWN} THEN ' …' ELSE '' END FROM told WHERE rewritten AND len(gone) > 0
     UNION ALL {_FEWER}
     UNION ALL SELECT page_id, book, 'problem', 'token left in text', place, o_token FROM told WHERE rewritten AND o_token <> ''

@@ -20,19 +20,20 @@ _EXTRA = f"""concat(
     '<aside class="note"><h5>Note</h5><p>Mind the gap.</p></aside>',
     '<p><a class="xref" href="#more">up</a><a href="#gone">gone</a><a class="next" href="/p/', page_id + {BOOKS}, '#top">next</a><a id="mark', page_id % 5, '" class="mark"></a></p>')"""
 _BODY = """CASE page_id % 13 WHEN 0 THEN '<body epub:type="index">' WHEN 1 THEN '<body epub:type="frontmatter">' WHEN 2 THEN '<body class="b" lang="en"><div class="toc">toc</div>'
-    WHEN 3 THEN '<body><section epub:type="chapter">part</section>' WHEN 4 THEN '<body><div class="copyright">(c)</div>' ELSE '<body class="b" lang="en">' END"""
+    WHEN 3 THEN '<body><section epub:type="chapter">part</section>' WHEN 4 THEN '<body><div class="copyright">(c)</div>' ELSE '<body class="b" lang="en"><div class="wrap"><section class="inner">' END"""
+_BODY_END = "CASE WHEN page_id % 13 > 4 THEN '</section></div></body>' ELSE '</body>' END"
 _TITLE = """CASE page_id % 11 WHEN 0 THEN '<h1 id="top" class="title">Index</h1><h1>' WHEN 1 THEN '<h1 id="top" class="title">Preface to it</h1><h1>' ELSE '<h1 id="top" class="title">' END"""
 
 URL = f"CASE WHEN page_id % {LOST_ADDRESS} = 7 THEN NULL ELSE concat('https://book', page_id % {BOOKS}, '.example/p/', page_id) END"
 _NAV = f"""concat(CASE page_id % 41 WHEN 5 THEN '<nav epub:type="toc">' ELSE '<nav>' END, '<a href="/p/', page_id + {BOOKS}, '#top">Next</a>')"""
-SOURCE = f"""replace(replace(replace(replace(replace(html, '<nav>', {_NAV}),
-    '<head>', '<head><link rel="stylesheet" href="/css/main.css"/><style>.note{{}} .lead{{}} .title{{}} .xref{{}}</style>'),
+SOURCE = f"""replace(replace(replace(replace(replace(replace(html, '<nav>', {_NAV}), '</body>', {_BODY_END}),
+    '<head>', '<head><link rel="stylesheet" href="/css/main.css"/><style>.note{{}} .lead{{}} .title{{}} .xref{{}} .wrap{{}} .inner{{}}</style>'),
     '<body>', {_BODY}), '<h1>', {_TITLE}), '</article>', concat({_EXTRA}, '</article>'))"""
 OUTPUT = """CASE page_id % 10
     WHEN 1 THEN replace(html, concat('<figure><img src="/img/', page_id % 7, '.png" alt="x"/>'), '<figure>')
     WHEN 2 THEN replace(html, '</article>', '<p>⟦PRE-1: x⟧ rest</p></article>')
     WHEN 3 THEN replace(html, '</article>', concat('<p>', chr(10), '## Left **bold** text [a](b)</p></article>'))
-    WHEN 4 THEN replace(replace(html, '<h3 id="less">Less</h3>', '<h5 id="less">Less</h5>'), '<p class="lead">First', '<p>Changed')
+    WHEN 4 THEN replace(replace(replace(html, '<section class="inner">', '<section>'), '<h3 id="less">Less</h3>', '<h5 id="less">Less</h5>'), '<p class="lead">First', '<p>Changed')
     WHEN 5 THEN replace(replace(html, 'id="more"', 'id="top"'), '1.2 More', 'More')
     WHEN 0 THEN replace(html, 'now or never', 'now and never')
     WHEN 6 THEN replace(replace(html, '<body', '<body data-x="1"'), '<pre>stop now or never', '<pre>gone')

@@ -46,6 +46,23 @@ def test_page_findings(spark, change, want):
     assert told(spark, lambda h: h.replace(*change, 1) if change[0] else h) == want
 
 
+def test_wrappers(spark):
+    bodies = {
+        0: "<body><div class='a b'> <!-- x --><DIV id='i'><p>1</p><div>2</div></div></div></body></html>",
+        1: "<body><div class='a'>1</div><div>2</div></body>",
+        2: "<body>text<div class='a'>1</div></body>",
+        3: "<body><section class='s'><p>1</p>tail</section>",
+        4: "<body></body>",
+        5: "<body><div><div><div><div><div>deep</div></div></div></div></div></body>",
+        6: None,
+    }
+    made = {r.page_id: r.w for r in edition(spark, bodies).select("page_id", H.wrappers(F.col("html")).alias("w")).collect()}
+    assert made == {0: ["div.a.b", "div"], 1: [], 2: [], 3: ["section.s"], 4: [], 5: ["div"] * 4, 6: []}
+    source = edition(spark, {0: PAGE.replace("<body class=\"b\">", "<body><div class='w x'>").replace("</body>", "</div></body>")})
+    output = edition(spark, {0: PAGE.replace("text", "other").replace("<body class=\"b\">", "<body>")})
+    assert [(r.kind, r.detail) for r in I.pages_changed(source, output).collect()] == [("styled wrapper lost", "div.w.x")]
+
+
 def test_well_formed(spark):
     good = "<html><head/><body><p>a &amp; b<br/></p></body></html>"
     assert edition(spark, {0: good, 1: "<p>a<p>b", 2: None, 3: ""}).select(H.ill_formed(F.col("html")).alias("x")).collect() == [(False,), (True,), (False,), (True,)]
