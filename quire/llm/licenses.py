@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stage
 
 #: Known texts that are broadcast at most; a larger table meets the units in a shuffled hash join.
 MOST_BROADCAST = 50_000
@@ -155,7 +155,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     the first one's number. A text is made canonical once, its units are cut from that.
 
     ``known(license, text)`` is broadcast if it has MOST_BROADCAST rows at most, and hash-joined after a shuffle
-    otherwise; beside it only the paragraphs that a licence has are shuffled. Known texts that are null or canonically
+    otherwise; beside it only the paragraphs that a licence has are shuffled. The documents are read once, and what matched is staged. Known texts that are null or canonically
     empty are left out; one text with two licences gives both. Null and empty texts have no match. Repeated
     documents give repeated rows, null ids stay null. Only the named columns are read.
     """
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     units = let(canonical_lines(F.col("text")), _units)
     rows = rows.select("row_id", "doc_id", F.explode(units).alias("u")).select("row_id", "doc_id", "u.*")
     alone = whole.select("digest", "license", F.lit(0).alias("parts"), F.lit(0).alias("k"), F.lit("").alias("block"))
-    hits = rows.join(near(alone.unionByName(parts)), "digest")
+    hits = stage(rows.join(near(alone.unionByName(parts)), "digest"), "hits")
     found = hits.filter("parts = 0 and unit <> 'part'").select("doc_id", "unit", "nth", "license")
     runs = hits.filter("parts > 0 and unit in ('part', 'paragraph') and of > parts").withColumn("nth", F.col("nth") - F.col("k"))
     runs = runs.groupBy("row_id", "doc_id", "license", "block", "parts", "nth").agg(F.count("*").alias("n")).filter("n = parts")

@@ -115,3 +115,10 @@ def test_sparse_and_dense_sums_are_equal(monkeypatch):
     monkeypatch.setattr(lg, "SPARSE", 0)
     monkeypatch.setattr(lg, "CODES", 50)
     assert (lg.bundle(*counted, 90) == dense).all()
+
+
+def test_equal_cosines_give_the_first_name(spark):
+    rows = [(n, "the same words in both", lang) for n, lang in enumerate(["bb", "aa"] * 8)] + [(99, "the same words", None)]
+    out = lg.predict(spark.createDataFrame([(*r, "s", 0.5) for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 or r[0] == 99], "doc_id long, text string, lang string, langs string, score double"))
+    counts = {r.lang_pred for r in out.collect()}
+    assert counts == {"aa"}
