@@ -32,8 +32,9 @@ HEAD = "<4sIQQ"  # magic, documents, ids, ids of all files before
 RANKS = "_ranks"  # the folder's file of ids by falling frequency, little-endian 32-bit
 #: Words of these letters alone are one match of the splitting pattern in either case, whatever stands around them;
 #: so is a run of these signs after them. None of them composes with another, so each may be lower-cased by itself.
-LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,;:!?)"
-PLAIN, ENDED = f"^{LETTERS}$", f"^{LETTERS}[{SIGNS}]+$"
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+SIGN = f"[{re.escape(SIGNS)}]"
+PLAIN, ENDED = f"^{LETTERS}$", f"^{LETTERS}{SIGN}+$"
 
 
 class Words:
@@ -58,7 +59,7 @@ class Words:
 
     def _encode_new(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         held = pa.array(units, pa.large_string())
-        plain = pc.match_substring_regex(held, f"{PLAIN}|^[{SIGNS}]+$").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(held, f"{PLAIN}|^{SIGN}+$").to_numpy(zero_copy_only=False)
         texts = np.array(units, object)
         parts, of = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         some = np.flatnonzero(plain)

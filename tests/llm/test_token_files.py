@@ -99,7 +99,7 @@ def test_pack(size):
 
 
 def test_words_with_signs_and_capitals_get_the_ids_of_the_library():
-    words = ["Straße,", "ÀÉÎ!?", "H̱.", "İ", "don't.", "'s,", "a,̈", "a.b,", "(x)", "...", "日本,", "A" * 300 + ".", "<|endoftext|>", "x", "X,"]
+    words = ["Straße,", "ÀÉÎ!?", "H̱.", "İ", "don't.", "'s,", "a,̈", "a.b,", "(x)", "...", "日本,", "A" * 300 + ".", "<|endoftext|>", "x", "X,", "Th###", "a_b", "A$$$", "é|", "--", "x</w>", "a<|", "|>", "<|", "q\\]^", "'", "x'", "``~"]
     own = tf.Words(PATH)
     for _ in range(2):  # the second time all are remembered
         ids, counts = own.encode(pa.array(words))
