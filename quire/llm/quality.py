@@ -13,9 +13,9 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
-#: Buckets of the two multinomials: at least as many as documents and a power of two, from the first to the last of these.
-#: The last bounds what is broadcast (four bytes each); beyond as many documents, more n-grams share a bucket.
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 14, 1 << 22
+#: Buckets of the two multinomials: a power of two, at least one for so many documents, from the first to the last of these.
+#: The last bounds what is broadcast (four bytes each); beyond 67 million documents, more n-grams share a bucket.
+DOCUMENTS, LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 14, 1 << 22
 #: Weights are held in rows of so many buckets.
 ROW = 1 << 10
 #: Added to each raw bucket's count; the target is smoothed by as many n-grams of the raw corpus as there are buckets.
@@ -76,7 +76,7 @@ def base(text: Column) -> Column:
 
 
 def buckets_for(documents: int) -> int:
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, documents - 1).bit_length()))
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, -(-documents // DOCUMENTS) - 1).bit_length()))
 
 
 def buckets(text: Column, size: int) -> Column:
