@@ -81,24 +81,31 @@ def body(html: Column) -> Column:
     return F.when(inner != "", inner).otherwise(html)
 
 
-def first_classes(html: Column) -> Column:
-    """The classes of the first three classed divs and sections of the body."""
-    return F.flatten(F.transform(F.slice(found(body(html), CLASSED), 1, 3), lambda c: F.split(c, r"\s+")))
+def first_classes(inner: Column) -> Column:
+    """The classes of the first three classed divs and sections of a body."""
+    return F.flatten(F.transform(F.slice(found(inner, CLASSED), 1, 3), lambda c: F.split(c, r"\s+")))
 
 
 def is_reference(html: Column, heading: Column) -> Column:
     types = F.exists(found(html, typed("body|section|nav|div")), lambda t: t.rlike(word_in(REFERENCE_WORD)))
-    classes = F.exists(first_classes(html), lambda c: c.rlike(rf"(?i)^(?:{REFERENCE_WORD})\z"))
+    classes = F.exists(first_classes(body(html)), lambda c: c.rlike(rf"(?i)^(?:{REFERENCE_WORD})\z"))
     return heading.rlike(REFERENCE_TITLE) | types | classes
 
 
 def is_matter(html: Column, heading: Column, n_words: Column) -> Column:
-    types = F.concat(F.slice(found(body(html), typed("section|div")), 1, 3), found(html, typed("body")))
-    any_of = lambda words: F.exists(types, lambda t: t.rlike(word_in(words)))
-    rights = F.contains(F.lower(F.regexp_replace(visible(body(html)), TAG, " ")), F.lit("all rights reserved"))
-    chapter = heading.rlike(INTRODUCTION) | any_of(CHAPTER_WORD)
-    named = heading.rlike(MATTER_TITLE) | any_of(MATTER_WORD) | F.exists(first_classes(html), lambda c: c.rlike(MATTER_CLASS))
-    return ~chapter & (named | (n_words < SHORT_MATTER) & rights)
+    def of(inner: Column) -> Column:
+        rights = F.contains(F.lower(F.regexp_replace(visible(inner), TAG, " ")), F.lit("all rights reserved"))
+        classed = F.exists(first_classes(inner), lambda c: c.rlike(MATTER_CLASS))
+        types = F.concat(F.slice(found(inner, typed("section|div")), 1, 3), found(html, typed("body")))
+
+        def typed_as(t: Column) -> Column:
+            any_of = lambda words: F.exists(t, lambda x: x.rlike(word_in(words)))
+            chapter = heading.rlike(INTRODUCTION) | any_of(CHAPTER_WORD)
+            return ~chapter & (heading.rlike(MATTER_TITLE) | any_of(MATTER_WORD) | classed | (n_words < SHORT_MATTER) & rights)
+
+        return T.named(types, typed_as)
+
+    return T.named(body(html), of)
 
 
 # Elements whose loss is told, and those that are never rewritten; classes of callouts.
