@@ -116,7 +116,7 @@ def human_time(seconds: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    shown = lambda unit, power: F.format_string(f"%.1f {unit}", size / 1024.0**power)
+    shown = lambda unit, power: F.format_string(f"%.1f {unit}", F.bround(size / F.lit(1024.0**power), 1))  # noqa: E731  halves to even
     return (
         F.when(size.isNull(), "-")
         .when(size < 1024, F.format_string("%d B", size.cast("long")))

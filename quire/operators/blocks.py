@@ -109,6 +109,31 @@ def callouts(pages: DataFrame) -> DataFrame:
     return rows.filter(H.is_callout(F.col("tag"), F.split("class", r"\s+"), F.col("type"))).select("page_id", "pos", "tag", "class")
 
 
+LABEL = r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>"
+INNER_PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"
+
+
+def notes(pages: DataFrame) -> DataFrame:
+    """(page_id, note, text) of a page's callouts, without their labels."""
+    blocks = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in H.CALLOUTS))
+    rows = pages.select("page_id", F.posexplode(blocks).alias("note", "block"))
+    text = T.normal(H.unescape(F.regexp_replace(F.regexp_replace("block", LABEL, " "), H.TAG, " ")))
+    return rows.select("page_id", "note", text.alias("text")).filter("text <> ''")
+
+
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, text) of the paragraphs outside callouts."""
+    rows = pages.select("page_id", F.posexplode(H.found(H.without_callouts(F.col("html")), INNER_PARAGRAPH)).alias("pos", "inner"))
+    return rows.select("page_id", "pos", T.normal(H.unescape(F.regexp_replace("inner", H.TAG, " "))).alias("text")).filter("text <> ''")
+
+
+def note_candidates(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(page_id, note, pos, shared): the paragraphs of an output page that share LEAST_SHARED of the words of a note of the source's."""
+    pairs = notes(source).withColumnRenamed("text", "a").join(paragraphs(output).withColumnRenamed("text", "b"), "page_id")
+    rows = pairs.withColumn("shared", T.jaccard(F.col("a"), F.col("b"))).filter(F.col("shared") >= LEAST_SHARED)
+    return rows.select("page_id", "note", "pos", F.round("shared", 6).alias("shared"))
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

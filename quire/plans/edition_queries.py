@@ -172,5 +172,7 @@ def queries() -> dict[str, Query]:
         "section_leads": _source(B.section_leads),
         "captions": _source(B.captions),
         "callouts": _source(B.callouts),
+        "note_candidates": _both(B.note_candidates),
+        "kept_notes": _both(lambda s, o: B.kept_notes(B.notes(s), B.paragraphs(o))),
         "contents_groups": _source(B.contents),
     }

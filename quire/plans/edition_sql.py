@@ -338,6 +338,7 @@ def _each(pages: str, found: str, columns: str) -> str:
     return f"(SELECT {columns} FROM (SELECT *, (i - 1)::INT AS pos, l[i] AS x FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, {found} AS l FROM {pages}))))"
 
 
+_BLOCKS = "list_concat(" + ", ".join(every("html", p) for p in H.CALLOUTS) + ")"
 _HEAD = r"(?is)(<h[1-4](?:\s[^>]*)?>.*?</h[1-4]\s*>)"
 _HEAD_TEXT = S.flat(S.unescape(sub("x", H.TAG, " ")))
 _CAPTION_TEXT = S.flat(S.unescape(sub("x", H.TAG, " ")))
@@ -425,6 +426,11 @@ QUERIES = {
     "captions": f"""{_P} SELECT * FROM (SELECT page_id, pos, {_LABEL} AS label, text FROM {_each("source", every("html", B.CAPTION, 1), f"page_id, pos, {_CAPTION_TEXT} AS text")}) WHERE label IS NOT NULL""",
     "callouts": f"""{_P} SELECT page_id, pos, tag, class FROM {_each("source", every("html", B.CALLOUT_START, 1), f"page_id, pos, lower(regexp_extract(x, '^<([A-Za-z]+)', 1)) AS tag, regexp_extract(x, {q(B.CLASS)}, 1) AS class, regexp_extract(x, {q(H.typed('aside'))}, 1) AS type")}
         WHERE (tag = 'aside' AND contains(type, 'sidebar')) OR len(list_filter(regexp_split_to_array(class, '\\s+'), lambda c: {has("c", H.CALLOUT)})) > 0""",
+    "note_candidates": f"""{_P}, notes AS (SELECT page_id, pos AS note, {_NORMAL(S.unescape(sub(sub("x", B.LABEL, " "), H.TAG, " ")))} AS a FROM {_each("source", _BLOCKS, "page_id, pos, x")}),
+        paras AS (SELECT page_id, pos, {_NORMAL(S.unescape(sub("x", H.TAG, " ")))} AS b FROM {_each("output", every(without_callouts("html"), B.INNER_PARAGRAPH, 1), "page_id, pos, x")})
+        SELECT page_id, note, pos, round(shared, 6) AS shared FROM (
+            SELECT n.page_id, note, pos, {_COMMON("a", "b")}::DOUBLE / (len({_WORDS("a")}) + len({_WORDS("b")}) - {_COMMON("a", "b")}) AS shared FROM notes n JOIN paras p ON n.page_id = p.page_id WHERE a <> '' AND b <> ''
+        ) WHERE shared >= {B.LEAST_SHARED}""",
     "contents_groups": f"""{_P}, heads AS (SELECT * FROM {_each("source", every(without_callouts("html"), _HEAD, 1), f"page_id, pos, substr(x, 3, 1)::INT AS level, {_HEAD_TEXT} AS text, regexp_extract(regexp_extract(x, '^<[^>]*>', 0), {q(B.ID)}, 1) AS id")} WHERE pos > 0 AND text <> ''),
         deep AS (SELECT *, level - min(level) OVER (PARTITION BY page_id) + 1 AS depth FROM heads),
         opened AS (SELECT *, (depth = 1 OR row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1)::INT AS opens FROM deep WHERE depth <= 2),

@@ -38,7 +38,7 @@ OUTPUT = """CASE page_id % 10
     WHEN 0 THEN replace(html, 'now or never', 'now and never')
     WHEN 6 THEN replace(replace(html, '<body', '<body data-x="1"'), '<pre>stop now or never', '<pre>gone')
     WHEN 7 THEN replace(html, '<link rel="stylesheet" href="/css/main.css"/>', '')
-    WHEN 8 THEN replace(replace(replace(html, ' class="lead"', ''), ' class="xref"', ''), 'Second one', 'Second')
+    WHEN 8 THEN replace(replace(replace(replace(html, '<aside class="note"><h5>Note</h5><p>Mind the gap.</p></aside>', '<p>Mind the big gap.</p>'), ' class="lead"', ''), ' class="xref"', ''), 'Second one', 'Second')
     WHEN 9 THEN replace(replace(html, '<li><a href="', '<li><a href="/lost'), '><a href="/p/', '><a href="/q/')
     ELSE html END"""
 #: Pages that the output lacks, and its order.

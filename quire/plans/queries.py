@@ -70,6 +70,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "token_scan": _documents(tokens=lambda t: F.regexp_count(t, F.lit(T.TOKEN)), unclosed=T.unclosed_token, plain_chars=lambda t: F.length(T.strip_tokens(t))),
         "banned_words": _documents(banned=lambda t: F.array_join(T.banned(F.lit(""), t), ",")),
         "markdown_residue": _documents(marks=T.residue),
+        "shown_measures": _over(
+            "documents", lambda d: d.select("doc_id", T.human_size(F.col("n_chars") * 640).alias("size"), T.human_time(F.col("n_chars")).alias("time"))
+        ),
         "sane_pairs": _pairs(sane=G.sane),
         "ratio_pairs": _pairs(words_in=lambda a, b: T.word_count(a), words_out=lambda a, b: T.word_count(b), ratio=lambda a, b: T.percent(G.share(a, b))),
         "sane_replies": _pairs(REPLIES, sane=G.sane),

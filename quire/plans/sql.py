@@ -221,6 +221,10 @@ QUERIES = {
     "token_scan": f"""SELECT doc_id, len({every("text", T.TOKEN)}) AS tokens, {has("text", T.UNCLOSED)} AS unclosed, length({sub("text", T.TOKEN)}) AS plain_chars FROM documents""",
     "banned_words": f"SELECT doc_id, array_to_string({_STEMS}, ',') AS banned FROM documents",
     "markdown_residue": f"SELECT doc_id, len({every('text', '(?m)' + T.RESIDUE)}) AS marks FROM documents",
+    "shown_measures": """SELECT doc_id, CASE WHEN b IS NULL THEN '-' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE)
+            WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END AS size,
+        CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END AS time
+        FROM (SELECT doc_id, n_chars * 640 AS b, n_chars AS s FROM documents)""",
     "sane_pairs": f"""WITH {PAIRS} SELECT conv_id, turn, {_OUT} >= greatest({_IN}, 1) * {G.SANE[0]}::DOUBLE AND {_OUT} <= greatest({_IN}, 1) * {G.SANE[1]}::DOUBLE AS sane FROM pairs""",
     "ratio_pairs": f"WITH {PAIRS} SELECT conv_id, turn, {_IN} AS words_in, {_OUT} AS words_out, {percent(share('source', 'output'))} AS ratio FROM pairs",
     "sane_replies": f"""WITH {REPLIES} SELECT conv_id, turn, {_OUT} >= greatest({_IN}, 1) * {G.SANE[0]}::DOUBLE AND {_OUT} <= greatest({_IN}, 1) * {G.SANE[1]}::DOUBLE AS sane FROM pairs""",

@@ -98,7 +98,7 @@ def test_shown_measures(spark):
         return spark.range(1).select(make(F.lit(value)).alias("out")).first()["out"]
 
     assert [shown(T.human_time, s) for s in (9, 61, 3720)] == ["9s", "1m01s", "1h02m"]
-    assert [shown(T.human_size, s) for s in (12, 1536, 3 << 20)] == ["12 B", "1.5 KB", "3.0 MB"]
+    assert [shown(T.human_size, s) for s in (12, 1280, 1536, 1792, 3 << 20, 5 << 30)] == ["12 B", "1.2 KB", "1.5 KB", "1.8 KB", "3.0 MB", "5.0 GB"]
     assert [shown(T.percent, s) for s in (0.125, 0.135, 0.7)] == ["12%", "14%", "70%"]
 
 
