@@ -171,13 +171,27 @@ def ranked(rows: DataFrame) -> np.ndarray:
     return np.array([r["id"] for r in sorted(found, key=lambda r: (-r["count"], r["id"]))], np.uint32)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes (two bits for each value: its bytes less one, the first value lowest) and data bytes."""
+def blocks(counts: np.ndarray):
+    """(first, last) of consecutive documents that hold about BLOCK_IDS ids, or a longer one alone."""
+    nth = (np.cumsum(counts) - counts) // BLOCK_IDS
+    edges = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), len(counts)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def slots_of(counts: np.ndarray) -> np.ndarray:
+    """The place of each value among those of the control bytes: a document's values begin with a control byte of their own."""
+    controls = -(-counts // 4)
+    return np.repeat(4 * (np.cumsum(controls) - controls) - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def pack_all(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """For each document (of counts[k] values) its control bytes (two bits for each value: its bytes less one, the first value lowest) and its data bytes."""
     values = values.astype(np.uint32)
     extra = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    padded[: len(values)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    controls = -(-counts // 4)
+    padded = np.zeros(4 * controls.sum(), np.uint8)
+    padded[slots_of(counts)] = extra
+    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8).tobytes()
     ends = np.cumsum(extra.astype(np.int64) + 1)
     data = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
     starts = ends - extra - 1
@@ -187,7 +201,16 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
         if not len(some):
             break
         data[starts[some] + byte] = (values[some] >> (8 * byte)) & 0xFF
-    return control.tobytes(), data.tobytes()
+    held = data.tobytes()
+    control_ends, data_ends = np.cumsum(controls).tolist(), np.cumsum(summed(extra.astype(np.int64) + 1, counts)).tolist()
+    return [control[a:b] + held[c:d] for a, b, c, d in zip([0, *control_ends], control_ends, [0, *data_ends], data_ends, strict=False)]
+
+
+def pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    """The control bytes and the data bytes of one document."""
+    made = pack_all(values, np.array([len(values)]))[0]
+    cut = -(-len(values) // 4)
+    return made[:cut], made[cut:]
 
 
 MANIFEST = ["part", "nth", "name", "n_docs", "n_ids", "start"]
@@ -276,9 +299,10 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
 
     def code(batches):
         for batch in batches:
-            made = []
-            for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                made.append(b"".join(pack(shared.value[0][np.frombuffer(ids, _kind(ids, n))])))
+            ids, counts, made = batch.column("ids").to_pylist(), batch.column("n").to_numpy(), []
+            for a, b in blocks(counts):
+                held = b"".join(ids[a:b])
+                made += pack_all(shared.value[0][np.frombuffer(held, _kind(held, counts[a:b].sum()))], counts[a:b])
             arrays = [pa.array(part_of(batch)), batch.column("doc_id"), batch.column("row"), pa.array(made, pa.binary()), batch.column("n")]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "row", "packed", "n"])
 
@@ -372,7 +396,7 @@ def _documents(raw: memoryview, ids_of: np.ndarray):
             some = slice(k, min(k + 256, after))
             n, c = counts[some], controls[some]
             # A document's control bytes may end in unused places.
-            slots = np.repeat(4 * (np.cumsum(c) - c) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            slots = slots_of(n)
             used, control = control[: c.sum()], control[c.sum() :]
             ids = ids_of[unpack(used, data, slots)].astype("<u4")
             data = data[LENGTHS[used].ravel()[slots].sum() :]

@@ -37,6 +37,7 @@ def expected(plain, rows):
 def test_round_trip(spark, docs, plain, monkeypatch):
     monkeypatch.setattr(tf, "PART_IDS", 3000)
     monkeypatch.setattr(tf, "FILE_IDS", 900)
+    monkeypatch.setattr(tf, "BLOCK_IDS", 100)
     rows = [(1000 - n, t) for n, t in enumerate(texts())] + [(None, "null id")]
     got = tf.digests(tf.round_trip(docs(rows), PATH, 2)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(expected(plain, rows), key=str)
