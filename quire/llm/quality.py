@@ -16,7 +16,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Buckets of the two multinomials: a power of two, at least one for so many documents, from the first to the last of these.
 #: The last bounds what is broadcast (four bytes each); beyond 67 million documents, more n-grams share a bucket.
 DOCUMENTS, LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 14, 1 << 22
-#: Weights are held in rows of so many buckets.
+#: Weights are put together from rows of so many buckets.
 ROW = 1 << 10
 #: Added to each raw bucket's count; the target is smoothed by as many n-grams of the raw corpus as there are buckets.
 RAW_PRIOR = 1
@@ -93,7 +93,7 @@ def buckets(text: Column, size: int) -> Column:
 
 
 def weights(docs: DataFrame, trusted: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row with ``table``: millionths of ln(target / raw) for each of ``size`` buckets, in rows of ROW.
+    """One row with ``table``: millionths of ln(target / raw) for each of ``size`` buckets.
 
     The raw multinomial counts every document, the target every one that ``trusted(doc_id)`` names. The two
     meet in a shuffled join, so nothing that grows with the input is broadcast; rows with a null id are never
@@ -112,7 +112,7 @@ def weights(docs: DataFrame, trusted: DataFrame, size: int, id_col: str = "doc_i
     every = every.withColumn("share", share).withColumn("w", F.round(1e6 * F.ln(ratio)).cast("int"))
     lines = every.groupBy(F.floor(F.col("b") / ROW).alias("line")).agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("ws"))
     table = lines.select("line", F.col("ws.w").alias("ws")).agg(F.array_sort(F.collect_list(F.struct("line", "ws"))).alias("lines"))
-    return table.select(F.col("lines.ws").alias("table"))
+    return table.select(F.flatten("lines.ws").alias("table"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: int = LEAST_SCORE) -> DataFrame:
@@ -131,8 +131,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("table", table)
 
     def total(b: Column) -> Column:
-        weight = lambda x: F.col("table")[F.shiftright(x, ROW.bit_length() - 1)][x.bitwiseAND(F.lit(ROW - 1))]
-        return F.struct(F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + weight(x)).alias("sum"), F.size(b).alias("n"))
+        return F.struct(F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + F.col("table")[x]).alias("sum"), F.size(b).alias("n"))
 
     rows = rows.select("doc_id", base(F.col("text")).alias("m"), let(buckets(F.col("text"), size), total).alias("s"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
