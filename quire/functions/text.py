@@ -15,6 +15,9 @@ TOKEN = "⟦[^⟧]*⟧"
 UNCLOSED = r"⟦[^⟦⟧]*(?:⟦|\z)"
 TITLE_TOKEN = rf"^⟦TITLE-[0-9]+[^⟧]*⟧[{BLANK}]*\z"
 ANCHORS = rf"^(?:⟦ANCHOR:[^⟧]*⟧[{BLANK}]*)+"
+#: Blanks and anchors of any number of lines, then the rest of a line. Every line end is a blank.
+ENDS = r"\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}"
+OPENING = rf"^[{BLANK}]*(?:⟦ANCHOR:[^⟧{ENDS}]*⟧[{BLANK}]*)*([^{ENDS}]*)"
 # Stems that a rewrite must not bring in.
 BANNED = {"gate": "gat(?:e|es|ed|ing)", "provenance": "provenances?", "delve": "delv(?:e|es|ed|ing)"}
 # What Markdown leaves in a text.
@@ -74,13 +77,14 @@ def without_anchors(line: Column) -> Column:
 
 
 def opening_line(text: Column) -> Column:
-    """The first line that holds more than anchors; empty if there is none."""
-    found = F.filter(F.transform(lines(text), without_anchors), lambda x: x != "")
-    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+    """The first line that holds more than anchors; empty if there is none. Only the head of the text is looked at."""
+    return F.coalesce(F.regexp_replace(F.regexp_extract(text, OPENING, 1), rf"[{BLANK}]+\z", ""), F.lit(""))
 
 
 def last_line(text: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.filter(lines(text), lambda x: strip(x) != ""), F.lit(-1)), F.lit(""))
+    """The last line that isn't blank, without blanks at its end; empty if there is none."""
+    tail = F.substring_index(F.regexp_replace(text, rf"[{BLANK}]+\z", ""), "\n", -1)
+    return F.coalesce(F.try_element_at(lines(tail), F.lit(-1)), F.lit(""))
 
 
 def is_title(line: Column) -> Column:

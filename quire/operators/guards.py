@@ -42,13 +42,13 @@ def sane(source: Column, output: Column) -> Column:
 
 def body_problem(source: Column, body: Column) -> Column:
     """Why a rewritten chapter must not ship; empty when it may."""
-    ratio = share(source, body)
+    titled = lambda text: T.named(T.opening_line(text), T.is_title)
+    small = lambda ratio: F.when(ratio < LEAST_BODY, F.concat(F.lit("body is "), T.percent(ratio), F.lit(" of the chapter"))).otherwise("")
     return (
-        F.when(T.is_title(T.opening_line(source)) & ~T.is_title(T.opening_line(body)), "body does not open with the chapter title")
+        F.when(titled(source) & ~titled(body), "body does not open with the chapter title")
         .when(T.unclosed_token(body), "body cut off inside a ⟦token⟧")
         .when(F.regexp_replace(T.last_line(body), f"^[{T.BLANK}]+", "").startswith("#"), "body ends on a bare heading")
-        .when(ratio < LEAST_BODY, F.concat(F.lit("body is "), T.percent(ratio), F.lit(" of the chapter")))
-        .otherwise("")
+        .otherwise(T.named(share(source, body), small))
     )
 
 
@@ -67,19 +67,17 @@ def revision_problem(source: Column, before: Column, after: Column) -> Column:
     was, now = outline(before), outline(after)
     links = lambda text: F.regexp_extract_all(text, F.lit(LINK), F.lit(1))
     as_set = lambda items: F.array_sort(F.array_distinct(items))
-    ratio = share(before, after)
-    problem = body_problem(source, after)
-    return (
-        F.when(problem != "", problem)
-        .when(as_set(T.tokens(before)) != as_set(T.tokens(after)), "⟦tokens⟧ changed")
+    far = lambda ratio: F.when(~ratio.between(*REVISED), F.concat(F.lit("length "), T.percent(ratio), F.lit(" of the body"))).otherwise("")
+    own = (
+        F.when(as_set(T.tokens(before)) != as_set(T.tokens(after)), "⟦tokens⟧ changed")
         .when(was["headings"] != now["headings"], "headings changed")
         .when(was["code"] != now["code"], "code changed")
         .when(was["tables"] != now["tables"], "tables changed")
         .when(F.size(F.array_except(links(before), links(after))) > 0, "a link was dropped")
         .when(F.size(T.banned(source, after)) > 0, "banned word")
-        .when(~ratio.between(*REVISED), F.concat(F.lit("length "), T.percent(ratio), F.lit(" of the body")))
-        .otherwise("")
+        .otherwise(T.named(share(before, after), far))
     )
+    return T.named(body_problem(source, after), lambda problem: F.when(problem != "", problem).otherwise(own))
 
 
 def upgraded(source: Column, cached: Column) -> Column:

@@ -150,17 +150,19 @@ def fixed(top: Column, rest: Column, source: Column, fix: Column) -> Column:
     reason = rejection(top, source, fix["old"], fix["new"], fix["quote"])
 
     def judged(why: Column) -> Column:
-        broken = (why == "") & (G.body_problem(source, joined(candidate, rest)) != "")
-        said = F.when(broken, "breaks the body check").otherwise(why)
-        return F.struct(F.when(said == "", candidate).otherwise(top).alias("text"), said.alias("rejected"))
+        return T.named(F.when(why == "", candidate), lambda made: _kept(top, made, why, source, joined(made, rest)))
 
     return T.named(reason, judged)
 
 
 def heading_rejection(body: Column, source: Column, old: Column, new: Column, quote: Column) -> Column:
     """Why a heading's fix must not be applied; empty when it can be. Evidence must be given."""
+    return T.named(headings(body), lambda found: _heading_reason(found, source, old, new, quote))
+
+
+def _heading_reason(found: Column, source: Column, old: Column, new: Column, quote: Column) -> Column:
     old, new, quote = T.strip(old), T.strip(new), F.coalesce(quote, F.lit(""))
-    same = F.size(F.filter(headings(body), lambda h: h["text"] == old))
+    same = F.size(F.filter(found, lambda h: h["text"] == old))
     return (
         F.when(same != 1, "heading not found once")
         .when((new == "") | F.contains(new, F.lit("\n")) | new.startswith("#"), "replacement is not a heading")
@@ -174,20 +176,29 @@ def heading_rejection(body: Column, source: Column, old: Column, new: Column, qu
 def heading_fixed(body: Column, source: Column, fix: Column) -> Column:
     """(text, rejected) of a chapter after a heading's fix: the heading and each *italic* mention of it are renamed."""
     old, new = T.strip(fix["old"]), T.strip(fix["new"])
-    found = F.get(F.filter(headings(body), lambda h: h["text"] == old), F.lit(0))
+    star = lambda x: F.concat(F.lit("*"), x, F.lit("*"))
 
-    def renamed(h: Column) -> Column:
-        lines = F.transform(split_lines(body), lambda x, i: F.when(i == h["pos"], F.concat(h["prefix"], new)).otherwise(x))
-        star = lambda x: F.concat(F.lit("*"), x, F.lit("*"))
-        return F.replace(F.array_join(lines, "\n"), star(old), star(new))
+    def of(found: Column) -> Column:
+        def renamed(h: Column) -> Column:
+            lines = F.transform(split_lines(body), lambda x, i: F.when(i == h["pos"], F.concat(h["prefix"], new)).otherwise(x))
+            return F.replace(F.array_join(lines, "\n"), star(old), star(new))
 
-    def judged(why: Column) -> Column:
-        candidate = T.named(found, renamed)
-        broken = (why == "") & (G.body_problem(source, candidate) != "")
-        said = F.when(broken, "breaks the body check").otherwise(why)
-        return F.struct(F.when(said == "", candidate).otherwise(body).alias("text"), said.alias("rejected"))
+        def judged(why: Column) -> Column:
+            candidate = F.when(why == "", T.named(F.get(F.filter(found, lambda h: h["text"] == old), F.lit(0)), renamed))
+            return T.named(candidate, lambda made: _kept(body, made, why, source, made))
+
+        return T.named(_heading_reason(found, source, fix["old"], fix["new"], fix["quote"]), judged)
 
-    return T.named(heading_rejection(body, source, fix["old"], fix["new"], fix["quote"]), judged)
+    return T.named(headings(body), of)
+
+
+def _kept(text: Column, candidate: Column, why: Column, source: Column, whole: Column) -> Column:
+    """(text, rejected): the candidate where there is no reason against it and the whole chapter passes with it, else the text as it was."""
+    broken = F.when(why == "", G.body_problem(source, whole) != "").otherwise(F.lit(False))
+    return T.named(
+        F.when(broken, "breaks the body check").otherwise(why),
+        lambda said: F.struct(F.when(said == "", candidate).otherwise(text).alias("text"), said.alias("rejected")),
+    )
 
 
 def fold(text: Column, fixes: Column, apply) -> Column:

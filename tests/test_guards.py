@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +109,16 @@ def test_turns_pair_each_role(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", None), (2, 0, "assistant", "c"), (None, 1, "assistant", "d")]
     made = G.turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert [tuple(r) for r in made] == [(1, 1, "b", "")]
+
+
+def test_first_and_last_lines_are_pythons(spark):
+    rng = random.Random(7)
+    parts = ["a", "#", " ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\u2028", "\xa0", "⟦ANCHOR:x⟧", "⟦ANCHOR:", "⟧", "⟦PRE-1⟧", "b c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    anchors = re.compile(r"^(?:⟦ANCHOR:[^⟧]*⟧\s*)+")
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    for r in rows.select("n", T.opening_line(F.col("t")).alias("a"), T.last_line(F.col("t")).alias("b")).collect():
+        lines = [x for x in texts[r.n].splitlines() if x.strip()]
+        assert r.a == next((s for x in lines if (s := anchors.sub("", x.strip()))), ""), repr(texts[r.n])
+        assert r.b == (lines[-1].rstrip() if lines else ""), repr(texts[r.n])
+    assert rows.limit(1).select(T.opening_line(F.lit(None).cast("string")).alias("a"), T.last_line(F.lit(None).cast("string")).alias("b")).first() == ("", "")
