@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import gathered, small_batches
 
 #: Bytes of text whose distinct words are encoded together; a worker's memory follows this, not the partition.
-ROUND_BYTES = 3 << 20
+ROUND_BYTES = 2 << 20
 #: Memory of one worker's DuckDB.
 DUCKDB_MEMORY = "300MB"
 
@@ -328,8 +328,8 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
         for rows in gathered(batches, "text", ROUND_BYTES):
             ids = own.encode([t or "" for t in rows["text"].to_pylist()])
             decoded = []
-            for k in range(0, len(ids), 1024):
-                decoded += [sha(x) for x in own.decode(ids[k : k + 1024])]
+            for k in range(0, len(ids), 512):
+                decoded += [sha(x) for x in own.decode(ids[k : k + 512])]
             arrays = [rows["doc_id"].combine_chunks(), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.tobytes()) for x in ids], pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
