@@ -19,7 +19,7 @@ def test_files(spark, tmp_path):
     made = files.pages(spark, str(tmp_path), "mine")
     assert sorted(r.url for r in made.collect()) == ["file://mine/text/a.xhtml", "file://mine/text/deep/b.html"]
     assert {r.html for r in made.collect()} == {LONG, "<h1>�é</h1>"}
-    assert [(r.title, r.words) for r in C.scan(made).orderBy("words").collect()] == [("�é", 1), ("T", 301 - 1)] or True
+    assert [(r.title, r.words) for r in C.scan(made).orderBy("words").collect()] == [("\ufffdé", 1), ("T", 300)]
     assert [tuple(r) for r in files.stylesheets(spark, str(tmp_path)).collect()] == [("style.css", ".k{}")]
     assert [tuple(r) for r in files.chapters(spark, f"file://{tmp_path}").collect()] == [(7, "# Seven")]
 
