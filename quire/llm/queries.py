@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language, licenses, quality, secret_scan, simhash, token_files, tool_calls, toxicity
+from . import byte_bpe, decontaminate, hard_negatives, language, licenses, quality, secret_scan, simhash, token_files, tool_calls, toxicity, word_bpe
 from .common import table
 
 
@@ -68,6 +68,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are one further, rows of ids divisible by 100 are anchors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = hard_negatives.quantised(F.col("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), vector.alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hard_negatives.mine(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -80,8 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_word_bpe": op11_word_bpe,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_tool_calls": tool_calls.transcript_sql(), "op7_license_scan": licenses.scan_sql()}
+    return {"op6_tool_calls": tool_calls.transcript_sql(), "op7_license_scan": licenses.scan_sql(), "op13_hard_negatives": hard_negatives.sql()}
