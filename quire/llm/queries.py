@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, hard_negatives, language, licenses, quality, secret_scan, simhash, token_files, tool_calls, toxicity, word_bpe
+from . import byte_bpe, decontaminate, hard_negatives, language, licenses, phrases, quality, secret_scan, simhash, token_files, tool_calls, toxicity, word_bpe
 from .common import table
 
 
@@ -72,6 +72,10 @@ def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of ids divisible by 7 are one further, rows of ids divisible by 100 are anchors."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -93,9 +97,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_word_bpe": op11_word_bpe,
+        "op12_collocations": op12_collocations,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_tool_calls": tool_calls.transcript_sql(), "op7_license_scan": licenses.scan_sql(), "op13_hard_negatives": hard_negatives.sql()}
+    return {"op6_tool_calls": tool_calls.transcript_sql(), "op7_license_scan": licenses.scan_sql(), "op12_collocations": phrases.sql(), "op13_hard_negatives": hard_negatives.sql()}
