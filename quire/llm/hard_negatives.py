@@ -304,9 +304,9 @@ def sql() -> str:
     return """
     WITH clean AS (
         SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-               list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
         FROM embeddings
-        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), scored AS (
         SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
         FROM clean a JOIN clean r ON a.id <> r.id WHERE a.id % 100 = 0

@@ -228,7 +228,7 @@ def sql() -> str:
     ), worded AS (
         SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
     ), phrases AS (
-        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) AS words
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS words
         FROM worded, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k
     ), counts AS (
         SELECT lang, k, words, count(*) AS n FROM phrases GROUP BY ALL
@@ -243,13 +243,13 @@ def sql() -> str:
     ), kept AS (
         SELECT c.* FROM candidates c LEFT JOIN longer b ON c.lang = b.lang AND c.words = b.words WHERE b.n IS NULL OR 100 * b.n < 50 * c.n
     ), cuts AS (
-        SELECT lang, words, n, at, array_to_string(w[1:at], ' ') AS head, array_to_string(w[at + 1:], ' ') AS rest
-        FROM kept, (VALUES (1), (2)) AS places(at) WHERE at < k
+        SELECT lang, words, n, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+        FROM kept, (VALUES (1), (2)) AS places(cut) WHERE cut < k
     ), scored AS (
-        SELECT c.lang, c.words, c.n AS a, c.at, h.n AS l, t.n AS r, (1000000::HUGEINT * c.n * c.n) // (h.n::HUGEINT * t.n) AS score
+        SELECT c.lang, c.words, c.n AS a, c.cut, h.n AS l, t.n AS r, (1000000::HUGEINT * c.n * c.n) // (h.n::HUGEINT * t.n) AS score
         FROM cuts c JOIN counts h ON c.lang = h.lang AND c.head = h.words JOIN counts t ON c.lang = t.lang AND c.rest = t.words
     ), chosen AS (
-        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, at) = 1
+        SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1
     ), ranked AS (
         SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, words) AS rank FROM chosen
     )

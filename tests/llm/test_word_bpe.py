@@ -48,9 +48,10 @@ def test_digests(spark, docs, plain):
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
-@pytest.mark.parametrize("short", [1, 2, 5, 10_000])
-def test_scanned_and_queued_words_are_alike(monkeypatch, plain, short):
-    monkeypatch.setattr(bpe, "SHORT", short)
+@pytest.mark.parametrize("widths", [(), (1,), (2, 5), (3, 9000)])
+def test_scanned_and_queued_words_are_alike(monkeypatch, plain, widths):
+    monkeypatch.setattr(bpe, "WIDTHS", widths)
+    monkeypatch.setattr(bpe, "PARTS", 20_000)
     monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 50)
     own = bpe.Coder(PATH)
     for t in texts()[1:150]:
