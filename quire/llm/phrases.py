@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import gathered, small_batches, stage
 
-#: Bytes of text whose equal occurrences are put together before the shuffle, and of phrases that are extended at a time.
-ROUND_BYTES, GROW_BYTES = 16 << 20, 8 << 20
+#: Bytes of text whose equal occurrences are put together before the shuffle, and occurrences whose prefixes are extended together.
+ROUND_BYTES, GROW_ROWS = 8 << 20, 200_000
 #: A word or pair with more than one of so many occurrences is crowded; there are fewer than 2 * SHARE such.
 SHARE = 1024
 #: Where a text is cut; the piece mark can't be a word.
@@ -49,7 +49,8 @@ def word_counts(batches):
         found = np.bincount(lang * size + codes, minlength=0)
         at = np.flatnonzero(found)
         yield _counted(langs.take(pa.array(at // max(1, size))), words.take(pa.array(at % max(1, size))), found[at], False)
-        some = np.flatnonzero(_pairs(codes, piece))
+        heavy = np.bincount(codes, minlength=size) * SHARE >= len(codes)
+        some = np.flatnonzero(_pairs(codes, piece) & heavy[codes] & heavy[np.append(codes[1:], 0)])
         keys, n = np.unique((lang[some] * size + codes[some]) * size + codes[some + 1], return_counts=True)
         keys, n = keys[n * SHARE >= len(codes)], n[n * SHARE >= len(codes)]
         if len(keys):
@@ -61,10 +62,23 @@ def _counted(lang: pa.Array, words: pa.Array, n: np.ndarray, crowded: bool) -> p
     return pa.RecordBatch.from_arrays([lang.cast(pa.string()), words.cast(pa.string()), pa.array(n, pa.int64()), pa.array(np.full(len(n), crowded))], ["lang", "words", "n", "crowded"])
 
 
-def projected(batches, most: int, crowded: set[tuple[str, str]]):
-    """(lang, words, n, open): each occurrence of two words with the words after them in their piece, ``most`` in all.
+def _mixed(value: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return (value ^ more) * np.uint64(0x9E3779B97F4A7C15) + (value >> np.uint64(29))
 
-    Equal ones of a round are one row. ``open`` marks a crowded pair, whose occurrences are spread over many tasks.
+
+def _packed(**columns) -> bytes:
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def projected(batches, most: int, buckets: int, crowded: set[tuple[str, str]]):
+    """(bucket, lang, rows): each occurrence of two words with the words after them in their piece, ``most`` in all.
+
+    Equal ones of a round are one, with their number; ``rows`` are an Arrow stream of words, n and open. Those of a pair
+    go to one bucket, by their hashes. ``open`` marks a crowded pair, whose occurrences go to buckets by all their words.
     """
     for rows in gathered(batches, "text", ROUND_BYTES):
         words, codes, piece, langs, lang = _codes(rows)
@@ -80,6 +94,7 @@ def projected(batches, most: int, crowded: set[tuple[str, str]]):
             if depth > 1:
                 inside &= np.append(goes_on, np.zeros(most, bool))[at + depth - 1]
             key = key * size + np.where(inside, np.append(codes, np.zeros(most, np.int64))[at + depth], size - 1)
+        del lang, codes, piece, at, inside
         keys, n = np.unique(key, return_counts=True)
         columns = []
         for depth in range(most - 1, -1, -1):
@@ -87,57 +102,71 @@ def projected(batches, most: int, crowded: set[tuple[str, str]]):
             keys = keys // size
             if runs and runs[-1][0] == depth:
                 keys = runs.pop()[1][keys]
-        which = langs.take(pa.array(keys)).cast(pa.string())
-        named = [pa.array(c, mask=c == size - 1) for c in columns]
-        texts = [words.take(c) for c in named]
-        phrase = pc.binary_join_element_wise(*texts, " ", null_handling="skip").cast(pa.string())
+        names = words.to_pylist()
         is_open = np.zeros(len(n), bool)
-        if crowded:
-            of = {w: k for k, w in enumerate(words.to_pylist())}
-            kinds = {x: k for k, x in enumerate(langs.to_pylist())}
-            for x, pair in crowded:
-                first, second = (of.get(w, -1) for w in pair.split(" "))
-                is_open |= (keys == kinds.get(x, -1)) & (columns[0] == first) & (columns[1] == second)
-        for k in range(0, len(n), 1 << 16):
-            part = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([which[part], phrase[part], pa.array(n[part], pa.int64()), pa.array(is_open[part])], ["lang", "words", "n", "open"])
+        kinds = {x: k for k, x in enumerate(langs.to_pylist())}
+        of = {w: k for k, w in enumerate(names)} if crowded else {}
+        for x, pair in crowded:
+            first, second = (of.get(w, -1) for w in pair.split(" "))
+            is_open |= (keys == kinds.get(x, -1)) & (columns[0] == first) & (columns[1] == second)
+        hashed = np.array([zlib.crc32(w.encode()) for w in [*names, ""]], np.uint64)
+        mixed = _mixed(_mixed(np.array([zlib.crc32(x.encode()) for x in kinds] or [0], np.uint64)[keys], hashed[columns[0]]), hashed[columns[1]])
+        for column in columns[2:]:
+            mixed = np.where(is_open, _mixed(mixed, hashed[column]), mixed)
+        bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(keys * buckets + bucket, kind="stable")
+        keys, bucket, n, is_open = keys[order], bucket[order], n[order].astype(np.int32), is_open[order]
+        texts = [words.take(pa.array(c[order], mask=c[order] == size - 1)) for c in columns]
+        phrase = pc.binary_join_element_wise(*texts, " ", null_handling="skip").cast(pa.string())
+        edges = np.flatnonzero(np.diff(keys * buckets + bucket)) + 1 if len(n) else np.empty(0, int)
+        starts = [0, *edges.tolist()] if len(n) else []
+        made = [_packed(words=phrase[a:b], n=pa.array(n[a:b]), open=pa.array(is_open[a:b])) for a, b in zip(starts, [*edges.tolist(), len(n)], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), langs.take(pa.array(keys[starts])).cast(pa.string()), pa.array(made, pa.binary())], ["bucket", "lang", "rows"])
 
 
-def grown(batches, least: int, most: int):
-    """(lang, words, n): of the prefixes that a task holds, from pairs on.
+def extended(rows: pa.Table, least: int, most: int):
+    """(words, n) of the prefixes of a bucket, from pairs on, one more word at a time.
 
-    The rows come with those of a pair together. A prefix of ``least`` occurrences is extended by each word that
-    follows it, and so on to the right; others end here. What may go on in another chunk or task (the pairs at the
-    ends of a chunk, crowded pairs) is extended whatever its number; such counts are parts of a sum.
+    A prefix of ``least`` occurrences is extended by each word that follows it, and so on to the right; others end here.
+    Open ones are extended whatever their number, as they are in other buckets, too: such counts are parts of a sum.
     """
-    for rows in gathered(batches, "words", GROW_BYTES):
-        langs = rows["lang"].combine_chunks().dictionary_encode()
-        phrases = rows["words"].combine_chunks().dictionary_encode()
-        n, key = rows["n"].to_numpy(), rows["key"].to_numpy()
-        is_open = rows["open"].to_numpy() | (key == key[0]) | (key == key[-1])
-        # Equal rows of several rounds are one.
-        both, inverse = np.unique(langs.indices.to_numpy().astype(np.int64) * len(phrases.dictionary) + phrases.indices.to_numpy(), return_inverse=True)
-        n = np.bincount(inverse, n, len(both)).astype(np.int64)
-        opened = np.zeros(len(both), bool)
-        np.logical_or.at(opened, inverse, is_open)
-        texts = phrases.dictionary.take(pa.array(both % len(phrases.dictionary)))
-        split = pc.split_pattern(texts, " ")
-        sizes, words = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
-        codes, starts = words.indices.to_numpy().astype(np.int64), np.cumsum(sizes) - sizes
-        lang = both // len(phrases.dictionary)
-        at = np.arange(len(both))
-        prefix = lang * len(words.dictionary) + codes[starts]
-        for depth in range(1, most):
-            ids, first, inverse = np.unique(prefix * len(words.dictionary) + codes[starts[at] + depth], return_index=True, return_inverse=True)
-            total = np.bincount(inverse, n[at], len(ids)).astype(np.int64)
-            kept = (total >= least) | (np.bincount(inverse, opened[at], len(ids)) > 0)
-            shown = first[kept]
-            parts = [words.dictionary.take(pa.array(codes[starts[at[shown]] + k])) for k in range(depth + 1)]
-            yield pa.RecordBatch.from_arrays(
-                [langs.dictionary.take(pa.array(lang[at[shown]])), pc.binary_join_element_wise(*parts, " "), pa.array(total[kept], pa.int64())], ["lang", "words", "n"]
-            )
-            on = kept[inverse] & (sizes[at] > depth + 1)
-            at, prefix = at[on], inverse[on].astype(np.int64)
+    phrases = rows["words"].combine_chunks().dictionary_encode()
+    inverse, size = phrases.indices.to_numpy(), len(phrases.dictionary)
+    n = np.bincount(inverse, rows["n"].to_numpy(), size).astype(np.int64)
+    opened = np.bincount(inverse, rows["open"].to_numpy(), size) > 0
+    split = pc.split_pattern(phrases.dictionary, " ")
+    sizes, words = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
+    codes, starts = words.indices.to_numpy().astype(np.int64), np.cumsum(sizes) - sizes
+    at = np.arange(size)
+    prefix = codes[starts]
+    for depth in range(1, most):
+        ids, first, inverse = np.unique(prefix * len(words.dictionary) + codes[starts[at] + depth], return_index=True, return_inverse=True)
+        total = np.bincount(inverse, n[at], len(ids)).astype(np.int64)
+        kept = (total >= least) | (np.bincount(inverse, opened[at], len(ids)) > 0)
+        shown = at[first[kept]]
+        parts = [words.dictionary.take(pa.array(codes[starts[shown] + k])) for k in range(depth + 1)]
+        yield pc.binary_join_element_wise(*parts, " "), total[kept]
+        on = kept[inverse] & (sizes[at] > depth + 1)
+        at, prefix = at[on], inverse[on].astype(np.int64)
+
+
+def grown(batches, least: int, most: int):
+    """(lang, words, n) of all buckets of a task, which come one after the other, each language's rows together."""
+
+    def of(held: list[bytes], lang: str):
+        for words, n in extended(pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in held]), least, most):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int8))), words, pa.array(n)], ["lang", "words", "n"])
+
+    held, at = [], None
+    for batch in batches:
+        for bucket, lang, rows in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "rows")), strict=True):
+            if held and at != (bucket, lang):
+                yield from of(held, at[1])
+                held = []
+            at = bucket, lang
+            held.append(rows)
+    if held:
+        yield from of(held, at[1])
 
 
 def patterns(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -151,10 +180,10 @@ def patterns(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFra
     total = single.agg(F.sum("n")).first()[0] or 0
     # A pair with a share of all occurrences has it in a round at least; each row here has half of it, so they are few.
     crowded = {(r["lang"], r["words"]) for r in counted.filter(F.col("crowded") & (F.col("n") * 2 * SHARE >= total)).collect()}
-    rows = texts.mapInArrow(lambda batches: projected(batches, most, crowded), "lang string, words string, n long, open boolean")
-    key = F.xxhash64("lang", F.substring_index("words", " ", 2))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, F.when(F.col("open"), F.xxhash64("lang", "words")).otherwise(key)).withColumn("key", key).sortWithinPartitions("key")
+    buckets = max(parts, -(-total // GROW_ROWS))
+    rows = texts.mapInArrow(lambda batches: projected(batches, most, buckets, crowded), "bucket long, lang string, rows binary")
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang")
     found = dealt.mapInArrow(lambda batches: grown(batches, least, most), "lang string, words string, n long")
     found = found.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return stage(single.filter(F.col("n") >= least).unionByName(found), "patterns"), totals
@@ -171,9 +200,10 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 3, scale: int = 1
     stay: by score, then a, then bytes of the phrase.
 
     One pass counts words. The next projects occurrences: a pair with the words after it, equal ones of a round of
-    texts as one row. Tasks hold the occurrences of whole pairs and extend those with enough of them to the right. A
-    pair that holds more than a share of 1 in SHARE is spread over all tasks and its parts are summed, so no task
-    holds a crowded prefix; a prefix of one word is never gathered. Counts that a part must meet are joined by a
+    texts as one. Each pair belongs to a bucket of about GROW_ROWS occurrences; a task takes buckets one after the
+    other and extends the pairs with enough occurrences to the right. A pair that holds more than a share of 1 in
+    SHARE is spread over all buckets and its parts are summed, so no task holds a crowded prefix; a prefix of one word
+    is never gathered. Counts that a part must meet are joined by a
     shuffle, those of crowded words and pairs, fewer than 2 * SHARE, by a broadcast. Arithmetic is in decimals of
     38 digits: exact up to 10^15 occurrences of a phrase and a scale of 10^6.
 

@@ -58,7 +58,7 @@ def texts(seed, n=200):
 @pytest.mark.parametrize("most", [2, 3, 4])
 def test_against_counting_all(spark, monkeypatch, most):
     monkeypatch.setattr(phrases, "ROUND_BYTES", 4000)
-    monkeypatch.setattr(phrases, "GROW_BYTES", 900)
+    monkeypatch.setattr(phrases, "GROW_ROWS", 900)
     rows = texts(most)
     got = phrases.collocations(docs_of(spark, rows).repartition(7), most=most)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
