@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import hashlib
 import itertools
@@ -17,6 +18,8 @@ from .common import gathered, small_batches
 
 #: Bytes of text whose distinct words are encoded together; a worker's memory follows this, not the partition.
 ROUND_BYTES = 2 << 20
+#: Ids that are decoded at once, unless one text has more.
+DECODE_IDS = 1 << 18
 #: Memory of one worker's DuckDB.
 DUCKDB_MEMORY = "300MB"
 
@@ -27,9 +30,10 @@ PIECE = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 
 #: Bytes that a query takes at once (it holds the rows of every step), and distinct words that a worker remembers.
 QUERY_BYTES, REMEMBERED = 1 << 19, 300_000
-#: Bytes of the windows that a longer word is cut into, and from one window's start to the next. The step is a multiple
-#: of many small numbers, so that windows of a periodic word start alike.
+#: Bytes of the windows that a longer word is cut into, and from one window's start to the next: small ones first, larger ones
+#: where neighbours share no token. The steps are multiples of many small numbers, so that windows of a periodic word start alike.
 WINDOW, STEP = 120, 60
+LARGER = ((4096, 1920), (61_440, 30_720))
 
 #: Each step pairs neighbours, ranks the pairs by the merge table, and contracts each word's leftmost pair of least rank.
 ENCODE = """
@@ -165,29 +169,43 @@ class Coder:
         windows that hold the same token at the same place are joined there: then each two neighbours stand
         side by side in a window. Where two windows have no token in common the whole word is contracted.
         """
-        starts = range(0, len(word) - WINDOW + STEP, STEP)
-        cut = [word[s : s + WINDOW] for s in starts]
+        for window, step, query, most in ((WINDOW, STEP, ENCODE, QUERY_BYTES // 8), *((*x, ENCODE_LONG, x[0]) for x in LARGER)):
+            if len(word) > window:
+                ids = self._joined(word, window, step, query, most)
+                if ids is not None:
+                    return ids
+        return self._contracted(ENCODE_LONG, [word])[0]
+
+    def _joined(self, word: bytes, window: int, step: int, query: str, most: int) -> np.ndarray | None:
+        """The ids of a word by its windows; None if two neighbours share no token. Equal windows are contracted once."""
+        starts = range(0, len(word) - window + step, step)
+        cut = [word[s : s + window] for s in starts]
         distinct = {w: n for n, w in enumerate(dict.fromkeys(cut))}
+        cut = [distinct[w] for w in cut]
         found: list[np.ndarray] = []
-        for some in chunks(list(distinct), [len(w) for w in distinct], QUERY_BYTES // 8):
-            ids, of = self._contracted(ENCODE, some)
+        for some in chunks(list(distinct), [len(w) for w in distinct], most):
+            ids, of = self._contracted(query, some)
             found += np.split(ids, np.cumsum(np.bincount(of, minlength=len(some)))[:-1])
+        ends = [np.cumsum(self.lengths[ids]) for ids in found]
+        met: dict[tuple[int, int], int] = {}  # of two neighbouring windows, where they are joined: bytes from the second one's start
         parts, at = [], 0
         for n, start in enumerate(starts):
-            ids = found[distinct[cut[n]]]
-            ends = start + np.cumsum(self.lengths[ids])
-            first = int(np.searchsorted(ends, at, "right"))
+            ids, here = found[cut[n]], ends[cut[n]]
+            first = int(np.searchsorted(here, at - start, "right"))
             if n + 1 == len(starts):
                 parts.append(ids[first:])
                 break
-            after = found[distinct[cut[n + 1]]]
-            next_ends = start + STEP + np.cumsum(self.lengths[after])
-            # A token is known by its end and length; the middle one of those in common is as good as any.
-            same = np.intersect1d(ends << 10 | self.lengths[ids], next_ends << 10 | self.lengths[after], assume_unique=True)
-            if not len(same):
-                return self._contracted(ENCODE_LONG, [word])[0]
-            at = int(same[len(same) // 2]) >> 10
-            parts.append(ids[first : int(np.searchsorted(ends, at, "right"))])
+            pair = cut[n], cut[n + 1]
+            if pair not in met:
+                # A token is known by its end and length; the middle one of those in common is as good as any.
+                after = found[pair[1]]
+                same = np.intersect1d((here - step) << 10 | self.lengths[ids], ends[pair[1]] << 10 | self.lengths[after], assume_unique=True)
+                same = same[same >= 0]
+                met[pair] = int(same[len(same) // 2]) >> 10 if len(same) else -1
+            if met[pair] < 0:
+                return None
+            at = start + step + met[pair]
+            parts.append(ids[first : int(np.searchsorted(here, at - start, "right"))])
         return np.concatenate(parts)
 
     def _contracted(self, query: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +225,7 @@ class Coder:
         if len(self.places) > REMEMBERED:
             self._forget()
         first = len(self.places)
-        places, single = self.places, self.single
+        places, single = self.places, self.single  # an error below leaves these without ids: such a coder isn't used again
         of, sizes = [], np.ones(len(pieces), np.int64)
         for n, piece in enumerate(pieces):
             at = single.get(piece)
@@ -290,6 +308,16 @@ def coder(ranks_path: str, pattern: str) -> Coder:
     return Coder(ranks_path, pattern)
 
 
+@contextlib.contextmanager
+def using(ranks_path: str, pattern: str):
+    """A worker's coder; after an error the next task of the worker makes a new one."""
+    try:
+        yield coder(ranks_path, pattern)
+    except BaseException:
+        coder.cache_clear()
+        raise
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) for each row: the token ids, and the bytes that decoding them gives.
 
@@ -305,13 +333,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     small_batches(docs.sparkSession)
 
     def run(batches):
-        own = coder(ranks_path, pattern)
-        for rows in gathered(batches, "text", ROUND_BYTES):
-            ids = own.encode([t or "" for t in rows["text"].to_pylist()])
-            for k in range(0, len(ids), 256):
-                part = ids[k : k + 256]
-                arrays = [rows["doc_id"].slice(k, 256).combine_chunks(), pa.array([x.tolist() for x in part], pa.list_(pa.int32())), pa.array(own.decode(part), pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
+        with using(ranks_path, pattern) as own:
+            for rows in gathered(batches, "text", ROUND_BYTES):
+                ids = own.encode([t or "" for t in rows["text"].to_pylist()])
+                for k in range(0, len(ids), 256):
+                    part = ids[k : k + 256]
+                    arrays = [rows["doc_id"].slice(k, 256).combine_chunks(), pa.array([x.tolist() for x in part], pa.list_(pa.int32())), pa.array(own.decode(part), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded binary"
@@ -323,15 +351,15 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     small_batches(docs.sparkSession)
 
     def run(batches):
-        own = coder(ranks_path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for rows in gathered(batches, "text", ROUND_BYTES):
-            ids = own.encode([t or "" for t in rows["text"].to_pylist()])
-            decoded = []
-            for k in range(0, len(ids), 512):
-                decoded += [sha(x) for x in own.decode(ids[k : k + 512])]
-            arrays = [rows["doc_id"].combine_chunks(), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.tobytes()) for x in ids], pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with using(ranks_path, pattern) as own:
+            for rows in gathered(batches, "text", ROUND_BYTES):
+                ids = own.encode([t or "" for t in rows["text"].to_pylist()])
+                decoded = []
+                for some in chunks(ids, [len(x) for x in ids], DECODE_IDS):
+                    decoded += [sha(x) for x in own.decode(some)]
+                arrays = [rows["doc_id"].combine_chunks(), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.tobytes()) for x in ids], pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -72,9 +72,30 @@ def test_long_words(plain):
         assert time.perf_counter() - began < 60
 
 
+@pytest.mark.parametrize("word", ["-" * 5_000_000, "=-" * 1_000_000, "abcdefg" * 300_000, "ab-" * 700_000 + "q"], ids=lambda w: w[:4])
+def test_millions_of_bytes_without_white_space(plain, word):
+    coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
+    ids = coder.encode([word])[0]
+    assert coder.decode([ids]) == [word.encode()]
+    # The library's own time grows with the square of a word: its ids are known of a word that repeats by a shorter one.
+    short = word[:7560] + ("q" if word[-1] == "q" else "")
+    assert coder.encode([short])[0].tolist() == plain.encode_ordinary(short)
+
+
+def test_a_worker_goes_on_after_an_error(spark, docs, monkeypatch, plain):
+    coder = bpe.coder(RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe.Coder, "words", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError), bpe.using(RANKS, public_tokenizers.PATTERN) as own:
+        own.encode(["never seen before"])
+    monkeypatch.undo()
+    with bpe.using(RANKS, public_tokenizers.PATTERN) as own:
+        assert own is not coder and own.encode(["never seen before, again"])[0].tolist() == plain.encode_ordinary("never seen before, again")
+
+
 def test_windows_without_a_common_token(monkeypatch, plain):
     monkeypatch.setattr(bpe, "WINDOW", 4)
     monkeypatch.setattr(bpe, "STEP", 3)
+    monkeypatch.setattr(bpe, "LARGER", ((9, 5), (30, 17)))
     coder = bpe.Coder(RANKS, public_tokenizers.PATTERN)
     for word in long_words()[:40]:
         assert coder.encode([word])[0].tolist() == plain.encode_ordinary(word)
