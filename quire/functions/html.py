@@ -138,7 +138,7 @@ def prose(html: Column) -> Column:
     text = F.regexp_replace(body(html), COMMENT, "")
     for pattern in UNPROSE:
         text = F.regexp_replace(text, pattern, "\n")
-    return unescape(F.regexp_replace(text, rf"(?:{TAG}|\n)+", "\n"))
+    return unescape(F.regexp_replace(F.regexp_replace(text, TAG, "\n"), r"\n+", "\n"))
 
 
 def is_callout(tag: Column, classes: Column, types: Column) -> Column:

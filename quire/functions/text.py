@@ -15,9 +15,10 @@ TOKEN = "⟦[^⟧]*⟧"
 UNCLOSED = r"⟦[^⟦⟧]*(?:⟦|\z)"
 TITLE_TOKEN = rf"^⟦TITLE-[0-9]+[^⟧]*⟧[{BLANK}]*\z"
 ANCHORS = rf"^(?:⟦ANCHOR:[^⟧]*⟧[{BLANK}]*)+"
-#: Blanks and anchors of any number of lines, then the rest of a line. Every line end is a blank.
+#: Blanks and anchors of any number of lines, then the rest of a line. Every line end is a blank. Repeated groups are possessive
+#: wherever Java matches them: a greedy group takes a level of the stack for each repetition.
 ENDS = r"\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}"
-OPENING = rf"^[{BLANK}]*(?:⟦ANCHOR:[^⟧{ENDS}]*⟧[{BLANK}]*)*([^{ENDS}]*)"
+OPENING = rf"^[{BLANK}]*(?:⟦ANCHOR:[^⟧{ENDS}]*⟧[{BLANK}]*)*+([^{ENDS}]*)"
 # Stems that a rewrite must not bring in.
 BANNED = {"gate": "gat(?:e|es|ed|ing)", "provenance": "provenances?", "delve": "delv(?:e|es|ed|ing)"}
 # What Markdown leaves in a text.
@@ -73,7 +74,7 @@ def unclosed_token(text: Column) -> Column:
 
 
 def without_anchors(line: Column) -> Column:
-    return F.regexp_replace(strip(line), ANCHORS, "")
+    return F.regexp_replace(strip(line), f"{ANCHORS}+", "")
 
 
 def opening_line(text: Column) -> Column:

@@ -73,7 +73,7 @@ def headings(text: Column) -> Column:
     """(pos, prefix, text) of section headings: the title's line and empty ones are left out; prefix is what stands before the text, anchors too."""
 
     def parted(x: Column) -> Column:
-        prefix = F.regexp_extract(x["line"], rf"^#{{1,6}}[{T.BLANK}](?:⟦ANCHOR:[^⟧]*⟧[{T.BLANK}]*)*", 0)
+        prefix = F.regexp_extract(x["line"], rf"^#{{1,6}}[{T.BLANK}](?:⟦ANCHOR:[^⟧]*⟧[{T.BLANK}]*)*+", 0)
         return F.struct(x["pos"].alias("pos"), prefix.alias("prefix"), T.strip(F.substring(x["line"], F.length(prefix) + 1, F.length(x["line"]))).alias("text"))
 
     def of(opening: Column) -> Column:
@@ -276,7 +276,7 @@ def heading_anchors(text: Column) -> Column:
 
 
 def _number(rest: Column) -> Column:
-    return F.regexp_extract(T.strip(F.regexp_replace(rest, LEADING_TOKENS, "")), SECTION_NUMBER, 1)
+    return F.regexp_extract(T.strip(F.regexp_replace(rest, f"{LEADING_TOKENS}+", "")), SECTION_NUMBER, 1)
 
 
 def section_numbers(text: Column) -> Column:
@@ -299,7 +299,7 @@ def with_section_numbers(source: Column, text: Column) -> Column:
             def chosen(numbers: Column) -> Column:
                 kept = F.filter(numbers, lambda n: ~F.exists(numbers, lambda m: m.startswith(F.concat(n, F.lit(".")))))
                 order = F.array_sort(F.transform(kept, lambda n: F.struct(F.transform(F.split(n, r"\."), value).alias("key"), n.alias("n"))))
-                tokens = F.regexp_extract(h["rest"], LEADING_TOKENS, 0)
+                tokens = F.regexp_extract(h["rest"], f"{LEADING_TOKENS}+", 0)
                 rest = T.strip(F.substring(h["rest"], F.length(tokens) + 1, F.length(h["rest"])))
                 new = F.concat(h["hashes"], F.lit(" "), tokens, F.array_join(F.transform(order, lambda x: x["n"]), ", "), F.lit(" "), rest)
                 return F.when((F.size(numbers) > 0) & (_number(h["rest"]) == ""), new)
