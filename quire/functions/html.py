@@ -114,12 +114,6 @@ PROTECTED = ("img", "math", "svg", "figure")
 CALLOUT = r"(?i)^(?:note|tip|warning|caution|important|sidebar|box)$"
 #: Elements that are no prose, each with its content.
 UNPROSE = tuple(rf"(?is)<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in ("pre", "code", "script", "style"))
-#: Blocks with a callout's class, each up to its first end tag.
-CALLOUTS = tuple(
-    rf"""(?is)<{t}\s(?:[^>]*?\s)?class\s*=\s*["'](?:[^"']*\s)?(?:note|tip|warning|caution|important|sidebar|box)(?:\s[^"']*)?["'][^>]*>.*?</{t}\s*>"""
-    for t in ("aside", "div", "section")
-)
-SIDEBAR = r"""(?is)<aside\s(?:[^>]*?\s)?epub:type\s*=\s*["'][^"']*sidebar[^"']*["'][^>]*>.*?</aside\s*>"""
 CLASSES = r"""(?is)<[a-z][^>]*?\sclass\s*=\s*["']([^"']*)["']"""
 BODY_TAG = r"(?is)<body((?:\s[^>]*)?)>"
 ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*(?:"[^"]*"|'[^']*'))"""
@@ -152,12 +146,6 @@ def is_contents(html: Column) -> Column:
     return html.rlike(CONTENTS)
 
 
-def without_callouts(html: Column) -> Column:
-    for pattern in (*CALLOUTS, SIDEBAR):
-        html = F.regexp_replace(html, pattern, "")
-    return html
-
-
 def classes(html: Column) -> Column:
     return F.array_remove(F.array_distinct(F.flatten(F.transform(found(html, CLASSES), lambda c: F.split(c, r"\s+")))), "")
 
@@ -186,57 +174,6 @@ def repeated_ids(html: Column) -> Column:
     return T.named(F.array_sort(found(html, IDS)), of)
 
 
-# What a body or wrapper begins and ends with, and the tags inside it.
-FIRST_TAG = r"(?s)^\s*<([A-Za-z][A-Za-z0-9]*)"
-LAST_TAG = r"(?s)</([A-Za-z][A-Za-z0-9]*)\s*>\s*$"
-FIRST_WHOLE = r"(?s)^\s*(<[^>]*>)"
-OUTER = r"(?s)^\s*<[^>]*>|</[A-Za-z][A-Za-z0-9]*\s*>\s*$"
-TAGS = "</?[A-Za-z][A-Za-z0-9]*"
-INNER_BODY = r"(?is)^<body(?:\s[^>]*)?>|</body\s*>.*$"
-CLASS = r"""(?is)\sclass\s*=\s*["']([^"']*)["']"""
-#: Levels of wrappers that are looked at.
-WRAPPERS = 4
-
-
-def wrappers(html: Column) -> Column:
-    """tag.class of each element that alone holds the whole body, outermost first, WRAPPERS at most.
-
-    An element holds all if the text begins with its start tag and ends with the end tag that closes it: the one at
-    which as many elements of its name have been closed as opened.
-    """
-
-    def sole(inner: Column) -> Column:
-        name = F.lower(F.regexp_extract(inner, FIRST_TAG, 1))
-
-        def closes(n: Column) -> Column:
-            own = F.filter(F.transform(F.regexp_extract_all(inner, F.lit(TAGS), F.lit(0)), lambda t: F.lower(t)), lambda t: (t == F.concat(F.lit("<"), n)) | (t == F.concat(F.lit("</"), n)))
-            start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("zeros"))
-            after = F.aggregate(
-                own,
-                start,
-                lambda acc, t: T.named(
-                    acc["depth"] + F.when(t.startswith("</"), -1).otherwise(1),
-                    lambda d: F.struct(d.alias("depth"), (acc["zeros"] + (d == 0).cast("int")).alias("zeros")),
-                ),
-            )
-            return (n != "") & (F.lower(F.regexp_extract(inner, LAST_TAG, 1)) == n) & (after["zeros"] == 1) & (after["depth"] == 0)
-
-        return T.named(name, closes)
-
-    def named(inner: Column) -> Column:
-        first = F.regexp_extract(inner, FIRST_WHOLE, 1)
-        classes_ = F.array_remove(F.split(F.regexp_extract(first, CLASS, 1), r"\s+"), "")
-        return F.array_join(F.concat(F.array(F.lower(F.regexp_extract(first, FIRST_TAG, 1))), classes_), ".")
-
-    def level(acc: Column, _: Column) -> Column:
-        found = F.struct(F.regexp_replace(acc["inner"], OUTER, "").alias("inner"), F.concat(acc["chain"], F.array(named(acc["inner"]))).alias("chain"))
-        return F.when(sole(acc["inner"]), found).otherwise(F.struct(F.lit("").alias("inner"), acc["chain"].alias("chain")))
-
-    inner = F.regexp_replace(F.regexp_replace(body(html), COMMENT, ""), INNER_BODY, "")
-    start = F.struct(inner.alias("inner"), F.array().cast("array<string>").alias("chain"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WRAPPERS)), start, level)["chain"]
-
-
 def ill_formed(html: Column) -> Column:
     """Whether a page can't be read as XML."""
     made = F.from_xml(html, "broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})

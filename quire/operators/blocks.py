@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import html as H
+from ..functions import nodes as N
 from ..functions import text as T
 
 # Listings are alike from this share of words, notes from this likeness, which is 0 below a share of words.
@@ -19,11 +20,7 @@ LISTING = r"(?is)(<pre(?:\s[^>]*)?>.*?</pre\s*>)"
 LINK_START = r"(?is)(<a\s[^>]*>)"
 CLASS = r"""(?is)\sclass\s*=\s*["']([^"']*)["']"""
 ID = r"""(?is)\sid\s*=\s*["']([^"']*)["']"""
-LEAD = rf"(?is)</h[2-4]\s*>[{T.BLANK}]*(<[a-z][^>]*>)"
-SECTION = r"(?i)<h[2-4][\s/>]"
-PARAGRAPH = r"(?is)<p[\s>]"
 CAPTION = r"(?is)<(?:figcaption|p)(?:\s[^>]*)?>(.*?)</(?:figcaption|p)\s*>"
-CALLOUT_START = r"(?is)(<(?:aside|div|section)\s[^>]*>)"
 
 
 def listings(pages: DataFrame) -> DataFrame:
@@ -81,19 +78,39 @@ def link_classes(source: DataFrame, output: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", chosen.alias("class")).filter("class is not null")
 
 
+def _headed(tree: Column) -> Column:
+    """The paragraphs that are the first element after a heading in the same parent, and the number of such headings."""
+    heads = F.transform(F.filter(tree, lambda x: x["tag"].rlike("^h[2-4]$")), lambda x: x["pre"])
+    return T.named(
+        heads,
+        lambda h: F.struct(F.size(h).alias("sections"), F.filter(tree, lambda x: (x["tag"] == "p") & F.coalesce(F.array_contains(h, x["after"]), F.lit(False))).alias("first")),
+    )
+
+
 def section_leads(source: DataFrame) -> DataFrame:
     """(page_id, lead, n, sections): the class that most first paragraphs after headings have, if half of the headings' do.
 
     Of classes as frequent the one seen first counts; paragraphs without a class count as the class without a name, which is no lead.
     """
-    rows = source.select("page_id", F.regexp_count("html", F.lit(SECTION)).alias("sections"), F.posexplode(H.found(F.col("html"), LEAD)).alias("pos", "tag"))
-    rows = rows.filter(F.col("tag").rlike(PARAGRAPH)).withColumn("lead", F.regexp_extract("tag", CLASS, 1))
+    rows = N.with_tree(source.select("page_id", "html")).select("page_id", _headed(F.col("tree")).alias("h"))
+    rows = rows.select("page_id", "h.sections", F.posexplode(F.transform("h.first", lambda x: F.array_join(N.classes(x["raw"]), " "))).alias("pos", "lead"))
     counts = rows.groupBy("page_id", "sections", "lead").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     best = counts.groupBy("page_id", "sections").agg(F.max_by(F.struct("lead", "n"), F.struct("n", -F.col("first"))).alias("b"))
     best = best.select("page_id", F.col("b.lead").alias("lead"), F.col("b.n").alias("n"), "sections")
     return best.filter((F.col("lead") != "") & (2 * F.col("n") >= F.col("sections")))
 
 
+def leads_restored(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(page_id, html, restored): output pages with their source's lead as the class of first paragraphs that have none but have text."""
+    rows = N.with_tree(output.select("page_id", "html")).join(section_leads(source).select("page_id", "lead"), "page_id")
+    bare = lambda x: (F.size(N.classes(x["raw"])) == 0) & (x["last"] > x["pre"]) & (T.strip(N.text(F.col("tree"), x)) != "")
+    chosen = F.transform(F.filter(_headed(F.col("tree"))["first"], bare), lambda x: x["i"])
+    rows = rows.withColumn("chosen", chosen)
+    start = lambda x: F.concat(F.substring(x["raw"], 1, 2), F.lit(' class="'), F.col("lead"), F.lit('"'), F.regexp_replace(F.substring(x["raw"], 3, F.length(x["raw"])), r"(?is)\sclass\s*=\s*(?:\"\"|'')", ""))
+    made = F.array_join(F.transform("tree", lambda x: F.when(F.array_contains("chosen", x["i"]), start(x)).otherwise(x["raw"])), "")
+    return rows.select("page_id", made.alias("html"), F.size("chosen").alias("restored")).filter("restored > 0")
+
+
 def captions(pages: DataFrame) -> DataFrame:
     """(page_id, pos, label, text) of paragraphs and captions of figures that open with a label."""
     rows = pages.select("page_id", F.posexplode(H.found(F.col("html"), CAPTION)).alias("pos", "inner"))
@@ -101,30 +118,28 @@ def captions(pages: DataFrame) -> DataFrame:
     return rows.withColumn("label", T.caption_label(F.col("text"))).filter("label is not null").select("page_id", "pos", "label", "text")
 
 
-def callouts(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, tag, class) of the elements that are callouts."""
-    rows = pages.select("page_id", F.posexplode(H.found(F.col("html"), CALLOUT_START)).alias("pos", "start"))
-    value = lambda pattern: F.regexp_extract("start", pattern, 1)
-    rows = rows.select("page_id", "pos", F.lower(value("^<([A-Za-z]+)")).alias("tag"), value(CLASS).alias("class"), value(H.typed("aside")).alias("type"))
-    return rows.filter(H.is_callout(F.col("tag"), F.split("class", r"\s+"), F.col("type"))).select("page_id", "pos", "tag", "class")
+def _each(pages: DataFrame, chosen) -> DataFrame:
+    """(page_id, tree, pos, x): the nodes of each page that ``chosen`` takes, in order."""
+    rows = N.with_tree(pages.select("page_id", "html"))
+    return rows.select("page_id", "tree", F.posexplode(F.filter("tree", chosen)).alias("pos", "x"))
 
 
-LABEL = r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>"
-INNER_PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"
+def callouts(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, tag, class, inside) of the elements that are callouts, and whether another one holds them."""
+    rows = _each(pages, N.is_callout)
+    return rows.select("page_id", "pos", "x.tag", F.array_join(N.classes(F.col("x.raw")), " ").alias("class"), F.col("x.boxed").alias("inside"))
 
 
 def notes(pages: DataFrame) -> DataFrame:
-    """(page_id, note, text) of a page's callouts, without their labels."""
-    blocks = F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(0)) for p in H.CALLOUTS))
-    rows = pages.select("page_id", F.posexplode(blocks).alias("note", "block"))
-    text = T.normal(H.unescape(F.regexp_replace(F.regexp_replace("block", LABEL, " "), H.TAG, " ")))
-    return rows.select("page_id", "note", text.alias("text")).filter("text <> ''")
+    """(page_id, note, text) of a page's callouts that no other one holds, without their labels."""
+    rows = _each(pages, lambda x: N.is_callout(x) & ~x["boxed"])
+    return rows.select("page_id", F.col("pos").alias("note"), T.normal(N.spaced_text(F.col("tree"), F.col("x"), "^h[1-6]$")).alias("text")).filter("text <> ''")
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(page_id, pos, text) of the paragraphs outside callouts."""
-    rows = pages.select("page_id", F.posexplode(H.found(H.without_callouts(F.col("html")), INNER_PARAGRAPH)).alias("pos", "inner"))
-    return rows.select("page_id", "pos", T.normal(H.unescape(F.regexp_replace("inner", H.TAG, " "))).alias("text")).filter("text <> ''")
+    rows = _each(pages, lambda x: (x["tag"] == "p") & ~x["boxed"])
+    return rows.select("page_id", "pos", T.normal(N.spaced_text(F.col("tree"), F.col("x"))).alias("text")).filter("text <> ''")
 
 
 def note_candidates(source: DataFrame, output: DataFrame) -> DataFrame:
@@ -153,21 +168,41 @@ def kept_notes(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return best.select("page_id", "note", "b.pos", "b.likeness").filter(F.col("likeness") >= LIKENESS)
 
 
+def _named_once(ids: Column, heads: Column) -> Column:
+    """The headings with an identifier each: its own, or one of its text that neither the page nor a heading before has."""
+
+    def next_(acc: Column, h: Column) -> Column:
+        base = T.slug(h["text"])
+        taken = lambda name: F.array_contains(acc["taken"], name)
+        n = F.filter(F.sequence(F.lit(2), F.size(acc["taken"]) + 2), lambda k: ~taken(F.concat(base, F.lit("-"), k.cast("string"))))[0]
+        own = F.when(h["id"] != "", h["id"]).when(~taken(base), base).otherwise(F.concat(base, F.lit("-"), n.cast("string")))
+        return T.named(own, lambda x: F.struct(F.concat(acc["taken"], F.array(x)).alias("taken"), F.concat(acc["names"], F.array(x)).alias("names")))
+
+    start = F.struct(ids.alias("taken"), F.array().cast("array<string>").alias("names"))
+    names = F.aggregate(heads, start, next_)["names"]
+    return F.zip_with(heads, names, lambda h, x: F.struct(h["pos"].alias("pos"), h["depth"].alias("depth"), h["text"].alias("text"), x.alias("id"), (h["id"] == "").alias("made")))
+
+
 def contents(pages: DataFrame) -> DataFrame:
-    """(page_id, grp, pos, depth, text, href, uid): the headings below the title as two levels of contents.
+    """(page_id, grp, pos, depth, text, href, uid): the headings below the title as two levels of contents; a page is grouped by itself.
 
-    The shallowest level below the title is depth 1, deeper than 2 is left out. A heading of depth 1, or the first one, opens
-    a group, and those of depth 2 that follow belong to it. Headings without an identifier get one from their text.
+    The title is the first heading; if a header holds it, all headings of headers are left out, as are those in
+    callouts and those without text. The shallowest level is depth 1, deeper than 2 is left out. A heading of depth 1, or
+    the first one, opens a group, and those of depth 2 that follow belong to it. A heading without an identifier gets one
+    from its text, with a number where the page or an earlier heading has it.
     """
-    head = r"(?is)(<h[1-4](?:\s[^>]*)?>.*?</h[1-4]\s*>)"
-    rows = pages.select("page_id", F.posexplode(H.found(H.without_callouts(F.col("html")), head)).alias("pos", "h")).filter("pos > 0")
-    text = T.flat(H.unescape(F.regexp_replace("h", H.TAG, " ")))
-    given = F.regexp_extract(F.regexp_extract("h", "^<[^>]*>", 0), ID, 1)
-    rows = rows.select("page_id", "pos", F.substring("h", 3, 1).cast("int").alias("level"), text.alias("text"), given.alias("id")).filter("text <> ''")
-    page = Window.partitionBy("page_id")
-    rows = rows.withColumn("depth", F.col("level") - F.min("level").over(page) + 1).filter("depth <= 2")
-    up = page.orderBy("pos")
-    opens = ((F.col("depth") == 1) | (F.row_number().over(up) == 1)).cast("int")
-    rows = rows.withColumn("opens", opens).withColumn("grp", F.sum("opens").over(up))
-    href = F.concat(F.lit("#"), F.when(F.col("id") != "", F.col("id")).otherwise(T.slug(F.col("text"))))
-    return rows.withColumn("href", href).select("page_id", "grp", "pos", "depth", "text", "href", T.contents_id(F.col("href")).alias("uid"))
+    rows = N.with_tree(pages.select("page_id", "html"))
+    tree = F.col("tree")
+    heads = F.filter(tree, lambda x: x["tag"].rlike("^h[1-4]$") & ~x["boxed"])
+    rows = rows.withColumn("heads", F.transform(heads, lambda x, k: F.struct(k.alias("pos"), F.substring(x["tag"], 2, 1).cast("int").alias("level"), T.flat(N.spaced_text(tree, x)).alias("text"), F.coalesce(N.attribute(x["raw"], "id"), F.lit("")).alias("id"), N.holding(tree, "^header$", x).alias("headed"))))
+    titled = F.get("heads", F.lit(0))["headed"]
+    rows = rows.withColumn("heads", F.filter("heads", lambda h: (h["text"] != "") & F.when(titled, ~h["headed"]).otherwise(h["pos"] > 0)))
+    top = F.array_min(F.transform("heads", lambda h: h["level"]))
+    deep = F.transform("heads", lambda h: F.struct(h["pos"].alias("pos"), (h["level"] - top + 1).alias("depth"), h["text"].alias("text"), h["id"].alias("id")))
+    rows = rows.withColumn("heads", F.filter(deep, lambda h: h["depth"] <= 2))
+    ids = F.array_compact(F.transform(F.filter(tree, lambda x: x["kind"].isin(N.OPEN, N.SINGLE)), lambda x: N.attribute(x["raw"], "id")))
+    rows = rows.select("page_id", F.posexplode(_named_once(ids, F.col("heads"))).alias("nth", "h")).select("page_id", "nth", "h.*")
+    up = Window.partitionBy("page_id").orderBy("nth")
+    rows = rows.withColumn("grp", F.sum(((F.col("depth") == 1) | (F.col("nth") == 0)).cast("int")).over(up))
+    href = F.concat(F.lit("#"), "id")
+    return rows.select("page_id", "grp", "pos", "depth", "text", href.alias("href"), T.contents_id(href).alias("uid"))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import nodes as N
 from ..functions import text as T
+from ..sources.staged import staged
 from . import links as L
 from .chapters import BLOCK, ranked
 
@@ -75,14 +77,16 @@ def resources_lost(source: DataFrame, output: DataFrame) -> DataFrame:
     return gone.select("book", F.lit("problem").alias("level"), F.lit("resource lost").alias("kind"), F.col("path").alias("place"), detail.alias("detail"))
 
 
-def features(pages: DataFrame, xhtml: bool = False) -> DataFrame:
-    """What the comparison needs of a page: some short arrays, counts and digests; with ``xhtml`` whether it can't be read as XML, too."""
+def features(pages: DataFrame) -> DataFrame:
+    """What the comparison needs of a page: some short arrays, counts and digests. A reduced edition has them."""
+    if "wrappers" in pages.columns:
+        return pages
     html = F.col("html")
-    rows = pages.select("page_id", L.book().alias("book"), L.normal(L.path()).alias("path"), "html", H.prose(html).alias("prose"))
+    rest = [c for c in pages.columns if c not in ("page_id", "html", "book", "path", "prose", "tree")]
+    rows = N.with_tree(pages.select("page_id", *rest, L.book().alias("book"), L.normal(L.path()).alias("path"), "html")).withColumn("prose", H.prose(html))
     sheets = F.transform(H.stylesheets(html), lambda h: L.resolved(F.col("path"), h))
-    levels = T.named(H.without_callouts(html), H.heading_jumps)
     return rows.select(
-        "page_id", "book", "path",
+        "page_id", *rest, "book", "path",
         F.array_sort(F.array_distinct(sheets)).alias("sheets"),
         H.body_attributes(html).alias("attributes"),
         F.sha2("prose", 256).alias("prose"),
@@ -90,34 +94,44 @@ def features(pages: DataFrame, xhtml: bool = False) -> DataFrame:
         T.residue(F.col("prose")).alias("marks"),
         F.regexp_extract("prose", f"(?md){T.RESIDUE}", 0).alias("mark"),
         H.classes(html).alias("classes"),
-        H.wrappers(html).alias("wrappers"),
-        levels.alias("jumps"),
+        N.wrappers(F.col("tree")).alias("wrappers"),
+        N.heading_jumps(F.col("tree")).alias("jumps"),
         H.repeated_ids(html).alias("repeated"),
-        (H.ill_formed(html) if xhtml else F.lit(False)).alias("broken"),
+        H.ill_formed(html).alias("broken"),
+        H.is_contents(html).alias("is_nav"),
         *(H.tag_count(html, t).alias(f"n_{t}") for t in H.CONTENT),
     )
 
 
+def reduced(pages: DataFrame) -> DataFrame:
+    """An edition without its texts, in one pass over them: (page_id, url, ord), ``features``, references, identifiers, styles and entries of navigation."""
+    html = F.col("html")
+    more = {"references": L.references(), "ids": H.found(html, H.IDS), "styles": H.style_classes(html), "entries": nav_entries()}
+    return features(pages.select("page_id", "url", "ord", "html", *(c.alias(n) for n, c in more.items())))
+
+
 def rewritten_pages(source: DataFrame, output: DataFrame) -> DataFrame:
     """(page_id) of the pages whose prose differs."""
-    made = [p.select("page_id", F.sha2(H.prose(F.col("html")), 256).alias(n)) for p, n in ((source, "was"), (output, "now"))]
+    made = [p.select("page_id", L.given(p, "prose", F.sha2(H.prose(F.col("html")), 256)).alias(n)) for p, n in ((source, "was"), (output, "now"))]
     return made[0].join(made[1], "page_id").filter("was <> now").select("page_id")
 
 
-def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | None = None, xhtml: bool = False) -> DataFrame:
-    """Findings of each page that both editions have.
+def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
+    """Findings of each page of the output.
 
-    ``rewritten(page_id)`` names the pages that were rewritten, others are expected unchanged; without it those whose
-    prose differs count as rewritten. ``xhtml`` also tells pages that can't be read as XML though the source's could.
+    A page that can't be read as XML is told if the source's could or there was none; all else is told of pages that both
+    editions have. ``rewritten(page_id)`` names the pages that were rewritten, others are expected unchanged, but for
+    navigation; without it those whose prose differs count as rewritten. A null page_id is a page like others.
     """
-    was, now = (features(p, xhtml).alias(n) for p, n in ((source, "s"), (output, "o")))
-    both = was.join(now, F.col("s.page_id") == F.col("o.page_id"))
+    was, now = (features(p).alias(n) for p, n in ((source, "s"), (output, "o")))
+    both = now.join(was.withColumn("there", F.lit(True)).alias("s"), F.col("s.page_id").eqNullSafe(F.col("o.page_id")), "left")
+    both = both.withColumn("there", F.coalesce("there", F.lit(False)))
     if rewritten is None:
-        both = both.withColumn("rewritten", F.col("s.prose") != F.col("o.prose"))
+        both = both.withColumn("rewritten", F.col("there") & (F.col("s.prose") != F.col("o.prose")))
     else:
         named = rewritten.select(F.col("page_id").alias("r")).distinct().withColumn("rewritten", F.lit(True))
-        both = both.join(named, F.col("s.page_id") == F.col("r"), "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(False)))
-    styles = output.select(L.book().alias("book"), F.explode(H.style_classes(F.col("html"))).alias("class")).distinct()
+        both = both.join(named, F.col("o.page_id").eqNullSafe(F.col("r")), "left").withColumn("rewritten", F.col("there") & F.coalesce("rewritten", F.lit(False)))
+    styles = output.select(L.book().alias("book"), F.explode(L.given(output, "styles", H.style_classes(F.col("html")))).alias("class")).distinct()
     styles = styles.groupBy("book").agg(F.array_sort(F.collect_set("class")).alias("styled"))
     both = both.join(styles.select(F.col("book").alias("b"), "styled"), F.col("o.book") == F.col("b"), "left")
 
@@ -132,13 +146,13 @@ def pages_changed(source: DataFrame, output: DataFrame, rewritten: DataFrame | N
     more = F.when(F.size(gone) > CLASSES_SHOWN, " …").otherwise("")
     stray = F.col("o.marks") - F.col("s.marks")
     every = [
-        F.when(F.col("o.broken") & ~F.col("s.broken"), finding("problem", "not well-formed XHTML", F.lit("can't be read as XML"))),
+        F.when(F.col("o.broken") & ~F.coalesce("s.broken", F.lit(False)), finding("problem", "not well-formed XHTML", F.lit("can't be read as XML"))),
         F.when(F.size(sheets) > 0, finding("problem", "stylesheet link lost", F.array_join(sheets, ", "))),
         F.when(
             F.col("s.attributes") != F.col("o.attributes"),
             finding("warning", "body attributes changed", F.concat(F.array_join("s.attributes", " "), F.lit(" -> "), F.array_join("o.attributes", " "))),
         ),
-        F.when(~F.col("rewritten") & (F.col("s.prose") != F.col("o.prose")), finding("warning", "untouched document changed", F.lit("text differs from the source"))),
+        F.when(F.col("there") & ~F.col("rewritten") & ~F.col("o.is_nav") & (F.col("s.prose") != F.col("o.prose")), finding("warning", "untouched document changed", F.lit("text differs from the source"))),
     ]
     inside = [
         F.when(F.size(unwrapped) > 0, finding("problem", "styled wrapper lost", F.array_join(unwrapped, ", "))),
@@ -173,15 +187,20 @@ def links_broken(source: DataFrame, output: DataFrame) -> DataFrame:
     )
 
 
-def entries(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, ref, label) of the links in pages' navigation."""
+def nav_entries() -> Column:
+    """(pos, ref, label) of the links in a page's navigation."""
 
     def parted(a: Column, i: Column) -> Column:
         label = T.flat(H.unescape(F.regexp_replace(a, H.TAG, " ")))
         return F.struct(i.alias("pos"), H.unescape(F.regexp_extract(a, H.HREF, 1)).alias("ref"), label.alias("label"))
 
     inside = F.array_join(H.found(F.col("html"), H.NAV), "\n")
-    rows = pages.select("page_id", "url", F.explode(F.transform(F.filter(H.found(inside, H.NAV_LINK), lambda a: a.rlike(H.HREF)), parted)).alias("e"))
+    return F.transform(F.filter(H.found(inside, H.NAV_LINK), lambda a: a.rlike(H.HREF)), parted)
+
+
+def entries(pages: DataFrame) -> DataFrame:
+    """(page_id, url, pos, ref, label) of the links in pages' navigation."""
+    rows = pages.select("page_id", "url", F.explode(L.given(pages, "entries", nav_entries())).alias("e"))
     return rows.select("page_id", "url", "e.*").filter(~F.col("ref").rlike(H.EXTERNAL))
 
 
@@ -210,7 +229,11 @@ def entries_lost(source: DataFrame, output: DataFrame, rewritten: DataFrame | No
 
 
 def verify(source: DataFrame, output: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
-    """All findings: (book, level, kind, place, detail)."""
+    """All findings: (book, level, kind, place, detail).
+
+    Each edition is read once and reduced to a narrow staged table; all rules work on the two.
+    """
+    source, output = staged(reduced(source), "source"), staged(reduced(output), "output")
     where = output.select("page_id", L.normal(L.path()).alias("place"))
     parts = [
         spine(source, output),
@@ -226,8 +249,11 @@ def verify(source: DataFrame, output: DataFrame, rewritten: DataFrame | None = N
     return made
 
 
-def summary(findings: DataFrame) -> DataFrame:
-    """(book, problems, warnings, said, failed): a line for each book, and whether it fails."""
+def summary(findings: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(book, problems, warnings, said, failed): a line for each book, and whether it fails; with the ``pages`` of an edition also for its books without findings."""
+    if pages is not None:
+        none = pages.select(L.book().alias("book")).distinct().select("book", *(F.lit(None).cast("string").alias(c) for c in ("level", "kind", "place", "detail")))
+        findings = findings.unionByName(none)
     counts = findings.groupBy("book").agg(*(F.count_if(F.col("level") == x).alias(f"{x}s") for x in ("problem", "warning")))
     said = lambda x: F.concat(F.col(f"{x}s").cast("string"), F.lit(f" {x}"), F.when(F.col(f"{x}s") == 1, "").otherwise("s"))
     return counts.select("book", "problems", "warnings", F.concat(said("problem"), F.lit(", "), said("warning")).alias("said"), (F.col("problems") > 0).alias("failed"))

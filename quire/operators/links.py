@@ -38,15 +38,24 @@ def fragment(ref: Column) -> Column:
     return decoded(F.regexp_extract(ref, "#(.*)", 1))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, kind, pos, ref): internal references of anchors, images and link elements; nothing is shuffled."""
+def given(pages: DataFrame, name: str, made: Column) -> Column:
+    """A column of ``pages``, or what it would be made of: an edition that was reduced has no text any more."""
+    return F.col(name) if name in pages.columns else made
+
+
+def references() -> Column:
+    """(kind, pos, ref) of a page's anchors, images and link elements."""
     html = F.col("html")
 
     def named(kind: str):
         return lambda ref, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), H.unescape(ref).alias("ref"))
 
-    kinds = [F.transform(H.found(html, pattern), named(kind)) for kind, pattern in H.LINKS.items()]
-    rows = pages.select("page_id", "url", F.explode(F.concat(*kinds)).alias("l")).select("page_id", "url", "l.*")
+    return F.concat(*(F.transform(H.found(html, pattern), named(kind)) for kind, pattern in H.LINKS.items()))
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """(page_id, url, kind, pos, ref): internal references of anchors, images and link elements; nothing is shuffled."""
+    rows = pages.select("page_id", "url", F.explode(given(pages, "references", references())).alias("l")).select("page_id", "url", "l.*")
     return rows.filter(~F.col("ref").rlike(H.EXTERNAL))
 
 
@@ -66,7 +75,7 @@ def addressed(pages: DataFrame) -> DataFrame:
 
 def identified(pages: DataFrame) -> DataFrame:
     """(book, path, id) of the identifiers that there are."""
-    rows = pages.select(book().alias("book"), normal(path()).alias("path"), F.explode(H.found(F.col("html"), H.IDS)).alias("id"))
+    rows = pages.select(book().alias("book"), normal(path()).alias("path"), F.explode(given(pages, "ids", H.found(F.col("html"), H.IDS))).alias("id"))
     return rows.distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import nodes as N
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import chapters as C
@@ -157,7 +158,10 @@ def queries() -> dict[str, Query]:
         "style_classes": _source(lambda p: p.select(L.book().alias("book"), F.explode(H.style_classes(F.col("html"))).alias("class")).distinct()),
         "tags_lost": _both(lambda s, o: L.fewer_tags(s.join(o.select("page_id"), "page_id", "left_semi"), o)),
         "duplicate_ids_marked": _output(L.duplicate_ids),
-        "heading_jumps_marked": _output(lambda p: p.select("page_id", H.heading_jumps(H.without_callouts(F.col("html"))).alias("jumps"))),
+        "heading_jumps_marked": _output(lambda p: N.with_tree(p.select("page_id", "html")).select("page_id", N.heading_jumps(F.col("tree")).alias("jumps"))),
+        "page_nodes": _source(N.rows),
+        "page_wrappers": _output(lambda p: N.with_tree(p.select("page_id", "html")).select("page_id", F.posexplode(N.wrappers(F.col("tree"))).alias("level", "wrapper"))),
+        "leads_restored": _both(lambda s, o: B.leads_restored(s, o).select("page_id", _sha(F.col("html")).alias("digest"), "restored")),
         "spine_changes": _both(I.spine),
         "resources_lost": _both(I.resources_lost),
         "page_findings": _both(I.pages_changed),
@@ -165,7 +169,7 @@ def queries() -> dict[str, Query]:
         "links_broken": _both(I.links_broken),
         "nav_unresolved": _output(I.entries_unresolved),
         "nav_entries_lost": _both(I.entries_lost),
-        "findings_summary": _both(lambda s, o: I.summary(I.verify(s, o))),
+        "findings_summary": _both(lambda s, o: I.summary(I.verify(s, o), o)),
         "findings_report": _both(lambda s, o: I.report(I.verify(s, o))),
         "listings_matched": _both(B.matched_listings),
         "link_classes": _both(B.link_classes),

@@ -10,6 +10,7 @@ from ..operators import integrity as I
 from ..operators import markdown as M
 from ..operators import results as R
 from . import editions as E
+from . import node_sql as D
 from . import sql as S
 from .sql import every, has, q, strip, sub
 
@@ -170,17 +171,6 @@ def prose(html: str) -> str:
     return S.unescape(f"regexp_replace({text}, {q(f'(?:{H.TAG}|{chr(92)}n)+')}, chr(10), 'g')")
 
 
-def without_callouts(html: str) -> str:
-    for pattern in (*H.CALLOUTS, H.SIDEBAR):
-        html = sub(html, pattern)
-    return html
-
-
-def jumps(html: str) -> str:
-    levels = f"list_transform({every(html, '(?i)<h([1-6])(?:' + chr(92) + 's[^>]*)?>', 1)}, lambda x: x::INT)"
-    return f"len(list_filter(range(1, len({levels})), lambda i: {levels}[i + 1] > {levels}[i] + 1))"
-
-
 _SHEETS = f"list_transform(list_filter({every('html', H.LINK_TAG, 1)}, lambda t: {has('t', H.STYLESHEET)} AND {has('t', H.HREF)}), lambda t: {S.unescape(f'regexp_extract(t, {q(H.HREF)}, 1)')})"
 _CLASSES = f"list_filter(list_distinct(flatten(list_transform({every('html', H.CLASSES, 1)}, lambda c: regexp_split_to_array(c, {q(chr(92) + 's+')})))), lambda c: c <> '')"
 _IDS = every("html", H.IDS, 1)
@@ -188,51 +178,30 @@ _STYLE = every("html", H.STYLE, 1)
 _STYLED = f"unnest({every(f'array_to_string({_STYLE}, chr(10))', H.CSS_CLASS, 1)})"
 
 
-def _sole(inner: str) -> str:
-    name = f"lower(regexp_extract({inner}, {q(H.FIRST_TAG)}, 1))"
-    own = f"list_filter(list_transform({every(inner, H.TAGS)}, lambda t: CASE lower(t) WHEN '<' || {name} THEN 1 WHEN '</' || {name} THEN -1 ELSE 0 END), lambda v: v <> 0)"
-    first = f"list_filter(range(1, len({own}) + 1), lambda i: list_sum({own}[:i]) = 0)"
-    return f"({name} <> '' AND lower(regexp_extract({inner}, {q(H.LAST_TAG)}, 1)) = {name} AND {first} = [len({own})])"
-
-
-def _named(inner: str) -> str:
-    first = f"regexp_extract({inner}, {q(H.FIRST_WHOLE)}, 1)"
-    classes = f"list_filter(regexp_split_to_array(regexp_extract({first}, {q(H.CLASS)}, 1), {q(chr(92) + 's+')}), lambda c: c <> '')"
-    return f"array_to_string(list_concat([lower(regexp_extract({first}, {q(H.FIRST_TAG)}, 1))], {classes}), '.')"
-
-
-def wrapped(pages: str) -> str:
-    """``pages`` with their chains of wrappers, level by level."""
-    inner = f"regexp_extract(html, {q(H.BODY)}, 0)"
-    inner = sub(sub(f"CASE WHEN {inner} <> '' THEN {inner} ELSE html END", H.COMMENT), H.INNER_BODY)
-    rows = f"(SELECT *, {inner} AS inner_html, []::VARCHAR[] AS wrappers FROM {pages})"
-    for _ in range(H.WRAPPERS):
-        rows = f"""(SELECT * REPLACE (CASE WHEN sole THEN {sub("inner_html", H.OUTER)} ELSE '' END AS inner_html, CASE WHEN sole THEN list_append(wrappers, {_named("inner_html")}) ELSE wrappers END AS wrappers)
-            FROM (SELECT * EXCLUDE (sole), {_sole("inner_html")} AS sole FROM (SELECT *, false AS sole FROM {rows})))"""
-        rows = f"(SELECT * EXCLUDE (sole) FROM {rows})"
-    return rows
-
-
 def features(pages: str) -> str:
     counts = ", ".join(f"len({every(S.visible('html'), f'(?i)<{t}[' + chr(92) + 's/>]')}) AS n_{t}" for t in H.CONTENT)
     return f"""(SELECT page_id, {S.HOST} AS book, {_place()} AS place,
         list_sort(list_distinct(list_transform({_SHEETS}, lambda ref: {S.TARGET}))) AS sheets,
         list_sort({every(f"regexp_extract(html, {q(H.BODY_TAG)}, 1)", H.ATTRIBUTE, 1)}) AS attributes, prose, regexp_extract(prose, '⟦[^⟧\\n]{{0,40}}', 0) AS token,
-        len({every("prose", "(?m)" + T.RESIDUE)}) AS marks, regexp_extract(prose, {q("(?m)" + T.RESIDUE)}, 0) AS mark, {_CLASSES} AS classes, wrappers, {jumps(without_callouts("html"))} AS jumps,
+        len({every("prose", "(?m)" + T.RESIDUE)}) AS marks, regexp_extract(prose, {q("(?m)" + T.RESIDUE)}, 0) AS mark, {_CLASSES} AS classes, coalesce(wrappers, []) AS wrappers, coalesce(jumps, 0) AS jumps, {has("html", H.CONTENTS)} AS is_nav,
         list_sort(list_distinct(list_filter({_IDS}, lambda i: len(list_filter({_IDS}, lambda j: j = i)) > 1))) AS repeated, {counts}
-        FROM (SELECT *, {prose("html")} AS prose FROM {wrapped(pages)}))"""
+        FROM (SELECT *, {prose("html")} AS prose FROM {pages}) LEFT JOIN {D.wrappers(f"{pages}_nodes")} USING (page_id) LEFT JOIN {D.jumps(f"{pages}_nodes")} USING (page_id))"""
 
 
 _STYLES = f"styles AS (SELECT book, list(DISTINCT class) AS styled FROM (SELECT {S.HOST} AS book, {_STYLED} AS class FROM output) GROUP BY book)"
 _FEWER = " UNION ALL ".join(
     f"SELECT page_id, book, '{'problem' if t in H.PROTECTED else 'warning'}', 'fewer <{t}>', place, s_{t} || ' -> ' || o_{t} FROM told WHERE rewritten AND o_{t} < s_{t}" for t in H.CONTENT
 )
-_SIDES = ", ".join(f"s.{c} AS s_{c}, o.{c} AS o_{c}" for c in ("sheets", "attributes", "prose", "token", "marks", "mark", "classes", "wrappers", "jumps", "repeated"))
+_SIDES = ", ".join(f"s.{c} AS s_{c}, o.{c} AS o_{c}" for c in ("sheets", "attributes", "prose", "token", "marks", "mark", "classes", "wrappers", "jumps", "repeated", "is_nav"))
 _TAGS = ", ".join(f"s.n_{t} AS s_{t}, o.n_{t} AS o_{t}" for t in H.CONTENT)
 
 
+_NODES = ", ".join(f"{p}_nodes AS MATERIALIZED (SELECT * FROM {D.nodes(p)})" for p in ("source", "output"))
+
+
 def page_findings(rewritten: str) -> str:
-    return f"""told AS (
+    return f"""{_NODES},
+told AS (
     SELECT o.page_id, o.book, o.place, {_SIDES}, {_TAGS}, {rewritten} AS rewritten,
         list_filter(s.sheets, lambda x: NOT list_contains(o.sheets, x)) AS lost_sheets,
         list_filter(s.wrappers, lambda w: NOT list_contains(o.wrappers, w) AND list_has_any(string_split(w, '.')[2:], coalesce(styled, []))) AS unwrapped,
@@ -243,7 +212,7 @@ def page_findings(rewritten: str) -> str:
 told_all AS (
     SELECT page_id, book, 'problem' AS level, 'stylesheet link lost' AS kind, place, array_to_string(lost_sheets, ', ') AS detail FROM told WHERE len(lost_sheets) > 0
     UNION ALL SELECT page_id, book, 'warning', 'body attributes changed', place, array_to_string(s_attributes, ' ') || ' -> ' || array_to_string(o_attributes, ' ') FROM told WHERE s_attributes <> o_attributes
-    UNION ALL SELECT page_id, book, 'warning', 'untouched document changed', place, 'text differs from the source' FROM told WHERE NOT rewritten AND s_prose <> o_prose
+    UNION ALL SELECT page_id, book, 'warning', 'untouched document changed', place, 'text differs from the source' FROM told WHERE NOT rewritten AND NOT o_is_nav AND s_prose <> o_prose
     UNION ALL SELECT page_id, book, 'problem', 'styled wrapper lost', place, array_to_string(unwrapped, ', ') FROM told WHERE rewritten AND len(unwrapped) > 0
     UNION ALL SELECT page_id, book, 'warning', 'styled classes lost', place, array_to_string(gone[:{I.CLASSES_SHOWN}], ', ') || CASE WHEN len(gone) > {I.CLASSES_SHOWN} THEN ' …' ELSE '' END FROM told WHERE rewritten AND len(gone) > 0
     UNION ALL {_FEWER}
@@ -313,6 +282,7 @@ nav_lost_all AS (
 _P = f"WITH {EDITIONS}"
 FINDINGS = f"""{_P}, {_STYLES}, {page_findings("s.prose <> o.prose")}, {SPINE}, {LOST}, {BROKEN}, {NAV},
 findings AS (
+    SELECT DISTINCT {S.HOST} AS book, NULL AS level, NULL AS kind, NULL AS place, NULL AS detail FROM output UNION ALL
     SELECT * FROM spine_all UNION ALL SELECT * FROM lost_all UNION ALL SELECT book, level, kind, place, detail FROM told_all
     UNION ALL SELECT b.book, level, kind, {_place()}, detail FROM broken_all b JOIN output USING (page_id)
     UNION ALL SELECT * FROM nav_open UNION ALL SELECT * FROM nav_lost_all
@@ -338,9 +308,8 @@ def _each(pages: str, found: str, columns: str) -> str:
     return f"(SELECT {columns} FROM (SELECT *, (i - 1)::INT AS pos, l[i] AS x FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, {found} AS l FROM {pages}))))"
 
 
-_BLOCKS = "list_concat(" + ", ".join(every("html", p) for p in H.CALLOUTS) + ")"
-_HEAD = r"(?is)(<h[1-4](?:\s[^>]*)?>.*?</h[1-4]\s*>)"
-_HEAD_TEXT = S.flat(S.unescape(sub("x", H.TAG, " ")))
+_WAS = f"was AS MATERIALIZED (SELECT * FROM {D.nodes('source')})"
+_NOW = f"now AS MATERIALIZED (SELECT * FROM {D.nodes('output')})"
 _CAPTION_TEXT = S.flat(S.unescape(sub("x", H.TAG, " ")))
 _PLAIN = sub("text", T.CLOSED_TOKEN)
 _LABEL = f"nullif(lower({sub(f'regexp_extract({_PLAIN}, {q(T.CAPTION)}, 0)', f'[{T.BLANK}]+')}), '')"
@@ -391,7 +360,10 @@ QUERIES = {
         now AS (SELECT page_id, lower(tag) AS tag, count(*) AS after FROM (SELECT page_id, unnest({every(S.visible("html"), H.START_TAG, 1)}) AS tag FROM output) GROUP BY ALL)
         SELECT page_id, tag, before, coalesce(after, 0) AS after FROM was LEFT JOIN now USING (page_id, tag) WHERE page_id IN (SELECT page_id FROM output) AND coalesce(after, 0) < before""",
     "duplicate_ids_marked": f"{_P} SELECT page_id, id, count(*) AS n FROM (SELECT page_id, unnest({_IDS}) AS id FROM output) GROUP BY ALL HAVING count(*) > 1",
-    "heading_jumps_marked": f"{_P} SELECT page_id, {jumps(without_callouts('html'))} AS jumps FROM output",
+    "heading_jumps_marked": f"{_P}, {_NOW} SELECT page_id, coalesce(jumps, 0) AS jumps FROM output LEFT JOIN {D.jumps('now')} USING (page_id)",
+    "page_nodes": f"{_P}, {_WAS} SELECT page_id, pre::INT AS pre, last::INT AS last, parent::INT AS parent, depth::INT AS depth, after::INT AS after, tag, array_to_string(classes, ' ') AS classes, id, boxed FROM was WHERE pre IS NOT NULL",
+    "page_wrappers": f"{_P}, {_NOW} SELECT page_id, unnest(wrappers) AS wrapper, unnest(range(0, len(wrappers)))::INT AS level FROM {D.wrappers('now')}",
+    "leads_restored": f"{_P}, {_WAS}, {_NOW}, {D.restored()}",
     "spine_changes": f"{_P}, {SPINE} SELECT * FROM spine_all",
     "resources_lost": f"{_P}, {LOST} SELECT * FROM lost_all",
     "page_findings": f"{_P}, {_STYLES}, {page_findings('s.prose <> o.prose')} SELECT * FROM told_all",
@@ -402,9 +374,9 @@ QUERIES = {
     "findings_summary": f"""{FINDINGS} SELECT book, count(*) FILTER (level = 'problem') AS problems, count(*) FILTER (level = 'warning') AS warnings,
         {_SAID("problem")} || ', ' || {_SAID("warning")} AS said, count(*) FILTER (level = 'problem') > 0 AS failed FROM findings GROUP BY book""",
     "findings_report": f"""{FINDINGS}, ranked AS (
-            SELECT book, row_number() OVER (PARTITION BY book ORDER BY level <> 'problem', kind, place, detail) AS nth, level || ': ' || kind || ' in ' || place || ': ' || detail AS line FROM findings)
+            SELECT book, row_number() OVER (PARTITION BY book ORDER BY level <> 'problem', kind, place, detail) AS nth, level || ': ' || kind || ' in ' || place || ': ' || detail AS line FROM findings WHERE level IS NOT NULL)
         SELECT book, nth::INT AS nth, line FROM ranked WHERE nth <= {I.REPORTED}
-        UNION ALL SELECT book, {I.REPORTED + 1}, '… ' || (count(*) - {I.REPORTED}) || ' more' FROM findings GROUP BY book HAVING count(*) > {I.REPORTED}""",
+        UNION ALL SELECT book, {I.REPORTED + 1}, '… ' || (count(*) - {I.REPORTED}) || ' more' FROM findings WHERE level IS NOT NULL GROUP BY book HAVING count(*) > {I.REPORTED}""",
     "listings_matched": f"""{_P}, joined AS (SELECT coalesce(o.page_id, s.page_id) AS page_id, o.pos, s.pos AS original, o.key AS new, s.key AS old
             FROM {_listings("output")} o FULL JOIN {_listings("source")} s ON o.page_id = s.page_id AND o.key = s.key AND o.nth = s.nth),
         olds AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY original) AS k FROM joined WHERE pos IS NULL),
@@ -419,21 +391,13 @@ QUERIES = {
         by_id AS (SELECT page_id, id, last(class ORDER BY pos) AS of_id FROM was WHERE coalesce(href, '') = '' AND id IS NOT NULL GROUP BY ALL)
         SELECT * FROM (SELECT n.page_id, n.pos, CASE WHEN coalesce(n.href, '') <> '' THEN of_href ELSE of_id END AS class
         FROM now n LEFT JOIN by_href h ON n.page_id = h.page_id AND n.href = h.href LEFT JOIN by_id i ON n.page_id = i.page_id AND n.id = i.id) WHERE class IS NOT NULL""",
-    "section_leads": f"""{_P}, leads AS (SELECT page_id, pos, sections, regexp_extract(x, {q(B.CLASS)}, 1) AS lead FROM {_each("source", every("html", B.LEAD, 1), f"page_id, pos, x, len({every('html', B.SECTION)}) AS sections")} WHERE {has("x", B.PARAGRAPH)}),
-        counts AS (SELECT page_id, sections, lead, count(*) AS n, min(pos) AS first FROM leads GROUP BY ALL),
-        best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, first) AS nth FROM counts)
-        SELECT page_id, lead, n, sections FROM best WHERE nth = 1 AND lead <> '' AND 2 * n >= sections""",
+    "section_leads": f"{_P}, {_WAS} SELECT * FROM {D.leads('was')}",
     "captions": f"""{_P} SELECT * FROM (SELECT page_id, pos, {_LABEL} AS label, text FROM {_each("source", every("html", B.CAPTION, 1), f"page_id, pos, {_CAPTION_TEXT} AS text")}) WHERE label IS NOT NULL""",
-    "callouts": f"""{_P} SELECT page_id, pos, tag, class FROM {_each("source", every("html", B.CALLOUT_START, 1), f"page_id, pos, lower(regexp_extract(x, '^<([A-Za-z]+)', 1)) AS tag, regexp_extract(x, {q(B.CLASS)}, 1) AS class, regexp_extract(x, {q(H.typed('aside'))}, 1) AS type")}
-        WHERE (tag = 'aside' AND contains(type, 'sidebar')) OR len(list_filter(regexp_split_to_array(class, '\\s+'), lambda c: {has("c", H.CALLOUT)})) > 0""",
-    "note_candidates": f"""{_P}, notes AS (SELECT page_id, pos AS note, {_NORMAL(S.unescape(sub(sub("x", B.LABEL, " "), H.TAG, " ")))} AS a FROM {_each("source", _BLOCKS, "page_id, pos, x")}),
-        paras AS (SELECT page_id, pos, {_NORMAL(S.unescape(sub("x", H.TAG, " ")))} AS b FROM {_each("output", every(without_callouts("html"), B.INNER_PARAGRAPH, 1), "page_id, pos, x")})
+    "callouts": f"""{_P}, {_WAS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS pos, tag, array_to_string(classes, ' ') AS class, boxed AS inside FROM was WHERE callout""",
+    "note_candidates": f"""{_P}, {_WAS}, {_NOW}, notes AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS note, {_NORMAL("text")} AS a FROM {D.texts("was", "x.callout AND NOT x.boxed", without=D.HEADS)}),
+        paras AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS pos, {_NORMAL("text")} AS b FROM {D.texts("now", "x.tag = 'p' AND NOT x.boxed")})
         SELECT page_id, note, pos, round(shared, 6) AS shared FROM (
             SELECT n.page_id, note, pos, {_COMMON("a", "b")}::DOUBLE / (len({_WORDS("a")}) + len({_WORDS("b")}) - {_COMMON("a", "b")}) AS shared FROM notes n JOIN paras p ON n.page_id = p.page_id WHERE a <> '' AND b <> ''
         ) WHERE shared >= {B.LEAST_SHARED}""",
-    "contents_groups": f"""{_P}, heads AS (SELECT * FROM {_each("source", every(without_callouts("html"), _HEAD, 1), f"page_id, pos, substr(x, 3, 1)::INT AS level, {_HEAD_TEXT} AS text, regexp_extract(regexp_extract(x, '^<[^>]*>', 0), {q(B.ID)}, 1) AS id")} WHERE pos > 0 AND text <> ''),
-        deep AS (SELECT *, level - min(level) OVER (PARTITION BY page_id) + 1 AS depth FROM heads),
-        opened AS (SELECT *, (depth = 1 OR row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1)::INT AS opens FROM deep WHERE depth <= 2),
-        linked AS (SELECT *, sum(opens) OVER (PARTITION BY page_id ORDER BY pos) AS grp, '#' || CASE WHEN id <> '' THEN id ELSE {_SLUG("text")} END AS href FROM opened)
-        SELECT page_id, grp::BIGINT AS grp, pos, depth, text, href, 'toc-' || regexp_replace(href, {q("[^" + chr(92) + "p{L}" + chr(92) + "p{N}_-]")}, '-', 'g') AS uid FROM linked""",
+    "contents_groups": f"WITH RECURSIVE {EDITIONS}, {_WAS}, {D.contents()}",
 }

@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 BOOKS, LOST_ADDRESS = 6, 23
 
 _EXTRA = f"""concat(
-    '<h2 id="more">1.2 More</h2><p class="lead">First.</p><h3 id="less">Less</h3><p class="lead">Second one.</p><h3>Last</h3><p>Third.</p><h2>Beyond</h2><p>Fourth.</p>',
+    '<h2 id="more">1.2 More</h2><p class="lead">First.</p><h3 id="less">Less</h3><p class="lead">Second one.</p><h3>Last</h3><p class="lead">Third.</p><h3>Last!</h3>and<p id="sec-last-2">more</p><h2>Beyond</h2><!-- so --><p>Fourth.</p>',
     '<figure><img src="/img/', page_id % 7, '.png" alt="x"/><figcaption>Figure 1-', page_id % 4, ': what it shows</figcaption></figure>',
     '<table><tr><td>1</td></tr></table><p>Table 2-1. A table.</p><pre>run  it ', page_id % 3, '</pre><pre>run it ', page_id % 3, '</pre><pre>stop now or never &lt;', page_id, '&gt;</pre>',
     '<aside class="note"><h5>Note</h5><p>Mind the gap.</p></aside>',
+    '<div class="box wide"><div class="tip"><h2>Tip</h2><p>Inner one.</p></div><h6>Deep</h6><p>Outer one.</p></div>',
     '<p><a class="xref" href="#more">up</a><a href="#gone">gone</a><a class="next" href="/p/', page_id + {BOOKS}, '#top">next</a><a id="mark', page_id % 5, '" class="mark"></a></p>')"""
 _BODY = """CASE page_id % 13 WHEN 0 THEN '<body epub:type="index">' WHEN 1 THEN '<body epub:type="frontmatter">' WHEN 2 THEN '<body class="b" lang="en"><div class="toc">toc</div>'
-    WHEN 3 THEN '<body><section epub:type="chapter">part</section>' WHEN 4 THEN '<body><div class="copyright">(c)</div>' ELSE '<body class="b" lang="en"><div class="wrap"><section class="inner">' END"""
-_BODY_END = "CASE WHEN page_id % 13 > 4 THEN '</section></div></body>' ELSE '</body>' END"
+    WHEN 3 THEN '<body><section epub:type="chapter">part</section>' WHEN 4 THEN '<body><div class="copyright">(c)</div>' ELSE '<body class="b" lang="en"><div class="wrap"><section class="inner"><div><div class="third"><div class="fourth"><div class="fifth">' END"""
+_BODY_END = "CASE WHEN page_id % 13 > 4 THEN '</div></div></div></div></section></div></body>' ELSE '</body>' END"
 _TITLE = """CASE page_id % 11 WHEN 0 THEN '<h1 id="top" class="title">Index</h1><h1>' WHEN 1 THEN '<h1 id="top" class="title">Preface to it</h1><h1>' ELSE '<h1 id="top" class="title">' END"""
 
 URL = f"CASE WHEN page_id % {LOST_ADDRESS} = 7 THEN NULL ELSE concat('https://book', page_id % {BOOKS}, '.example/p/', page_id) END"
 _NAV = f"""concat(CASE page_id % 41 WHEN 5 THEN '<nav epub:type="toc">' ELSE '<nav>' END, '<a href="/p/', page_id + {BOOKS}, '#top">Next</a>')"""
 SOURCE = f"""replace(replace(replace(replace(replace(replace(html, '<nav>', {_NAV}), '</body>', {_BODY_END}),
-    '<head>', '<head><link rel="stylesheet" href="/css/main.css"/><style>.note{{}} .lead{{}} .title{{}} .xref{{}} .wrap{{}} .inner{{}}</style>'),
+    '<head>', '<head><link rel="stylesheet" href="/css/main.css"/><style>.note{{}} .lead{{}} .title{{}} .xref{{}} .wrap{{}} .inner{{}} .fifth{{}}</style>'),
     '<body>', {_BODY}), '<h1>', {_TITLE}), '</article>', concat({_EXTRA}, '</article>'))"""
 OUTPUT = """CASE page_id % 10
     WHEN 1 THEN replace(html, concat('<figure><img src="/img/', page_id % 7, '.png" alt="x"/>'), '<figure>')
@@ -37,7 +38,7 @@ OUTPUT = """CASE page_id % 10
     WHEN 5 THEN replace(replace(html, 'id="more"', 'id="top"'), '1.2 More', 'More')
     WHEN 0 THEN replace(html, 'now or never', 'now and never')
     WHEN 6 THEN replace(replace(html, '<body', '<body data-x="1"'), '<pre>stop now or never', '<pre>gone')
-    WHEN 7 THEN replace(html, '<link rel="stylesheet" href="/css/main.css"/>', '')
+    WHEN 7 THEN replace(replace(replace(html, '<link rel="stylesheet" href="/css/main.css"/>', ''), '<div class="fifth">', '<div>'), '<p class="lead">Third.</p>', '<p>The third</p>')
     WHEN 8 THEN replace(replace(replace(replace(html, '<aside class="note"><h5>Note</h5><p>Mind the gap.</p></aside>', '<p>Mind the big gap.</p>'), ' class="lead"', ''), ' class="xref"', ''), 'Second one', 'Second')
     WHEN 9 THEN replace(replace(html, '<li><a href="', '<li><a href="/lost'), '><a href="/p/', '><a href="/q/')
     ELSE html END"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,17 @@ def _files(spark: SparkSession, folder: str, names: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str, book: str) -> DataFrame:
-    """(page_id, url, html) of the HTML files below a folder, as pages of one book; page_id is a hash of the path."""
+    """(page_id, url, html) of the HTML files below a folder, as pages of one book; page_id is the place of the path among all, from 0.
+
+    Paths are put in order by ranges of them, without their texts; each range is numbered after those before it.
+    """
     rows = _files(spark, folder, "*.{html,xhtml,htm}")
-    return rows.select(F.xxhash64("path").alias("page_id"), F.concat(F.lit(f"file://{book}/"), "path").alias("url"), F.col("text").alias("html"))
+    ranged = rows.select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()).persist()  # both uses see the same ranges
+    counts = ranged.groupBy("part").count()
+    before = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    placed = ranged.withColumn("nth", nth).join(F.broadcast(before), "part").select("path", (F.col("before") + F.col("nth") - 1).alias("page_id"))
+    return rows.join(placed, "path").select("page_id", F.concat(F.lit(f"file://{book}/"), "path").alias("url"), F.col("text").alias("html"))
 
 
 def stylesheets(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +46,6 @@ def chapters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_records(rows: DataFrame, folder: str, by: str | None = None) -> None:
-    """A run's records as JSON lines, in a folder for each value of ``by``; a run that is repeated replaces its own."""
-    writer = rows.write.mode("overwrite").option("ignoreNullFields", "false")
+    """A run's records as JSON lines, in a folder for each value of ``by``; a run replaces the folders of its own values and leaves others."""
+    writer = rows.write.mode("overwrite").option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic" if by else "static")
     (writer.partitionBy(by) if by else writer).json(folder)

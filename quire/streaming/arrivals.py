@@ -15,7 +15,7 @@ def statuses(pages: DataFrame) -> DataFrame:
 
 
 def unseen(pages: DataFrame, cache: DataFrame) -> DataFrame:
-    """The selected chapters of a stream whose text isn't in ``cache(source_sha)``; the cache is read anew for each batch."""
+    """The selected chapters of a stream whose text isn't in ``cache(source_sha)``; the cache is what it was when the stream was started."""
     return C.missing_from_cache(C.classified(pages).filter(C.selected()), cache)
 
 

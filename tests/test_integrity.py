@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import html as H
+from quire.functions import nodes as N
+from quire.functions import text as T
 from quire.operators import blocks as B
 from quire.operators import integrity as I
 from quire.operators import results as R
@@ -56,8 +58,8 @@ def test_wrappers(spark):
         5: "<body><div><div><div><div><div>deep</div></div></div></div></div></body>",
         6: None,
     }
-    made = {r.page_id: r.w for r in edition(spark, bodies).select("page_id", H.wrappers(F.col("html")).alias("w")).collect()}
-    assert made == {0: ["div.a.b", "div"], 1: [], 2: [], 3: ["section.s"], 4: [], 5: ["div"] * 4, 6: []}
+    made = {r.page_id: r.w for r in N.with_tree(edition(spark, bodies)).select("page_id", N.wrappers(F.col("tree")).alias("w")).collect()}
+    assert made == {0: ["div.a.b", "div"], 1: [], 2: [], 3: ["section.s"], 4: [], 5: ["div"] * 5, 6: []}
     source = edition(spark, {0: PAGE.replace("<body class=\"b\">", "<body><div class='w x'>").replace("</body>", "</div></body>")})
     output = edition(spark, {0: PAGE.replace("text", "other").replace("<body class=\"b\">", "<body>")})
     assert [(r.kind, r.detail) for r in I.pages_changed(source, output).collect()] == [("styled wrapper lost", "div.w.x")]
@@ -66,9 +68,52 @@ def test_wrappers(spark):
 def test_well_formed(spark):
     good = "<html><head/><body><p>a &amp; b<br/></p></body></html>"
     assert edition(spark, {0: good, 1: "<p>a<p>b", 2: None, 3: ""}).select(H.ill_formed(F.col("html")).alias("x")).collect() == [(False,), (True,), (False,), (True,)]
-    source, output = edition(spark, {0: good, 1: "<p>a<p>b"}), edition(spark, {0: good.replace("</p>", ""), 1: "<p>a<p>b"})
-    assert [(r.page_id, r.kind) for r in I.pages_changed(source, output, xhtml=True).collect()] == [(0, "not well-formed XHTML")]
-    assert I.pages_changed(source, output).count() == 0
+    source, output = edition(spark, {0: good, 1: "<p>a<p>b", None: good}), edition(spark, {0: good.replace("</p>", ""), 1: "<p>a<p>b", 2: "<p>new", 3: good, None: good.replace("a &", "b &")})
+    made = I.pages_changed(source, output, spark.createDataFrame([], "page_id long")).collect()
+    assert sorted(((r.page_id, r.kind) for r in made), key=str) == [(0, "not well-formed XHTML"), (2, "not well-formed XHTML"), (None, "untouched document changed")]
+
+
+def test_navigation_may_change_untouched(spark):
+    nav = "<nav epub:type='toc'>a</nav>"
+    none = spark.createDataFrame([], "page_id long")
+    assert I.pages_changed(edition(spark, {0: nav}), edition(spark, {0: nav.replace("a<", "b<")}), none).count() == 0
+
+
+def test_nested_callouts(spark):
+    page = "<body><h1>a</h1><aside class='note'><div class='tip'><h3>x</h3></div><h6>y</h6><p>in</p></aside><h2>b</h2><p>out</p></body>"
+    frame = edition(spark, {0: page})
+    assert N.with_tree(frame).select(N.heading_jumps(F.col("tree")).alias("n")).first().n == 0
+    assert [(r.pos, r.text) for r in B.paragraphs(frame).collect()] == [(0, "out")]
+    assert [(r.note, r.text) for r in B.notes(frame).collect()] == [(0, "in")]
+    assert sorted((r.tag, r.inside) for r in B.callouts(frame).collect()) == [("aside", False), ("div", True)]
+
+
+def test_contents_have_identifiers_of_their_own(spark):
+    page = "<h1>T</h1><h2>X y</h2><p id='sec-x-y-2'></p><h2 id='k'>Z</h2><h3>X, y</h3><h3>X y</h3><h4>deep</h4><h2> </h2><aside class='note'><h2>no</h2></aside><h2>x y 2</h2>"
+    made = [(r.grp, r.depth, r.text, r.href) for r in B.contents(edition(spark, {0: page})).orderBy("grp", "pos").collect()]
+    assert made == [(1, 1, "X y", "#sec-x-y"), (2, 1, "Z", "#k"), (2, 2, "X, y", "#sec-x-y-3"), (2, 2, "X y", "#sec-x-y-4"), (3, 1, "x y 2", "#sec-x-y-2-2")]
+    headed = "<header><h1>T</h1><h2>sub</h2></header><h2>a</h2>"
+    assert [r.text for r in B.contents(edition(spark, {0: headed, 1: None, 2: "<h1>only</h1>"})).collect()] == ["a"]
+
+
+def test_leads_come_back(spark):
+    source = edition(spark, {0: "<h2>a</h2><p class='l m'>1</p><h3>b</h3>text<!-- c --><p class='l m'>2</p>"})
+    output = edition(spark, {0: "<div><h2>a</h2>\n<P>1</P><p>2</p></div><h4>b</h4><p class=''>3</p><h3>c</h3><p class='own'>4</p><h2>d</h2><p><br/> </p>"})
+    assert [(r.lead, r.n, r.sections) for r in B.section_leads(source).collect()] == [("l m", 2, 2)]
+    made = B.leads_restored(source, output).collect()
+    want = "<div><h2>a</h2>\n<P class=\"l m\">1</P><p>2</p></div><h4>b</h4><p class=\"l m\">3</p><h3>c</h3><p class='own'>4</p><h2>d</h2><p><br/> </p>"
+    assert [(r.html, r.restored) for r in made] == [(want, 2)]
+
+
+@pytest.mark.parametrize("piece", ["<br/>", "<p>", "</p>", "\n", "<p>x</p>", "⟦ANCHOR:a⟧ ", "<!-- -->", "<", "<div class='note'>"])
+def test_no_input_kills_a_task(spark, piece):
+    text = piece * 100_000
+    rows = N.with_tree(edition(spark, {0: text}))
+    made = rows.select(
+        F.length(H.prose(F.col("html"))).alias("prose"), F.size(N.wrappers(F.col("tree"))).alias("wrappers"), F.length(T.opening_line(F.col("html"))).alias("opening"),
+        F.length(T.without_anchors(F.col("html"))).alias("line"), (F.array_join(F.transform("tree", lambda x: x["raw"]), "") == F.col("html")).alias("whole"),
+    ).first()
+    assert made.whole and made.wrappers == 0 and made.line <= len(text)
 
 
 def test_untouched_and_rewritten(spark):

@@ -105,6 +105,7 @@ def test_contents_classes_and_callouts(spark):
     assert [r.is_contents for r in C.classified(frame).orderBy("page_id").collect()] == [True, False]
     assert frame.select(H.style_classes(F.col("html")).alias("c")).first().c == ["a-b", "c"]
     assert [(r.tag, r["class"]) for r in B.callouts(frame).orderBy("pos").collect()] == [("aside", ""), ("div", "y Note")]
+    assert [r.inside for r in B.callouts(frame).orderBy("pos").collect()] == [False, True]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

@@ -17,7 +17,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "007.md").write_text("# Seven")
     (tmp_path / "007.failed.md").write_text("no")
     made = files.pages(spark, str(tmp_path), "mine")
-    assert sorted(r.url for r in made.collect()) == ["file://mine/text/a.xhtml", "file://mine/text/deep/b.html"]
+    assert sorted((r.page_id, r.url) for r in made.collect()) == [(0, "file://mine/text/a.xhtml"), (1, "file://mine/text/deep/b.html")]
     assert {r.html for r in made.collect()} == {LONG, "<h1>�é</h1>"}
     assert [(r.title, r.words) for r in C.scan(made).orderBy("words").collect()] == [("\ufffdé", 1), ("T", 300)]
     assert [tuple(r) for r in files.stylesheets(spark, str(tmp_path)).collect()] == [("style.css", ".k{}")]
@@ -32,6 +32,21 @@ def test_records(spark, tmp_path):
     assert sorted((r.doc_id, r.book, r.detail) for r in back.collect()) == [(1, "a", None), (2, "b", "x")]
 
 
+def test_pages_are_in_the_order_of_their_paths(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"{k:02d}.xhtml").write_text("<p>x")
+    made = files.pages(spark, str(tmp_path), "mine").collect()
+    assert [r.url for r in sorted(made, key=lambda r: r.page_id)] == [f"file://mine/{k:02d}.xhtml" for k in range(40)]
+    assert sorted(r.page_id for r in made) == list(range(40))
+
+
+def test_records_of_others_stay(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, book string")
+    files.write_records(rows, str(tmp_path / "out"), "book")
+    files.write_records(rows.filter("book = 'b'").withColumn("doc_id", F.lit(3)), str(tmp_path / "out"), "book")
+    assert sorted((r.doc_id, r.book) for r in spark.read.json(str(tmp_path / "out")).collect()) == [(1, "a"), (3, "b")]
+
+
 def stream(spark, tmp_path, rows):
     folder = tmp_path / f"in{len(rows)}"
     schema = "page_id long, url string, html string, at timestamp"
