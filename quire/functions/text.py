@@ -220,3 +220,19 @@ def jaccard(a: Column, b: Column) -> Column:
     one, other = F.array_distinct(words(a)), F.array_distinct(words(b))
     both = F.size(F.array_union(one, other))
     return F.when((F.size(one) > 0) & (F.size(other) > 0), F.size(F.array_intersect(one, other)) / both).otherwise(0.0)
+
+
+# Fixed value: how far back a reply that was cut off is searched for what its continuation repeats.
+OVERLAP = 4000
+
+
+def continued(first: Column, second: Column) -> Column:
+    """A reply and its continuation as one text: the longest tail of whole lines that the continuation begins with counts once."""
+
+    def of(lines_: Column) -> Column:
+        tails = F.transform(lines_, lambda _, k: F.array_join(F.slice(lines_, k + 1, F.size(lines_)), "\n"))
+        # The tail is cut amid a line if the reply is longer: its first line isn't whole.
+        whole = F.filter(tails, lambda t, k: ((k > 0) | (F.length(first) <= OVERLAP)) & second.startswith(t))
+        return F.concat(F.substring(first, F.lit(1), F.length(first) - F.length(F.coalesce(F.get(whole, F.lit(0)), F.lit("")))), second)
+
+    return named(F.split(F.right(first, F.lit(OVERLAP)), "\n", -1), of)

@@ -12,6 +12,7 @@ from ..functions import nodes as N
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import chapters as C
+from ..operators import contents as K
 from ..operators import guards as G
 from ..operators import integrity as I
 from ..operators import links as L
@@ -131,6 +132,32 @@ def _texts(source: Column, body: Column) -> dict[str, Column]:
     }
 
 
+def _navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = K.entries(E.navigation(_read(spark, sf_dir, "pages")))
+    return rows.select("page_id", "book", "nav", "pre", "last", "depth", "class", "href", "label", "target", "sole")
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The navigation of pages, a third of which are taken as rewritten; one of five of these has no headings."""
+    pages = _read(spark, sf_dir, "pages")
+    chosen = E.source(pages).filter(E.REWRITTEN)
+    heads = B.contents(chosen.filter("page_id % 5 <> 0")).select("page_id", F.col("pos").alias("nth"), F.col("depth").alias("level"), F.expr("substring(href, 2)").alias("id"), "text")
+    named = chosen.select("page_id", L.book().alias("book"), L.normal(L.path()).alias("path")).join(heads, "page_id", "left").drop("page_id")
+    return K.rebuilt(E.navigation(pages), named)
+
+
+def _continued(rows: DataFrame) -> DataFrame:
+    rows = rows.select("doc_id", *(F.expr(p).alias(n) for p, n in zip(E.PIECES, ("first", "second"), strict=True)))
+    made = T.continued(F.col("first"), F.col("second"))
+    return rows.select("doc_id", _sha(made).alias("digest"), (F.length("first") + F.length("second") - F.length(made)).alias("repeated"))
+
+
+def _ill_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    made = I.pages_changed(E.xhtml(pages, 0), E.xhtml(pages, 1), pages.select("page_id").limit(0))
+    return made.filter("kind = 'not well-formed XHTML'").select("page_id", "level", "place")
+
+
 def queries() -> dict[str, Query]:
     return {
         "opening_lines_marked": _columns(_opening),
@@ -159,6 +186,10 @@ def queries() -> dict[str, Query]:
         "tags_lost": _both(lambda s, o: L.fewer_tags(s.join(o.select("page_id"), "page_id", "left_semi"), o)),
         "duplicate_ids_marked": _output(L.duplicate_ids),
         "heading_jumps_marked": _output(lambda p: N.with_tree(p.select("page_id", "html")).select("page_id", N.heading_jumps(F.col("tree")).alias("jumps"))),
+        "nav_entries": _navigation,
+        "nav_rebuilt": _rebuilt,
+        "replies_continued": _chapters(_continued),
+        "ill_formed_pages": _ill_formed,
         "page_nodes": _source(N.rows),
         "page_wrappers": _output(lambda p: N.with_tree(p.select("page_id", "html")).select("page_id", F.posexplode(N.wrappers(F.col("tree"))).alias("level", "wrapper"))),
         "leads_restored": _both(lambda s, o: B.leads_restored(s, o).select("page_id", _sha(F.col("html")).alias("digest"), "restored")),

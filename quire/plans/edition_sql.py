@@ -361,6 +361,16 @@ QUERIES = {
         SELECT page_id, tag, before, coalesce(after, 0) AS after FROM was LEFT JOIN now USING (page_id, tag) WHERE page_id IN (SELECT page_id FROM output) AND coalesce(after, 0) < before""",
     "duplicate_ids_marked": f"{_P} SELECT page_id, id, count(*) AS n FROM (SELECT page_id, unnest({_IDS}) AS id FROM output) GROUP BY ALL HAVING count(*) > 1",
     "heading_jumps_marked": f"{_P}, {_NOW} SELECT page_id, coalesce(jumps, 0) AS jumps FROM output LEFT JOIN {D.jumps('now')} USING (page_id)",
+    "nav_entries": f"WITH {E.NAVIGATION_SQL}, was AS MATERIALIZED (SELECT * FROM {D.nodes('navigation')}), {D.entries()} SELECT * REPLACE (pre::INT AS pre, last::INT AS last, depth::INT AS depth) FROM entries",
+    "nav_rebuilt": f"""WITH RECURSIVE {EDITIONS}, {E.NAVIGATION_SQL}, was AS MATERIALIZED (SELECT * FROM {D.nodes('navigation')}), {_WAS.replace("was AS", "page_nodes AS")},
+        {D.rebuilt(_place(), "WITH RECURSIVE " + D.contents("page_nodes"))}""",
+    "replies_continued": f"""{_CHAPTER}, pieces AS (SELECT doc_id, {E.PIECES[0]} AS a, {E.PIECES[1]} AS b FROM chapters),
+        tails AS (SELECT doc_id, a, b, unnest(list_append(list_filter(range(1, length(a) + 1), lambda i: i > length(a) - {T.OVERLAP} AND a[i] = chr(10)), 0)) AS cut FROM pieces),
+        best AS (SELECT doc_id, any_value(a) AS a, any_value(b) AS b, min(cut) AS cut FROM tails WHERE (cut > 0 OR length(a) <= {T.OVERLAP}) AND starts_with(b, substr(a, cut + 1)) GROUP BY doc_id),
+        made AS (SELECT p.doc_id, length(p.a) + length(p.b) AS whole, CASE WHEN cut IS NULL THEN p.a || p.b ELSE left(p.a, cut) || p.b END AS text FROM pieces p LEFT JOIN best USING (doc_id))
+        SELECT doc_id, sha256(text) AS digest, (whole - length(text))::INT AS repeated FROM made""",
+    "ill_formed_pages": f"""WITH xhtml AS (SELECT page_id, {E.URL} AS url, {E.XHTML_SIDES[0]} AS was, {E.XHTML_SIDES[1]} AS now, {E.NEW_PAGES} AS new FROM pages)
+        SELECT page_id, 'problem' AS level, {_place()} AS place FROM xhtml WHERE now AND (new OR NOT was)""",
     "page_nodes": f"{_P}, {_WAS} SELECT page_id, pre::INT AS pre, last::INT AS last, parent::INT AS parent, depth::INT AS depth, after::INT AS after, tag, array_to_string(classes, ' ') AS classes, id, boxed FROM was WHERE pre IS NOT NULL",
     "page_wrappers": f"{_P}, {_NOW} SELECT page_id, unnest(wrappers) AS wrapper, unnest(range(0, len(wrappers)))::INT AS level FROM {D.wrappers('now')}",
     "leads_restored": f"{_P}, {_WAS}, {_NOW}, {D.restored()}",

@@ -50,6 +50,33 @@ SOURCE_SQL = f"source AS (SELECT page_id, {URL} AS url, page_id AS ord, {SOURCE}
 OUTPUT_SQL = f"output AS (SELECT page_id, url, {ORDER} AS ord, {OUTPUT} AS html FROM source WHERE {KEPT})"
 
 
+#: Contents and page lists of which a third of the pages were rewritten: entries into one page, parts of several, later entries.
+NAVIGATION = f"""concat('<html><body><nav epub:type="toc landmarks"><h1>Contents</h1><ol>',
+    '<li class="part"><a href="/p/', page_id, '">Part</a><ol class="inner"><li class="chapter"><a href="/p/', page_id, '#top">One</a></li><li><a href="/p/', page_id + {BOOKS}, '">Two</a><ol><li><span><a href="', page_id + {BOOKS}, '#more">Two one</a></span></li></ol></li></ol></li>',
+    '<li><a href="/p/', page_id, '">Again</a><ol><li class="sub"><a href="', page_id, '#less">Deep</a><ol><li class="low"><a href="/p/./', page_id, '#last">Deeper</a></li></ol></li></ol></li>',
+    '<li><a href="/p/', page_id, '#end">Later</a></li><li><a href="https://else.example/p/', page_id, '">Out</a></li>',
+    CASE WHEN page_id % 4 = 0 THEN concat('<li><a href="/p/', page_id + {2 * BOOKS}, '">Next</a></li>') ELSE '' END,
+    '</ol></nav><nav epub:type="page-list"><ol><li><a href="/p/', page_id, '#p1">1</a></li><li><a href="/p/', page_id + {BOOKS}, '#p2">2</a></li></ol></nav></body></html>')"""
+REWRITTEN = "page_id % 3 = 0"
+NAVIGATION_SQL = f"navigation AS (SELECT page_id, {URL} AS url, {NAVIGATION} AS html FROM pages)"
+
+
+def navigation(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.expr(URL).alias("url"), F.expr(NAVIGATION).alias("html"))
+
+
+#: Pages as XML of which some can't be read, some of them only after the rewrite, and some are new.
+XHTML = "concat('<html><body><p>', page_id, CASE WHEN broken THEN '<br>' ELSE '<br/>' END, '</p></body></html>')"
+XHTML_SIDES = ("page_id % 4 = 1", "page_id % 3 = 0 OR page_id % 8 = 1")
+NEW_PAGES = "page_id % 7 = 2"
+
+
+def xhtml(pages: DataFrame, side: int) -> DataFrame:
+    rows = pages.select("page_id", F.expr(URL).alias("url"), F.expr(XHTML_SIDES[side]).alias("broken"))
+    rows = rows.filter(f"NOT ({NEW_PAGES})") if side == 0 else rows
+    return rows.select("page_id", "url", F.expr(XHTML).alias("html"))
+
+
 def source(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.expr(URL).alias("url"), F.col("page_id").alias("ord"), F.expr(SOURCE).alias("html"))
 
@@ -114,6 +141,9 @@ def _by_turns(kind: str, fixes: tuple[tuple[str, str, str], ...]) -> list[str]:
     return [f"CASE doc_id % {len(fixes)} {c} END AS {kind}_{name}" for c, name in zip(cases, ("old", "new", "quote"), strict=True)]
 
 
+#: A chapter in two pieces, the second of which begins with the last lines of the first, with part of a line, or anew.
+_AT = "position('## 1.1' IN source)"
+PIECES = (f"substring(source, 1, {_AT} + CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 3000 END)", f"substring(source, {_AT} + CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN -7 ELSE 5000 END)")
 FIX_COLUMNS = _by_turns("sentence", SENTENCES) + _by_turns("heading", HEADINGS)
 
 CHAPTER_SQL = f"""chapters AS (SELECT doc_id, text AS source, {REWRITE} AS body, {CACHED} AS cached FROM (SELECT doc_id, {CHAPTER} AS text FROM documents)),

@@ -95,17 +95,17 @@ def restored() -> str:
         SELECT page_id, sha256(html) AS digest, restored::INT AS restored FROM made WHERE restored > 0"""
 
 
-def contents() -> str:
+def contents(was: str = "was") -> str:
     """The contents of the nodes ``was``; identifiers are given heading by heading."""
     text = S.flat("text")
     slug = f"'sec-' || coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, {T.SLUG_LENGTH}), ''), 'x')"
     return f"""heads AS (
             SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS pos, substr(tag, 2, 1)::INT AS level, {text} AS text, coalesce(id, '') AS id
-            FROM {texts("was", "regexp_full_match(x.tag, 'h[1-4]') AND NOT x.boxed")}),
+            FROM {texts(was, "regexp_full_match(x.tag, 'h[1-4]') AND NOT x.boxed")}),
         deep AS (SELECT *, level - min(level) OVER (PARTITION BY page_id) + 1 AS depth FROM heads WHERE pos > 0 AND text <> ''),
         listed AS (SELECT page_id, pos, depth, text, id, {slug} AS base, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM deep WHERE depth <= 2),
         given AS (
-            SELECT page_id, 0::BIGINT AS nth, coalesce(list(id) FILTER (id IS NOT NULL), []) AS taken, '' AS own FROM was GROUP BY page_id
+            SELECT page_id, 0::BIGINT AS nth, coalesce(list(id) FILTER (id IS NOT NULL), []) AS taken, '' AS own FROM {was} GROUP BY page_id
             UNION ALL
             SELECT page_id, nth, list_append(taken, own), own FROM (
                 SELECT l.page_id, l.nth, g.taken, CASE WHEN l.id <> '' THEN l.id WHEN NOT list_contains(g.taken, base) THEN base
@@ -114,3 +114,34 @@ def contents() -> str:
         grouped AS (SELECT *, sum((depth = 1 OR nth = 1)::INT) OVER (PARTITION BY page_id ORDER BY nth) AS grp FROM listed)
         SELECT c.page_id, grp::BIGINT AS grp, pos, depth, text, '#' || own AS href, 'toc-' || regexp_replace('#' || own, {q("[^" + chr(92) + "p{L}" + chr(92) + "p{N}_-]")}, '-', 'g') AS uid
         FROM grouped c JOIN given g ON c.page_id = g.page_id AND c.nth = g.nth"""
+
+
+def entries() -> str:
+    """``entries`` over the nodes ``was`` of the pages ``navigation``: for each item all links under it are looked at."""
+    label = S.flat("text")
+    href = value("href")
+    return f"""navs AS (SELECT page_id, pre, last, {value("epub:type")} AS nav FROM was WHERE tag = 'nav'),
+        hrefs AS (SELECT w.page_id, url, nav, w.pre, w.parent, {href} AS ref FROM was w JOIN navs n ON w.page_id = n.page_id AND w.pre > n.pre AND w.pre <= n.last JOIN navigation g ON w.page_id = g.page_id WHERE w.tag = 'a' AND {href} IS NOT NULL),
+        led AS (SELECT *, CASE WHEN NOT {has("ref", H.EXTERNAL)} THEN {S.TARGET} END AS target, {S.HOST} AS book FROM hrefs),
+        labels AS (SELECT page_id, pre, {label} AS label FROM {texts("was", "x.tag = 'a'")}),
+        entries AS (
+            SELECT l.page_id, l.book, l.nav, i.pre, i.last, i.depth, array_to_string(i.classes, ' ') AS class, l.ref AS href, label, l.target,
+                l.target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM led o WHERE o.page_id = l.page_id AND o.pre > i.pre AND o.pre <= i.last AND o.target IS DISTINCT FROM l.target) AS sole
+            FROM led l JOIN was i ON l.page_id = i.page_id AND l.parent = i.pre AND i.tag = 'li' JOIN labels b ON b.page_id = l.page_id AND b.pre = l.pre
+            QUALIFY row_number() OVER (PARTITION BY l.page_id, i.pre ORDER BY l.pre) = 1)"""
+
+
+def rebuilt(place: str, heads: str) -> str:
+    """Entries with the headings of ``heads(page_id, pos, depth, text, href)`` for rewritten pages of ``source``."""
+    return f"""{entries()},
+        rewritten AS (SELECT page_id, {S.HOST} AS book, {place} AS target FROM source WHERE page_id % 3 = 0),
+        firsts AS (SELECT e.* FROM entries e WHERE sole AND {has("nav", chr(92) + "btoc" + chr(92) + "b")} AND EXISTS (SELECT 1 FROM rewritten r WHERE r.book = e.book AND r.target = e.target)
+            QUALIFY row_number() OVER (PARTITION BY page_id, target ORDER BY pre) = 1),
+        gone AS (SELECT e.page_id, e.pre, e.class, f.pre AS f_pre FROM entries e JOIN firsts f ON e.page_id = f.page_id AND e.pre > f.pre AND e.pre <= f.last)
+        SELECT page_id, nav, pre::INT AS pre, 0 AS nth, depth::INT AS depth, class, href, label FROM entries e
+        WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.page_id = e.page_id AND g.pre = e.pre)
+            AND NOT ({has("nav", chr(92) + "bpage-list" + chr(92) + "b")} AND EXISTS (SELECT 1 FROM rewritten r WHERE r.book = e.book AND r.target = e.target))
+        UNION ALL
+        SELECT f.page_id, f.nav, f.pre::INT, c.pos, (f.depth + 2 * c.depth)::INT, coalesce((SELECT first(class ORDER BY pre) FROM gone g WHERE g.page_id = f.page_id AND g.f_pre = f.pre), ''),
+            regexp_replace(f.href, '#.*', '') || c.href, c.text
+        FROM firsts f JOIN rewritten r ON r.book = f.book AND r.target = f.target JOIN ({heads}) c ON c.page_id = r.page_id WHERE c.page_id % 5 <> 0"""
