@@ -83,7 +83,8 @@ def features(pages: DataFrame) -> DataFrame:
         return pages
     html = F.col("html")
     rest = [c for c in pages.columns if c not in ("page_id", "html", "book", "path", "prose", "tree")]
-    rows = N.with_tree(pages.select("page_id", *rest, L.book().alias("book"), L.normal(L.path()).alias("path"), "html")).withColumn("prose", H.prose(html))
+    # The prose is worked out before the tree, so that what is read from it isn't one expression with it.
+    rows = N.with_tree(pages.select("page_id", *rest, L.book().alias("book"), L.normal(L.path()).alias("path"), "html", H.prose(html).alias("prose")))
     sheets = F.transform(H.stylesheets(html), lambda h: L.resolved(F.col("path"), h))
     return rows.select(
         "page_id", *rest, "book", "path",
