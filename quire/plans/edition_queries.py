@@ -17,6 +17,7 @@ from ..operators import guards as G
 from ..operators import integrity as I
 from ..operators import links as L
 from ..operators import markdown as M
+from ..operators import replies as Y
 from ..operators import results as R
 from . import editions as E
 
@@ -152,6 +153,24 @@ def _continued(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", _sha(made).alias("digest"), (F.length("first") + F.length("second") - F.length(made)).alias("repeated"))
 
 
+def _review(rows: DataFrame) -> DataFrame:
+    rows = rows.select("doc_id", "source", "body", F.expr(E.LISTED).alias("listed"))
+    rows = rows.select("doc_id", Y.fixes(F.expr(E.REVIEW)).alias("fixes"))
+    parts = lambda f: F.concat_ws("|", *(F.coalesce(f[n], F.lit("-")) for n in ("sentence", "heading", "replacement", "source", "problem")))
+    return rows.select("doc_id", F.col("fixes").isNotNull().alias("found"), F.coalesce(F.size("fixes"), F.lit(0)).alias("n"), _sha(F.coalesce(F.array_join(F.transform("fixes", parts), "\n"), F.lit(""))).alias("digest"))
+
+
+def _events(rows: DataFrame) -> DataFrame:
+    """(reply_id, seq, line): a chapter in two pieces as the events of a reply, or as plain lines."""
+    rows = rows.select("doc_id", *(F.expr(p).alias(n) for n, p in zip(("first", "second"), E.PIECES, strict=True)))
+    lines = F.when(F.expr(E.PLAIN_REPLY), F.array(F.lit(" plain "), F.col("first"))).otherwise(F.array(*(F.expr(e) for e in E.EVENTS)))
+    return rows.select(F.col("doc_id").alias("reply_id"), F.posexplode(lines).alias("seq", "line"))
+
+
+def _replies(rows: DataFrame) -> DataFrame:
+    return Y.gathered(_events(rows)).select(F.col("reply_id").alias("doc_id"), F.length("reply").alias("chars"), _sha(F.col("reply")).alias("digest"))
+
+
 def _ill_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
     made = I.pages_changed(E.xhtml(pages, 0), E.xhtml(pages, 1), pages.select("page_id").limit(0))
@@ -189,6 +208,8 @@ def queries() -> dict[str, Query]:
         "nav_entries": _navigation,
         "nav_rebuilt": _rebuilt,
         "replies_continued": _chapters(_continued),
+        "reply_fixes": _chapters(_review),
+        "reply_events": _chapters(_replies),
         "ill_formed_pages": _ill_formed,
         "page_nodes": _source(N.rows),
         "page_wrappers": _output(lambda p: N.with_tree(p.select("page_id", "html")).select("page_id", F.posexplode(N.wrappers(F.col("tree"))).alias("level", "wrapper"))),

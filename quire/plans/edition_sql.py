@@ -314,6 +314,12 @@ _CAPTION_TEXT = S.flat(S.unescape(sub("x", H.TAG, " ")))
 _PLAIN = sub("text", T.CLOSED_TOKEN)
 _LABEL = f"nullif(lower({sub(f'regexp_extract({_PLAIN}, {q(T.CAPTION)}, 0)', f'[{T.BLANK}]+')}), '')"
 
+#: Pieces ``a`` and ``b`` of a text, put together at the longest tail of whole lines that b begins with.
+_JOINED = f"""tails AS (SELECT doc_id, a, b, unnest(list_append(list_filter(range(1, length(a) + 1), lambda i: i > length(a) - {T.OVERLAP} AND a[i] = chr(10)), 0)) AS cut FROM pieces),
+        best AS (SELECT doc_id, any_value(a) AS a, any_value(b) AS b, min(cut) AS cut FROM tails WHERE (cut > 0 OR length(a) <= {T.OVERLAP}) AND starts_with(b, substr(a, cut + 1)) GROUP BY doc_id),
+        made AS (SELECT p.doc_id, length(p.a) + length(p.b) AS whole, CASE WHEN cut IS NULL THEN p.a || p.b ELSE left(p.a, cut) || p.b END AS text FROM pieces p LEFT JOIN best USING (doc_id))"""
+
+
 QUERIES = {
     "opening_lines_marked": f"{_CHAPTER} SELECT doc_id, {OPENING} AS opening, {S.is_title(OPENING)} AS titled FROM fixes",
     "token_scan_marked": f"""{_CHAPTER} SELECT doc_id, len({every("body", T.TOKEN)}) AS tokens, {has("body", T.UNCLOSED)} AS unclosed, sha256({sub("body", T.TOKEN)}) AS plain,
@@ -364,11 +370,27 @@ QUERIES = {
     "nav_entries": f"WITH {E.NAVIGATION_SQL}, was AS MATERIALIZED (SELECT * FROM {D.nodes('navigation')}), {D.entries()} SELECT * REPLACE (pre::INT AS pre, last::INT AS last, depth::INT AS depth) FROM entries",
     "nav_rebuilt": f"""WITH RECURSIVE {EDITIONS}, {E.NAVIGATION_SQL}, was AS MATERIALIZED (SELECT * FROM {D.nodes('navigation')}), {_WAS.replace("was AS", "page_nodes AS")},
         {D.rebuilt(_place(), "WITH RECURSIVE " + D.contents("page_nodes"))}""",
-    "replies_continued": f"""{_CHAPTER}, pieces AS (SELECT doc_id, {E.PIECES[0]} AS a, {E.PIECES[1]} AS b FROM chapters),
-        tails AS (SELECT doc_id, a, b, unnest(list_append(list_filter(range(1, length(a) + 1), lambda i: i > length(a) - {T.OVERLAP} AND a[i] = chr(10)), 0)) AS cut FROM pieces),
-        best AS (SELECT doc_id, any_value(a) AS a, any_value(b) AS b, min(cut) AS cut FROM tails WHERE (cut > 0 OR length(a) <= {T.OVERLAP}) AND starts_with(b, substr(a, cut + 1)) GROUP BY doc_id),
-        made AS (SELECT p.doc_id, length(p.a) + length(p.b) AS whole, CASE WHEN cut IS NULL THEN p.a || p.b ELSE left(p.a, cut) || p.b END AS text FROM pieces p LEFT JOIN best USING (doc_id))
+    "replies_continued": f"""{_CHAPTER}, pieces AS (SELECT doc_id, {E.PIECES[0]} AS a, {E.PIECES[1]} AS b FROM chapters), {_JOINED}
         SELECT doc_id, sha256(text) AS digest, (whole - length(text))::INT AS repeated FROM made""",
+    "reply_fixes": f"""{_CHAPTER}, listed AS (SELECT doc_id, source, body, {E.LISTED} AS listed FROM chapters), replies AS (SELECT doc_id, {E.REVIEW} AS reply FROM listed),
+        signs AS (SELECT doc_id, reply, unnest(list_filter(range(1, length(reply) + 1), lambda i: reply[i] = '{{')) AS i FROM replies),
+        objects AS (SELECT doc_id, i, substr(reply, i, j - i + 1) AS object FROM (SELECT *, unnest(list_filter(range(i + 1, length(reply) + 1), lambda j: reply[j] = '}}')) AS j FROM signs)),
+        first_of AS (SELECT doc_id, arg_min(object, i) AS object FROM objects WHERE CASE WHEN json_valid(object) THEN json_type(object, '$.fixes') = 'ARRAY' END GROUP BY doc_id),
+        entries AS (SELECT doc_id, unnest(json_extract(object, '$.fixes[*]')) AS e, generate_subscripts(json_extract(object, '$.fixes[*]'), 1) AS nth FROM first_of),
+        members AS (SELECT doc_id, nth, {", ".join(f"CASE WHEN json_type(e, '$.{n}') = 'VARCHAR' THEN json_extract_string(e, '$.{n}') END AS {n}" for n in ("sentence", "heading", "replacement", "source", "problem"))}
+            FROM entries WHERE json_type(e) = 'OBJECT'),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws('|', coalesce(sentence, '-'), coalesce(heading, '-'), replacement, coalesce(source, '-'), coalesce(problem, '-')), chr(10) ORDER BY nth) AS said
+            FROM members WHERE replacement IS NOT NULL AND (coalesce({S.strip("sentence")}, '') <> '' OR coalesce({S.strip("heading")}, '') <> '') GROUP BY doc_id)
+        SELECT doc_id, object IS NOT NULL AS found, coalesce(n, 0)::INT AS n, sha256(coalesce(said, '')) AS digest FROM replies LEFT JOIN first_of USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "reply_events": f"""{_CHAPTER}, cut AS (SELECT doc_id, {E.PIECES[0]} AS first, {E.PIECES[1]} AS second FROM chapters),
+        lines AS (SELECT doc_id, unnest([{", ".join(E.EVENTS)}]) AS line, generate_subscripts([{", ".join("0" * len(E.EVENTS))}], 1) AS seq FROM cut WHERE NOT ({E.PLAIN_REPLY})),
+        events AS (SELECT doc_id, seq, line FROM lines WHERE json_valid(line)),
+        blocks AS (SELECT doc_id, seq, json_extract_string(line, '$.message.id') AS id, unnest(json_extract(line, '$.message.content[*]')) AS block FROM events WHERE json_extract_string(line, '$.type') = 'assistant'),
+        messages AS (SELECT doc_id, id, min(seq) AS seq, string_agg(json_extract_string(block, '$.text'), '' ORDER BY seq) AS text FROM blocks WHERE json_extract_string(block, '$.type') = 'text' GROUP BY ALL),
+        pieces AS (SELECT doc_id, coalesce(first(text ORDER BY seq), '') AS a, CASE WHEN count(*) > 1 THEN last(text ORDER BY seq) ELSE '' END AS b FROM messages WHERE text <> '' GROUP BY doc_id), {_JOINED},
+        failed AS (SELECT doc_id FROM events WHERE json_extract_string(line, '$.type') = 'result' AND (line->>'$.is_error') = 'true'),
+        replies AS (SELECT doc_id, {S.strip("CASE WHEN doc_id IN (SELECT doc_id FROM failed) THEN '' WHEN " + E.PLAIN_REPLY + " THEN ' plain ' || chr(10) || first ELSE coalesce(text, '') END")} AS reply FROM cut LEFT JOIN made USING (doc_id))
+        SELECT doc_id, length(reply)::INT AS chars, sha256(reply) AS digest FROM replies""",
     "ill_formed_pages": f"""WITH xhtml AS (SELECT page_id, {E.URL} AS url, {E.XHTML_SIDES[0]} AS was, {E.XHTML_SIDES[1]} AS now, {E.NEW_PAGES} AS new FROM pages)
         SELECT page_id, 'problem' AS level, {_place()} AS place FROM xhtml WHERE now AND (new OR NOT was)""",
     "page_nodes": f"{_P}, {_WAS} SELECT page_id, pre::INT AS pre, last::INT AS last, parent::INT AS parent, depth::INT AS depth, after::INT AS after, tag, array_to_string(classes, ' ') AS classes, id, boxed FROM was WHERE pre IS NOT NULL",

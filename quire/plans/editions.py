@@ -144,6 +144,38 @@ def _by_turns(kind: str, fixes: tuple[tuple[str, str, str], ...]) -> list[str]:
 #: A chapter in two pieces, the second of which begins with the last lines of the first, with part of a line, or anew.
 _AT = "position('## 1.1' IN source)"
 PIECES = (f"substring(source, 1, {_AT} + CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 3000 END)", f"substring(source, {_AT} + CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN -7 ELSE 5000 END)")
+
+
+def json_text(text: str) -> str:
+    """A text as a string of JSON, in the SQL that Spark and DuckDB share."""
+    for sign, by in ((92, "chr(92), chr(92)"), (34, "chr(92), chr(34)"), (10, "chr(92), 'n'"), (13, "chr(92), 'r'"), (9, "chr(92), 't'")):
+        text = f"replace({text}, chr({sign}), concat({by}))"
+    return f"concat(chr(34), {text}, chr(34))"
+
+
+#: A reviewer's reply: in a fence, in prose with braces and quotes, cut off before a whole one, none, under other names, in other objects.
+LISTED = f"""concat('{{"fixes": [{{"sentence": ', {json_text("left(body, 300)")}, ', "replacement": ', {json_text("right(body, 200)")}, ', "source": "s", "problem": null}}, {{"sentence": 3, "replacement": "x"}}, 7, null, ',
+    '{{"heading": "H {{", "sentence": " ", "replacement": ""}}, {{"sentence": "no new text"}}]}}')"""
+REVIEW = f"""CASE doc_id % 9
+    WHEN 0 THEN concat('Here:', chr(10), '```json', chr(10), listed, chr(10), '```')
+    WHEN 1 THEN concat('Use {{x}}, a 5" pipe }} and ', chr(92), '{{: ', listed, ' {{')
+    WHEN 2 THEN concat('{{"fixes": [{{"sentence": "cut {{ off', chr(10), listed)
+    WHEN 3 THEN source
+    WHEN 4 THEN concat('{{"fixes": "none"}} or {{"fix": []}}, then ', listed, ' and {{"fixes": []}}')
+    WHEN 5 THEN concat('{{"a": "}} {{', chr(92), '" ", "fixes": []}} ', listed)
+    WHEN 6 THEN concat('{{"fixes": 1, "more": [', listed, ']}}')
+    WHEN 7 THEN concat('{{"said": ', {json_text("listed")}, '}}')
+    ELSE left(listed, 400) END"""
+#: The events of a reply, by place: what they are, the message they belong to, and their text.
+EVENTS = (
+    ("""'{"type": "system"}'"""),
+    (f"""concat('{{"type": "assistant", "message": {{"id": "m1", "content": [{{"type": "text", "text": ', {json_text("first")}, '}}, {{"type": "tool", "text": "x"}}]}}}}')"""),
+    ("""CASE WHEN doc_id % 5 = 1 THEN 'not an event' ELSE '{"type": "assistant", "message": {"id": "m0", "content": []}}' END"""),
+    (f"""concat('{{"type": "assistant", "message": {{"id": "', CASE WHEN doc_id % 3 = 1 THEN 'm1' ELSE 'm2' END, '", "content": [{{"type": "text", "text": ', {json_text("second")}, '}}]}}}}')"""),
+    ("""concat('{"type": "result", "is_error": ', CASE WHEN doc_id % 7 = 3 THEN 'true' ELSE 'false' END, '}')"""),
+)
+#: Replies that came as plain text.
+PLAIN_REPLY = "doc_id % 11 = 4"
 FIX_COLUMNS = _by_turns("sentence", SENTENCES) + _by_turns("heading", HEADINGS)
 
 CHAPTER_SQL = f"""chapters AS (SELECT doc_id, text AS source, {REWRITE} AS body, {CACHED} AS cached FROM (SELECT doc_id, {CHAPTER} AS text FROM documents)),

@@ -1,4 +1,4 @@
-"""Chapters that arrive while a run goes on: classified as they come, with running sums by status."""
+"""Chapters and replies that arrive while a run goes on: classified and put together as they come, with running sums by status."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import chapters as C
+from ..operators import replies as R
 
 
 def statuses(pages: DataFrame) -> DataFrame:
@@ -32,6 +33,15 @@ def arrivals_by_hour(pages: DataFrame, time_col: str, late: str = "1 hour") -> D
     return hours.select(F.col("w.start").alias("hour"), "status", "chapters", "words_in")
 
 
+def replies(events: DataFrame, time_col: str, quiet: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """(reply_id, reply) of a stream of ``events(reply_id, seq, line)`` with an arrival time, told once when a reply has been quiet so long.
+
+    What comes out of order is put in order; what comes more than ``late`` behind the newest is passed over. The state
+    holds the events of open replies alone.
+    """
+    return R.gathered(events.withWatermark(time_col, late), F.session_window(time_col, quiet))
+
+
 def write(rows: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Start to write a stream as Parquet, all that is there now; ``checkpoint`` lies in a shared folder, so a run that broke off goes on from there."""
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
