@@ -92,6 +92,16 @@ def _results(rows: DataFrame) -> DataFrame:
     return R.resumed(rows.select("doc_id", "source", "body"), cache)
 
 
+def _evicted(force: bool) -> Callable[[DataFrame], DataFrame]:
+    def run(rows: DataFrame) -> DataFrame:
+        texts = F.array(*(F.when(F.expr(when), F.struct(F.lit(kind).alias("kind"), F.expr(text).alias("text"))) for kind, (text, when) in E.LEFT.items()))
+        left = rows.select("doc_id", F.explode(F.array_compact(texts)).alias("x")).select("doc_id", "x.*")
+        made = R.evicted(rows.filter(E.IN_RUN).select("doc_id", "source", "body"), left, force)
+        return made.select("doc_id", "kind", _sha(F.col("text")).alias("digest"))
+
+    return run
+
+
 def _numbers(rows: DataFrame) -> DataFrame:
     made = M.with_section_numbers(F.col("source"), F.col("body"))
     rows = rows.select("doc_id", "body", made.alias("made"))
@@ -194,6 +204,8 @@ def queries() -> dict[str, Query]:
         "fix_rejections": _chapters(_rejections),
         "fixes_applied": _chapters(_patched),
         "run_results": _chapters(_results),
+        "run_evictions": _chapters(_evicted(False)),
+        "run_evictions_forced": _chapters(_evicted(True)),
         "run_summary": _chapters(lambda rows: R.run_summary(_results(rows))),
         "chapter_scan_marked": _output(C.scan),
         "chapter_classify_marked": _source(lambda p: C.classified(p).select("page_id", "title", "words", "is_contents", "is_reference", "is_matter", "passthrough")),

@@ -173,6 +173,25 @@ def prose(html: str) -> str:
 
 _SHEETS = f"list_transform(list_filter({every('html', H.LINK_TAG, 1)}, lambda t: {has('t', H.STYLESHEET)} AND {has('t', H.HREF)}), lambda t: {S.unescape(f'regexp_extract(t, {q(H.HREF)}, 1)')})"
 _CLASSES = f"list_filter(list_distinct(flatten(list_transform({every('html', H.CLASSES, 1)}, lambda c: regexp_split_to_array(c, {q(chr(92) + 's+')})))), lambda c: c <> '')"
+
+def _evictions(force: bool) -> str:
+    was = {kind: f"CASE WHEN {when} THEN {text} END" for kind, (text, when) in E.LEFT.items()}
+    used = "NULL" if force else was["output"]
+    gone = f"len(list_filter(list_distinct({every('source', R.BLOCK, 1)}), lambda k: NOT starts_with(k, {q(R.TITLE)}) AND NOT regexp_matches(out, '⟦' || k || '(?:[^0-9⟦⟧][^⟦⟧]*)?⟧'))) > 0"
+    return f"""{_CHAPTER}, was AS (SELECT *, {", ".join(f"{t} AS was_{k}" for k, t in was.items())} FROM chapters),
+        judged AS (SELECT *, {S.words("source")} AS words_in, {S.upgraded("source", used)} AS kept, {S.body_problem("source", "body")} AS fresh FROM was WHERE {E.IN_RUN}),
+        stale AS (SELECT *, CASE WHEN kept IS NOT NULL THEN {S.body_problem("source", "kept")} END AS stale FROM judged),
+        told AS (SELECT *, CASE WHEN words_in < {C.MIN_WORDS} THEN 'skipped' WHEN stale = '' THEN 'cached' WHEN fresh <> '' THEN 'failed' ELSE 'rewritten' END AS status FROM stale),
+        outs AS (SELECT *, CASE status WHEN 'cached' THEN kept WHEN 'rewritten' THEN body END AS out FROM told),
+        losses AS (SELECT *, out IS NOT NULL AND {gone} AS lost FROM outs),
+        texts AS (
+            SELECT doc_id, CASE WHEN lost THEN NULL WHEN out IS NOT NULL THEN out WHEN status = 'failed' AND {force} THEN NULL ELSE was_output END AS output,
+                CASE WHEN lost THEN out WHEN status = 'failed' THEN body ELSE was_failed END AS failed,
+                CASE WHEN status = 'failed' AND {force} AND was_output IS NOT NULL THEN was_output ELSE was_stale END AS stale FROM losses
+            UNION ALL SELECT doc_id, was_output, was_failed, was_stale FROM was WHERE NOT ({E.IN_RUN}))
+        SELECT doc_id, kind, sha256(text) AS digest FROM (UNPIVOT texts ON output, failed, stale INTO NAME kind VALUE text)"""
+
+
 _IDS = every("html", H.IDS, 1)
 _STYLE = every("html", H.STYLE, 1)
 _STYLED = f"unnest({every(f'array_to_string({_STYLE}, chr(10))', H.CSS_CLASS, 1)})"
@@ -349,6 +368,8 @@ QUERIES = {
     "fixes_applied": f"""{_CHAPTER}, {PATCHED} SELECT doc_id, sha256(CASE WHEN what = '' THEN renamed ELSE text END) AS digest, ((why = '')::INT + (what = '')::INT)::INT AS applied,
         array_to_string(list_filter([why, what], lambda x: x <> ''), '; ') AS rejected FROM fifth""",
     "run_results": f"{_RESULTS} SELECT * FROM run",
+    "run_evictions": _evictions(False),
+    "run_evictions_forced": _evictions(True),
     "run_summary": f"""{_RESULTS}, counts AS (SELECT status, count(*) AS chapters, sum(words_in)::BIGINT AS words_in, sum(words_out)::BIGINT AS words_out FROM run GROUP BY status),
         every AS (SELECT * FROM counts UNION ALL SELECT 'words', sum(chapters)::BIGINT, sum(words_in)::BIGINT, sum(words_out)::BIGINT FROM counts WHERE status IN {R.WORKING} HAVING count(*) > 0)
         SELECT *, {S.percent("words_out::DOUBLE / greatest(words_in, 1)")} AS ratio FROM every""",

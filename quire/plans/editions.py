@@ -174,6 +174,9 @@ EVENTS = (
     (f"""concat('{{"type": "assistant", "message": {{"id": "', CASE WHEN doc_id % 3 = 1 THEN 'm1' ELSE 'm2' END, '", "content": [{{"type": "text", "text": ', {json_text("second")}, '}}]}}}}')"""),
     ("""concat('{"type": "result", "is_error": ', CASE WHEN doc_id % 7 = 3 THEN 'true' ELSE 'false' END, '}')"""),
 )
+#: What earlier runs left of a chapter, by kind, and the chapters that a later run has.
+LEFT = {"output": ("cached", "doc_id % 5 <> 4"), "failed": ("concat('failed ', doc_id)", "doc_id % 7 = 2"), "stale": ("concat('stale ', doc_id)", "doc_id % 9 = 1")}
+IN_RUN = "doc_id % 13 <> 5"
 #: Replies that came as plain text.
 PLAIN_REPLY = "doc_id % 11 = 4"
 FIX_COLUMNS = _by_turns("sentence", SENTENCES) + _by_turns("heading", HEADINGS)

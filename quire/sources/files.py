@@ -49,3 +49,8 @@ def write_records(rows: DataFrame, folder: str, by: str | None = None) -> None:
     """A run's records as JSON lines, in a folder for each value of ``by``; a run replaces the folders of its own values and leaves others."""
     writer = rows.write.mode("overwrite").option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic" if by else "static")
     (writer.partitionBy(by) if by else writer).json(folder)
+
+
+def records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The records that runs left in a folder."""
+    return spark.read.schema(schema).json(folder)

@@ -1,9 +1,11 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import chapters as C
-from quire.sources import files
+from quire.operators import results as R
+from quire.sources import files, staged
 from quire.streaming import arrivals
 
 LONG = "<h1>T</h1><p>" + "word " * 300
@@ -77,3 +79,46 @@ def test_hours_close(spark, tmp_path):
     arrivals.write(arrivals.arrivals_by_hour(stream(spark, tmp_path, rows), "at", "10 minutes"), out, str(tmp_path / "check")).awaitTermination(180)
     made = {(r.hour.hour, r.status): r.chapters for r in spark.read.parquet(out).collect()}
     assert made[10, "eligible"] == 2 and made[11, "eligible"] == 3
+
+
+BLOCKS = "# T\n\n⟦PRE-1: x⟧ ⟦TITLE-1⟧ ⟦IMG-2⟧ " + "word " * 300
+
+
+@pytest.mark.parametrize(
+    ("body", "cached", "force", "wanted"),
+    [
+        ("⟦PRE-1: y⟧ ⟦IMG-2⟧", None, False, {"output": "body"}), ("⟦PRE-1: y⟧ ⟦IMG-2⟧", "⟦PRE-1⟧ ⟦IMG-2⟧", False, {"output": "cached"}), ("⟦PRE-1: y⟧ ⟦IMG-2⟧", "⟦PRE-1⟧ ⟦IMG-2⟧", True, {"output": "body"}),
+        ("⟦PRE-1: y⟧", None, False, {"failed": "body"}), ("⟦PRE-12⟧ ⟦IMG-2⟧", "⟦PRE-1⟧ ⟦IMG-2⟧", True, {"failed": "body"}), ("⟦IMG-2⟧", "⟦PRE-1⟧", False, {"failed": "cached"}),
+        ("⟦PRE-1: y⟧ ⟦IMG-2", None, False, {"failed": "body"}), ("⟦PRE-1: y⟧ ⟦IMG-2", "⟦PRE-1⟧ ⟦IMG-2⟧", True, {"failed": "body", "stale": "cached"}), (None, "⟦PRE-1⟧ ⟦IMG-2⟧", True, {"stale": "cached"}),
+        (None, None, True, {}), ("⟦PRE-1", "⟦PRE-1", False, {"output": "cached", "failed": "body"}),
+    ],
+)
+def test_evicted(spark, body, cached, force, wanted):
+    whole = lambda t: t and "# T\n\n" + "word " * 300 + t
+    texts = {"body": whole(body), "cached": whole(cached)}
+    chapters = spark.createDataFrame([(1, BLOCKS, texts["body"])], "doc_id long, source string, body string")
+    left = spark.createDataFrame([(1, "output", texts["cached"])] if cached else [], "doc_id long, kind string, text string")
+    assert {r.kind: r.text for r in R.evicted(chapters, left, force).collect()} == {k: texts[v] for k, v in wanted.items()}
+    assert {r.kind: r.text for r in R.evicted(chapters, left, force, rebuild=True).collect()} == ({"output": texts["cached"]} if cached else {})
+
+
+def test_runs_leave_other_books_and_what_a_killed_run_found(spark, tmp_path):
+    folder, schema = str(tmp_path / "left"), "book string, doc_id long, kind string, text string"
+    files.write_records(spark.createDataFrame([("a", 1, "output", "old"), ("a", 2, "stale", "s"), ("b", 3, "output", "b's")], schema), folder, "book")
+    chapters = spark.createDataFrame([(1, BLOCKS, "# T\n\n⟦PRE-1⟧⟦IMG-2⟧" + "new " * 300)], "doc_id long, source string, body string")
+
+    def run(body=F.col("text")):
+        left = files.records(spark, folder, schema).filter("book = 'a'").select("doc_id", "kind", "text")
+        made = staged.staged(R.evicted(chapters, left), "left")
+        files.write_records(made.select(F.lit("a").alias("book"), "doc_id", "kind", body.alias("text")), folder, "book")
+
+    state = lambda: sorted((r.book, r.doc_id, r.kind, r.text[:7]) for r in files.records(spark, folder, schema).collect())
+    before = state()
+    with pytest.raises(Exception, match="killed"):
+        run(F.when(F.col("doc_id") == 1, F.raise_error(F.lit("killed"))).otherwise(F.col("text")))
+    assert state() == before
+    run()
+    after = state()
+    assert after == [("a", 1, "output", "# T\n\n⟦P"), ("a", 2, "stale", "s"), ("b", 3, "output", "b's")]
+    run()
+    assert state() == after
