@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import nodes as N
 from ..functions import text as T
+from ..operators import anchors as A
 from ..operators import blocks as B
 from ..operators import chapters as C
 from ..operators import contents as K
@@ -163,6 +164,12 @@ def _continued(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", _sha(made).alias("digest"), (F.length("first") + F.length("second") - F.length(made)).alias("repeated"))
 
 
+def _anchors_restored(pages: DataFrame) -> DataFrame:
+    rows = A.protected(pages).withColumn("html", F.expr(E.ANCHORED))
+    rows = rows.select("page_id", A.restored(F.col("html"), F.col("anchors")).alias("x"))
+    return rows.select("page_id", _sha(F.col("x.html")).alias("digest"), F.array_join("x.lost", " ").alias("lost"))
+
+
 def _review(rows: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "source", "body", F.expr(E.LISTED).alias("listed"))
     rows = rows.select("doc_id", Y.fixes(F.expr(E.REVIEW)).alias("fixes"))
@@ -211,6 +218,8 @@ def queries() -> dict[str, Query]:
         "chapter_classify_marked": _source(lambda p: C.classified(p).select("page_id", "title", "words", "is_contents", "is_reference", "is_matter", "passthrough")),
         "link_resolve_marked": _output(L.checked),
         "anchors_referenced": _source(L.referenced),
+        "anchors_protected": _source(lambda p: A.protected(p).select("page_id", _sha(F.col("html")).alias("digest"), F.array_join("anchors", " ").alias("anchors"))),
+        "anchors_restored": _source(_anchors_restored),
         "page_ids": _source(lambda p: p.select("page_id", F.explode(H.found(F.col("html"), H.IDS)).alias("id"))),
         "stylesheet_refs": _output(L.stylesheets),
         "style_classes": _source(lambda p: p.select(L.book().alias("book"), F.explode(H.style_classes(F.col("html"))).alias("class")).distinct()),

@@ -333,6 +333,14 @@ _CAPTION_TEXT = S.flat(S.unescape(sub("x", H.TAG, " ")))
 _PLAIN = sub("text", T.CLOSED_TOKEN)
 _LABEL = f"nullif(lower({sub(f'regexp_extract({_PLAIN}, {q(T.CAPTION)}, 0)', f'[{T.BLANK}]+')}), '')"
 
+#: Pages with a token before the first element of each identifier that is led to, put in one identifier after the other; the identifiers by place.
+_ANCHORED = f"""{_P}, led AS (SELECT DISTINCT book, target AS path, fragment AS id FROM {checked("source")} WHERE fragment <> ''),
+    own AS (SELECT DISTINCT page_id, {S.HOST} AS book, {_place()} AS path, unnest({_IDS}) AS id FROM source),
+    named AS (SELECT page_id, list(id ORDER BY id) AS ids FROM own JOIN led USING (book, path, id) GROUP BY page_id),
+    put AS (SELECT page_id, coalesce(ids, []) AS ids, list_reduce(coalesce(ids, []), lambda h, x: regexp_replace(h, '(<[A-Za-z][^>]* id="' || x || '"[^>]*>)', '⟦ANCHOR:' || x || '⟧\\1'), html) AS html
+        FROM source LEFT JOIN named USING (page_id)),
+    tokens AS (SELECT page_id, html, list_transform(list_sort(list_transform(ids, lambda x: {{'at': strpos(html, '⟦ANCHOR:' || x || '⟧'), 'id': x}})), lambda x: x.id) AS ids FROM put)"""
+
 #: Pieces ``a`` and ``b`` of a text, put together at the longest tail of whole lines that b begins with.
 _JOINED = f"""tails AS (SELECT doc_id, a, b, unnest(list_append(list_filter(range(1, length(a) + 1), lambda i: i > length(a) - {T.OVERLAP} AND a[i] = chr(10)), 0)) AS cut FROM pieces),
         best AS (SELECT doc_id, any_value(a) AS a, any_value(b) AS b, min(cut) AS cut FROM tails WHERE (cut > 0 OR length(a) <= {T.OVERLAP}) AND starts_with(b, substr(a, cut + 1)) GROUP BY doc_id),
@@ -379,6 +387,12 @@ QUERIES = {
     "link_resolve_marked": f"{_P} SELECT page_id, book, kind, pos, ref, target, fragment, resolves FROM {checked('output')}",
     "anchors_referenced": f"""{_P} SELECT DISTINCT i.book, i.path, i.id FROM (SELECT {S.HOST} AS book, {_place()} AS path, unnest({_IDS}) AS id FROM source) i
         JOIN {checked("source")} l ON l.book = i.book AND l.target = i.path AND l.fragment = i.id""",
+    "anchors_protected": f"{_ANCHORED} SELECT page_id, sha256(html) AS digest, array_to_string(ids, ' ') AS anchors FROM tokens",
+    "anchors_restored": f"""{_ANCHORED}, rewritten AS (SELECT page_id, ids, replace({E.ANCHORED}, '⟦ANCHOR' || chr(92), '⟦ANCHOR') AS html FROM tokens),
+        split AS (SELECT *, list_filter(ids, lambda x: contains(html, '⟦ANCHOR:' || x || '⟧')) AS held, list_filter(ids, lambda x: NOT contains(html, '⟦ANCHOR:' || x || '⟧')) AS lost FROM rewritten),
+        made AS (SELECT page_id, lost, array_to_string(list_transform(lost, lambda x: '<a id="' || x || '"></a>'), '') || list_reduce(held,
+            lambda h, x: replace(regexp_replace(h, '⟦ANCHOR:' || x || '⟧', '<a id="' || x || '"></a>'), '⟦ANCHOR:' || x || '⟧', ''), html) AS html FROM split)
+        SELECT page_id, sha256(html) AS digest, array_to_string(lost, ' ') AS lost FROM made""",
     "page_ids": f"{_P} SELECT page_id, unnest({_IDS}) AS id FROM source",
     "stylesheet_refs": f"""{_P} SELECT page_id, (i - 1)::INT AS pos, l[i] AS sheet FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
         SELECT page_id, list_sort(list_distinct(list_transform({_SHEETS}, lambda ref: {S.TARGET}))) AS l FROM output))""",

@@ -174,6 +174,10 @@ EVENTS = (
     (f"""concat('{{"type": "assistant", "message": {{"id": "', CASE WHEN doc_id % 3 = 1 THEN 'm1' ELSE 'm2' END, '", "content": [{{"type": "text", "text": ', {json_text("second")}, '}}]}}}}')"""),
     ("""concat('{"type": "result", "is_error": ', CASE WHEN doc_id % 7 = 3 THEN 'true' ELSE 'false' END, '}')"""),
 )
+#: A rewrite of a page with anchors' tokens: some dropped, doubled, with backslashes, or beside those of no page.
+ANCHORED = """CASE page_id % 4 WHEN 0 THEN replace(html, '⟦ANCHOR:top⟧', '')
+    WHEN 1 THEN replace(html, '⟦ANCHOR:more⟧', '⟦ANCHOR:more⟧⟦ANCHOR:else⟧ and ⟦ANCHOR:more⟧')
+    WHEN 2 THEN replace(html, '⟦ANCHOR:mo', concat('⟦ANCHOR', chr(92), ':mo')) ELSE html END"""
 #: What earlier runs left of a chapter, by kind, and the chapters that a later run has.
 LEFT = {"output": ("cached", "doc_id % 5 <> 4"), "failed": ("concat('failed ', doc_id)", "doc_id % 7 = 2"), "stale": ("concat('stale ', doc_id)", "doc_id % 9 = 1")}
 IN_RUN = "doc_id % 13 <> 5"
