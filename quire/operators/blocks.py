@@ -118,6 +118,22 @@ def captions(pages: DataFrame) -> DataFrame:
     return rows.withColumn("label", T.caption_label(F.col("text"))).filter("label is not null").select("page_id", "pos", "label", "text")
 
 
+def captions_rewritten(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(page_id, pos, label, text): the paragraphs of an output page that are a caption of its source rewritten, by the first caption of their label.
+
+    Such a paragraph is one by its text (``text.caption_like``), and the element before or after it in the same parent is a listing or table.
+    """
+    rows = N.with_tree(output.select("page_id", "html"))
+    shown = F.filter("tree", lambda x: x["tag"].isin("pre", "table"))
+    rows = rows.withColumn("shown", F.struct(F.transform(shown, lambda x: x["pre"]).alias("pre"), F.array_compact(F.transform(shown, lambda x: x["after"])).alias("after")))
+    has = lambda places, x: F.coalesce(F.array_contains(places, x), F.lit(False))
+    beside = F.filter("tree", lambda x: (x["tag"] == "p") & (has(F.col("shown.pre"), x["after"]) | has(F.col("shown.after"), x["pre"])))
+    rows = rows.select("page_id", F.posexplode(F.transform(beside, lambda x: T.flat(N.spaced_text(F.col("tree"), x)))).alias("pos", "text"))
+    first = captions(source).groupBy("page_id", "label").agg(F.min_by("text", "pos").alias("original"))
+    rows = rows.withColumn("label", T.caption_label(F.col("text"))).join(first, ["page_id", "label"])
+    return rows.filter(T.caption_like(F.col("text"), F.col("original"))).select("page_id", "pos", "label", "text")
+
+
 def _each(pages: DataFrame, chosen) -> DataFrame:
     """(page_id, tree, pos, x): the nodes of each page that ``chosen`` takes, in order."""
     rows = N.with_tree(pages.select("page_id", "html"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import anchors as A
+from quire.operators import blocks as B
 
 PAGE = "page_id long, url string, html string"
 
@@ -55,3 +56,15 @@ def test_many_anchors_come_back_where_they_were(spark):
     assert anchors == ids
     row = spark.createDataFrame([(there, ids)], "html string, ids array<string>").select(A.restored(F.col("html"), F.col("ids")).alias("x")).first().x
     assert row.lost == [] and row.html == "".join(f'<a id="{i}"></a><p id="{i}">t</p>' for i in ids)
+
+
+def test_captions_rewritten(spark):
+    source = '<p>Table 2-1. A table.</p><figure><figcaption>Listing 3-1: code</figcaption></figure><p>Table 2-1. Another that is long</p>'
+    outputs = {
+        "<table></table><p>Table 2-1. The table</p>": ["The table"], "<p>Table 2-1. The table</p> x <!-- c --><pre>1</pre>": ["The table"], "<p>Table 2-1. The table</p><i></i><table></table>": [],
+        "<div><table></table></div><p>Table 2-1. The table</p>": [], "<table></table><p>Table 2-1 shows it</p>": [], "<pre></pre><p>Listing 3-1: <b>new</b></p>": ["new"],
+        "<pre></pre><p>Table 2-1. " + "long " * 20 + "</p>": [], "<pre></pre><p>Table 9-1. Other</p>": [], "": [],
+    }
+    rows = lambda texts: spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    made = B.captions_rewritten(rows([source] * len(outputs)), rows(outputs)).collect()
+    assert {r.page_id: r.text.split(" ", 2)[-1] for r in made} == {k: w[0] for k, w in enumerate(outputs.values()) if w}
