@@ -248,6 +248,7 @@ def queries() -> dict[str, Query]:
         "link_classes": _both(B.link_classes),
         "section_leads": _source(B.section_leads),
         "captions": _source(B.captions),
+        "captions_rewritten": _both(B.captions_rewritten),
         "callouts": _source(B.callouts),
         "note_candidates": _both(B.note_candidates),
         "kept_notes": _both(lambda s, o: B.kept_notes(B.notes(s), B.paragraphs(o))),

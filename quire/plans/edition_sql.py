@@ -460,6 +460,12 @@ QUERIES = {
         FROM now n LEFT JOIN by_href h ON n.page_id = h.page_id AND n.href = h.href LEFT JOIN by_id i ON n.page_id = i.page_id AND n.id = i.id) WHERE class IS NOT NULL""",
     "section_leads": f"{_P}, {_WAS} SELECT * FROM {D.leads('was')}",
     "captions": f"""{_P} SELECT * FROM (SELECT page_id, pos, {_LABEL} AS label, text FROM {_each("source", every("html", B.CAPTION, 1), f"page_id, pos, {_CAPTION_TEXT} AS text")}) WHERE label IS NOT NULL""",
+    "captions_rewritten": f"""{_P}, {_NOW}, heads AS (SELECT * FROM (SELECT page_id, pos, {_LABEL} AS label, {_PLAIN} AS text FROM {_each("source", every("html", B.CAPTION, 1), f"page_id, pos, {_CAPTION_TEXT} AS text")}) WHERE label IS NOT NULL),
+        old AS (SELECT page_id, label, arg_min(text, pos) AS original FROM heads GROUP BY ALL),
+        beside AS (SELECT page_id, pre, {S.flat("text")} AS text FROM {D.texts("now", "x.tag = 'p' AND EXISTS (SELECT 1 FROM now s WHERE s.page_id = x.page_id AND s.tag IN ('pre', 'table') AND (s.pre = x.after OR s.after = x.pre))")}),
+        paras AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS pos, text, {_LABEL} AS label, {S.strip(_PLAIN)} AS plain FROM beside)
+        SELECT page_id, pos, label, text FROM paras JOIN old USING (page_id, label) WHERE length(plain) <= 2 * length(original) + 20
+            AND {" = ".join(f"substr({t}, length(regexp_extract({t}, {q(T.CAPTION)}, 0)) + 1, 1)" for t in ("plain", "original"))}""",
     "callouts": f"""{_P}, {_WAS} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS pos, tag, array_to_string(classes, ' ') AS class, boxed AS inside FROM was WHERE callout""",
     "note_candidates": f"""{_P}, {_WAS}, {_NOW}, notes AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS note, {_NORMAL("text")} AS a FROM {D.texts("was", "x.callout AND NOT x.boxed", without=D.HEADS)}),
         paras AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pre) - 1)::INT AS pos, {_NORMAL("text")} AS b FROM {D.texts("now", "x.tag = 'p' AND NOT x.boxed")})
