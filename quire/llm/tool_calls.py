@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ RESULT = "struct<tool_call_id:string,content:string>"
 TOOLS = "struct<tools:array<struct<name:string,parameters:struct<required:array<string>,additionalProperties:boolean,properties:map<string,struct<type:string,enum:array<string>>>>>>,content:string>"
 #: Turns of one identifier that a task orders at most; blocks of turns are put in order by their last calls.
 BLOCK = 1024
+#: Edges between calls that a task holds at a time.
+EDGES = 65_536
+_NEVER = -(1 << 62)
 
 #: What stands before and after the identifier where an argument names another call's result.
 REFERENCE = r"\$\{call:([^}]*)\}"
@@ -112,7 +118,7 @@ def latest(calls: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def edges_of(calls: DataFrame) -> DataFrame:
-    """(msg_id, nth, need_msg, need_nth, need_turn, against): a call and one that it needs.
+    """(conv_id, block, msg_id, nth, turn, need_msg, need_nth, need_turn, against): a call and one that it needs.
 
     A need is the last call of that id before, or else the first one after: then the edge runs against the written order.
     """
@@ -120,42 +126,112 @@ def edges_of(calls: DataFrame) -> DataFrame:
     first = calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", F.col("call_id").alias("id")).agg(F.min(F.struct("turn", "nth", "msg_id")).alias("first"))
     rows = latest(calls, asked).join(first, ["conv_id", "id"]).withColumn("need", F.coalesce("call", "first"))
     return rows.select(
-        "msg_id", "nth", F.col("need.msg_id").alias("need_msg"), F.col("need.nth").alias("need_nth"), F.col("need.turn").alias("need_turn"), F.col("call").isNull().alias("against")
-    ).distinct()
+        "conv_id", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).alias("block"), "msg_id", "nth", "turn",
+        F.col("need.msg_id").alias("need_msg"), F.col("need.nth").alias("need_nth"), F.col("need.turn").alias("need_turn"), F.col("call").isNull().alias("against"),
+    ).distinct()
+
+
+def _grouped(edges: DataFrame) -> DataFrame:
+    """``edges`` with ``part``, which together with (conv_id, block) names a group of EDGES edges or little more; a message's edges stay together."""
+    sizes = edges.groupBy("conv_id", "block").agg(F.ceil(F.count("*") / EDGES).alias("parts"))
+    return edges.join(sizes, ["conv_id", "block"]).withColumn("part", F.pmod(F.xxhash64("msg_id"), F.col("parts"))).drop("parts")
+
+
+def _calls_of(rows: pd.DataFrame) -> tuple[list[tuple[int, int]], dict[tuple[int, int], list[int]]]:
+    """The caller of each edge of a group, and the places of the edges that lead to each call."""
+    leading: dict[tuple[int, int], list[int]] = {}
+    for k, need in enumerate(zip(rows["need_msg"].tolist(), rows["need_nth"].tolist(), strict=True)):
+        leading.setdefault(need, []).append(k)
+    return list(zip(rows["msg_id"].tolist(), rows["nth"].tolist(), strict=True)), leading
+
+
+def _spread(rows: pd.DataFrame) -> pd.DataFrame:
+    """The calls of a group that are late: those with a late edge, and those that need them."""
+    callers, leading = _calls_of(rows)
+    late = {callers[k] for k in rows.index[rows["late"]]}
+    front = list(late)
+    while front:
+        for k in leading.get(front.pop(), ()):
+            if callers[k] not in late:
+                late.add(callers[k])
+                front.append(callers[k])
+    return pd.DataFrame(sorted(late), columns=["msg_id", "nth"])
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """The calls of a group all of whose needs are settled, be it in turn: one more deep than the deepest, in the last of their slots."""
+    callers, leading = _calls_of(rows)
+    waiting: dict[tuple[int, int], int] = {}
+    found: dict[tuple[int, int], list[int]] = {}
+    for c, turn, slot, depth, is_open in zip(callers, rows["turn"].tolist(), rows["slot"].tolist(), rows["depth"].tolist(), rows["open"].tolist(), strict=True):
+        waiting[c] = waiting.get(c, 0) + is_open
+        best = found.setdefault(c, [turn, 1])
+        if not is_open:
+            best[:] = max(best[0], slot), max(best[1], depth + 1)
+    ready = [c for c, n in waiting.items() if n == 0]
+    out = []
+    while ready:
+        c = ready.pop()
+        slot, depth = found[c]
+        out.append((*c, slot, depth))
+        for k in leading.get(c, ()):
+            caller = callers[k]
+            best = found[caller]
+            best[:] = max(best[0], slot), max(best[1], depth + 1)
+            waiting[caller] -= 1
+            if waiting[caller] == 0:
+                ready.append(caller)
+    return pd.DataFrame(out, columns=["msg_id", "nth", "slot", "depth"])
 
 
 def ordered(calls: DataFrame) -> DataFrame:
     """``calls`` with (slot, depth): by (slot, depth, turn, nth) a call comes after all calls that it needs.
 
     Where every need was written before the call, the written order is a topological one: slot is the call's turn and
-    depth 0. Only calls behind an edge that runs against the written order are put in order by rounds, of which there
-    are as many as the longest chain of such calls is long; each settles the calls whose needs are settled. Joins go by
-    call, so a conversation is never gathered. Calls on a cycle, or behind one, never settle: their depth is -1
-    and they stay in their own turn.
+    depth 0. Only calls behind an edge that runs against the written order (late ones) are put in order: their slot is
+    the last turn of all that they need, their depth one more than the deepest need's. That goes by rounds, each of which
+    settles all it can inside groups of BLOCK turns and EDGES edges at most, so there are as many rounds as the longest
+    chain changes its group, not as it is long. A conversation is never gathered. Calls on a cycle, or behind one, never
+    settle: their depth is -1 and they stay in their own turn.
     """
-    key, need = ["msg_id", "nth"], [F.col("need_msg").alias("msg_id"), F.col("need_nth").alias("nth")]
+    key, need, group = ["msg_id", "nth"], ["need_msg", "need_nth"], ["conv_id", "block", "part"]
     edges = stage(edges_of(calls), "edges")
-    late = front = stage(edges.filter("against").select(key).distinct(), "late")
-    if late.isEmpty():
+    if edges.filter("against").isEmpty():
         return calls.withColumns({"slot": F.col("turn"), "depth": F.lit(0)})
-    while not front.isEmpty():
-        behind = edges.join(front.select(F.col("msg_id").alias("need_msg"), F.col("nth").alias("need_nth")), ["need_msg", "need_nth"], "left_semi").select(key).distinct()
-        front = stage(behind.join(late, key, "left_anti"), "front")
-        late = stage(late.unionByName(front), "late")
-    inner = stage(edges.join(late, key, "left_semi"), "inner")
-    done = stage(inner.select(*need, F.col("need_turn").alias("slot")).distinct().join(late, key, "left_anti").withColumn("depth", F.lit(0)), "settled")
-    left = stage(late.join(calls.select(*key, "turn"), key), "left")
-    while not left.isEmpty():
-        near = inner.join(done.select(F.col("msg_id").alias("need_msg"), F.col("nth").alias("need_nth"), "slot", "depth"), ["need_msg", "need_nth"], "left")
-        ready = near.groupBy(key).agg(F.max("slot").alias("s"), F.max("depth").alias("d"), F.count_if(F.col("slot").isNull()).alias("open")).filter("open = 0")
-        now = stage(left.join(ready, key).select(*key, F.greatest("turn", "s").alias("slot"), (F.col("d") + 1).alias("depth")), "ready")
+    edges = stage(_grouped(edges), "grouped")
+
+    rest, late = edges.withColumn("late", F.col("against")), None
+    while True:
+        front = stage(rest.groupBy(group).applyInPandas(lambda rows: _spread(rows), "msg_id long, nth int"), "front")
+        if front.isEmpty():
+            break
+        late = front if late is None else stage(late.unionByName(front), "late")
+        reached = front.select(F.col("msg_id").alias("need_msg"), F.col("nth").alias("need_nth"), F.lit(True).alias("hit"))
+        rest = rest.join(front, key, "left_anti").join(reached, need, "left")
+        rest = stage(rest.withColumn("late", F.col("hit").isNotNull()).drop("hit"), "rest")
+
+    never = F.lit(_NEVER)
+    others = late.select(F.col("msg_id").alias("need_msg"), F.col("nth").alias("need_nth"), F.lit(True).alias("open"))
+    inner = edges.join(late, key, "left_semi").join(others, need, "left").withColumn("open", F.col("open").isNotNull())
+    inner = inner.withColumns({"turn": F.coalesce("turn", never), "slot": F.coalesce("need_turn", never), "depth": F.lit(0)})
+    inner, settled = stage(inner.drop("need_turn", "against"), "inner"), []
+    while not inner.isEmpty():
+        now = stage(inner.groupBy(group).applyInPandas(lambda rows: _settle(rows), "msg_id long, nth int, slot long, depth int"), "settled")
         if now.isEmpty():
             break
-        done, left = stage(done.unionByName(now), "settled"), stage(left.join(now, key, "left_anti"), "left")
-    # Of those settled, the ones that were never late keep their turn and depth 0.
-    settled = done.join(late, key, "left_semi").unionByName(left.select(*key, F.col("turn").alias("slot"), F.lit(-1).alias("depth")))
-    rows = calls.join(settled, key, "left")
-    return rows.withColumns({"slot": F.coalesce("slot", "turn"), "depth": F.coalesce("depth", F.lit(0))})
+        settled.append(now)
+        known = now.select(F.col("msg_id").alias("need_msg"), F.col("nth").alias("need_nth"), F.col("slot").alias("s"), F.col("depth").alias("d"))
+        inner = inner.join(now, key, "left_anti").join(known, need, "left")
+        inner = inner.withColumns({"open": F.col("open") & F.col("s").isNull(), "slot": F.coalesce("s", "slot"), "depth": F.coalesce("d", "depth")})
+        inner = stage(inner.drop("s", "d"), "inner")
+
+    rows = calls.join(late.withColumn("late", F.lit(True)), key, "left")
+    if settled:
+        rows = rows.join(reduce(DataFrame.unionByName, settled), key, "left")
+    else:
+        rows = rows.withColumns({"slot": F.lit(None).cast("long"), "depth": F.lit(None).cast("int")})
+    depth = F.when(F.col("late").isNull(), 0).otherwise(F.coalesce("depth", F.lit(-1)))
+    return rows.withColumns({"slot": F.coalesce(F.nullif("slot", never), "turn"), "depth": depth}).drop("late")
 
 
 def link(conversations: DataFrame) -> DataFrame:
@@ -235,6 +311,8 @@ def link(conversations: DataFrame) -> DataFrame:
 
 #: The tool that ``transcript`` takes a conversation's replies for.
 TOOL = "reply"
+#: Of so many conversations one is planned from its end: each call needs the next one.
+PLANNED = 3
 PARAMETERS = '{"additionalProperties":false,"properties":{"text":{"type":"string"},"turn":{"type":"integer"}},"required":["text"]}'
 
 
@@ -242,13 +320,13 @@ def transcript(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): a plain conversation written out as tool calls.
 
     A user's turn is a call of the tool ``reply`` with the turn as its id, the text and turn as arguments, and the user's turn two
-    before as its need; an assistant's turn is the result of the call of the turn before; a system message
+    before as its need, or, where conv_id leaves 1 when divided by PLANNED, the one two after; an assistant's turn is the result of the call of the turn before; a system message
     declares the tool. Other roles stay as they are.
     """
     whole = {"ignoreNullFields": "false"}
     turn = F.col("turn").cast("string")
     arguments = F.to_json(F.struct("text", "turn"), whole)
-    before = F.array((F.col("turn") - 2).cast("string"))
+    before = F.array((F.col("turn") + F.when(F.pmod("conv_id", F.lit(PLANNED)) == 1, 2).otherwise(-2)).cast("string"))
     call = F.struct(turn.alias("id"), F.lit("function").alias("type"), F.struct(F.lit(TOOL).alias("name"), arguments.alias("arguments")).alias("function"), before.alias("depends_on"))
     tool = F.struct(F.lit(TOOL).alias("name"), F.from_json(F.lit(PARAMETERS), "variant").alias("parameters"))
     role = F.col("role")
@@ -269,13 +347,14 @@ def transcript_sql() -> str:
     replies AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
     declared AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'),
     placed AS (
-        SELECT conv_id, turn, 0 AS depth FROM calls c
-        WHERE NOT EXISTS (SELECT 1 FROM calls n WHERE n.conv_id = c.conv_id AND n.turn = c.turn - 2)
+        SELECT conv_id, turn, turn AS slot, 0 AS depth FROM calls c
+        WHERE NOT EXISTS (SELECT 1 FROM calls n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + CASE WHEN (c.conv_id % {PLANNED} + {PLANNED}) % {PLANNED} = 1 THEN 2 ELSE -2 END)
         UNION ALL
-        SELECT c.conv_id, c.turn, 0 FROM placed p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + 2
+        SELECT c.conv_id, c.turn, greatest(p.slot, c.turn), p.depth + (c.turn < p.turn)::INT
+        FROM placed p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + CASE WHEN (c.conv_id % {PLANNED} + {PLANNED}) % {PLANNED} = 1 THEN -2 ELSE 2 END
     ),
     linked AS (
-        SELECT c.conv_id, c.turn, p.depth, c.text, r.turn IS NOT NULL AS answered, d.conv_id IS NOT NULL AS known,
+        SELECT c.conv_id, c.turn, p.slot, p.depth, c.text, r.turn IS NOT NULL AS answered, d.conv_id IS NOT NULL AS known,
             CASE WHEN json_valid(r.text) THEN json(r.text) ELSE to_json(r.text) END AS result
         FROM calls c LEFT JOIN placed p USING (conv_id, turn) LEFT JOIN declared d USING (conv_id)
         LEFT JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
@@ -284,7 +363,7 @@ def transcript_sql() -> str:
         json_object('content', text, 'role', role)::VARCHAR AS json, '' AS problems
     FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
     UNION ALL
-    SELECT conv_id, turn, coalesce(depth, -1), turn, 0, 'call', turn::VARCHAR,
+    SELECT conv_id, coalesce(slot, turn), coalesce(depth, -1), turn, 0, 'call', turn::VARCHAR,
         json_object('arguments', json_object('text', text, 'turn', turn), 'call', turn::VARCHAR, 'name', '{TOOL}', 'result', result)::VARCHAR,
         array_to_string(list_filter([
             CASE WHEN NOT known THEN 'no schema' WHEN text IS NULL THEN 'not a string: text' END, CASE WHEN NOT answered THEN 'no result' END

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -161,10 +162,36 @@ def test_random_conversations_against_brute_force(spark):
     assert any(r.depth > 0 for r in got.values()) and any(r.depth < 0 for r in got.values())
 
 
+def test_chains_of_a_thousand(spark):
+    """Needs against the written order, over two blocks of turns; a tail of later calls, and calls before a cycle."""
+    n = 1000
+    back = [(1, 2 * k, "assistant", {"tool_calls": [call(f"b{k}", needs=[f"b{k + 1}"])]}) for k in range(n)]
+    tail = [(1, 2 * (n + k), "assistant", {"tool_calls": [call(f"t{k}", needs=[f"t{k - 1}" if k else "b0"])]}) for k in range(n)]
+    stuck = [(2, k, "assistant", {"tool_calls": [call(f"c{k}", needs=[f"c{min(k + 1, n - 1)}"])]}) for k in range(n)]
+    began = time.perf_counter()
+    out = {(r.conv_id, r.call_id): r for r in rows(spark, back + tail + stuck)}
+    assert time.perf_counter() - began < 60
+    assert [(out[1, f"b{k}"].slot, out[1, f"b{k}"].depth) for k in range(n)] == [(2 * (n - 1), n - 1 - k) for k in range(n)]
+    assert [(out[1, f"t{k}"].slot, out[1, f"t{k}"].depth) for k in range(n)] == [(2 * (n + k), n + k) for k in range(n)]
+    assert {out[2, f"c{k}"].depth for k in range(n)} == {-1} and out[2, "c7"].slot == 7
+
+
+def test_groups_of_few_edges_give_the_same_order(spark, monkeypatch):
+    made = [(1, k, "assistant", {"tool_calls": [call(f"c{k}", needs=[f"c{k + 1}", f"c{k - 2}"])]}) for k in range(9)]
+    want = rows(spark, made)
+    monkeypatch.setattr(tc, "EDGES", 2)
+    monkeypatch.setattr(tc, "BLOCK", 2)
+    assert rows(spark, made) == want and {r.depth for r in want} == {-1}
+    made = [(1, k, "assistant", {"tool_calls": [call(f"c{k}", needs=[f"c{k + 1}", f"c{k + 2}"])]}) for k in range(9)]
+    got = rows(spark, made + [(1, None, "assistant", {"tool_calls": [call("n", needs=["c3", "c0"])]})])
+    assert sorted((r.call_id, r.depth, r.slot) for r in got if r.call_id != "n") == [(f"c{k}", 8 - k, 8) for k in range(9)]
+
+
 def test_plain_conversations_agree_with_sql(spark):
     texts = ['line "one"\nnext', None, "", "é\\😀", "12", '{"a": [1, "x"]}', "not {json"]
     data = [(1, 0, "system", "s"), (1, 1, "user", texts[0]), (1, 2, "assistant", texts[4]), (1, 3, "user", texts[1]), (2, 0, "user", texts[2]), (2, 1, "assistant", texts[5])]
     data += [(2, 2, "user", texts[3]), (2, 3, "assistant", texts[1]), (3, 0, "assistant", texts[6]), (4, 0, None, "x"), (4, 1, "other", None)]
+    data += [(7, t, ("user", "assistant")[t % 2], texts[t % 7]) for t in range(8)] + [(-2, t, "user", texts[t]) for t in (0, 2, 3, 6)]
     frame = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     made = tc.link(tc.transcript(frame)).withColumn("problems", F.array_join("problems", "; "))
     conversations = frame.toPandas()
