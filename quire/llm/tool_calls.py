@@ -118,7 +118,7 @@ def latest(calls: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def edges_of(calls: DataFrame) -> DataFrame:
-    """(conv_id, block, msg_id, nth, turn, need_msg, need_nth, need_turn, against): a call and one that it needs.
+    """(conv_id, msg_id, nth, turn, need_msg, need_nth, need_turn, against): a call and one that it needs.
 
     A need is the last call of that id before, or else the first one after: then the edge runs against the written order.
     """
@@ -126,15 +126,19 @@ def edges_of(calls: DataFrame) -> DataFrame:
     first = calls.filter("conv_id is not null and call_id is not null").groupBy("conv_id", F.col("call_id").alias("id")).agg(F.min(F.struct("turn", "nth", "msg_id")).alias("first"))
     rows = latest(calls, asked).join(first, ["conv_id", "id"]).withColumn("need", F.coalesce("call", "first"))
     return rows.select(
-        "conv_id", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).alias("block"), "msg_id", "nth", "turn",
+        "conv_id", "msg_id", "nth", "turn",
         F.col("need.msg_id").alias("need_msg"), F.col("need.nth").alias("need_nth"), F.col("need.turn").alias("need_turn"), F.col("call").isNull().alias("against"),
     ).distinct()
 
 
 def _grouped(edges: DataFrame) -> DataFrame:
-    """``edges`` with ``part``, which together with (conv_id, block) names a group of EDGES edges or little more; a message's edges stay together."""
-    sizes = edges.groupBy("conv_id", "block").agg(F.ceil(F.count("*") / EDGES).alias("parts"))
-    return edges.join(sizes, ["conv_id", "block"]).withColumn("part", F.pmod(F.xxhash64("msg_id"), F.col("parts"))).drop("parts")
+    """``edges`` with ``bucket``: many blocks of conversations together, and blocks of more than EDGES edges in parts; a message's edges stay together."""
+    block = ["conv_id", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).alias("block")]
+    buckets = 1 + 4 * edges.count() // EDGES
+    sizes = edges.groupBy(*block).agg(F.ceil(F.count("*") / EDGES).alias("parts"))
+    rows = edges.select("*", block[1]).join(sizes, ["conv_id", "block"])
+    part = F.pmod(F.xxhash64("msg_id"), F.col("parts"))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id", "block", part), F.lit(buckets))).drop("conv_id", "block", "parts")
 
 
 def _calls_of(rows: pd.DataFrame) -> tuple[list[tuple[int, int]], dict[tuple[int, int], list[int]]]:
@@ -190,11 +194,11 @@ def ordered(calls: DataFrame) -> DataFrame:
     Where every need was written before the call, the written order is a topological one: slot is the call's turn and
     depth 0. Only calls behind an edge that runs against the written order (late ones) are put in order: their slot is
     the last turn of all that they need, their depth one more than the deepest need's. That goes by rounds, each of which
-    settles all it can inside groups of BLOCK turns and EDGES edges at most, so there are as many rounds as the longest
-    chain changes its group, not as it is long. A conversation is never gathered. Calls on a cycle, or behind one, never
+    settles all it can inside buckets of whole blocks of BLOCK turns, or of their parts of about EDGES edges, so there are as
+    many rounds as the longest chain changes its bucket, not as it is long. A conversation is never gathered. Calls on a cycle, or behind one, never
     settle: their depth is -1 and they stay in their own turn.
     """
-    key, need, group = ["msg_id", "nth"], ["need_msg", "need_nth"], ["conv_id", "block", "part"]
+    key, need = ["msg_id", "nth"], ["need_msg", "need_nth"]
     edges = stage(edges_of(calls), "edges")
     if edges.filter("against").isEmpty():
         return calls.withColumns({"slot": F.col("turn"), "depth": F.lit(0)})
@@ -202,7 +206,7 @@ def ordered(calls: DataFrame) -> DataFrame:
 
     rest, late = edges.withColumn("late", F.col("against")), None
     while True:
-        front = stage(rest.groupBy(group).applyInPandas(lambda rows: _spread(rows), "msg_id long, nth int"), "front")
+        front = stage(rest.groupBy("bucket").applyInPandas(lambda rows: _spread(rows), "msg_id long, nth int"), "front")
         if front.isEmpty():
             break
         late = front if late is None else stage(late.unionByName(front), "late")
@@ -216,7 +220,7 @@ def ordered(calls: DataFrame) -> DataFrame:
     inner = inner.withColumns({"turn": F.coalesce("turn", never), "slot": F.coalesce("need_turn", never), "depth": F.lit(0)})
     inner, settled = stage(inner.drop("need_turn", "against"), "inner"), []
     while not inner.isEmpty():
-        now = stage(inner.groupBy(group).applyInPandas(lambda rows: _settle(rows), "msg_id long, nth int, slot long, depth int"), "settled")
+        now = stage(inner.groupBy("bucket").applyInPandas(lambda rows: _settle(rows), "msg_id long, nth int, slot long, depth int"), "settled")
         if now.isEmpty():
             break
         settled.append(now)
