@@ -64,6 +64,11 @@ def like(a: Column, b: Column) -> Column:
     return F.coalesce(EDITED * (2 * most - apart) <= both, F.lit(False))
 
 
+def _once(rows: DataFrame, name: str, values: Column) -> DataFrame:
+    """``rows`` with one column more, a row for each of ``values``: unlike a projection, this isn't put in place of its name in what loops over it."""
+    return rows.select("*", F.explode(values).alias(name))
+
+
 def _chosen(wraps: Column, blocks: Column) -> Column:
     """For each wrapper in turn the first block that is its own and isn't wrapped in one of its kind: (w, b), in the order of wrappers."""
 
@@ -93,7 +98,7 @@ def restored(source: DataFrame, output: DataFrame) -> DataFrame:
     """
     tree = F.col("tree")
     rows = N.with_tree(output.select("page_id", "html").join(wrapped(source), "page_id"))
-    rows = rows.withColumn("nodes", N.nodes(tree))
+    rows = _once(rows, "nodes", F.array(N.nodes(tree)))
 
     def block(x: Column) -> Column:
         parent = F.when(x["parent"] >= 0, F.get("nodes", x["parent"]))
@@ -105,19 +110,19 @@ def restored(source: DataFrame, output: DataFrame) -> DataFrame:
         )
 
     wanted = F.array_distinct(F.transform("wraps", lambda w: w["block"]))
-    rows = rows.withColumn("blocks", F.transform(F.filter(tree, lambda x: (x["kind"] == N.OPEN) & F.array_contains(wanted, x["tag"])), block))
-    rows = rows.withColumn("made", _chosen(F.col("wraps"), F.col("blocks"))).filter(F.size("made") > 0)
+    rows = _once(rows, "blocks", F.array(T.named(wanted, lambda names: F.transform(F.filter(tree, lambda x: (x["kind"] == N.OPEN) & F.array_contains(names, x["tag"])), block))))
+    rows = _once(rows, "made", F.filter(F.array(_chosen(F.col("wraps"), F.col("blocks"))), lambda m: F.size(m) > 0))
     taken = F.array_compact(F.transform(F.filter("nodes", lambda x: x["kind"].isin(N.OPEN, N.SINGLE)), lambda x: N.attribute(x["raw"], "id")))
-    rows = rows.withColumn("taken", taken)
+    rows = _once(rows, "taken", F.array(taken))
 
     # What is put in, by the event that it stands before: ends, of the inner ones first, and then starts, of the outer ones first.
     start = lambda w: F.when(F.coalesce(F.array_contains("taken", w["id"]), F.lit(False)), F.regexp_replace(w["start"], _ID, "")).otherwise(w["start"])
     opened = F.transform("made", lambda u, k: F.struct(u["b"]["i"].alias("at"), F.lit(1).alias("kind"), u["b"]["i"].alias("of"), k.alias("k"), start(u["w"]).alias("text")))
     end = lambda u: u["b"]["until"] + u["b"]["after"].cast("int")
     closed = F.transform("made", lambda u, k: F.struct(end(u).alias("at"), F.lit(0).alias("kind"), (-u["b"]["i"]).alias("of"), (-k).alias("k"), F.concat(F.lit("</"), u["w"]["tag"], F.lit(">")).alias("text")))
-    rows = rows.withColumn("edits", F.array_sort(F.concat(opened, closed)))
+    rows = _once(rows, "edits", F.array(F.array_sort(F.concat(opened, closed))))
     styled = F.filter("made", lambda u: (u["b"]["class"] == "") & (u["w"]["block_class"] != ""))
-    rows = rows.withColumn("styled", F.transform(styled, lambda u: F.struct(u["b"]["i"].alias("i"), u["w"]["block_class"].alias("class"))))
+    rows = _once(rows, "styled", F.array(F.transform(styled, lambda u: F.struct(u["b"]["i"].alias("i"), u["w"]["block_class"].alias("class")))))
 
     def raw(x: Column) -> Column:
         given = F.get(F.filter("styled", lambda s: s["i"] == x["i"]), F.lit(0))["class"]
@@ -125,7 +130,7 @@ def restored(source: DataFrame, output: DataFrame) -> DataFrame:
         bare = F.regexp_replace(F.substring(x["raw"], name + 1, F.length(x["raw"])), r"(?is)\sclass\s*=\s*(?:\"\s*\"|'\s*')", "")
         return F.coalesce(F.concat(F.substring(x["raw"], F.lit(1), name), F.lit(' class="'), given, F.lit('"'), bare), x["raw"])
 
-    rows = rows.withColumn("pieces", F.transform(tree, lambda x: F.when(F.size("styled") == 0, x["raw"]).otherwise(raw(x))))
+    rows = _once(rows, "pieces", F.array(F.transform(tree, lambda x: F.when(F.size("styled") == 0, x["raw"]).otherwise(raw(x)))))
     text = lambda a, b: F.array_join(F.slice("pieces", a + 1, b - a), "")
     before = lambda k: F.when(k == 0, 0).otherwise(F.get("edits", k - 1)["at"])
     parts = F.transform("edits", lambda e, k: F.concat(text(before(k), e["at"]), e["text"]))

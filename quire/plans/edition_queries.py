@@ -20,6 +20,7 @@ from ..operators import links as L
 from ..operators import markdown as M
 from ..operators import replies as Y
 from ..operators import results as R
+from ..operators import wrappers as W
 from . import editions as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +195,11 @@ def _ill_formed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.filter("kind = 'not well-formed XHTML'").select("page_id", "level", "place")
 
 
+def _wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return W.restored(E.wrapped(pages, 0), E.wrapped(pages, 1)).select("page_id", _sha(F.col("html")).alias("digest"), "restored")
+
+
 def queries() -> dict[str, Query]:
     return {
         "opening_lines_marked": _columns(_opening),
@@ -235,6 +241,7 @@ def queries() -> dict[str, Query]:
         "page_nodes": _source(N.rows),
         "page_wrappers": _output(lambda p: N.with_tree(p.select("page_id", "html")).select("page_id", F.posexplode(N.wrappers(F.col("tree"))).alias("level", "wrapper"))),
         "leads_restored": _both(lambda s, o: B.leads_restored(s, o).select("page_id", _sha(F.col("html")).alias("digest"), "restored")),
+        "wrappers_restored": _wrappers,
         "spine_changes": _both(I.spine),
         "resources_lost": _both(I.resources_lost),
         "page_findings": _both(I.pages_changed),

@@ -431,6 +431,8 @@ QUERIES = {
     "page_nodes": f"{_P}, {_WAS} SELECT page_id, pre::INT AS pre, last::INT AS last, parent::INT AS parent, depth::INT AS depth, after::INT AS after, tag, array_to_string(classes, ' ') AS classes, id, boxed FROM was WHERE pre IS NOT NULL",
     "page_wrappers": f"{_P}, {_NOW} SELECT page_id, unnest(wrappers) AS wrapper, unnest(range(0, len(wrappers)))::INT AS level FROM {D.wrappers('now')}",
     "leads_restored": f"{_P}, {_WAS}, {_NOW}, {D.restored()}",
+    "wrappers_restored": f"""WITH RECURSIVE {E.SOURCE_SQL}, styled AS (SELECT page_id, {E.WRAPPED} AS html FROM source), bare AS (SELECT page_id, {E.UNWRAPPED} AS html FROM styled),
+        was AS MATERIALIZED (SELECT * FROM {D.nodes('styled')}), now AS MATERIALIZED (SELECT * FROM {D.nodes('bare')}), {D.wrapped_again()}""",
     "spine_changes": f"{_P}, {SPINE} SELECT * FROM spine_all",
     "resources_lost": f"{_P}, {LOST} SELECT * FROM lost_all",
     "page_findings": f"{_P}, {_STYLES}, {page_findings('s.prose <> o.prose')} SELECT * FROM told_all",

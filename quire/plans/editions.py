@@ -65,6 +65,29 @@ def navigation(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.expr(URL).alias("url"), F.expr(NAVIGATION).alias("html"))
 
 
+#: Blocks in styled wrappers, and what a rewrite made of them: wrappers gone, texts edited, identifiers kept.
+WRAPPED = """replace(html, '</article>', concat('<div class="quote" id="q', page_id, '"><blockquote class="said">It is what it is, said page ', page_id, ' of itself.</blockquote></div>',
+    '<div class="footnote"><p class="small"><a id="fn', page_id % 5, '"></a>See the end of it.</p></div><div class="footnote"><p>See the very end of page ', page_id, '.</p></div>',
+    '<section class="aside wide"><a id="z"></a><ul><li>First point of page ', page_id, '</li><li>Second point &amp; last</li></ul></section>',
+    '<div class="same"><p>The very same text stands twice.</p></div><div class="same" id="s2"><p>The very same text stands twice.</p></div><section class="other"><p>The very same text stands twice.</p></section>',
+    '<div class="warning"><p>A callout is left to another rule.</p></div><div class="pic"><blockquote><img src="x.png"/>A picture has its own wrapper.</blockquote></div>',
+    '<div class="two"><p>One of two blocks in here.</p><p>The other of two blocks.</p></div><div class="short"><p>Too short.</p></div></article>'))"""
+_BARE = """replace(replace(replace(replace(replace(replace(html, concat('<div class="quote" id="q', page_id, '">'), ''), '<blockquote class="said">', '<blockquote>'), '</blockquote></div>', '</blockquote>'),
+    '<div class="footnote">', ''), '<section class="aside wide"><a id="z"></a>', '<section>'), '<div class="short">', '')"""
+UNWRAPPED = f"""CASE page_id % 6
+    WHEN 1 THEN replace({_BARE}, 'said page', 'says page')
+    WHEN 2 THEN replace(replace({_BARE}, 'See the end of it.', 'Look at the end.'), 'First point of', 'Something else is said of')
+    WHEN 3 THEN replace(replace(replace(html, '<div class="same">', '<div>'), '<div class="same" id="s2">', '<i id="s2"></i><div>'), '<section class="other">', '<section>')
+    WHEN 4 THEN replace(replace(html, '<section class="aside wide"><a id="z"></a><ul>', '<section><ul class="kept">'), 'Second point', '⟦PRE-1: x⟧ second  POINTS')
+    WHEN 5 THEN replace(replace(replace({_BARE}, 'It is what it is, said', 'Nothing of this is left in'), '<p class="small">', '<p>'), 'See the very end', 'See the very last')
+    ELSE html END"""
+
+
+def wrapped(pages: DataFrame, side: int) -> DataFrame:
+    rows = source(pages).select("page_id", F.expr(WRAPPED).alias("html"))
+    return rows if side == 0 else rows.select("page_id", F.expr(UNWRAPPED).alias("html"))
+
+
 #: Pages as XML of which some can't be read, some of them only after the rewrite, and some are new.
 XHTML = "concat('<html><body><p>', page_id, CASE WHEN broken THEN '<br>' ELSE '<br/>' END, '</p></body></html>')"
 XHTML_SIDES = ("page_id % 4 = 1", "page_id % 3 = 0 OR page_id % 8 = 1")

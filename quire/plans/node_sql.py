@@ -6,6 +6,7 @@ from ..functions import html as H
 from ..functions import nodes as N
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import wrappers as W
 from . import sql as S
 from .sql import has, q, sub
 
@@ -145,3 +146,45 @@ def rebuilt(place: str, heads: str) -> str:
         SELECT f.page_id, f.nav, f.pre::INT, c.pos, (f.depth + 2 * c.depth)::INT, coalesce((SELECT first(class ORDER BY pre) FROM gone g WHERE g.page_id = f.page_id AND g.f_pre = f.pre), ''),
             regexp_replace(f.href, '#.*', '') || c.href, c.text
         FROM firsts f JOIN rewritten r ON r.book = f.book AND r.target = f.target JOIN ({heads}) c ON c.page_id = r.page_id WHERE c.page_id % 5 <> 0"""
+
+
+def _listed(names: tuple[str, ...]) -> str:
+    return ", ".join(q(n) for n in names)
+
+
+def _blocks(of: str) -> str:
+    """(page_id, pre, i, until, tag, class, up_tag, up_class, ids, text) of the blocks among the nodes ``of``."""
+    normal = f"lower({S.flat(sub('t.text', T.CLOSED_TOKEN))})"
+    inside = f"(SELECT coalesce(list(y.id), []) FROM {of} y WHERE y.page_id = x.page_id AND y.pre > x.pre AND y.pre <= x.last AND y.id IS NOT NULL)"
+    return f"""(SELECT x.page_id, x.pre, x.i, x.until, x.tag, array_to_string(x.classes, ' ') AS class, u.tag AS up_tag, array_to_string(u.classes, ' ') AS up_class, {inside} AS ids, {normal} AS text
+        FROM {of} x JOIN {texts(of, f"x.kind = 2 AND x.tag IN ({_listed(W.BLOCKS)})")} t ON x.page_id = t.page_id AND x.pre = t.pre LEFT JOIN {of} u ON x.page_id = u.page_id AND x.parent = u.pre)"""
+
+
+def wrapped_again() -> str:
+    """(page_id, digest, restored) over the nodes ``was`` and ``now``: all pairs of wrapper and block are listed, then each wrapper in turn takes its first free one."""
+    near = f"{W.EDITED} * (2 * levenshtein(w.text, b.text) - abs(length(w.text) - length(b.text))) <= length(w.text) + length(b.text)"
+    same = f"len(w.ids) = 0 AND length(w.text) >= {W.LEAST_TEXT} AND (w.text = b.text OR w.block <> 'p' AND {near})"
+    return f"""was_blocks AS MATERIALIZED (SELECT * FROM {_blocks("was")}), now_blocks AS MATERIALIZED (SELECT * FROM {_blocks("now")}),
+        kids AS (SELECT p.page_id, p.pre AS w, c.pre AS b FROM was p JOIN was c ON c.page_id = p.page_id AND c.parent = p.pre
+            WHERE p.kind = 2 AND p.tag IN ({_listed(W.WRAPPERS)}) AND len(p.classes) > 0 AND NOT p.callout
+                AND NOT EXISTS (SELECT 1 FROM was m WHERE m.page_id = p.page_id AND m.tag = 'img' AND m.pre > p.pre AND m.pre <= p.last)
+                AND (c.tag <> 'a' OR EXISTS (SELECT 1 FROM was t WHERE t.page_id = c.page_id AND t.kind = 1 AND t.pre > c.pre AND t.pre <= c.last))),
+        sole AS (SELECT page_id, w, min(b) AS b FROM kids GROUP BY page_id, w HAVING count(*) = 1),
+        wraps AS (SELECT s.page_id, row_number() OVER (PARTITION BY s.page_id ORDER BY s.w) AS n, p.tag, array_to_string(p.classes, ' ') AS class, p.raw AS start, p.id, b.tag AS block, b.class AS block_class, b.ids, b.text
+            FROM sole s JOIN was p ON p.page_id = s.page_id AND p.pre = s.w JOIN was_blocks b ON b.page_id = s.page_id AND b.pre = s.b),
+        fits AS (SELECT w.page_id, w.n, w.tag || '.' || w.class AS kind, coalesce(list(b.i ORDER BY b.i) FILTER (b.i IS NOT NULL), []) AS places
+            FROM wraps w LEFT JOIN now_blocks b ON b.page_id = w.page_id AND b.tag = w.block AND (b.up_tag, b.up_class) IS DISTINCT FROM (w.tag, w.class)
+                AND (len(w.ids) > 0 AND list_has_any(w.ids, b.ids) OR {same}) GROUP BY ALL),
+        picked AS (
+            SELECT DISTINCT page_id, 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::BIGINT AS i FROM wraps
+            UNION ALL
+            SELECT page_id, n, CASE WHEN i IS NULL THEN used ELSE list_append(used, i || ' ' || kind) END, i
+            FROM (SELECT f.page_id, f.n, f.kind, p.used, list_filter(f.places, lambda x: NOT list_contains(p.used, x || ' ' || f.kind))[1] AS i FROM picked p JOIN fits f ON f.page_id = p.page_id AND f.n = p.n + 1)),
+        made AS (SELECT w.*, b.i, b.until - (starts_with(u.raw, '</') AND lower(regexp_extract(u.raw, {q(N.NAME)}, 1)) <> b.tag)::INT AS until, b.class AS own, CASE WHEN EXISTS (SELECT 1 FROM now t WHERE t.page_id = w.page_id AND t.id = w.id) THEN regexp_replace(w.start, '\\sid="[^"]*"', '') ELSE w.start END AS opened
+            FROM picked p JOIN wraps w ON w.page_id = p.page_id AND w.n = p.n JOIN now_blocks b ON b.page_id = p.page_id AND b.i = p.i JOIN now u ON u.page_id = b.page_id AND u.i = b.until),
+        starts AS (SELECT page_id, i, string_agg(opened, '' ORDER BY n) AS opened, first(block_class ORDER BY n) FILTER (own = '' AND block_class <> '') AS class FROM made GROUP BY page_id, i),
+        ends AS (SELECT page_id, until AS i, string_agg('</' || tag || '>', '' ORDER BY i DESC, n DESC) AS closed FROM made GROUP BY page_id, until)
+        SELECT x.page_id, sha256(string_agg(coalesce(s.opened, '') || CASE WHEN s.class IS NULL THEN x.raw ELSE '<' || x.tag || ' class="' || s.class || '"' || substr(x.raw, length(x.tag) + 2) END || coalesce(e.closed, ''), '' ORDER BY x.i)) AS digest,
+            (SELECT count(*) FROM made m WHERE m.page_id = x.page_id)::INT AS restored
+        FROM now x LEFT JOIN starts s ON s.page_id = x.page_id AND s.i = x.i LEFT JOIN ends e ON e.page_id = x.page_id AND e.i = x.i
+        WHERE x.page_id IN (SELECT page_id FROM made) GROUP BY x.page_id"""
