@@ -103,7 +103,8 @@ def links(fps: DataFrame) -> DataFrame:
             "fp", "k", "bit", "part", F.col("w.k").alias("sub"), F.col("w.bit").alias("sub_bit")
         )
     rows = rows.select("fp", "k", "sub")
-    a, b = rows.alias("a"), rows.alias("b")
+    # Spark sizes the rows by the table before it was multiplied, and would broadcast them; both sides are shuffled whatever their size.
+    a, b = rows.alias("a"), rows.hint("shuffle_merge").alias("b")
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS
     pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.sub") == F.col("b.sub")) & (F.col("a.fp") < F.col("b.fp")) & close)
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()

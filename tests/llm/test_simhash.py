@@ -100,3 +100,10 @@ def test_one_row_for_each_component_whatever_its_id(spark, docs):
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs(rows)).collect()]
     want = [(None, base[0]), (None, base[1]), (4, base[2]), (7, base[3]), (7, base[4]), (3, base[5]), (8, base[6]), (8, base[7])]
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_variants_are_never_broadcast(spark):
+    rows = spark.createDataFrame([(k,) for k in range(300)], "fp long")
+    plan = simhash.links(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "fp" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "sub" in line]
