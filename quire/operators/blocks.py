@@ -134,40 +134,52 @@ def captions_rewritten(source: DataFrame, output: DataFrame) -> DataFrame:
     return rows.filter(T.caption_like(F.col("text"), F.col("original"))).select("page_id", "pos", "label", "text")
 
 
-def _each(pages: DataFrame, chosen) -> DataFrame:
-    """(page_id, tree, pos, x): the nodes of each page that ``chosen`` takes, in order."""
+def _each(pages: DataFrame, chosen, made) -> DataFrame:
+    """(page_id, pos, x): what ``made`` gives of the tree and each of the nodes that ``chosen`` takes, in order; only this leaves the page's row."""
     rows = N.with_tree(pages.select("page_id", "html"))
-    return rows.select("page_id", "tree", F.posexplode(F.filter("tree", chosen)).alias("pos", "x"))
+    return rows.select("page_id", F.posexplode(F.transform(F.filter("tree", chosen), lambda x: made(F.col("tree"), x))).alias("pos", "x"))
 
 
 def callouts(pages: DataFrame) -> DataFrame:
     """(page_id, pos, tag, class, inside) of the elements that are callouts, and whether another one holds them."""
-    rows = _each(pages, N.is_callout)
-    return rows.select("page_id", "pos", "x.tag", F.array_join(N.classes(F.col("x.raw")), " ").alias("class"), F.col("x.boxed").alias("inside"))
+    rows = _each(pages, N.is_callout, lambda tree, x: F.struct(x["tag"].alias("tag"), F.array_join(N.classes(x["raw"]), " ").alias("class"), x["boxed"].alias("inside")))
+    return rows.select("page_id", "pos", "x.*")
 
 
 def notes(pages: DataFrame) -> DataFrame:
     """(page_id, note, text) of a page's callouts that no other one holds, without their labels."""
-    rows = _each(pages, lambda x: N.is_callout(x) & ~x["boxed"])
-    return rows.select("page_id", F.col("pos").alias("note"), T.normal(N.spaced_text(F.col("tree"), F.col("x"), "^h[1-6]$")).alias("text")).filter("text <> ''")
+    rows = _each(pages, lambda x: N.is_callout(x) & ~x["boxed"], lambda tree, x: T.normal(N.spaced_text(tree, x, "^h[1-6]$")))
+    return rows.select("page_id", F.col("pos").alias("note"), F.col("x").alias("text")).filter("text <> ''")
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(page_id, pos, text) of the paragraphs outside callouts."""
-    rows = _each(pages, lambda x: (x["tag"] == "p") & ~x["boxed"])
-    return rows.select("page_id", "pos", T.normal(N.spaced_text(F.col("tree"), F.col("x"))).alias("text")).filter("text <> ''")
+    rows = _each(pages, lambda x: (x["tag"] == "p") & ~x["boxed"], lambda tree, x: T.normal(N.spaced_text(tree, x)))
+    return rows.select("page_id", "pos", F.col("x").alias("text")).filter("text <> ''")
+
+
+def _near(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(page_id, note, a, pos, b, shared) of the notes and paragraphs of a page that share LEAST_SHARED of their words.
+
+    Each text's words are gathered once, before the join. A pair whose sets differ too much in size is left out unseen.
+    """
+    rows = lambda side, place, name: side.select("page_id", place, F.col("text").alias(name), F.array_distinct(T.words(F.col("text"))).alias(f"{name}_words"))
+    one, other = F.col("a_words"), F.col("b_words")
+    least, most = F.least(F.size(one), F.size(other)), F.greatest(F.size(one), F.size(other))
+    pairs = rows(notes, "note", "a").join(rows(paragraphs, "pos", "b"), "page_id").filter((least > 0) & (least / most >= LEAST_SHARED))
+    both = F.explode(F.array(F.size(F.array_intersect(one, other)))).alias("n")
+    pairs = pairs.select("page_id", "note", "a", "pos", "b", (F.size(one) + F.size(other)).alias("all"), both)
+    return pairs.withColumn("shared", F.col("n") / (F.col("all") - F.col("n"))).filter(F.col("shared") >= LEAST_SHARED).drop("n", "all")
 
 
 def note_candidates(source: DataFrame, output: DataFrame) -> DataFrame:
     """(page_id, note, pos, shared): the paragraphs of an output page that share LEAST_SHARED of the words of a note of the source's."""
-    pairs = notes(source).withColumnRenamed("text", "a").join(paragraphs(output).withColumnRenamed("text", "b"), "page_id")
-    rows = pairs.withColumn("shared", T.jaccard(F.col("a"), F.col("b"))).filter(F.col("shared") >= LEAST_SHARED)
-    return rows.select("page_id", "note", "pos", F.round("shared", 6).alias("shared"))
+    return _near(notes(source), paragraphs(output)).select("page_id", "note", "pos", F.round("shared", 6).alias("shared"))
 
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def likeness(pairs: DataFrame) -> DataFrame:
@@ -178,9 +190,14 @@ def likeness(pairs: DataFrame) -> DataFrame:
 
 
 def kept_notes(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(page_id, note, pos, likeness): for each note (page_id, note, text) its likest paragraph (page_id, pos, text) of the page, the first where equal, if it is the note kept."""
-    pairs = notes.select("page_id", "note", T.normal(F.col("text")).alias("a")).join(paragraphs.select("page_id", "pos", T.normal(F.col("text")).alias("b")), "page_id")
-    best = likeness(pairs).groupBy("page_id", "note").agg(F.max_by(F.struct("pos", "likeness"), F.struct("likeness", -F.col("pos"))).alias("b"))
+    """(page_id, note, pos, likeness): for each note (page_id, note, text) its likest paragraph (page_id, pos, text) of the page, the first where equal, if it is the note kept.
+
+    Texts are matched letter by letter only where they share enough words and their lengths allow LIKENESS; no other can be the one.
+    """
+    normal = lambda side, place: side.select("page_id", place, T.normal(F.col("text")).alias("text"))
+    a, b = F.length("a"), F.length("b")
+    pairs = _near(normal(notes, "note"), normal(paragraphs, "pos")).filter(2.0 * F.least(a, b) / (a + b) >= LIKENESS)
+    best = pairs.withColumn("likeness", _ratio("a", "b")).groupBy("page_id", "note").agg(F.max_by(F.struct("pos", "likeness"), F.struct("likeness", -F.col("pos"))).alias("b"))
     return best.select("page_id", "note", "b.pos", "b.likeness").filter(F.col("likeness") >= LIKENESS)
 
 

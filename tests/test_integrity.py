@@ -197,3 +197,12 @@ def test_run(spark):
     total = {r.status: (r.chapters, r.words_in, r.words_out, r.ratio) for r in R.run_summary(R.resumed(chapters, cache)).collect()}
     assert total["words"] == (3, 906, 906, "100%") and total["failed"][0] == 2
     assert R.run_summary(R.resumed(chapters.limit(0), cache)).count() == 0
+
+
+def test_a_note_meets_paragraphs_without_its_page(spark):
+    html = '<body><aside class="note"><h5>Note</h5><p>Mind the gap.</p></aside><p>Mind the big gap.</p><p>Far.</p></body>'
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    made = B.note_candidates(pages, pages)
+    assert [(r.note, r.pos, r.shared) for r in made.collect()] == [(0, 0, 0.75)]
+    exploded = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line]
+    assert exploded and all("tree" not in line.split("[page_id")[-1] for line in exploded)
