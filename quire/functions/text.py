@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Python's white space and line ends, which Java's \s and line terminators differ from.
 BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters one by one: a pattern compares each letter with all ranges.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Placeholders that travel through a rewrite.
 TOKEN = "⟦[^⟧]*⟧"
@@ -39,21 +41,22 @@ def named(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{BLANK}]+"))
+def words(text: Column) -> Column:
+    """The words of a text. Blanks become spaces first, at which a text is split without a pattern."""
+    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " ", -1), "")
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"[^{BLANK}]+"), F.lit(0))
+def word_count(text: Column) -> Column:
+    return F.size(words(text))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def flat(text: Column) -> Column:
     """One space for each run of white space, none at the ends."""
-    return strip(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    return F.array_join(words(text), " ")
 
 
 def lines(text: Column) -> Column:
@@ -79,12 +82,12 @@ def without_anchors(line: Column) -> Column:
 
 def opening_line(text: Column) -> Column:
     """The first line that holds more than anchors; empty if there is none. Only the head of the text is looked at."""
-    return F.coalesce(F.regexp_replace(F.regexp_extract(text, OPENING, 1), rf"[{BLANK}]+\z", ""), F.lit(""))
+    return F.coalesce(F.rtrim(F.regexp_extract(text, OPENING, 1), F.lit(BLANKS)), F.lit(""))
 
 
 def last_line(text: Column) -> Column:
     """The last line that isn't blank, without blanks at its end; empty if there is none."""
-    tail = F.substring_index(F.regexp_replace(text, rf"[{BLANK}]+\z", ""), "\n", -1)
+    tail = F.substring_index(F.rtrim(text, F.lit(BLANKS)), "\n", -1)
     return F.coalesce(F.try_element_at(lines(tail), F.lit(-1)), F.lit(""))
 
 
@@ -199,7 +202,7 @@ def request(original: Column, rewrite: Column) -> Column:
 
 def check_request(original: Column, top: Column, headings: Column) -> Column:
     """The request to check an opening; the headings come last, if there are any."""
-    listed = F.when(F.size(headings) > 0, F.concat(F.lit("\n\n---\n\nHEADINGS:\n\n"), F.array_join(headings, "\n"))).otherwise("")
+    listed = named(headings, lambda h: F.when(F.size(h) > 0, F.concat(F.lit("\n\n---\n\nHEADINGS:\n\n"), F.array_join(h, "\n"))).otherwise(""))
     return F.concat(F.lit("ORIGINAL:\n\n"), original, F.lit("\n\n---\n\nTOP:\n\n"), top, listed)
 
 
@@ -209,17 +212,23 @@ def reply(text: Column) -> Column:
     return strip(F.regexp_replace(kept, "^> ", ""))
 
 
+def _shared(a: Column, b: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """The words that two texts share, as a share of ``of`` their sets; 0 where one has none. Each set is worked out once."""
+
+    def share_of(w: Column) -> Column:
+        both = (F.size(w["a"]) > 0) & (F.size(w["b"]) > 0)
+        return F.when(both, F.size(F.array_intersect(w["a"], w["b"])) / of(w["a"], w["b"])).otherwise(0.0)
+
+    return named(F.struct(F.array_distinct(words(a)).alias("a"), F.array_distinct(words(b)).alias("b")), share_of)
+
+
 def words_shared(a: Column, b: Column) -> Column:
     """The words that two texts share, as a share of the larger set; 0 where one has none."""
-    one, other = F.array_distinct(words(a)), F.array_distinct(words(b))
-    larger = F.greatest(F.size(one), F.size(other))
-    return F.when((F.size(one) > 0) & (F.size(other) > 0), F.size(F.array_intersect(one, other)) / larger).otherwise(0.0)
+    return _shared(a, b, lambda one, other: F.greatest(F.size(one), F.size(other)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    one, other = F.array_distinct(words(a)), F.array_distinct(words(b))
-    both = F.size(F.array_union(one, other))
-    return F.when((F.size(one) > 0) & (F.size(other) > 0), F.size(F.array_intersect(one, other)) / both).otherwise(0.0)
+    return _shared(a, b, lambda one, other: F.size(F.array_union(one, other)))
 
 
 # Fixed value: how far back a reply that was cut off is searched for what its continuation repeats.

@@ -47,46 +47,59 @@ def body_problem(source: Column, body: Column) -> Column:
     return (
         F.when(titled(source) & ~titled(body), "body does not open with the chapter title")
         .when(T.unclosed_token(body), "body cut off inside a ⟦token⟧")
-        .when(F.regexp_replace(T.last_line(body), f"^[{T.BLANK}]+", "").startswith("#"), "body ends on a bare heading")
+        .when(F.ltrim(T.last_line(body), F.lit(T.BLANKS)).startswith("#"), "body ends on a bare heading")
         .otherwise(T.named(share(source, body), small))
     )
 
 
-def outline(text: Column) -> dict[str, Column]:
+def outline(text: Column) -> Column:
     """Headings and table lines outside fences, and the fenced blocks."""
     plain = F.transform(T.lines(F.regexp_replace(text, FENCED, "")), T.strip)
-    return {
-        "headings": F.filter(plain, lambda x: x.rlike(HEADING)),
-        "tables": F.filter(plain, lambda x: x.startswith("|")),
-        "code": F.transform(F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)), T.strip),
-    }
+    marked = F.filter(plain, lambda x: x.startswith("|") | x.startswith("#"))
+    return T.named(
+        marked,
+        lambda lines: F.struct(
+            F.filter(lines, lambda x: x.rlike(HEADING)).alias("headings"),
+            F.filter(lines, lambda x: x.startswith("|")).alias("tables"),
+            F.transform(F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)), T.strip).alias("code"),
+        ),
+    )
 
 
 def revision_problem(source: Column, before: Column, after: Column) -> Column:
     """Why a revised chapter must not replace the one before; empty when it may."""
-    was, now = outline(before), outline(after)
     links = lambda text: F.regexp_extract_all(text, F.lit(LINK), F.lit(1))
     as_set = lambda items: F.array_sort(F.array_distinct(items))
     far = lambda ratio: F.when(~ratio.between(*REVISED), F.concat(F.lit("length "), T.percent(ratio), F.lit(" of the body"))).otherwise("")
-    own = (
-        F.when(as_set(T.tokens(before)) != as_set(T.tokens(after)), "⟦tokens⟧ changed")
-        .when(was["headings"] != now["headings"], "headings changed")
-        .when(was["code"] != now["code"], "code changed")
-        .when(was["tables"] != now["tables"], "tables changed")
-        .when(F.size(F.array_except(links(before), links(after))) > 0, "a link was dropped")
-        .when(F.size(T.banned(source, after)) > 0, "banned word")
-        .otherwise(T.named(share(before, after), far))
-    )
+
+    def changed(x: Column) -> Column:
+        was, now = x["was"], x["now"]
+        return (
+            F.when(was["headings"] != now["headings"], "headings changed")
+            .when(was["code"] != now["code"], "code changed")
+            .when(was["tables"] != now["tables"], "tables changed")
+            .when(F.size(F.array_except(links(before), links(after))) > 0, "a link was dropped")
+            .when(F.size(T.banned(source, after)) > 0, "banned word")
+            .otherwise(T.named(share(before, after), far))
+        )
+
+    outlines = T.named(F.struct(outline(before).alias("was"), outline(after).alias("now")), changed)
+    own = F.when(as_set(T.tokens(before)) != as_set(T.tokens(after)), "⟦tokens⟧ changed").otherwise(outlines)
     return T.named(body_problem(source, after), lambda problem: F.when(problem != "", problem).otherwise(own))
 
 
 def upgraded(source: Column, cached: Column) -> Column:
     """A cached output without the retired tail and without a doubled title."""
-    kept = T.strip(F.when(source.rlike(KEY_POINTS), cached).otherwise(F.regexp_replace(cached, RETIRED, "")))
-    first = F.substring_index(kept, "\n", 1)
-    rest = F.substring(kept, F.length(first) + 2, F.length(kept))
-    doubled = T.is_title(first) & (T.opening_line(rest) == T.strip(first))
-    return T.strip(F.when(doubled, rest).otherwise(kept))
+
+    def once(kept: Column) -> Column:
+        def parted(first: Column) -> Column:
+            rest = F.substring(kept, F.length(first) + 2, F.length(kept))
+            doubled = T.is_title(first) & (T.opening_line(rest) == T.strip(first))
+            return T.strip(F.when(doubled, rest).otherwise(kept))
+
+        return T.named(F.substring_index(kept, "\n", 1), parted)
+
+    return T.named(T.strip(F.when(source.rlike(KEY_POINTS), cached).otherwise(F.regexp_replace(cached, RETIRED, ""))), once)
 
 
 def evidence_held(source: Column, evidence: Column) -> Column:

@@ -122,3 +122,21 @@ def test_first_and_last_lines_are_pythons(spark):
         assert r.a == next((s for x in lines if (s := anchors.sub("", x.strip()))), ""), repr(texts[r.n])
         assert r.b == (lines[-1].rstrip() if lines else ""), repr(texts[r.n])
     assert rows.limit(1).select(T.opening_line(F.lit(None).cast("string")).alias("a"), T.last_line(F.lit(None).cast("string")).alias("b")).first() == ("", "")
+
+
+def test_words_are_counted_without_a_pattern(spark):
+    texts = ["", " ", "a", " a  b c　", "\n\x1cé\x85ß  x", "\U0001f600 y\t"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9, None)], "k int, t string")
+    made = rows.select("k", T.word_count(F.col("t")).alias("n"), T.strip(F.col("t")).alias("s"), T.flat(F.col("t")).alias("f"), T.words(F.col("t")).alias("w"))
+    plan = rows.select(T.word_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "x{2000}" not in plan
+    found = {r.k: r for r in made.collect()}
+    for k, t in enumerate(texts):
+        assert (found[k].n, found[k].s, found[k].f, found[k].w) == (len(t.split()), t.strip(), " ".join(t.split()), t.split())
+    assert found[9].n is None and found[9].s is None
+
+
+def test_an_upgrade_works_out_a_text_once(spark):
+    rows = spark.createDataFrame([("s", "c")], "source string, cached string")
+    plan = rows.select(G.upgraded(F.col("source"), F.col("cached")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Check yourself") == 1
