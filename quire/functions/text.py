@@ -47,7 +47,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    return F.array_size(words(text))
 
 
 def strip(text: Column) -> Column:

@@ -40,15 +40,15 @@ def sane(source: Column, output: Column) -> Column:
     return (words_out >= words_in * F.lit(SANE[0])) & (words_out <= words_in * F.lit(SANE[1]))
 
 
-def body_problem(source: Column, body: Column) -> Column:
-    """Why a rewritten chapter must not ship; empty when it may."""
+def body_problem(source: Column, body: Column, ratio: Column | None = None) -> Column:
+    """Why a rewritten chapter must not ship; empty when it may. ``ratio`` is the body's share of the words, where it is known."""
     titled = lambda text: T.named(T.opening_line(text), T.is_title)
     small = lambda ratio: F.when(ratio < LEAST_BODY, F.concat(F.lit("body is "), T.percent(ratio), F.lit(" of the chapter"))).otherwise("")
     return (
         F.when(titled(source) & ~titled(body), "body does not open with the chapter title")
         .when(T.unclosed_token(body), "body cut off inside a ⟦token⟧")
         .when(F.ltrim(T.last_line(body), F.lit(T.BLANKS)).startswith("#"), "body ends on a bare heading")
-        .otherwise(T.named(share(source, body), small))
+        .otherwise(T.named(share(source, body) if ratio is None else ratio, small))
     )
 
 

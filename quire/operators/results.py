@@ -21,11 +21,14 @@ OUTPUT, FAILED, STALE = "output", "failed", "stale"
 
 def _judged(chapters: DataFrame, cache: DataFrame, rebuild: bool) -> DataFrame:
     """``chapters`` with their status, the text that stands for them and why they failed."""
-    rows = chapters.join(cache.select("doc_id", "cached"), "doc_id", "left")
-    kept = G.upgraded(F.col("source"), F.col("cached"))
-    rows = rows.withColumn("kept", kept).withColumn("stale", F.when(F.col("kept").isNotNull(), G.body_problem(F.col("source"), F.col("kept"))))
-    rows = rows.withColumn("fresh", G.body_problem(F.col("source"), F.coalesce("body", F.lit(""))))
-    short = T.word_count(F.col("source")) < MIN_WORDS
+    # Whole texts: Spark takes each for 20 bytes, and would broadcast a table that is larger by far.
+    rows = chapters.join(cache.select("doc_id", "cached").hint("shuffle_merge"), "doc_id", "left")
+    rows = rows.withColumn("kept", G.upgraded(F.col("source"), F.col("cached"))).withColumn("text", F.coalesce("body", F.lit("")))
+    # The words of each text are counted once; a projection isn't put in place of a column that several expressions name.
+    rows = rows.withColumns({f"n_{c}": T.word_count(F.col(c)) for c in ("source", "text", "kept")})
+    problem = lambda c: G.body_problem(F.col("source"), F.col(c), T.share(F.col("n_source"), F.col(f"n_{c}")))
+    rows = rows.withColumn("stale", F.when(F.col("kept").isNotNull(), problem("kept"))).withColumn("fresh", problem("text"))
+    short = F.col("n_source") < MIN_WORDS
     usable = F.coalesce(F.col("stale") == "", F.lit(False))
     status = F.when(short, "skipped").when(usable, "cached").when(F.lit(rebuild) | (F.col("fresh") != ""), "failed").otherwise("rewritten")
     rows = rows.withColumn("status", status)
@@ -40,8 +43,9 @@ def resumed(chapters: DataFrame, cache: DataFrame, rebuild: bool = False) -> Dat
     A cached text, brought up to date, is used if nothing is wrong with it; an unusable one counts as none, and as a failure when only rebuilding.
     Without one the new text must pass; a chapter below MIN_WORDS is skipped. A null body is none.
     """
-    words_out = F.coalesce(T.word_count(F.col("out")), F.lit(0)).alias("words_out")
-    return _judged(chapters, cache, rebuild).select("doc_id", "status", T.word_count(F.col("source")).alias("words_in"), words_out, F.col("why").alias("detail"))
+    n_out = F.when(F.col("status") == "cached", F.col("n_kept")).when((F.col("status") == "rewritten") & F.col("body").isNotNull(), F.col("n_text"))
+    words_out = F.coalesce(n_out, F.lit(0)).alias("words_out")
+    return _judged(chapters, cache, rebuild).select("doc_id", "status", F.col("n_source").alias("words_in"), words_out, F.col("why").alias("detail"))
 
 
 def blocks_lost(source: Column, text: Column) -> Column:

@@ -206,3 +206,12 @@ def test_a_note_meets_paragraphs_without_its_page(spark):
     assert [(r.note, r.pos, r.shared) for r in made.collect()] == [(0, 0, 0.75)]
     exploded = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line]
     assert exploded and all("tree" not in line.split("[page_id")[-1] for line in exploded)
+
+
+def test_a_run_joins_texts_by_a_shuffle_and_counts_words_once(spark):
+    rows = spark.createDataFrame([(1, "# A\n" + "a " * 300, "# A\n" + "b " * 250)], "doc_id long, source string, body string")
+    made = R.resumed(rows, rows.select("doc_id", F.col("body").alias("cached")))
+    query = made._jdf.queryExecution()
+    assert "BroadcastHashJoin" not in query.executedPlan().toString()
+    assert query.optimizedPlan().toString().count("translate(") == 3
+    assert [tuple(r) for r in made.collect()] == [(1, "cached", 302, 252, "")]
