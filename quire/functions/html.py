@@ -10,8 +10,11 @@ from . import text as T
 COMMENT = r"(?s)<!--.*?-->"
 UNSEEN = r"(?is)<(?:script|style)(?:\s[^>]*)?>.*?</(?:script|style)\s*>"
 TAG = r"<[^>]*>"
+TAGS_OR_ENDS = r"(?:<[^>]*>|\n)++"
 HEADING = r"(?is)<h[1-3](?:\s[^>]*)?>(.*?)</h[1-3]\s*>"
 BODY = r"(?is)<body(?:\s|>).*"
+#: Where the match of BODY begins.
+BODY_START = r"(?i)<body(?=[\s>])"
 # Character references that are resolved, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -77,8 +80,8 @@ def title(html: Column) -> Column:
 
 
 def body(html: Column) -> Column:
-    inner = F.regexp_extract(html, BODY, 0)
-    return F.when(inner != "", inner).otherwise(html)
+    """A page from its body's start tag on, whose name is put in lower case; the whole page without one. The text behind the tag is not matched."""
+    return F.coalesce(F.concat(F.lit("<body"), F.get(F.split(html, BODY_START, 2), F.lit(1))), html)
 
 
 def first_classes(inner: Column) -> Column:
@@ -86,16 +89,20 @@ def first_classes(inner: Column) -> Column:
     return F.flatten(F.transform(F.slice(found(inner, CLASSED), 1, 3), lambda c: F.split(c, r"\s+")))
 
 
-def is_reference(html: Column, heading: Column) -> Column:
+def is_reference(html: Column, heading: Column, firsts: Column | None = None) -> Column:
+    """Whether a page is reference apparatus; ``firsts`` are its ``first_classes``, where they are known."""
+    firsts = first_classes(body(html)) if firsts is None else firsts
     types = F.exists(found(html, typed("body|section|nav|div")), lambda t: t.rlike(word_in(REFERENCE_WORD)))
-    classes = F.exists(first_classes(body(html)), lambda c: c.rlike(rf"(?i)^(?:{REFERENCE_WORD})\z"))
+    classes = F.exists(firsts, lambda c: c.rlike(rf"(?i)^(?:{REFERENCE_WORD})\z"))
     return heading.rlike(REFERENCE_TITLE) | types | classes
 
 
-def is_matter(html: Column, heading: Column, n_words: Column) -> Column:
+def is_matter(html: Column, heading: Column, n_words: Column, firsts: Column | None = None) -> Column:
+    """Whether a page, or its ``body``, is front or back matter; ``firsts`` are its ``first_classes``, where they are known."""
+
     def of(inner: Column) -> Column:
         rights = F.contains(F.lower(F.regexp_replace(visible(inner), TAG, " ")), F.lit("all rights reserved"))
-        classed = F.exists(first_classes(inner), lambda c: c.rlike(MATTER_CLASS))
+        classed = F.exists(first_classes(inner) if firsts is None else firsts, lambda c: c.rlike(MATTER_CLASS))
         types = F.concat(F.slice(found(inner, typed("section|div")), 1, 3), found(html, typed("body")))
 
         def typed_as(t: Column) -> Column:
@@ -113,7 +120,8 @@ CONTENT = ("img", "table", "pre", "math", "svg", "figure")
 PROTECTED = ("img", "math", "svg", "figure")
 CALLOUT = r"(?i)^(?:note|tip|warning|caution|important|sidebar|box)$"
 #: Elements that are no prose, each with its content.
-UNPROSE = tuple(rf"(?is)<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in ("pre", "code", "script", "style"))
+UNPROSE_NAMES = ("pre", "code", "script", "style")
+UNPROSE = tuple(rf"(?is)<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in UNPROSE_NAMES)
 CLASSES = r"""(?is)<[a-z][^>]*?\sclass\s*=\s*["']([^"']*)["']"""
 BODY_TAG = r"(?is)<body((?:\s[^>]*)?)>"
 ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*(?:"[^"]*"|'[^']*'))"""
@@ -130,9 +138,15 @@ CONTENTS = r"""(?is)<nav\s(?:[^>]*?\s)?epub:type\s*=\s*["'][^"']*toc"""
 def prose(html: Column) -> Column:
     """The body's text without code, scripts and styles; one line end where tags stand between texts."""
     text = F.regexp_replace(body(html), COMMENT, "")
-    for pattern in UNPROSE:
-        text = F.regexp_replace(text, pattern, "\n")
-    return unescape(F.regexp_replace(F.regexp_replace(text, TAG, "\n"), r"\n+", "\n"))
+    for name, pattern in zip(UNPROSE_NAMES, UNPROSE, strict=True):
+        text = _without(text, name, pattern)
+    return unescape(F.regexp_replace(text, TAGS_OR_ENDS, "\n"))
+
+
+def _without(text: Column, name: str, pattern: str) -> Column:
+    """A text without the elements of a pattern; it is matched only if the first letter of their end tag stands there, which bytes tell."""
+    ends = lambda t: F.contains(t, F.lit(f"</{name[0]}")) | F.contains(t, F.lit(f"</{name[0].upper()}"))
+    return T.named(text, lambda t: F.when(ends(t), F.regexp_replace(t, pattern, "\n")).otherwise(t))
 
 
 def is_callout(tag: Column, classes: Column, types: Column) -> Column:
@@ -168,10 +182,16 @@ def style_classes(html: Column) -> Column:
 
 def repeated_ids(html: Column) -> Column:
     """The identifiers that stand twice or more, in order."""
+    return repeated(found(html, IDS))
+
+
+def repeated(values: Column) -> Column:
+    """The values that stand twice or more, in order."""
+
     def of(ids: Column) -> Column:
         return F.array_distinct(F.array_compact(F.zip_with(ids, F.slice(ids, 2, F.greatest(F.size(ids), F.lit(1))), lambda a, b: F.when(a == b, a))))
 
-    return T.named(F.array_sort(found(html, IDS)), of)
+    return T.named(F.array_sort(values), of)
 
 
 def ill_formed(html: Column) -> Column:
@@ -184,6 +204,11 @@ def tag_count(html: Column, tag: str) -> Column:
     return F.regexp_count(visible(html), F.lit(rf"(?i)<{tag}[\s/>]"))
 
 
+def content_tags(html: Column) -> Column:
+    """The names of the start tags of CONTENT, in order; ``tag_count`` is how often one is among them."""
+    return F.transform(found(visible(html), rf"(?i)<({'|'.join(CONTENT)})[\s/>]"), F.lower)
+
+
 def heading_jumps(html: Column) -> Column:
     """How often a heading is more than one level below the one before it."""
     levels = F.transform(found(html, r"(?i)<h([1-6])(?:\s[^>]*)?>"), lambda x: x.cast("int"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -159,6 +160,43 @@ def with_tree(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.mapInArrow(run, schema)
 
 
+#: What the comparison of editions needs of a page's tree.
+OUTLINE_TYPE = "struct<wrappers: array<struct<tag: string, raw: string>>, levels: array<int>>"
+
+
+def outline_of(html: str | None) -> dict | None:
+    """The start tags of the elements that alone hold the whole body, outermost first, and the levels of headings outside callouts."""
+    if html is None:
+        return None
+    kinds, tags, raws, pres, _, depths, _, boxed, lasts, _ = events_of(html)
+    levels = [int(tag[1]) for tag, box in zip(tags, boxed, strict=True) if tag in _HEADS and not box]
+    wraps = []
+    if "body" in tags:
+        body = tags.index("body")
+        for i in range(body + 1, len(tags)):
+            if pres[i] is None:
+                continue
+            # Nodes that stand alone are the first ones in the body: what follows one that doesn't isn't alone either.
+            if kinds[i] == TEXT or depths[i] != depths[body] + len(wraps) + 1 or lasts[i] != lasts[body] or pres[i] > lasts[body]:
+                break
+            wraps.append({"tag": tags[i], "raw": raws[i]})
+    return {"wrappers": wraps, "levels": levels}
+
+
+_HEADS = tuple(f"h{k}" for k in range(1, 7))
+
+
+def outline(html: Column) -> Column:
+    """``outline_of`` a page: only the text goes to Python, and only what is needed of its tree comes back."""
+    kind = to_arrow_type(DataType.fromDDL(OUTLINE_TYPE))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array((outline_of(x.as_py()) for x in batch), kind)
+
+    return F.arrow_udf(run, OUTLINE_TYPE)(html)
+
+
 def nodes(events: Column) -> Column:
     return F.filter(events, lambda x: x["pre"].isNotNull())
 
@@ -201,10 +239,19 @@ def rows(pages: DataFrame) -> DataFrame:
 def heading_jumps(events: Column) -> Column:
     """How often a heading outside callouts is more than one level below the one before it."""
     heads = F.filter(events, lambda x: x["tag"].rlike("^h[1-6]$") & ~x["boxed"])
-    levels = F.transform(heads, lambda x: F.substring(x["tag"], 2, 1).cast("int"))
+    return jumps(F.transform(heads, lambda x: F.substring(x["tag"], 2, 1).cast("int")))
+
+
+def jumps(levels: Column) -> Column:
+    """How often a level is more than one below the one before it."""
     return T.named(levels, lambda v: F.size(F.filter(F.zip_with(v, F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), lambda a, b: b > a + 1), lambda x: x)))
 
 
+def named_wrappers(starts: Column) -> Column:
+    """tag.class of start tags."""
+    return F.transform(starts, lambda x: F.array_join(F.concat(F.array(x["tag"]), classes(x["raw"])), "."))
+
+
 def wrappers(events: Column) -> Column:
     """tag.class of each element that alone holds the whole body, outermost first.
 
@@ -215,7 +262,7 @@ def wrappers(events: Column) -> Column:
         inside = F.filter(b["nodes"], lambda x: (x["pre"] > b["body"]["pre"]) & (x["pre"] <= b["body"]["last"]))
         alone = lambda x, k: (x["kind"] != TEXT) & (x["depth"] == b["body"]["depth"] + k + 1) & (x["last"] == b["body"]["last"])
         kept = F.filter(F.transform(inside, lambda x, k: F.when(alone(x, k), x)), lambda x: x.isNotNull())
-        return F.transform(kept, lambda x: F.array_join(F.concat(F.array(x["tag"]), classes(x["raw"])), "."))
+        return named_wrappers(kept)
 
     both = F.struct(F.get(F.filter(events, lambda x: x["tag"] == "body"), F.lit(0)).alias("body"), nodes(events).alias("nodes"))
     return F.coalesce(T.named(both, of), F.array().cast("array<string>"))

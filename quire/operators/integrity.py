@@ -82,25 +82,27 @@ def features(pages: DataFrame) -> DataFrame:
     if "wrappers" in pages.columns:
         return pages
     html = F.col("html")
-    rest = [c for c in pages.columns if c not in ("page_id", "html", "book", "path", "prose", "tree")]
-    # The prose is worked out before the tree, so that what is read from it isn't one expression with it.
-    rows = N.with_tree(pages.select("page_id", *rest, L.book().alias("book"), L.normal(L.path()).alias("path"), "html", H.prose(html).alias("prose")))
+    rest = [c for c in pages.columns if c not in ("page_id", "html", "ids")]
+    # The prose is worked out before what is read from it, so that each isn't one expression with it.
+    named = (L.book().alias("book"), L.normal(L.path()).alias("path"), H.prose(html).alias("prose"), H.content_tags(html).alias("content"), L.given(pages, "ids", H.found(html, H.IDS)).alias("ids"))
+    rows = pages.select("page_id", *rest, "html", *named, N.outline(html).alias("outline"))
+    rows = rows.withColumn("marked", F.regexp_extract_all("prose", F.lit(f"(?md){T.RESIDUE}"), F.lit(0)))
     sheets = F.transform(H.stylesheets(html), lambda h: L.resolved(F.col("path"), h))
     return rows.select(
-        "page_id", *rest, "book", "path",
+        "page_id", *rest, "book", "path", "ids",
         F.array_sort(F.array_distinct(sheets)).alias("sheets"),
         H.body_attributes(html).alias("attributes"),
         F.sha2("prose", 256).alias("prose"),
         F.regexp_extract("prose", "⟦[^⟧\\n]{0,40}", 0).alias("token"),
-        T.residue(F.col("prose")).alias("marks"),
-        F.regexp_extract("prose", f"(?md){T.RESIDUE}", 0).alias("mark"),
+        F.array_size("marked").alias("marks"),
+        F.when(F.array_size("marked") == 0, "").otherwise(F.get("marked", F.lit(0))).alias("mark"),
         H.classes(html).alias("classes"),
-        N.wrappers(F.col("tree")).alias("wrappers"),
-        N.heading_jumps(F.col("tree")).alias("jumps"),
-        H.repeated_ids(html).alias("repeated"),
+        F.coalesce(N.named_wrappers(F.col("outline.wrappers")), F.array().cast("array<string>")).alias("wrappers"),
+        N.jumps(F.col("outline.levels")).alias("jumps"),
+        H.repeated(F.col("ids")).alias("repeated"),
         H.ill_formed(html).alias("broken"),
         H.is_contents(html).alias("is_nav"),
-        *(H.tag_count(html, t).alias(f"n_{t}") for t in H.CONTENT),
+        *(F.array_size(F.filter("content", lambda x: x == t)).alias(f"n_{t}") for t in H.CONTENT),
     )
 
 

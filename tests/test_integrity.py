@@ -215,3 +215,41 @@ def test_a_run_joins_texts_by_a_shuffle_and_counts_words_once(spark):
     assert "BroadcastHashJoin" not in query.executedPlan().toString()
     assert query.optimizedPlan().toString().count("translate(") == 3
     assert [tuple(r) for r in made.collect()] == [(1, "cached", 302, 252, "")]
+
+
+def test_an_outline_is_what_the_tree_tells_and_pages_stay_in_the_jvm(spark):
+    bodies = [
+        "<body><div class='a b'> <!-- x --><DIV id='i'><p>1</p><div>2</div></div></div></body></html>",
+        "<body class='z'><section><div class=\"k\">in</div></section></body><h2>after</h2><h4>more</h4>",
+        "<body><div><div>open<h1>a</h1><aside class='note'><h6>b</h6></aside><h3/>",
+        "<body/><div class='a'>x</div>", "<body>text<div class='a'>1</div></body>", "<h1>a</h1><H3>b</H3></div></body><body><div>",
+        "<body><div class='a'><body><div class='b'>x</div></body></div></body>", "<div><body><p class='q'></p></body></div>", "<body><br class='v'/></body>", "", None,
+    ]
+    pages = edition(spark, dict(enumerate(bodies)))
+    tree, outline = F.col("tree"), F.col("o")
+    want = {r.page_id: (r.w, r.j) for r in N.with_tree(pages).select("page_id", N.wrappers(tree).alias("w"), N.heading_jumps(tree).alias("j")).collect()}
+    rows = pages.withColumn("o", N.outline(F.col("html")))
+    made = rows.select("page_id", F.coalesce(N.named_wrappers(outline["wrappers"]), F.array().cast("array<string>")).alias("w"), N.jumps(outline["levels"]).alias("j"))
+    assert {r.page_id: (r.w, r.j) for r in made.collect()} == want
+    assert want[0][0] == ["div.a.b", "div"] and want[2][1] == 1
+    plan = I.features(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+
+
+def test_prose_and_counts_as_pass_by_pass(spark):
+    bodies = [
+        "<BODY\nclass='x'>a<Pre>b</PRE >c\n\n<b>d</b>\n<CODE>e <pre>f</code> g</pre> h</code> &amp;lt; <!-- <pre> -->i</pre>",
+        "<code>a<code>b</code>c</code><script>'</pre>'<pre></script>d<style>e</style\n>f", "<p>x<body>y<body >z", "no tags < here\n\n\n\n> or < there", "<bodyx>a</bodyx>", "x\U0001f600<body>y", "", None,
+        "<!-- <img> --><IMG/><img\n><svg><table><pre ><figures><script><math></script><math>",
+    ]
+    html = F.col("html")
+    whole = F.when(F.regexp_extract(html, H.BODY, 0) != "", F.regexp_extract(html, H.BODY, 0)).otherwise(html)
+    want = F.regexp_replace(whole, H.COMMENT, "")
+    for pattern in H.UNPROSE:
+        want = F.regexp_replace(want, pattern, "\n")
+    want = H.unescape(F.regexp_replace(F.regexp_replace(want, H.TAG, "\n"), r"\n+", "\n"))
+    counts = lambda t: F.array_size(F.filter(H.content_tags(html), lambda x: x == t))
+    rows = edition(spark, dict(enumerate(bodies))).select(
+        H.prose(html).eqNullSafe(want).alias("prose"), *(counts(t).eqNullSafe(H.tag_count(html, t)).alias(t) for t in H.CONTENT)
+    )
+    assert [set(r) for r in rows.collect()] == [{True}] * len(bodies)
