@@ -43,12 +43,33 @@ def scan(pages: DataFrame) -> DataFrame:
 
 
 def classified(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(page_id, url, html, title, words, is_contents, is_reference, is_matter, passthrough) and the columns to ``keep``; nothing is shuffled."""
+    """(page_id, url, html, title, words, opening, is_contents, is_reference, is_matter, passthrough) and the columns to ``keep``; nothing is shuffled.
+
+    ``opening`` is the first EXCERPT_WORDS words. All of it is made by a generator of one row: a filter by what is made stays above
+    that, while one pushed below a projection would work out each text again.
+    """
     html = F.col("html")
-    rows = pages.select("page_id", "url", "html", *keep, H.title(html).alias("title"), T.word_count(H.page_text(html)).alias("words"))
-    rows = rows.withColumn("is_contents", H.is_contents(html))
-    rows = rows.withColumn("is_reference", H.is_reference(html, F.col("title")))
-    rows = rows.withColumn("is_matter", H.is_matter(html, F.col("title"), F.col("words")))
+
+    def measured(words: Column) -> Column:
+        return F.struct(F.array_size(words).alias("words"), F.array_join(F.slice(words, 1, EXCERPT_WORDS), " ").alias("opening"))
+
+    def judged(m: Column) -> Column:
+        title, words = m["title"], m["measures"]["words"]
+        return F.struct(
+            title.alias("title"),
+            words.alias("words"),
+            m["measures"]["opening"].alias("opening"),
+            H.is_contents(html).alias("is_contents"),
+            H.is_reference(html, title, m["firsts"]).alias("is_reference"),
+            H.is_matter(m["body"], title, words, m["firsts"]).alias("is_matter"),
+        )
+
+    def made(body: Column) -> Column:
+        measures = T.named(T.words(H.page_text(html)), measured)
+        return T.named(F.struct(H.title(html).alias("title"), measures.alias("measures"), body.alias("body"), H.first_classes(body).alias("firsts")), judged)
+
+    rows = pages.select("page_id", "url", "html", *keep, F.explode(F.array(T.named(H.body(html), made))).alias("made"))
+    rows = rows.select("page_id", "url", "html", *keep, "made.*")
     return rows.withColumn("passthrough", F.col("is_contents") | F.col("is_reference") | F.col("is_matter"))
 
 
@@ -73,12 +94,12 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def excerpts(rows: DataFrame) -> DataFrame:
     """(page_id, excerpt): a heading and the first EXCERPT_WORDS words of each selected chapter."""
-    opening = F.array_join(F.slice(T.words(H.page_text(F.col("html"))), 1, EXCERPT_WORDS), " ")
     named = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("url"))
     head = F.concat(F.lit("## Chapter "), F.col("page_id"), F.lit(": "), named, F.lit("\n("), F.col("words"), F.lit(" words) "))
-    return rows.filter(selected()).select("page_id", F.concat(head, opening).alias("excerpt"))
+    return rows.filter(selected()).select("page_id", F.concat(head, F.col("opening")).alias("excerpt"))
 
 
 def missing_from_cache(rows: DataFrame, cache: DataFrame, source: str = "html") -> DataFrame:
-    """The chapters whose text has no row in ``cache(source_sha)``."""
-    return rows.withColumn("source_sha", F.sha2(source, 256)).join(cache.select("source_sha"), "source_sha", "left_anti")
+    """The chapters whose text has no row in ``cache(source_sha)``; of rows with a ``source_sha`` no text is needed."""
+    rows = rows if "source_sha" in rows.columns else rows.withColumn("source_sha", F.sha2(source, 256))
+    return rows.join(cache.select("source_sha"), "source_sha", "left_anti")

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import chapters as C
 from ..operators import guards as G
 from ..operators import links as L
+from ..sources.staged import staged
 from . import edition_queries, edition_sql, sql
 
 
@@ -42,8 +43,9 @@ def _pairs(roles: tuple[str, str] = ("assistant", "user"), **columns: Callable[[
 
 def _cache_misses(pages: DataFrame) -> DataFrame:
     """Selected chapters that a cache of the shorter ones lacks."""
-    wanted = C.classified(pages).filter(C.selected())
-    cache = wanted.filter(F.col("words") < 2 * C.MIN_WORDS).select(F.sha2("html", 256).alias("source_sha"))
+    wanted = C.classified(pages).filter(C.selected()).select("page_id", "title", "words", F.sha2("html", 256).alias("source_sha"))
+    wanted = staged(wanted, "wanted")
+    cache = wanted.filter(F.col("words") < 2 * C.MIN_WORDS).select("source_sha")
     return C.missing_from_cache(wanted, cache).select("page_id", "title")
 
 

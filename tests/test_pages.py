@@ -123,3 +123,20 @@ def test_queries_agree_with_sql(spark, name):
 
 def test_entry(spark):
     assert {r.status for r in __spark_entry__.entry(spark).collect()} <= {"eligible", "skipped"}
+
+
+def test_a_filter_does_not_work_out_a_text_again(spark):
+    frame = pages(spark, [s[0] for s in SHAPES])
+    plan = C.classified(frame).filter(C.selected()).select("page_id", "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2  # the title's words and the text's
+
+
+def test_a_cache_is_read_from_the_chapters_that_were_classified(spark, tmp_path):
+    html = "<h1>T</h1><p>" + "w " * 250 + "</p>"
+    rows = [(1, "u", html), (2, "u", html.replace("w", "w w")), (3, "u", "<p>short</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = queries.queries()["cache_misses"](spark, str(tmp_path))
+    assert [tuple(r) for r in made.collect()] == [(2, "T")]
+    assert "pages.parquet" not in str(made.inputFiles())
+    excerpt = queries.queries()["primer_excerpts"](spark, str(tmp_path)).orderBy("page_id").first().excerpt
+    assert excerpt == "## Chapter 1: T\n(250 words) Tw" + " w" * 119
