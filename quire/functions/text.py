@@ -59,6 +59,19 @@ def flat(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
+def holds(text: Column, quote: Column) -> Column:
+    """Whether a text holds a quote, whatever white space stands between words.
+
+    A text with the quote's words and single spaces holds it as it stands, one that lacks a word doesn't: only what is left is made flat.
+    """
+
+    def of(q: Column) -> Column:
+        each = F.forall(q, lambda w: F.contains(text, w))
+        return named(F.array_join(q, " "), lambda said: F.contains(text, said) | each & F.contains(flat(text), said))
+
+    return named(words(quote), of)
+
+
 def lines(text: Column) -> Column:
     return F.split(text, LINE_END, -1)
 

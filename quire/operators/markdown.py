@@ -31,7 +31,7 @@ def numbered(lines: Column) -> Column:
 
 def fences(lines: Column) -> Column:
     """The first and last lines of fenced blocks. A fence closes at a run of its sign that is as long or longer, or never."""
-    marks = F.filter(numbered(lines), lambda m: m["line"].rlike(FENCE))
+    marks = F.filter(numbered(lines), lambda m: (F.contains(m["line"], F.lit("```")) | F.contains(m["line"], F.lit("~~~"))) & m["line"].rlike(FENCE))
     none = F.array().cast("array<struct<first:int,last:int>>")
 
     def step(acc: Column, m: Column) -> Column:
@@ -62,51 +62,58 @@ def heading_lines(text: Column) -> Column:
         lambda lines: T.named(
             fences(lines),
             lambda spans: F.transform(
-                F.filter(numbered(lines), lambda x: x["line"].rlike(HEADING) & _outside(spans, x["pos"])),
+                F.filter(numbered(lines), lambda x: x["line"].startswith("#") & x["line"].rlike(HEADING) & _outside(spans, x["pos"])),
                 lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.length(F.regexp_extract(x["line"], "^#+", 0)).alias("level")),
             ),
         ),
     )
 
 
-def headings(text: Column) -> Column:
-    """(pos, prefix, text) of section headings: the title's line and empty ones are left out; prefix is what stands before the text, anchors too."""
+def headings(text: Column, found: Column | None = None) -> Column:
+    """(pos, prefix, text) of section headings: the title's line and empty ones are left out; prefix is what stands before the text, anchors too.
+
+    ``found`` are the text's ``heading_lines``, where they are known; so below.
+    """
 
     def parted(x: Column) -> Column:
         prefix = F.regexp_extract(x["line"], rf"^#{{1,6}}[{T.BLANK}](?:⟦ANCHOR:[^⟧]*⟧[{T.BLANK}]*)*+", 0)
         return F.struct(x["pos"].alias("pos"), prefix.alias("prefix"), T.strip(F.substring(x["line"], F.length(prefix) + 1, F.length(x["line"]))).alias("text"))
 
     def of(opening: Column) -> Column:
-        named = F.filter(heading_lines(text), lambda x: T.without_anchors(x["line"]) != opening)
+        named = F.filter(heading_lines(text) if found is None else found, lambda x: T.without_anchors(x["line"]) != opening)
         return F.filter(F.transform(named, parted), lambda x: x["text"] != "")
 
     return T.named(T.opening_line(text), of)
 
 
-def opening_length(text: Column) -> Column:
+def opening_length(text: Column, lines: Column | None = None, found: Column | None = None) -> Column:
     """Lines of the opening and the first TOP_SECTIONS sections at the shallowest level; null where that is the whole text."""
+    lines = split_lines(text) if lines is None else lines
 
     def title_at(opening: Column) -> Column:
-        here = F.filter(numbered(split_lines(text)), lambda x: (T.strip(x["line"]) != "") & (T.without_anchors(x["line"]) == opening))
+        # What is left of a line without its anchors is a part of it, which is looked for before any pattern.
+        here = F.filter(numbered(lines), lambda x: F.contains(x["line"], opening) & (T.strip(x["line"]) != "") & (T.without_anchors(x["line"]) == opening))
         return F.coalesce(F.when(T.is_title(opening), F.get(here, F.lit(0))["pos"]), F.lit(-1))
 
-    def cut(found: Column) -> Column:
-        least = F.array_min(F.transform(found, lambda x: x["level"]))
-        return T.named(least, lambda level: F.get(F.filter(found, lambda x: x["level"] == level), F.lit(TOP_SECTIONS))["pos"])
+    def cut(heads: Column) -> Column:
+        least = F.array_min(F.transform(heads, lambda x: x["level"]))
+        return T.named(least, lambda level: F.get(F.filter(heads, lambda x: x["level"] == level), F.lit(TOP_SECTIONS))["pos"])
 
     at = T.named(T.opening_line(text), title_at)
-    return T.named(T.named(at, lambda title: F.filter(heading_lines(text), lambda x: x["pos"] != title)), cut)
+    return T.named(T.named(at, lambda title: F.filter(heading_lines(text) if found is None else found, lambda x: x["pos"] != title)), cut)
 
 
-def split_top(text: Column) -> Column:
+def split_top(text: Column, found: Column | None = None) -> Column:
     """(top, rest): the opening and first sections, and the rest, which may be empty."""
-    lines = split_lines(text)
 
-    def parts(n: Column) -> Column:
-        top, rest = F.array_join(F.slice(lines, 1, n), "\n"), F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")
-        return F.struct(F.when(n.isNull(), text).otherwise(top).alias("top"), F.when(n.isNull(), "").otherwise(rest).alias("rest"))
+    def of(lines: Column) -> Column:
+        def parts(n: Column) -> Column:
+            top, rest = F.array_join(F.slice(lines, 1, n), "\n"), F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")
+            return F.struct(F.when(n.isNull(), text).otherwise(top).alias("top"), F.when(n.isNull(), "").otherwise(rest).alias("rest"))
 
-    return T.named(opening_length(text), parts)
+        return T.named(opening_length(text, lines, found), parts)
+
+    return T.named(split_lines(text), of)
 
 
 def joined(top: Column, rest: Column) -> Column:
@@ -134,7 +141,7 @@ def rejection(top: Column, source: Column, old: Column, new: Column, quote: Colu
         F.when(occurrences(top, old) != 1, "sentence not found once in the opening")
         .when(structure, "sentence is structure, not prose")
         .when(F.contains(new, F.lit("\n")) | F.contains(new, F.lit("|")) & ~F.contains(old, F.lit("|")), "replacement changes structure")
-        .when((T.strip(quote) != "") & ~F.contains(T.flat(source), T.flat(quote)), "quoted evidence is not in the original")
+        .when((T.strip(quote) != "") & ~T.holds(source, quote), "quoted evidence is not in the original")
         .when(_lost_token(old, new), "replacement drops a ⟦token⟧")
         .when(F.size(T.banned(source, new)) > 0, "replacement uses a banned word")
         .otherwise("")
@@ -155,9 +162,9 @@ def fixed(top: Column, rest: Column, source: Column, fix: Column) -> Column:
     return T.named(reason, judged)
 
 
-def heading_rejection(body: Column, source: Column, old: Column, new: Column, quote: Column) -> Column:
-    """Why a heading's fix must not be applied; empty when it can be. Evidence must be given."""
-    return T.named(headings(body), lambda found: _heading_reason(found, source, old, new, quote))
+def heading_rejection(body: Column, source: Column, old: Column, new: Column, quote: Column, lines: Column | None = None) -> Column:
+    """Why a heading's fix must not be applied; empty when it can be. Evidence must be given. ``lines`` are the body's ``heading_lines``, where they are known."""
+    return T.named(headings(body, lines), lambda found: _heading_reason(found, source, old, new, quote))
 
 
 def _heading_reason(found: Column, source: Column, old: Column, new: Column, quote: Column) -> Column:
@@ -166,7 +173,7 @@ def _heading_reason(found: Column, source: Column, old: Column, new: Column, quo
     return (
         F.when(same != 1, "heading not found once")
         .when((new == "") | F.contains(new, F.lit("\n")) | new.startswith("#"), "replacement is not a heading")
-        .when((T.strip(quote) == "") | ~F.contains(T.flat(source), T.flat(quote)), "quoted evidence is not in the original")
+        .when((T.strip(quote) == "") | ~T.holds(source, quote), "quoted evidence is not in the original")
         .when(_lost_token(old, new), "replacement drops a ⟦token⟧")
         .when(F.size(T.banned(source, new)) > 0, "replacement uses a banned word")
         .otherwise("")

@@ -70,13 +70,13 @@ def _split(rows: DataFrame) -> DataFrame:
 
 def _rejections(rows: DataFrame) -> DataFrame:
     source, body = F.col("source"), F.col("body")
-    top = M.split_top(body)["top"]
     sentence, heading = _fix("sentence"), _fix("heading")
-    return rows.select(
-        "doc_id",
-        T.named(top, lambda t: M.rejection(t, source, sentence["old"], sentence["new"], sentence["quote"])).alias("sentence"),
-        M.heading_rejection(body, source, heading["old"], heading["new"], heading["quote"]).alias("heading"),
-    )
+
+    def both(lines: Column) -> Column:
+        why = T.named(M.split_top(body, lines)["top"], lambda t: M.rejection(t, source, sentence["old"], sentence["new"], sentence["quote"]))
+        return F.struct(why.alias("sentence"), M.heading_rejection(body, source, heading["old"], heading["new"], heading["quote"], lines).alias("heading"))
+
+    return rows.select("doc_id", T.named(M.heading_lines(body), both).alias("x")).select("doc_id", "x.*")
 
 
 def _patched(rows: DataFrame) -> DataFrame:

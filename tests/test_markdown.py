@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import markdown as M
+from quire.plans.edition_queries import _rejections
 
 
 def one(spark, make, *values):
@@ -119,3 +120,21 @@ def test_section_numbers(spark):
 )
 def test_text_functions(spark, make, values, want):
     assert one(spark, make, *values) == want
+
+
+def test_a_quote_is_held_as_in_flat_texts(spark):
+    rows = [
+        ("the gate  holds\n\tall", "gate holds all"), ("the gate holds", " the gate "), ("the gate holds", "e gate h"), ("a b", "b a"), ("ab", "a b"), ("a  b", "a b"),
+        ("some gate", "gate holds"), ("gate", "the gate"), ("", "x"), ("x", ""), (None, "x"), ("x", None),
+    ]
+    text, quote = F.col("text"), F.col("quote")
+    frame = spark.createDataFrame(rows, "text string, quote string")
+    made = frame.select(T.holds(text, quote).alias("held"), F.contains(T.flat(text), T.flat(quote)).alias("want")).collect()
+    assert [r.held for r in made] == [r.want for r in made] and [r.held for r in made[:6]] == [True, True, True, False, False, True]
+
+
+def test_a_chapter_is_searched_for_headings_once(spark):
+    rows = spark.createDataFrame([(1, SOURCE, BODY, "not there", "y", "", "One", "Two", "z")], "doc_id long, source string, body string, sentence_old string, sentence_new string, sentence_quote string, heading_old string, heading_new string, heading_quote string")
+    plan = _rejections(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^#+") == 1
+    assert _rejections(rows).first().sentence == "sentence not found once in the opening"
