@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -186,15 +186,76 @@ def outline_of(html: str | None) -> dict | None:
 _HEADS = tuple(f"h{k}" for k in range(1, 7))
 
 
-def outline(html: Column) -> Column:
-    """``outline_of`` a page: only the text goes to Python, and only what is needed of its tree comes back."""
-    kind = to_arrow_type(DataType.fromDDL(OUTLINE_TYPE))
+def _each(html: Column, of: Callable[[str | None], dict | None], made: str) -> Column:
+    """``of`` each page: only the text goes to Python, and only what is needed of its tree comes back."""
+    kind = to_arrow_type(DataType.fromDDL(made))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array((outline_of(x.as_py()) for x in batch), kind)
+            yield pa.array((of(x.as_py()) for x in batch), kind)
+
+    # A filter by what is made would else be pushed below it, and every page be read twice.
+    return F.arrow_udf(run, made).asNondeterministic()(html)
+
+
+def outline(html: Column) -> Column:
+    return _each(html, outline_of, OUTLINE_TYPE)
+
+
+#: The number of headings of sections, and what ``firsts`` and ``cut_at_firsts`` tell of the paragraphs that are first after them.
+FIRSTS_TYPE = "struct<sections: int, starts: array<string>>"
+CUT_TYPE = "struct<pieces: array<string>, said: array<boolean>>"
+#: A sign that is neither blank nor part of a character reference.
+_SAID = re.compile(f"[^{T.BLANKS}{''.join(sorted({c for name, _ in H.ENTITIES for c in name}))}]")
+
 
-    return F.arrow_udf(run, OUTLINE_TYPE)(html)
+def _firsts(tags: list, pres: list, afters: list) -> tuple[int, list[int]]:
+    """How many headings of sections there are, and the events that are a paragraph whose element before it in the same parent is one."""
+    heads = {pre for tag, pre in zip(tags, pres, strict=True) if tag in ("h2", "h3", "h4")}
+    return len(heads), [i for i, tag in enumerate(tags) if tag == "p" and afters[i] in heads]
+
+
+def firsts_of(html: str | None) -> dict | None:
+    if html is None:
+        return None
+    _, tags, raws, pres, _, _, afters, *_ = events_of(html)
+    sections, at = _firsts(tags, pres, afters)
+    return {"sections": sections, "starts": [raws[i] for i in at]}
+
+
+def cut_at_firsts_of(html: str | None) -> dict | None:
+    if html is None:
+        return None
+    kinds, tags, raws, pres, _, _, afters, _, lasts, untils = events_of(html)
+
+    def says(i: int) -> bool:
+        parts = []
+        for j in range(i + 1, untils[i] + 1):
+            if kinds[j] == TEXT:
+                if _SAID.search(raws[j]):
+                    return True
+                parts.append(raws[j])
+        text = "".join(parts)
+        for name, sign in H.ENTITIES:
+            text = text.replace(name, sign)
+        return text.strip(T.BLANKS) != ""
+
+    pieces, said, start = [], [], 0
+    for i in _firsts(tags, pres, afters)[1]:
+        pieces += ["".join(raws[start:i]), raws[i]]
+        said.append(lasts[i] > pres[i] and says(i))
+        start = i + 1
+    return {"pieces": [*pieces, "".join(raws[start:])], "said": said}
+
+
+def firsts(html: Column) -> Column:
+    """(sections, starts) of a page: the number of its h2 to h4, and the start tags of the paragraphs that are the first element after one in the same parent."""
+    return _each(html, firsts_of, FIRSTS_TYPE)
+
+
+def cut_at_firsts(html: Column) -> Column:
+    """(pieces, said) of a page: its text cut before and after each start tag of ``firsts``, which are every second piece, and whether that paragraph holds text."""
+    return _each(html, cut_at_firsts_of, CUT_TYPE)
 
 
 def nodes(events: Column) -> Column:

@@ -78,22 +78,13 @@ def link_classes(source: DataFrame, output: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", chosen.alias("class")).filter("class is not null")
 
 
-def _headed(tree: Column) -> Column:
-    """The paragraphs that are the first element after a heading in the same parent, and the number of such headings."""
-    heads = F.transform(F.filter(tree, lambda x: x["tag"].rlike("^h[2-4]$")), lambda x: x["pre"])
-    return T.named(
-        heads,
-        lambda h: F.struct(F.size(h).alias("sections"), F.filter(tree, lambda x: (x["tag"] == "p") & F.coalesce(F.array_contains(h, x["after"]), F.lit(False))).alias("first")),
-    )
-
-
 def section_leads(source: DataFrame) -> DataFrame:
     """(page_id, lead, n, sections): the class that most first paragraphs after headings have, if half of the headings' do.
 
     Of classes as frequent the one seen first counts; paragraphs without a class count as the class without a name, which is no lead.
     """
-    rows = N.with_tree(source.select("page_id", "html")).select("page_id", _headed(F.col("tree")).alias("h"))
-    rows = rows.select("page_id", "h.sections", F.posexplode(F.transform("h.first", lambda x: F.array_join(N.classes(x["raw"]), " "))).alias("pos", "lead"))
+    rows = source.select("page_id", N.firsts(F.col("html")).alias("h"))
+    rows = rows.select("page_id", "h.sections", F.posexplode(F.transform("h.starts", lambda x: F.array_join(N.classes(x), " "))).alias("pos", "lead"))
     counts = rows.groupBy("page_id", "sections", "lead").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     best = counts.groupBy("page_id", "sections").agg(F.max_by(F.struct("lead", "n"), F.struct("n", -F.col("first"))).alias("b"))
     best = best.select("page_id", F.col("b.lead").alias("lead"), F.col("b.n").alias("n"), "sections")
@@ -101,14 +92,16 @@ def section_leads(source: DataFrame) -> DataFrame:
 
 
 def leads_restored(source: DataFrame, output: DataFrame) -> DataFrame:
-    """(page_id, html, restored): output pages with their source's lead as the class of first paragraphs that have none but have text."""
-    rows = N.with_tree(output.select("page_id", "html")).join(section_leads(source).select("page_id", "lead"), "page_id")
-    bare = lambda x: (F.size(N.classes(x["raw"])) == 0) & (x["last"] > x["pre"]) & (T.strip(N.text(F.col("tree"), x)) != "")
-    chosen = F.transform(F.filter(_headed(F.col("tree"))["first"], bare), lambda x: x["i"])
-    rows = rows.withColumn("chosen", chosen)
-    start = lambda x: F.concat(F.substring(x["raw"], 1, 2), F.lit(' class="'), F.col("lead"), F.lit('"'), F.regexp_replace(F.substring(x["raw"], 3, F.length(x["raw"])), r"(?is)\sclass\s*=\s*(?:\"\"|'')", ""))
-    made = F.array_join(F.transform("tree", lambda x: F.when(F.array_contains("chosen", x["i"]), start(x)).otherwise(x["raw"])), "")
-    return rows.select("page_id", made.alias("html"), F.size("chosen").alias("restored")).filter("restored > 0")
+    """(page_id, html, restored): output pages with their source's lead as the class of first paragraphs that have none but have text.
+
+    Which these are is known before the lead is, so only pages with some meet it, as a few pieces of text.
+    """
+    rows = output.select("page_id", N.cut_at_firsts(F.col("html")).alias("cut")).select("page_id", "cut.pieces", "cut.said")
+    rows = rows.withColumn("chosen", F.transform("said", lambda x, k: x & (F.size(N.classes(F.col("pieces")[2 * k + 1])) == 0)))
+    rows = rows.filter(F.array_contains("chosen", True)).join(section_leads(source).select("page_id", "lead"), "page_id")
+    start = lambda x: F.concat(F.substring(x, 1, 2), F.lit(' class="'), F.col("lead"), F.lit('"'), F.regexp_replace(F.substring(x, 3, F.length(x)), r"(?is)\sclass\s*=\s*(?:\"\"|'')", ""))
+    put = F.transform("pieces", lambda x, j: F.when((j % 2 == 1) & F.get("chosen", F.floor(j / 2).cast("int")), start(x)).otherwise(x))
+    return rows.select("page_id", F.array_join(put, "").alias("html"), F.size(F.filter("chosen", lambda x: x)).alias("restored"))
 
 
 def captions(pages: DataFrame) -> DataFrame:

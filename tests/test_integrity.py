@@ -253,3 +253,30 @@ def test_prose_and_counts_as_pass_by_pass(spark):
         H.prose(html).eqNullSafe(want).alias("prose"), *(counts(t).eqNullSafe(H.tag_count(html, t)).alias(t) for t in H.CONTENT)
     )
     assert [set(r) for r in rows.collect()] == [{True}] * len(bodies)
+
+
+def test_leads_come_back_as_by_the_tree(spark):
+    bodies = [
+        "<h2>a</h2><p>1</p><h3>b</h3><p class=''>&nbsp; <b>&am</b>p;</p><h4>c</h4><P  id='x'>&nb<i>sp;</i></P><h2>d</h2><p class='own'>x</p>",
+        "<div><h2>a</h2><!-- c --><p><h3>b</h3><p>open<h4>c</h4><p>end", "<h2>a</h2><p/><h3>b</h3>text<p>1</p>", "<h2>a</h2><p>\U0001f600</p>é<h3>b</h3><p> <br/></p>",
+        "<h5>a</h5><p>1</p>", "<h2>a</h2><p class=\"\">q<p>r</p></p>", "<p>&</p>", "", None,
+    ]
+    output = edition(spark, dict(enumerate(bodies)))
+    source = edition(spark, dict.fromkeys(range(len(bodies)), "<h2>a</h2><p class='l m'>1</p>"))
+    want = {}
+    for r in N.with_tree(output).select("page_id", "tree").collect():
+        heads = [x.pre for x in r.tree or [] if x.tag in ("h2", "h3", "h4")]
+        chosen = set()
+        for x in r.tree or []:
+            said = "".join(y.raw for y in r.tree[x.i + 1 : (x.until or 0) + 1] if y.kind == N.TEXT)
+            for name, sign in H.ENTITIES:
+                said = said.replace(name, sign)
+            if x.tag == "p" and x.after in heads and "own" not in x.raw and x.last > x.pre and said.strip():
+                chosen.add(x.i)
+        if chosen:
+            start = lambda raw: raw[:2] + ' class="l m"' + raw[2:].replace(" class=''", "").replace(' class=""', "")
+            want[r.page_id] = ("".join(start(x.raw) if x.i in chosen else x.raw for x in r.tree), len(chosen))
+    made = B.leads_restored(source, output)
+    assert {r.page_id: (r.html, r.restored) for r in made.collect()} == want and len(want) == 5
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "MapInArrow" not in plan
