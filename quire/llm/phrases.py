@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import gathered, small_batches, stage
 
 #: Bytes of text whose equal occurrences are put together before the shuffle, and occurrences whose prefixes are extended together.
-ROUND_BYTES, GROW_ROWS = 8 << 20, 200_000
+ROUND_BYTES, GROW_ROWS = 4 << 20, 200_000
+#: Occurrences of a round that one batch takes to the shuffle, and those of the bucket in which they end.
+DEALT_ROWS = 50_000
 #: A word or pair with more than one of so many occurrences is crowded; there are fewer than 2 * SHARE such.
 SHARE = 1024
 #: Where a text is cut; the piece mark can't be a word.
@@ -21,36 +23,32 @@ CUTS, MARK = "[.,;:!?\n-\r]+", "."
 
 
 def _codes(rows: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """(words, code of each occurrence, its piece, languages, its language's code): of all words in order."""
+    """(words, code of each occurrence, whether the next one is in its piece, languages, its language's code): of all words in order."""
     marked = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(rows["text"].combine_chunks(), "")), CUTS, f" {MARK} ")
     split = pc.ascii_split_whitespace(marked)
+    del marked
     sizes = pc.list_value_length(split).to_numpy()
     coded = split.flatten().dictionary_encode()
-    del split, marked
+    del split
     langs = rows["lang"].combine_chunks().dictionary_encode()
-    codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    of = np.repeat(np.arange(len(sizes)), sizes)
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     mark = codes == words.index(MARK).as_py()
-    keep = ~mark & (codes != words.index("").as_py())  # a text that begins or ends with white space has empty words there
-    piece = of + np.cumsum(mark)  # changes at each mark and at each text
-    return words, codes[keep], piece[keep], langs.dictionary, langs.indices.to_numpy()[of[keep]]
-
-
-def _pairs(codes: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """Whether the next word belongs to the same piece."""
-    return np.append(piece[1:] == piece[:-1], False) if len(piece) else np.empty(0, bool)
+    keep = np.flatnonzero(~mark & (codes != words.index("").as_py()))  # a text that begins or ends with white space has empty words there
+    piece = (of + np.cumsum(mark, dtype=np.int32))[keep]  # changes at each mark and at each text
+    goes_on = np.append(piece[1:] == piece[:-1], False) if len(piece) else np.empty(0, bool)
+    return words, codes[keep], goes_on, langs.dictionary, langs.indices.to_numpy()[of[keep]].astype(np.int64)
 
 
 def word_counts(batches):
     """(lang, words, n, crowded): how often each word occurs in a round, and the pairs that one in SHARE of its words begins."""
     for rows in gathered(batches, "text", ROUND_BYTES):
-        words, codes, piece, langs, lang = _codes(rows)
+        words, codes, goes_on, langs, lang = _codes(rows)
         size = len(words)
-        found = np.bincount(lang * size + codes, minlength=0)
-        at = np.flatnonzero(found)
-        yield _counted(langs.take(pa.array(at // max(1, size))), words.take(pa.array(at % max(1, size))), found[at], False)
+        at, n = np.unique(lang * size + codes, return_counts=True)
+        yield _counted(langs.take(pa.array(at // max(1, size))), words.take(pa.array(at % max(1, size))), n, False)
         heavy = np.bincount(codes, minlength=size) * SHARE >= len(codes)
-        some = np.flatnonzero(_pairs(codes, piece) & heavy[codes] & heavy[np.append(codes[1:], 0)])
+        some = np.flatnonzero(goes_on & heavy[codes] & heavy[np.append(codes[1:], 0)])
         keys, n = np.unique((lang[some] * size + codes[some]) * size + codes[some + 1], return_counts=True)
         keys, n = keys[n * SHARE >= len(codes)], n[n * SHARE >= len(codes)]
         if len(keys):
@@ -66,74 +64,82 @@ def _mixed(value: np.ndarray, more: np.ndarray) -> np.ndarray:
     return (value ^ more) * np.uint64(0x9E3779B97F4A7C15) + (value >> np.uint64(29))
 
 
-def _packed(**columns) -> bytes:
-    batch = pa.RecordBatch.from_pydict(columns)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
 def projected(batches, most: int, buckets: int, crowded: set[tuple[str, str]]):
-    """(bucket, lang, rows): each occurrence of two words with the words after them in their piece, ``most`` in all.
+    """(bucket, lang, open, words, n): each occurrence of two words with the words after them in their piece, ``most`` in all.
 
-    Equal ones of a round are one, with their number; ``rows`` are an Arrow stream of words, n and open. Those of a pair
-    go to one bucket, by their hashes. ``open`` marks a crowded pair, whose occurrences go to buckets by all their words.
+    Equal ones of a round are one, with their number. A row holds those of a bucket: a line of ``words`` and 32 bits of
+    ``n`` for each. Those of a pair go to one bucket, by their hashes. ``open`` marks crowded pairs, whose occurrences
+    go to buckets by all their words.
     """
     for rows in gathered(batches, "text", ROUND_BYTES):
-        words, codes, piece, langs, lang = _codes(rows)
-        size = len(words) + 1
-        goes_on = _pairs(codes, piece)
-        at = np.flatnonzero(goes_on)
-        key, room = lang[at] * size + codes[at], (1 << 62) // size
-        inside, runs = np.ones(len(at), bool), []
-        for depth in range(1, most):
-            if len(key) and key.max() >= room:
-                runs.append((depth, *np.unique(key, return_inverse=True)))
-                key = runs[-1][2].astype(np.int64)
-            if depth > 1:
-                inside &= np.append(goes_on, np.zeros(most, bool))[at + depth - 1]
-            key = key * size + np.where(inside, np.append(codes, np.zeros(most, np.int64))[at + depth], size - 1)
-        del lang, codes, piece, at, inside
-        keys, n = np.unique(key, return_counts=True)
-        columns = []
-        for depth in range(most - 1, -1, -1):
-            columns.insert(0, keys % size)
-            keys = keys // size
-            if runs and runs[-1][0] == depth:
-                keys = runs.pop()[1][keys]
-        names = words.to_pylist()
-        is_open = np.zeros(len(n), bool)
-        kinds = {x: k for k, x in enumerate(langs.to_pylist())}
-        of = {w: k for k, w in enumerate(names)} if crowded else {}
-        for x, pair in crowded:
-            first, second = (of.get(w, -1) for w in pair.split(" "))
-            is_open |= (keys == kinds.get(x, -1)) & (columns[0] == first) & (columns[1] == second)
-        hashed = np.array([zlib.crc32(w.encode()) for w in [*names, ""]], np.uint64)
-        mixed = _mixed(_mixed(np.array([zlib.crc32(x.encode()) for x in kinds] or [0], np.uint64)[keys], hashed[columns[0]]), hashed[columns[1]])
-        for column in columns[2:]:
-            mixed = np.where(is_open, _mixed(mixed, hashed[column]), mixed)
-        bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(keys * buckets + bucket, kind="stable")
-        keys, bucket, n, is_open = keys[order], bucket[order], n[order].astype(np.int32), is_open[order]
-        texts = [words.take(pa.array(c[order], mask=c[order] == size - 1)) for c in columns]
-        phrase = pc.binary_join_element_wise(*texts, " ", null_handling="skip").cast(pa.string())
-        edges = np.flatnonzero(np.diff(keys * buckets + bucket)) + 1 if len(n) else np.empty(0, int)
-        starts = [0, *edges.tolist()] if len(n) else []
-        made = [_packed(words=phrase[a:b], n=pa.array(n[a:b]), open=pa.array(is_open[a:b])) for a, b in zip(starts, [*edges.tolist(), len(n)], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), langs.take(pa.array(keys[starts])).cast(pa.string()), pa.array(made, pa.binary())], ["bucket", "lang", "rows"])
-
-
-def extended(rows: pa.Table, least: int, most: int):
+        yield from _dealt(*_codes(rows), most, buckets, crowded)
+
+
+def _dealt(words: pa.Array, codes: np.ndarray, goes_on: np.ndarray, langs: pa.Array, lang: np.ndarray, most: int, buckets: int, crowded: set[tuple[str, str]]):
+    size = len(words) + 1
+    at = np.flatnonzero(goes_on)
+    if not len(at):
+        return
+    key, room = lang[at] * size + codes[at], (1 << 62) // size
+    inside, runs = np.ones(len(at), bool), []
+    for depth in range(1, most):
+        if len(key) and key.max() >= room:
+            runs.append((depth, *np.unique(key, return_inverse=True)))
+            key = runs[-1][2].astype(np.int64)
+        if depth > 1:
+            inside &= np.append(goes_on, np.zeros(most, bool))[at + depth - 1]
+        key *= size
+        key += np.where(inside, np.append(codes, np.zeros(most, codes.dtype))[at + depth], size - 1)
+    del lang, codes, goes_on, at, inside
+    keys, n = np.unique(key, return_counts=True)
+    del key
+    columns = []
+    for depth in range(most - 1, -1, -1):
+        columns.insert(0, (keys % size).astype(np.int32))
+        keys //= size
+        if runs and runs[-1][0] == depth:
+            keys = runs.pop()[1][keys]
+    names = words.to_pylist()
+    is_open = np.zeros(len(n), bool)
+    kinds = {x: k for k, x in enumerate(langs.to_pylist())}
+    of = {w: k for k, w in enumerate(names)} if crowded else {}
+    for x, pair in crowded:
+        first, second = (of.get(w, -1) for w in pair.split(" "))
+        is_open |= (keys == kinds.get(x, -1)) & (columns[0] == first) & (columns[1] == second)
+    hashed = np.array([zlib.crc32(w.encode()) for w in [*names, ""]], np.uint64)
+    del names, of
+    mixed = _mixed(_mixed(np.array([zlib.crc32(x.encode()) for x in kinds] or [0], np.uint64)[keys], hashed[columns[0]]), hashed[columns[1]])
+    for column in columns[2:]:
+        mixed[is_open] = _mixed(mixed[is_open], hashed[column[is_open]])
+    place = (keys * buckets + ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)) * 2 + is_open
+    del keys, mixed, is_open
+    order = np.argsort(place, kind="stable")
+    place, n = place[order], n[order].astype(np.int32)
+    columns = [c[order] for c in columns]
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    place, ends = place[starts], np.append(starts[1:], len(n))
+    del order
+    # Parts of the round one after the other, so that neither side holds all its texts at once.
+    some = np.unique(np.searchsorted(ends, np.arange(0, len(n), DEALT_ROWS), side="right"))
+    for a, b in zip(some, [*some[1:], len(ends)], strict=True):
+        a_row, b_row = starts[a], ends[b - 1]
+        texts = [words.take(pa.array(c[a_row:b_row], mask=c[a_row:b_row] == size - 1)) for c in columns]
+        phrase = pc.binary_join_element_wise(*texts, " ", null_handling="skip")
+        offsets = np.append(starts[a:b], b_row).astype(np.int32) - np.int32(a_row)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), phrase), "\n").cast(pa.binary())
+        numbers = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets * np.int32(4)), pa.py_buffer(n[a_row:b_row].copy())])
+        where = place[a:b] // 2
+        yield pa.RecordBatch.from_arrays([pa.array(where % buckets), langs.take(pa.array(where // buckets)).cast(pa.string()), pa.array(place[a:b] % 2 == 1), lines, numbers], ["bucket", "lang", "open", "words", "n"])
+
+
+def extended(lines: pa.Array, n: np.ndarray, least: int, most: int):
     """(words, n) of the prefixes of a bucket, from pairs on, one more word at a time.
 
     A prefix of ``least`` occurrences is extended by each word that follows it, and so on to the right; others end here.
-    Open ones are extended whatever their number, as they are in other buckets, too: such counts are parts of a sum.
     """
-    phrases = rows["words"].combine_chunks().dictionary_encode()
+    phrases = lines.dictionary_encode()
     inverse, size = phrases.indices.to_numpy(), len(phrases.dictionary)
-    n = np.bincount(inverse, rows["n"].to_numpy(), size).astype(np.int64)
-    opened = np.bincount(inverse, rows["open"].to_numpy(), size) > 0
+    n = np.bincount(inverse, n, size).astype(np.int64)
     split = pc.split_pattern(phrases.dictionary, " ")
     sizes, words = pc.list_value_length(split).to_numpy(), split.flatten().dictionary_encode()
     codes, starts = words.indices.to_numpy().astype(np.int64), np.cumsum(sizes) - sizes
@@ -142,31 +148,35 @@ def extended(rows: pa.Table, least: int, most: int):
     for depth in range(1, most):
         ids, first, inverse = np.unique(prefix * len(words.dictionary) + codes[starts[at] + depth], return_index=True, return_inverse=True)
         total = np.bincount(inverse, n[at], len(ids)).astype(np.int64)
-        kept = (total >= least) | (np.bincount(inverse, opened[at], len(ids)) > 0)
+        kept = total >= least
         shown = at[first[kept]]
         parts = [words.dictionary.take(pa.array(codes[starts[shown] + k])) for k in range(depth + 1)]
-        yield pc.binary_join_element_wise(*parts, " "), total[kept]
+        yield pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), total[kept]
         on = kept[inverse] & (sizes[at] > depth + 1)
         at, prefix = at[on], inverse[on].astype(np.int64)
 
 
 def grown(batches, least: int, most: int):
-    """(lang, words, n) of all buckets of a task, which come one after the other, each language's rows together."""
+    """(lang, words, n) of all buckets of a task, which come one after the other, each language's rows together.
+
+    Open ones are extended whatever their number, as they are in other buckets, too: such counts are parts of a sum.
+    """
 
-    def of(held: list[bytes], lang: str):
-        for words, n in extended(pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in held]), least, most):
+    def of(held: list[tuple[bytes, bytes]], lang: str, is_open: bool):
+        lines = pc.split_pattern(pa.array([x for x, _ in held], pa.binary()), "\n").flatten()
+        for words, n in extended(lines, np.frombuffer(b"".join(n for _, n in held), np.int32), 1 if is_open else least, most):
             yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int8))), words, pa.array(n)], ["lang", "words", "n"])
 
     held, at = [], None
     for batch in batches:
-        for bucket, lang, rows in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "rows")), strict=True):
-            if held and at != (bucket, lang):
-                yield from of(held, at[1])
+        for *key, words, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "open", "words", "n")), strict=True):
+            if held and at != key:
+                yield from of(held, *at[1:])
                 held = []
-            at = bucket, lang
-            held.append(rows)
+            at = key
+            held.append((words, n))
     if held:
-        yield from of(held, at[1])
+        yield from of(held, *at[1:])
 
 
 def patterns(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -182,8 +192,8 @@ def patterns(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFra
     crowded = {(r["lang"], r["words"]) for r in counted.filter(F.col("crowded") & (F.col("n") * 2 * SHARE >= total)).collect()}
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // GROW_ROWS))
-    rows = texts.mapInArrow(lambda batches: projected(batches, most, buckets, crowded), "bucket long, lang string, rows binary")
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang")
+    rows = texts.mapInArrow(lambda batches: projected(batches, most, buckets, crowded), "bucket long, lang string, open boolean, words binary, n binary")
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "lang", "open")
     found = dealt.mapInArrow(lambda batches: grown(batches, least, most), "lang string, words string, n long")
     found = found.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return stage(single.filter(F.col("n") >= least).unionByName(found), "patterns"), totals

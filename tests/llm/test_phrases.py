@@ -1,7 +1,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import phrases
@@ -93,3 +96,35 @@ def test_large_numbers_are_exact(spark, monkeypatch):
 @pytest.mark.parametrize("rows", [[], [(None, None)], [("one", "en")], [(" .,", "en")]])
 def test_empty(spark, rows):
     assert phrases.collocations(docs_of(spark, rows)).collect() == []
+
+
+def many_words(n, parts):
+    """Batches of ``n`` words in all, half of them rare."""
+    rng = np.random.default_rng(5)
+    for _ in range(parts):
+        drawn = np.where(rng.random(n // parts) < 0.5, rng.zipf(1.3, n // parts) % 500, rng.integers(0, 60_000, n // parts)).tolist()
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(["en", "de"] * 20), "text": pa.array([" ".join(f"w{x}" for x in drawn[k::40]) for k in range(40)])})
+
+
+def test_a_worker_holds_little():
+    """A round needs a share of a worker's memory, and what goes to the shuffle leaves it in small batches."""
+    used, most, largest = pa.default_memory_pool(), 0, 0
+    batches = list(many_words(3_000_000, 10))
+    before = used.bytes_allocated()
+    tracemalloc.start()
+    try:
+        for out in phrases.projected(iter(batches), 3, 330, set()):
+            most, largest = max(most, used.bytes_allocated() - before), max(largest, out.nbytes)
+        arrays = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert largest < 4 << 20
+    assert most < 48 << 20
+    assert arrays < 100 << 20
+
+
+def test_many_buckets_cost_little():
+    """There are as many buckets as the input is large: a row for one holds its occurrences and little else."""
+    rows = [r for out in phrases.projected(many_words(100_000, 1), 3, 100_000, set()) for r in out.to_pylist()]
+    assert len(rows) > 20_000
+    assert sum(len(v) for r in rows for v in r.values() if isinstance(v, bytes)) < 40 * 100_000
