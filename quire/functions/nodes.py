@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -186,7 +187,7 @@ def outline_of(html: str | None) -> dict | None:
 _HEADS = tuple(f"h{k}" for k in range(1, 7))
 
 
-def _each(html: Column, of: Callable[[str | None], dict | None], made: str) -> Column:
+def _each(html: Column, of: Callable[[str | None], dict | list[dict] | None], made: str) -> Column:
     """``of`` each page: only the text goes to Python, and only what is needed of its tree comes back."""
     kind = to_arrow_type(DataType.fromDDL(made))
 
@@ -258,6 +259,81 @@ def cut_at_firsts(html: Column) -> Column:
     return _each(html, cut_at_firsts_of, CUT_TYPE)
 
 
+#: The notes of a page with the blocks of each, and the paragraphs outside callouts with their place among their siblings.
+NOTES_TYPE = "array<struct<text: string, body: string, parts: array<string>>>"
+PARAGRAPHS_TYPE = "array<struct<text: string, parent: int, pre: int, after: int>>"
+# What a callout's body is made of, and the class of a paragraph that is its label.
+BLOCKS = ("p", "ul", "ol", "dl", "div", "blockquote", "pre", "table")
+_TITLED = re.compile("title|head", re.I)
+_TOKEN = re.compile(T.CLOSED_TOKEN)
+
+
+def _flat(pieces: list[str]) -> str:
+    """Texts of a page as one, without tokens, one space for each run of white space: but for the case, as ``text.normal`` has it."""
+    text = " ".join(pieces)
+    if "&" in text:
+        for name, sign in H.ENTITIES:
+            text = text.replace(name, sign)
+    return " ".join(_TOKEN.sub("", text).split())
+
+
+def notes_of(html: str | None) -> list[dict] | None:
+    if html is None:
+        return None
+    kinds, tags, raws, pres, _, _, _, boxed, lasts, untils = events_of(html)
+
+    def note(i: int) -> dict:
+        own = [j for j in range(i + 1, untils[i] + 1) if pres[j] is not None]
+        said, headed = [], -1
+        for j in own:
+            if tags[j] in _HEADS:
+                headed = max(headed, lasts[j])
+            elif kinds[j] == TEXT and pres[j] > headed:
+                said.append(raws[j])
+        label = next((j for j in own if tags[j] in _HEADS), None)
+        if label is None:
+            titled = (j for j in own if tags[j] in ("p", "span") and (found := _BOX.search(raws[j])) and _TITLED.search(found[1]))
+            label = next(titled, None)
+            if label is not None and tags[label] == "span":
+                label = max((j for j in own if tags[j] == "p" and pres[j] < pres[label] <= lasts[j]), default=label)
+        rest = [j for j in own if label is None or not pres[label] <= pres[j] <= lasts[label]]
+        words = [j for j in rest if kinds[j] == TEXT]
+        blocks = [j for j in rest if kinds[j] == OPEN and tags[j] in BLOCKS]
+        parts, body, held = [], [], -1
+        for k, j in enumerate(blocks):
+            outer, inner_ = pres[j] > held, k + 1 == len(blocks) or pres[blocks[k + 1]] > lasts[j]
+            held = max(held, lasts[j])
+            if outer or inner_:
+                pieces = [raws[x] for x in words[bisect_right(words, j) : bisect_right(words, untils[j])]]
+                parts.append(_flat(pieces))
+                body += pieces if outer else []
+        return {"text": _flat(said), "body": _flat(body), "parts": parts}
+
+    return [note(i) for i, kind in enumerate(kinds) if kind == OPEN and not boxed[i] and _boxes(tags[i], raws[i])]
+
+
+def paragraphs_of(html: str | None) -> list[dict] | None:
+    if html is None:
+        return None
+    kinds, tags, raws, pres, parents, _, afters, boxed, _, untils = events_of(html)
+    text_of = lambda i: _flat([raws[j] for j in range(i + 1, untils[i] + 1) if kinds[j] == TEXT])
+    return [{"text": text_of(i), "parent": parents[i], "pre": pres[i], "after": afters[i]} for i, tag in enumerate(tags) if tag == "p" and not boxed[i]]
+
+
+def notes(html: Column) -> Column:
+    """The callouts of a page that no other one holds.
+
+    Texts are flat and without tokens. ``text`` is what stands in one outside headings, ``body`` what stands in its blocks without its label, which is its first
+    heading or else its first paragraph of a title's class. ``parts`` are the texts of the blocks that hold no other or that no other holds.
+    """
+    return _each(html, notes_of, NOTES_TYPE)
+
+
+def paragraphs(html: Column) -> Column:
+    """The paragraphs of a page outside callouts; ``after`` is the element before one in the same parent, as in ``tree``."""
+    return _each(html, paragraphs_of, PARAGRAPHS_TYPE)
+
+
 def nodes(events: Column) -> Column:
     return F.filter(events, lambda x: x["pre"].isNotNull())
 

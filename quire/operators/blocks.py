@@ -140,15 +140,15 @@ def callouts(pages: DataFrame) -> DataFrame:
 
 
 def notes(pages: DataFrame) -> DataFrame:
-    """(page_id, note, text) of a page's callouts that no other one holds, without their labels."""
-    rows = _each(pages, lambda x: N.is_callout(x) & ~x["boxed"], lambda tree, x: T.normal(N.spaced_text(tree, x, "^h[1-6]$")))
-    return rows.select("page_id", F.col("pos").alias("note"), F.col("x").alias("text")).filter("text <> ''")
+    """(page_id, note, text, body, parts) of a page's callouts that no other one holds, without their labels, and of their blocks (``nodes.notes``)."""
+    rows = pages.select("page_id", N.notes(F.col("html")).alias("notes")).select("page_id", F.posexplode("notes").alias("note", "x"))
+    return rows.filter("x.text <> ''").select("page_id", "note", F.lower("x.text").alias("text"), F.lower("x.body").alias("body"), F.transform("x.parts", F.lower).alias("parts"))
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, text) of the paragraphs outside callouts."""
-    rows = _each(pages, lambda x: (x["tag"] == "p") & ~x["boxed"], lambda tree, x: T.normal(N.spaced_text(tree, x)))
-    return rows.select("page_id", "pos", F.col("x").alias("text")).filter("text <> ''")
+    """(page_id, pos, text, parent, pre, after) of the paragraphs outside callouts, with their place in the page's tree."""
+    rows = pages.select("page_id", N.paragraphs(F.col("html")).alias("paragraphs")).select("page_id", F.posexplode("paragraphs").alias("pos", "x"))
+    return rows.filter("x.text <> ''").select("page_id", "pos", F.lower("x.text").alias("text"), "x.parent", "x.pre", "x.after")
 
 
 def _near(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -175,23 +175,85 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _told_near(pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``near``: whether they share LEAST_SHARED of their words. In a generator this is worked out once, whatever reads it."""
+    return pairs.select("*", F.explode(F.array(T.jaccard(F.col("a"), F.col("b")) >= LEAST_SHARED)).alias("near"))
+
+
 def likeness(pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` of normal texts with ``likeness``: 0 below LEAST_SHARED of common words, so that only the others are matched letter by letter."""
-    shared = T.jaccard(F.col("a"), F.col("b")) >= LEAST_SHARED
-    near = pairs.withColumn("likeness", F.when(shared, _ratio(F.when(shared, F.col("a")).otherwise(""), F.when(shared, F.col("b")).otherwise(""))).otherwise(0.0))
-    return near
+    text = lambda name: F.when(F.col("near"), F.col(name)).otherwise("")
+    return _told_near(pairs).withColumn("likeness", F.when(F.col("near"), _ratio(text("a"), text("b"))).otherwise(0.0)).drop("near")
+
+
+def _may_be_like(a: Column, b: Column) -> Column:
+    """Whether two lengths of texts allow LIKENESS, which is at most twice the shorter one's share of both."""
+    return 2.0 * F.least(a, b) / (a + b) >= LIKENESS
+
+
+def _normal(text: Column) -> Column:
+    """``text.normal``, which is the lower case alone of a text without tokens whose words single spaces part."""
+    others = T.BLANKS.replace(" ", "")
+    flat = ~F.contains(text, F.lit("⟦")) & ~F.contains(text, F.lit("  ")) & (F.btrim(text) == text) & (F.translate(text, others, "") == text)
+    return F.when(flat, F.lower(text)).otherwise(T.normal(text))
+
+
+def _runs(like: Column, most: Column) -> Column:
+    """The runs of siblings that follow each other among ``like`` (by parent and place): from each one as far as they go, ``most`` at most."""
+    follows = lambda j: F.coalesce(F.get(like, j)["after"] == F.get(like, j - 1)["pre"], F.lit(False))
+    heads = F.filter(F.sequence(F.lit(0), F.size(like) - 1), lambda j: (j == 0) | ~follows(j))
+    chains = T.named(heads, lambda h: F.transform(h, lambda s, k: F.slice(like, s + 1, F.coalesce(F.get(h, k + 1), F.size(like)) - s)))
+    runs = F.flatten(F.transform(chains, lambda c: F.transform(c, lambda _, k: F.slice(c, k + 1, most))))
+    return F.when(F.size(like) > 1, F.filter(runs, lambda r: F.size(r) > 1))
+
+
+def _note_pairs(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """A row for each paragraph b of a page and each text a of a note that have LIKENESS: a is one of ``wholes`` or, if ``part``, of its ``most`` blocks.
+
+    A note's lengths are compared first, then each text's, then words, then letters; the first two rule out no pair that has LIKENESS.
+    """
+    had = lambda rows, name, kind: F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+    said = lambda texts: F.array_distinct(F.filter(texts, lambda x: x != ""))
+    parts = F.coalesce(said(F.transform(had(notes, "parts", "array<string>"), _normal)), F.array().cast("array<string>"))
+    rows = notes.select("page_id", "note", said(F.array(_normal(F.col("text")), _normal(had(notes, "body", "string")))).alias("wholes"), parts.alias("parts"))
+    each = lambda name, part: F.transform(name, lambda x: F.struct(x.alias("a"), F.length(x).alias("n"), F.lit(part).alias("part")))
+    # A note of one block is a paragraph or nothing.
+    texts = F.when(F.size("parts") > 1, F.concat(each("wholes", False), each("parts", True))).otherwise(each("wholes", False))
+    rows = rows.select("page_id", "note", "wholes", F.size("parts").alias("most"), texts.alias("texts"))
+    lengths = F.transform("texts", lambda x: x["n"])
+    rows = rows.select("*", F.array_min(lengths).alias("shortest"), F.array_max(lengths).alias("longest"))
+    places = [had(paragraphs, name, "int").alias(name) for name in ("parent", "pre", "after")]
+    other = paragraphs.select("page_id", "pos", _normal(F.col("text")).alias("b"), *places).withColumn("length", F.length("b"))
+    nearest = F.greatest(F.col("shortest"), F.least(F.col("longest"), F.col("length")))
+    pairs = rows.join(other, "page_id").filter(_may_be_like(nearest, F.col("length")))
+    pairs = pairs.select("*", F.explode(F.filter("texts", lambda x: _may_be_like(x["n"], F.col("length")))).alias("x"))
+    pairs = pairs.select("page_id", "note", "wholes", "most", "pos", "parent", "pre", "after", "b", "x.a", "x.part")
+    return _told_near(pairs).filter("near").withColumn("likeness", _ratio("a", "b")).filter(F.col("likeness") >= LIKENESS)
 
 
 def kept_notes(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(page_id, note, pos, likeness): for each note (page_id, note, text) its likest paragraph (page_id, pos, text) of the page, the first where equal, if it is the note kept.
 
-    Texts are matched letter by letter only where they share enough words and their lengths allow LIKENESS; no other can be the one.
+    The note is its text, or that of its blocks (``body``). One of several blocks (``parts``) may be kept as several paragraphs, a row each:
+    as many as it has blocks at most, of which each is like one of them, and each but the first follows the one before in the same
+    parent (``parent``, ``pre``, ``after``); together they are matched with the whole note, and count if they are likelier than any one paragraph.
+    Likeness is that of ``likeness``: 0 of texts below LEAST_SHARED of common words, whatever letters they share.
     """
-    normal = lambda side, place: side.select("page_id", place, T.normal(F.col("text")).alias("text"))
-    a, b = F.length("a"), F.length("b")
-    pairs = _near(normal(notes, "note"), normal(paragraphs, "pos")).filter(2.0 * F.least(a, b) / (a + b) >= LIKENESS)
-    best = pairs.withColumn("likeness", _ratio("a", "b")).groupBy("page_id", "note").agg(F.max_by(F.struct("pos", "likeness"), F.struct("likeness", -F.col("pos"))).alias("b"))
-    return best.select("page_id", "note", "b.pos", "b.likeness").filter(F.col("likeness") >= LIKENESS)
+    pairs = _note_pairs(notes, paragraphs)
+    found = pairs.groupBy("page_id", "note", "wholes").agg(
+        F.max_by(F.struct(F.array("pos").alias("places"), "likeness"), F.when(~F.col("part"), F.struct("likeness", -F.col("pos")))).alias("one"),
+        F.array_sort(F.collect_set(F.when(F.col("part"), F.struct("parent", "pre", "after", "pos", "b")))).alias("like"),
+        F.first("most").alias("most"),
+    )
+    joined = lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["b"]), " ").alias("b"), F.transform(r, lambda x: x["pos"]).alias("places"))
+    runs = found.select("page_id", "note", "wholes", "one", F.explode_outer(F.transform(_runs(F.col("like"), F.col("most")), joined)).alias("run"))
+    runs = runs.select("page_id", "note", "wholes", "one", "run.*")
+    runs = runs.select("*", F.explode_outer(F.filter("wholes", lambda x: _may_be_like(F.length(x), F.length("b")))).alias("a"))
+    likest = F.max_by(F.struct("places", "likeness"), F.struct("likeness", -F.col("places")[0], -F.size("places")))
+    best = likeness(runs).groupBy("page_id", "note", "wholes").agg(F.first("one").alias("one"), likest.alias("run"))
+    run = (F.col("run.likeness") >= LIKENESS) & (F.col("one").isNull() | (F.col("run.likeness") > F.col("one.likeness")))
+    best = best.select("page_id", "note", F.when(run, F.col("run")).otherwise(F.col("one")).alias("best"))
+    return best.select("page_id", "note", F.explode("best.places").alias("pos"), "best.likeness")
 
 
 def _named_once(ids: Column, heads: Column) -> Column:

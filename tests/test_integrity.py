@@ -1,4 +1,5 @@
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,51 @@ def test_kept_notes(spark):
     assert abs(made[0].likeness - difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()) < 1e-12
 
 
+def paragraphs_kept(spark, source, output):
+    pages = lambda html: spark.createDataFrame([(0, html)], "page_id long, html string")
+    return sorted((r.note, r.pos, round(r.likeness, 3)) for r in B.kept_notes(B.notes(pages(source)), B.paragraphs(pages(output))).collect())
+
+
+def test_a_note_kept_as_several_paragraphs(spark):
+    said = ["Operating as root can be dangerous.", "It is difficult to identify the mistakes.", "The system will let you do anything."]
+    block = lambda texts: "".join(f"<p>{x}</p>" for x in texts)
+    source = f'<aside class="note"><h2>Note</h2>{block(said)}</aside>'
+    edited = ["Operating as root is dangerous.", *said[1:]]
+    ratio = difflib.SequenceMatcher(None, " ".join(said).lower(), " ".join(edited).lower(), autojunk=False).ratio()
+    assert paragraphs_kept(spark, source, f"<p>Before.</p>{block(edited)}<p>After.</p>") == [(0, k, round(ratio, 3)) for k in (1, 2, 3)]
+    assert paragraphs_kept(spark, source, f"<p>{' '.join(said)}</p>") == [(0, 0, 1.0)]
+    # One paragraph of a longer note stays prose, and what follows must be beside it.
+    assert paragraphs_kept(spark, source, block(said[:1])) == []
+    assert paragraphs_kept(spark, source, f"{block(said[:1])}<hr>{block(said[1:2])}<div>{block(said[2:])}</div>") == []
+
+
+def test_a_note_kept_without_its_label(spark):
+    for label in ('<p class="title">What you should know of gaps</p>', '<p><span class="NoteHead">What you should know of gaps</span></p>', "<b>What you should know of gaps</b>"):
+        assert paragraphs_kept(spark, f'<div class="tip">{label}<p>Mind the gap.</p></div>', "<p>Mind the gap.</p>") == [(0, 0, 1.0)]
+
+
+def test_notes_of_pages_with_one_identifier_are_all_kept(spark):
+    notes = spark.createDataFrame([(0, 0, "mind the gap"), (0, 0, "stand back")], "page_id long, note int, text string")
+    paragraphs = spark.createDataFrame([(0, 0, "mind the gap"), (0, 1, "stand back")], "page_id long, pos int, text string")
+    assert sorted((r.pos, r.likeness) for r in B.kept_notes(notes, paragraphs).collect()) == [(0, 1.0), (1, 1.0)]
+
+
+def test_kept_notes_leaves_out_no_pair_that_is_like(spark):
+    """Against all pairs: likeness is 0 below the share of words, whatever letters two texts have in common."""
+    words, rnd = "mind the gap gaps minding between a train trains platform of".split(), random.Random(3)
+    said = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9)))
+    notes = [(page, k, said()) for page in range(20) for k in range(10)]
+    paragraphs = [(page, k, said()) for page in range(20) for k in range(20)]
+
+    def alike(a, b):
+        one, other = set(a.split()), set(b.split())
+        return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if len(one & other) / len(one | other) >= 0.4 else 0.0
+
+    best = {(p, n): max((alike(a, b), -k) for q, k, b in paragraphs if q == p) for p, n, a in notes}
+    made = B.kept_notes(spark.createDataFrame(notes, "page_id long, note int, text string"), spark.createDataFrame(paragraphs, "page_id long, pos int, text string"))
+    assert {(r.page_id, r.note): (r.likeness, -r.pos) for r in made.collect()} == {k: x for k, x in best.items() if x[0] >= 0.7}
+
+
 def test_run(spark):
     long = "# T\n" + "w " * 300
     rows = [(1, long, long), (2, long, long), (3, long, "# T\nshort"), (4, "# T", "# T"), (5, long, None), (6, long, long)]
