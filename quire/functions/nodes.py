@@ -268,13 +268,13 @@ _TITLED = re.compile("title|head", re.I)
 _TOKEN = re.compile(T.CLOSED_TOKEN)
 
 
-def _flat(pieces: list[str]) -> str:
-    """Texts of a page as one, without tokens, one space for each run of white space: but for the case, as ``text.normal`` has it."""
+def _normal(pieces: list[str]) -> str:
+    """Texts of a page as one, as ``text.normal`` has it."""
     text = " ".join(pieces)
     if "&" in text:
         for name, sign in H.ENTITIES:
             text = text.replace(name, sign)
-    return " ".join(_TOKEN.sub("", text).split())
+    return " ".join(_TOKEN.sub("", text).split()).lower()
 
 
 def notes_of(html: str | None) -> list[dict] | None:
@@ -305,9 +305,9 @@ def notes_of(html: str | None) -> list[dict] | None:
             held = max(held, lasts[j])
             if outer or inner_:
                 pieces = [raws[x] for x in words[bisect_right(words, j) : bisect_right(words, untils[j])]]
-                parts.append(_flat(pieces))
+                parts.append(_normal(pieces))
                 body += pieces if outer else []
-        return {"text": _flat(said), "body": _flat(body), "parts": parts}
+        return {"text": _normal(said), "body": _normal(body), "parts": parts}
 
     return [note(i) for i, kind in enumerate(kinds) if kind == OPEN and not boxed[i] and _boxes(tags[i], raws[i])]
 
@@ -316,21 +316,21 @@ def paragraphs_of(html: str | None) -> list[dict] | None:
     if html is None:
         return None
     kinds, tags, raws, pres, parents, _, afters, boxed, _, untils = events_of(html)
-    text_of = lambda i: _flat([raws[j] for j in range(i + 1, untils[i] + 1) if kinds[j] == TEXT])
+    text_of = lambda i: _normal([raws[j] for j in range(i + 1, untils[i] + 1) if kinds[j] == TEXT])
     return [{"text": text_of(i), "parent": parents[i], "pre": pres[i], "after": afters[i]} for i, tag in enumerate(tags) if tag == "p" and not boxed[i]]
 
 
 def notes(html: Column) -> Column:
     """The callouts of a page that no other one holds.
 
-    Texts are flat and without tokens. ``text`` is what stands in one outside headings, ``body`` what stands in its blocks without its label, which is its first
+    Texts are normal. ``text`` is what stands in one outside headings, ``body`` what stands in its blocks without its label, which is its first
     heading or else its first paragraph of a title's class. ``parts`` are the texts of the blocks that hold no other or that no other holds.
     """
     return _each(html, notes_of, NOTES_TYPE)
 
 
 def paragraphs(html: Column) -> Column:
-    """The paragraphs of a page outside callouts; ``after`` is the element before one in the same parent, as in ``tree``."""
+    """The paragraphs of a page outside callouts, as normal texts; ``after`` is the element before one in the same parent, as in ``tree``."""
     return _each(html, paragraphs_of, PARAGRAPHS_TYPE)
 
 

@@ -142,13 +142,13 @@ def callouts(pages: DataFrame) -> DataFrame:
 def notes(pages: DataFrame) -> DataFrame:
     """(page_id, note, text, body, parts) of a page's callouts that no other one holds, without their labels, and of their blocks (``nodes.notes``)."""
     rows = pages.select("page_id", N.notes(F.col("html")).alias("notes")).select("page_id", F.posexplode("notes").alias("note", "x"))
-    return rows.filter("x.text <> ''").select("page_id", "note", F.lower("x.text").alias("text"), F.lower("x.body").alias("body"), F.transform("x.parts", F.lower).alias("parts"))
+    return rows.select("page_id", "note", "x.*").filter("text <> ''")
 
 
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(page_id, pos, text, parent, pre, after) of the paragraphs outside callouts, with their place in the page's tree."""
     rows = pages.select("page_id", N.paragraphs(F.col("html")).alias("paragraphs")).select("page_id", F.posexplode("paragraphs").alias("pos", "x"))
-    return rows.filter("x.text <> ''").select("page_id", "pos", F.lower("x.text").alias("text"), "x.parent", "x.pre", "x.after")
+    return rows.select("page_id", "pos", "x.*").filter("text <> ''")
 
 
 def _near(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -191,13 +191,6 @@ def _may_be_like(a: Column, b: Column) -> Column:
     return 2.0 * F.least(a, b) / (a + b) >= LIKENESS
 
 
-def _normal(text: Column) -> Column:
-    """``text.normal``, which is the lower case alone of a text without tokens whose words single spaces part."""
-    others = T.BLANKS.replace(" ", "")
-    flat = ~F.contains(text, F.lit("⟦")) & ~F.contains(text, F.lit("  ")) & (F.btrim(text) == text) & (F.translate(text, others, "") == text)
-    return F.when(flat, F.lower(text)).otherwise(T.normal(text))
-
-
 def _runs(like: Column, most: Column) -> Column:
     """The runs of siblings that follow each other among ``like`` (by parent and place): from each one as far as they go, ``most`` at most."""
     follows = lambda j: F.coalesce(F.get(like, j)["after"] == F.get(like, j - 1)["pre"], F.lit(False))
@@ -212,18 +205,15 @@ def _note_pairs(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
     A note's lengths are compared first, then each text's, then words, then letters; the first two rule out no pair that has LIKENESS.
     """
-    had = lambda rows, name, kind: F.col(name) if name in rows.columns else F.lit(None).cast(kind)
     said = lambda texts: F.array_distinct(F.filter(texts, lambda x: x != ""))
-    parts = F.coalesce(said(F.transform(had(notes, "parts", "array<string>"), _normal)), F.array().cast("array<string>"))
-    rows = notes.select("page_id", "note", said(F.array(_normal(F.col("text")), _normal(had(notes, "body", "string")))).alias("wholes"), parts.alias("parts"))
+    rows = notes.select("page_id", "note", said(F.array("text", "body")).alias("wholes"), said(F.col("parts")).alias("parts"))
     each = lambda name, part: F.transform(name, lambda x: F.struct(x.alias("a"), F.length(x).alias("n"), F.lit(part).alias("part")))
     # A note of one block is a paragraph or nothing.
     texts = F.when(F.size("parts") > 1, F.concat(each("wholes", False), each("parts", True))).otherwise(each("wholes", False))
     rows = rows.select("page_id", "note", "wholes", F.size("parts").alias("most"), texts.alias("texts"))
     lengths = F.transform("texts", lambda x: x["n"])
     rows = rows.select("*", F.array_min(lengths).alias("shortest"), F.array_max(lengths).alias("longest"))
-    places = [had(paragraphs, name, "int").alias(name) for name in ("parent", "pre", "after")]
-    other = paragraphs.select("page_id", "pos", _normal(F.col("text")).alias("b"), *places).withColumn("length", F.length("b"))
+    other = paragraphs.select("page_id", "pos", F.col("text").alias("b"), "parent", "pre", "after", F.length("text").alias("length"))
     nearest = F.greatest(F.col("shortest"), F.least(F.col("longest"), F.col("length")))
     pairs = rows.join(other, "page_id").filter(_may_be_like(nearest, F.col("length")))
     pairs = pairs.select("*", F.explode(F.filter("texts", lambda x: _may_be_like(x["n"], F.col("length")))).alias("x"))
@@ -234,11 +224,28 @@ def _note_pairs(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
 def kept_notes(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(page_id, note, pos, likeness): for each note (page_id, note, text) its likest paragraph (page_id, pos, text) of the page, the first where equal, if it is the note kept.
 
+    A note may have a ``body`` and ``parts``, and paragraphs a ``parent``, ``pre`` and ``after``, for ``notes_kept``, whose rule this is for any texts.
+    """
+    had = lambda rows, name, kind: F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+    parts = F.coalesce(F.transform(had(notes, "parts", "array<string>"), T.normal), F.array().cast("array<string>"))
+    own = notes.select("page_id", "note", T.normal(F.col("text")).alias("text"), T.normal(had(notes, "body", "string")).alias("body"), parts.alias("parts"))
+    places = [had(paragraphs, name, "int").alias(name) for name in ("parent", "pre", "after")]
+    return _kept(own, paragraphs.select("page_id", "pos", T.normal(F.col("text")).alias("text"), *places))
+
+
+def notes_kept(source: DataFrame, output: DataFrame) -> DataFrame:
+    """(page_id, note, pos, likeness): for each note of a page its likest paragraph of the output's page, the first where equal, if it is the note kept.
+
     The note is its text, or that of its blocks (``body``). One of several blocks (``parts``) may be kept as several paragraphs, a row each:
     as many as it has blocks at most, of which each is like one of them, and each but the first follows the one before in the same
     parent (``parent``, ``pre``, ``after``); together they are matched with the whole note, and count if they are likelier than any one paragraph.
     Likeness is that of ``likeness``: 0 of texts below LEAST_SHARED of common words, whatever letters they share.
     """
+    return _kept(notes(source), paragraphs(output))
+
+
+def _kept(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``notes_kept`` of normal texts."""
     pairs = _note_pairs(notes, paragraphs)
     found = pairs.groupBy("page_id", "note", "wholes").agg(
         F.max_by(F.struct(F.array("pos").alias("places"), "likeness"), F.when(~F.col("part"), F.struct("likeness", -F.col("pos")))).alias("one"),

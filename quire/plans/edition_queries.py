@@ -258,6 +258,6 @@ def queries() -> dict[str, Query]:
         "captions_rewritten": _both(B.captions_rewritten),
         "callouts": _source(B.callouts),
         "note_candidates": _both(B.note_candidates),
-        "kept_notes": _both(lambda s, o: B.kept_notes(B.notes(s), B.paragraphs(o))),
+        "kept_notes": _both(B.notes_kept),
         "contents_groups": _source(B.contents),
     }
