@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import html as H
 from ..functions import nodes as N
@@ -175,15 +175,37 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _told_near(pairs: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``near``: whether they share LEAST_SHARED of their words. In a generator this is worked out once, whatever reads it."""
-    return pairs.select("*", F.explode(F.array(T.jaccard(F.col("a"), F.col("b")) >= LEAST_SHARED)).alias("near"))
+@F.pandas_udf(StructType([StructField("place", IntegerType()), StructField("likeness", DoubleType())]))
+def _likest(wholes: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    """The place and likeness of the run that is likest to one of the texts, the first where equal, if it has LIKENESS; -1 and 0 if none has.
+
+    Likeness is at most what the lengths of two texts allow, and what their letters in any order do: those that can't be the likest aren't matched.
+    """
+
+    def likest(texts: list[str], others: list[str]) -> tuple[int, float]:
+        tried = sorted(((2.0 * min(len(a), len(b)) / (len(a) + len(b)), -k, a, b) for a in texts for k, b in enumerate(others)), reverse=True)
+        place, most = -1, LIKENESS
+        for bound, k, a, b in tried:
+            if bound < most:
+                break
+            one, other = set(a.split(" ")), set(b.split(" "))
+            match = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            if len(one & other) / len(one | other) < LEAST_SHARED or match.quick_ratio() < most:
+                continue
+            ratio = match.ratio()
+            if ratio > most or ratio == most and (place < 0 or -k < place):
+                place, most = -k, ratio
+        return (place, most) if place >= 0 else (-1, 0.0)
+
+    made = [(-1, 0.0) if b is None else likest(list(a), list(b)) for a, b in zip(wholes, runs, strict=True)]
+    return pd.DataFrame(made, columns=["place", "likeness"])
 
 
 def likeness(pairs: DataFrame) -> DataFrame:
     """``pairs(a, b)`` of normal texts with ``likeness``: 0 below LEAST_SHARED of common words, so that only the others are matched letter by letter."""
-    text = lambda name: F.when(F.col("near"), F.col(name)).otherwise("")
-    return _told_near(pairs).withColumn("likeness", F.when(F.col("near"), _ratio(text("a"), text("b"))).otherwise(0.0)).drop("near")
+    shared = T.jaccard(F.col("a"), F.col("b")) >= LEAST_SHARED
+    near = pairs.withColumn("likeness", F.when(shared, _ratio(F.when(shared, F.col("a")).otherwise(""), F.when(shared, F.col("b")).otherwise(""))).otherwise(0.0))
+    return near
 
 
 def _may_be_like(a: Column, b: Column) -> Column:
@@ -218,7 +240,9 @@ def _note_pairs(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     pairs = rows.join(other, "page_id").filter(_may_be_like(nearest, F.col("length")))
     pairs = pairs.select("*", F.explode(F.filter("texts", lambda x: _may_be_like(x["n"], F.col("length")))).alias("x"))
     pairs = pairs.select("page_id", "note", "wholes", "most", "pos", "parent", "pre", "after", "b", "x.a", "x.part")
-    return _told_near(pairs).filter("near").withColumn("likeness", _ratio("a", "b")).filter(F.col("likeness") >= LIKENESS)
+    # In a generator words are gathered once, whatever reads it.
+    pairs = pairs.select("*", F.explode(F.array(T.jaccard(F.col("a"), F.col("b")) >= LEAST_SHARED)).alias("near")).filter("near")
+    return pairs.withColumn("likeness", _ratio("a", "b")).filter(F.col("likeness") >= LIKENESS)
 
 
 def kept_notes(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -252,15 +276,14 @@ def _kept(notes: DataFrame, paragraphs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("part"), F.struct("parent", "pre", "after", "pos", "b")))).alias("like"),
         F.first("most").alias("most"),
     )
-    joined = lambda r: F.struct(F.array_join(F.transform(r, lambda x: x["b"]), " ").alias("b"), F.transform(r, lambda x: x["pos"]).alias("places"))
-    runs = found.select("page_id", "note", "wholes", "one", F.explode_outer(F.transform(_runs(F.col("like"), F.col("most")), joined)).alias("run"))
-    runs = runs.select("page_id", "note", "wholes", "one", "run.*")
-    runs = runs.select("*", F.explode_outer(F.filter("wholes", lambda x: _may_be_like(F.length(x), F.length("b")))).alias("a"))
-    likest = F.max_by(F.struct("places", "likeness"), F.struct("likeness", -F.col("places")[0], -F.size("places")))
-    best = likeness(runs).groupBy("page_id", "note", "wholes").agg(F.first("one").alias("one"), likest.alias("run"))
-    run = (F.col("run.likeness") >= LIKENESS) & (F.col("one").isNull() | (F.col("run.likeness") > F.col("one.likeness")))
-    best = best.select("page_id", "note", F.when(run, F.col("run")).otherwise(F.col("one")).alias("best"))
-    return best.select("page_id", "note", F.explode("best.places").alias("pos"), "best.likeness")
+    joined = lambda r: F.struct(F.transform(r, lambda x: x["pos"]).alias("places"), F.array_join(F.transform(r, lambda x: x["b"]), " ").alias("b"))
+    runs = F.array_sort(F.transform(_runs(F.col("like"), F.col("most")), joined))
+    rows = found.select("page_id", "note", "wholes", "one", runs.alias("runs"))
+    rows = rows.withColumn("likest", _likest("wholes", F.transform("runs", lambda x: x["b"])))
+    run = F.struct(F.get("runs", F.col("likest.place"))["places"].alias("places"), "likest.likeness")
+    likelier = (F.col("likest.likeness") >= LIKENESS) & (F.col("one").isNull() | (F.col("likest.likeness") > F.col("one.likeness")))
+    rows = rows.select("page_id", "note", F.when(likelier, run).otherwise(F.col("one")).alias("best"))
+    return rows.select("page_id", "note", F.explode("best.places").alias("pos"), "best.likeness")
 
 
 def _named_once(ids: Column, heads: Column) -> Column:
